@@ -15,7 +15,10 @@ def read_tree(spark: SparkSession, root: str, pattern: str = "*.{java,kt,sql,cql
     """B-01: ``path, text`` of files under ``root``, paths relative to it; bytes that aren't UTF-8 are read as Windows-1252."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     utf8 = F.is_valid_utf8(F.col("content").cast("string"))
-    text = F.when(utf8, F.col("content").cast("string")).otherwise(F.decode("content", "windows-1252"))
+    # Spark has no Windows-1252; it is Latin-1 but for the bytes 0x80 to 0x9F
+    here = {chr(b): c for b in range(0x80, 0xA0) if (c := bytes([b]).decode("cp1252", "ignore"))}
+    latin = F.translate(F.decode("content", "iso-8859-1"), "".join(here), "".join(here.values()))
+    text = F.when(utf8, F.col("content").cast("string")).otherwise(latin)
     return files.select(F.regexp_replace("path", f"^.*{root.rstrip('/')}/", "").alias("path"), text.alias("text"))
 
 
