@@ -63,6 +63,19 @@ UNION ALL SELECT 'acme', n_name, 'world', 'SUBSCRIPTION', 'PDN_S.N' || CAST((c_n
 SELECT 'r' || CAST(r_regionkey AS STRING) AS module_path, 'pom' AS packaging, r_name AS artifact_id FROM region
 UNION ALL SELECT 'r' || CAST(n_regionkey AS STRING) || '/n' || CAST(n_nationkey AS STRING), 'war', n_name FROM nation
 UNION ALL SELECT 'r' || CAST(n_regionkey AS STRING) || '/n' || CAST(n_nationkey AS STRING) || '/c' || CAST(c_custkey AS STRING), 'jar', c_name FROM customer JOIN nation ON n_nationkey = c_nationkey""",
+    "registry": """
+SELECT 'svc' || CAST(c_custkey AS STRING) AS service_id, 'acme' AS org_id, n_name AS repo, c_name AS service_name, CASE WHEN c_mktsegment = 'BUILDING' THEN 'library' ELSE 'service' END AS module_type, c_acctbal > 0 AS enabled,
+  '{"description": "' || c_mktsegment || '", "owner": " ", "domain": "' || n_name || '"}' AS metadata FROM customer JOIN nation ON n_nationkey = c_nationkey""",
+    "outbound": """
+SELECT DISTINCT 'svc' || CAST(l_suppkey AS STRING) AS service_id, 'com.acme.n1.Supplier' || CAST(l_suppkey AS STRING) || '#call' AS source_symbol, CASE l_returnflag WHEN 'A' THEN 'GET' WHEN 'N' THEN 'POST' END AS http_method, '/parts/' || CAST(l_partkey AS STRING) AS path FROM lineitem""",
+    "dependencies": """
+SELECT l_orderkey * 10 + l_linenumber AS dependency_id, 'svc' || CAST(l_suppkey AS STRING) AS service_id, CASE WHEN l_returnflag = 'R' THEN 'old' ELSE 'new' END AS commit_sha, 'r1/n' || CAST(l_suppkey AS STRING) AS module_path,
+  'com.g' || CAST(l_partkey % 10 AS STRING) AS to_group, 'p' || CAST(l_partkey AS STRING) AS to_artifact, CASE WHEN l_linestatus = 'O' THEN CAST(l_linenumber AS STRING) END AS to_version,
+  CASE l_returnflag WHEN 'A' THEN 'compile' WHEN 'N' THEN 'runtime' ELSE 'test' END AS scope, l_linenumber > 3 AS transitive, l_linestatus = 'O' AS resolved FROM lineitem""",
+    "gates": """
+SELECT DISTINCT 'svc' || CAST(o_custkey AS STRING) AS service_id, 'com.acme.H' || CAST(o_custkey AS STRING) || '#run' AS guarded_symbol, 'gate.' || o_orderstatus AS gate_key, CASE o_orderstatus WHEN 'F' THEN 'BUSINESS_RULE' ELSE 'CODE_FLAG' END AS gate_kind, CASE o_orderstatus WHEN 'O' THEN 'true' ELSE 'x' END AS required_value FROM orders""",
+    "schemas": """
+SELECT DISTINCT 'svc' || CAST(o_custkey AS STRING) AS service_id, 'com.acme.H' || CAST(o_custkey AS STRING) AS linked_class_fqn, 'Proto' || o_orderpriority AS payload_proto FROM orders WHERE o_totalprice > 250000""",
 }
 
 
