@@ -105,15 +105,56 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+_BASE = 0xD1B54A32D192ED03
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+class _Powers:
+    """Powers of the base of polynomial hashes and of its inverse modulo 2**64, as far as needed so far."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, dtype=np.uint64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = max(n, 2 * len(self.up), 4096)
+            powers = []
+            for base in (_BASE, _INVERSE):
+                steps = np.full(size, base, dtype=np.uint64)
+                steps[0] = 1
+                powers.append(np.cumprod(steps, dtype=np.uint64))
+            self.up, self.down = powers
+        return self.up[:n], self.down[:n]
+
+
+_powers = _Powers()
+
+
+def _salt(seed: int) -> np.uint64:
+    return np.uint64((seed + 1) * int(_MIX) & (1 << 64) - 1)
+
+
+class Ranges:
+    """64-bit hashes of ranges of a sequence, from the sums of one polynomial over it."""
+
+    def __init__(self, values: np.ndarray):
+        up, self.down = _powers.upto(len(values) + 1)
+        self.sums = np.zeros(len(values) + 1, dtype=np.uint64)
+        np.cumsum(mix(values) * up[:-1], out=self.sums[1:])
+
+    def of(self, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+        return mix((self.sums[end] - self.sums[start]) * self.down[start] + _salt(seed))
+
+    def width(self, width: int, seed: int = 0) -> np.ndarray:
+        n = len(self.sums) - width
+        if n <= 0:
+            return np.empty(0, dtype=np.uint64)
+        return mix((self.sums[width:] - self.sums[:n]) * self.down[:n] + _salt(seed))
+
+
 def rolling(values: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of each run of ``width`` values; empty if there are fewer."""
-    n = len(values) - width + 1
-    if n <= 0:
-        return np.empty(0, dtype=np.uint64)
-    out = np.full(n, np.uint64(seed) + _MIX, dtype=np.uint64)
-    for i in range(width):
-        out = mix(out * _MIX + values[i : i + n])
-    return out
+    return Ranges(values).width(width, seed)
 
 
 def signed(values: np.ndarray) -> np.ndarray:

@@ -1,150 +1,248 @@
 """Repeated passages: deep nodes of a suffix tree over words, partitioned by prefix.
 
-A suffix starts at each word of a document.  Two suffixes that share their
-first 13 words meet in an internal node at that depth or below, so the nodes at
-depth 13 hold all repeats of 13 words or more, and runs of neighbouring ones
-are the maximal repeats.  The tree is never whole anywhere:
-
-1. Vertical partitioning.  Of the 9 prefixes of 5 words in a window, the one
-   with the smallest hash stands for it, so two equal windows choose equal
-   prefixes at equal places.  Prefixes are counted by document; a prefix of one
-   document only leads to no shared node, and its suffixes end here.
-2. Variable length.  Suffixes are grouped by their 5-word prefix where it has at
-   most ``GROUP`` suffixes, else by a longer one (9 words, then the path of all
-   13), until a group is small enough.  At 13 words a group is one node, however
-   many suffixes it has, and only its smallest document is wanted, a minimum
-   that is aggregated before the shuffle.
-3. Subtrees.  In each group the suffixes are told apart by the path down to
-   depth 13, held as two 64-bit hashes; a node with suffixes of two documents
-   is a repeat, and those of all but the smallest doc_id are covered.
-
-A null or empty text has no words.  Rows that share a doc_id count as one
-document: they don't cover each other.  Rows with a null id are returned as
-they are and cover nothing.
+A suffix starts at each word of a document.  Suffixes that share their first 13
+words meet in a node at that depth or below it, so the nodes at depth 13 hold
+all repeats of 13 words or more, and runs of neighbouring ones are the maximal
+repeats.  The tree is never whole anywhere:
+
+1. Prefixes.  Of the 9 prefixes of 5 words in a window the one with the
+   smallest hash stands for it, so equal windows choose equal prefixes at equal
+   places, and each document has one entry for each chosen place: the windows
+   that chose it, neighbours all, and a hash of all their words.
+2. Long edges.  Entries are dealt by prefix.  Entries with equal words share one
+   edge down to the depth of all their windows: each but that of the smallest
+   document is covered, and only the smallest goes on.  A prefix that only one
+   entry has leads to no node and ends here.
+3. Variable length.  Where a prefix branches before depth 13 (entries with other
+   words), it is lengthened to the 13 words of each window, and these suffixes
+   are dealt by the longer prefix.  A group is then one node, a repeat if two
+   documents have it; all but the smallest doc_id are covered.
+
+A task that reads a batch of documents first does 2 and 3 within the batch: of
+equal entries one goes on, and a prefix that branches within the batch is
+lengthened at once.  So of a passage that a third of all documents hold, each
+batch sends one entry, and no group grows with the number of copies.  Groups are
+read in order, one entry at a time, and need no memory of their own.
+
+Prefixes and paths are held as hashes: of 64 bits, and 32 more over the words
+that follow.  A null or empty text has no words.  Rows that share a doc_id
+don't cover each other; what is found in one of them holds for each that has
+the same words there.  Rows with a null id are returned as they are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _arrow_schema, id_and_text, rolling, signed, split_words, WordHashes
+from .common import Ranges, WordHashes, _arrow_schema, id_and_text, mix, signed, split_words, staged
 
 WINDOW_WORDS = 13
 PREFIX_WORDS = 5
-LONGER_WORDS = 9
-#: A group with more suffixes is split by a longer prefix.
-GROUP = 100_000
+#: What becomes of an entry: still to be compared, covered, or to be lengthened.
+OPEN, COVERED, BRANCHES = 0, 1, 2
+#: ``meta``: first window << 8 | number of windows << 2 | what becomes of it.
+_ENTRY = "key long, words int, doc_id long, meta long, guard int"
 
 
-def anchors(hashes: np.ndarray, window: int = WINDOW_WORDS, prefix: int = PREFIX_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """For each window its prefix: (hash of it, place of its first word).  Leftmost of equal hashes."""
-    grams = rolling(hashes, prefix, seed=1)
+def anchors(ranges: Ranges, n: int, window: int = WINDOW_WORDS, prefix: int = PREFIX_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """For each window the hash and the place of its prefix; leftmost of equal hashes."""
+    grams = ranges.width(prefix, seed=1)
     width = window - prefix + 1
-    if len(grams) < width:
+    if n < window:
         return grams[:0], np.empty(0, dtype=np.int64)
-    best = np.lib.stride_tricks.sliding_window_view(grams, width).argmin(axis=1) + np.arange(len(grams) - width + 1)
-    return grams[best], best
+    low, at = grams[: n - window + 1].copy(), np.arange(n - window + 1)
+    for i in range(1, width):
+        there = grams[i : i + len(low)]
+        less = there < low
+        low[less] = there[less]
+        at[less] = np.flatnonzero(less) + i
+    return low, at
+
+
+def _entries(text: str | None, hashes: WordHashes) -> tuple[np.ndarray, ...] | None:
+    words = hashes.of(split_words(text))
+    n = len(words)
+    if n < WINDOW_WORDS:
+        return None
+    ranges = Ranges(words)
+    low, at = anchors(ranges, n)
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    count = np.diff(np.append(first, len(at)))
+    over = ranges.of(first, first + count + WINDOW_WORDS - 1, seed=2) + mix((at[first] - first).astype(np.uint64))
+    return low[first], over, first, count
+
+
+def _windows(text: str | None, found: list[int], hashes: WordHashes) -> tuple[np.ndarray, ...] | None:
+    words = hashes.of(split_words(text))
+    start = np.unique(np.concatenate([np.arange(m >> 8, (m >> 8) + (m >> 2 & 63)) for m in found])) if found else np.empty(0, np.int64)
+    start = start[start + WINDOW_WORDS <= len(words)]
+    if not len(start):
+        return None
+    ranges = Ranges(words)
+    end = start + WINDOW_WORDS
+    return ranges.of(start, end, seed=3), mix(ranges.of(start, end, seed=4)), start, np.ones(len(start), dtype=np.int64)
+
+
+def _dealt(rows: DataFrame, one: Callable, branching: bool) -> DataFrame:
+    """Entries of each document, compared within batches first."""
+    arrow = _arrow_schema(_ENTRY)
+
+    def compare(docs: list, parts: list) -> pa.RecordBatch:
+        key, over, first, count = (np.concatenate(x) for x in zip(*parts))
+        doc = np.repeat(np.array(docs, dtype=np.int64), [len(p[0]) for p in parts])
+        words = (over >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        order = np.lexsort((doc, words, key))
+        key, words, over, doc, first, count = key[order], words[order], over[order], doc[order], first[order], count[order]
+        new_key = np.concatenate(([True], key[1:] != key[:-1]))
+        new_words = new_key | np.concatenate(([True], words[1:] != words[:-1]))
+        lead = doc[np.maximum.accumulate(np.where(new_words, np.arange(len(doc)), 0))]
+        state = np.where(doc > lead, COVERED, OPEN)
+        if branching:
+            group = np.cumsum(new_key) - 1
+            forks = np.bincount(group, weights=new_words)[group] > 1
+            state[forks & (state == OPEN)] = BRANCHES
+            heads = np.cumsum(new_words)
+            # two entries with other words tell those of other batches that the prefix branches
+            witness = forks & new_words & (heads - heads[np.flatnonzero(new_key)][group] < 2)
+            pick = np.concatenate([np.arange(len(doc)), np.flatnonzero(witness)])
+            state = np.concatenate([state, np.full(int(witness.sum()), OPEN)])
+            key, words, over, doc, first, count = key[pick], words[pick], over[pick], doc[pick], first[pick], count[pick]
+        # entries whose fate is known need not meet others
+        spread = np.where(state == OPEN, key, mix(doc.astype(np.uint64) + np.uint64(1)))
+        meta = first.astype(np.int64) << 8 | np.minimum(count, 63) << 2 | state
+        guard = (over & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+        columns = (signed(spread), words, doc, meta, guard)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        docs, parts, size = [], [], 0
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 200):
+                part = batch.slice(lo, 200)
+                for doc, *values in zip(*(part.column(i).to_pylist() for i in range(part.num_columns))):
+                    got = one(*values, hashes)
+                    if got is not None:
+                        docs.append(doc)
+                        parts.append(got)
+                        size += len(got[0])
+                        if size >= 300_000:
+                            yield compare(docs, parts)
+                            docs, parts, size = [], [], 0
+        if parts:
+            yield compare(docs, parts)
+
+    return rows.mapInArrow(run, _ENTRY)
 
 
-def _tasks(df: DataFrame, schema: str, one) -> DataFrame:
-    """``one(columns, hashes)`` gives, for a few rows, the columns of ``schema``."""
-    arrow = _arrow_schema(schema)
+_FATE = "doc_id long, meta long, guard int"
+
+
+def _met(entries: DataFrame, branching: bool) -> DataFrame:
+    """Fates of entries that meet others of their key, read in order; covered and branching ones only."""
+    arrow = _arrow_schema(_FATE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple | None = None  # key, words and document of the entry before
+        waiting: tuple | None = None  # the first entry of a key that has not branched yet
+        for batch in batches:
+            key, words, doc, meta, guard = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            state = meta & 3
+            known = np.flatnonzero(state != OPEN)
+            out = [(doc[known], meta[known], guard[known])]
+            live = np.flatnonzero(state == OPEN)
+            if len(live):
+                k, w, d, m, g = key[live], words[live], doc[live], meta[live], guard[live]
+                same_key = np.concatenate(([last is not None and last[0] == k[0]], k[1:] == k[:-1]))
+                same = same_key & np.concatenate(([last is not None and last[1] == w[0]], w[1:] == w[:-1]))
+                at = np.maximum.accumulate(np.where(same, -1, np.arange(len(d))))
+                lead = np.where(at >= 0, d[at], last[2] if last is not None else 0)
+                covered = same & (d > lead)
+                out.append((d[covered], m[covered] | COVERED, g[covered]))
+                if branching:
+                    heads = np.flatnonzero(~same)
+                    group = np.cumsum(~same_key)
+                    tally = np.bincount(group, weights=~same, minlength=int(group[-1]) + 1)
+                    # in group 0 the key goes on from the batch before, whose first entry may wait
+                    goes_on = bool(same_key[0])
+                    carried = 1 if goes_on else 0
+                    branched = tally[group] + np.where((group == 0) & goes_on, carried, 0) > 1
+                    if goes_on and tally[0] > 0 and waiting is not None:
+                        out.append(tuple(np.array([x]) for x in (waiting[0], waiting[1] | BRANCHES, waiting[2])))
+                        waiting = None
+                    hit = heads[branched[heads]]
+                    out.append((d[hit], m[hit] | BRANCHES, g[hit]))
+                    end = int(group[-1])
+                    if not (end == 0 and goes_on):
+                        alone = heads[(group[heads] == end) & ~branched[heads]]
+                        waiting = (d[alone[0]], m[alone[0]], g[alone[0]]) if len(alone) else None
+                last = (k[-1], w[-1], lead[-1])
+            doc, meta, guard = (np.concatenate(x) for x in zip(*out))
+            if len(doc):
+                columns = (doc.astype(np.int64), meta.astype(np.int64), guard.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    ordered = entries.repartition("key").sortWithinPartitions("key", "words", "doc_id")
+    return ordered.mapInArrow(run, _FATE)
+
+
+def _known(docs: DataFrame) -> DataFrame:
+    return id_and_text(docs).filter(F.col("doc_id").isNotNull())
+
+
+def covered_windows(docs: DataFrame) -> DataFrame:
+    """``doc_id, covered``: windows of a document that a smaller doc_id has too, as ``meta`` and ``guard`` of runs."""
+    base = _known(docs)
+    fates = staged(_met(_dealt(base, _entries, branching=True), branching=True), "substring-fates")
+    is_covered = F.col("meta").bitwiseAND(F.lit(3)) == COVERED
+    branches = fates.filter(~is_covered).groupBy(F.col("doc_id").alias("at_id")).agg(F.collect_set("meta").alias("found"))
+    suffixes = base.join(branches, F.col("doc_id") == F.col("at_id")).select("doc_id", "text", "found")
+    longer = _met(_dealt(suffixes, _windows, branching=False), branching=False)
+    covered = fates.filter(is_covered).union(longer)
+    return covered.groupBy(F.col("doc_id").alias("at_id")).agg(F.collect_list(F.struct("meta", "guard")).alias("covered"))
+
+
+_DONE = "doc_id long, n_words long, n_removed long, kept_text string"
+
+
+def _cut(rows: DataFrame) -> DataFrame:
+    """``rows(doc_id, text, covered)`` without the covered words."""
+    arrow = _arrow_schema(_DONE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
                 part = batch.slice(lo, 200)
-                got = one([part.column(i).to_pylist() for i in range(part.num_columns)], hashes)
-                if len(got[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(got, arrow)], schema=arrow)
-
-    return df.mapInArrow(run, schema)
-
-
-def _prefixes(columns: list[list], hashes: WordHashes) -> list:
-    docs, keys, places = [], [], []
-    for doc, text in zip(*columns):
-        key, place = anchors(hashes.of(split_words(text)))
-        if len(place):
-            first = np.concatenate(([True], place[1:] != place[:-1]))
-            keys.append(key[first])
-            places.append(place[first])
-            docs.append(np.full(int(first.sum()), doc, dtype=np.int64))
-    if not docs:
-        return [[], [], []]
-    return [signed(np.concatenate(keys)), np.concatenate(docs), np.concatenate(places).astype(np.int32)]
-
-
-def _suffixes(columns: list[list], hashes: WordHashes) -> list:
-    """Of each document, the windows whose prefix starts at one of its places: group, path, document, start."""
-    out: list[list] = [[], [], [], [], []]
-    for doc, text, found in zip(*columns):
-        words = hashes.of(split_words(text))
-        _, place = anchors(words)
-        if not len(place):
-            continue
-        many = np.zeros(len(words), dtype=np.int64)
-        at = np.array([x["place"] for x in found], dtype=np.int64)
-        ok = at < len(words)
-        many[at[ok]] = np.array([x["suffixes"] for x in found], dtype=np.int64)[ok]
-        start = np.flatnonzero(many[place] > 0)
-        count = many[place[start]]
-        a, b = rolling(words, WINDOW_WORDS, seed=2)[start], rolling(words, WINDOW_WORDS, seed=3)[start]
-        short, longer = rolling(words, PREFIX_WORDS, seed=4)[start], rolling(words, LONGER_WORDS, seed=5)[start]
-        group = np.where(count <= GROUP, short, np.where(count <= GROUP * GROUP, longer, a))
-        for held, x in zip(out, (signed(group), signed(a), signed(b), np.full(len(start), doc, dtype=np.int64), start.astype(np.int32))):
-            held.append(x)
-    return [np.concatenate(x) for x in out] if out[0] else [[] for _ in out]
-
-
-def covered_starts(docs: DataFrame) -> DataFrame:
-    """``doc_id, starts``: the starts of a document's windows that a smaller doc_id has too."""
-    base = id_and_text(docs).filter(F.col("doc_id").isNotNull())
-    placed = _tasks(base, "prefix long, doc_id long, place int", _prefixes)
-    shared = (
-        placed.groupBy("prefix")
-        .agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("suffixes"))
-        .filter("low < high")
-        .select("prefix", "suffixes")
-    )
-    open_places = placed.join(shared, "prefix").groupBy("doc_id").agg(F.collect_set(F.struct("place", "suffixes")).alias("found"))
-    suffixes = _tasks(
-        base.join(open_places, "doc_id").select("doc_id", "text", "found"), "part long, a long, b long, doc_id long, start int", _suffixes
-    )
-    nodes = suffixes.groupBy("part", "a", "b").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").drop("high")
-    later = suffixes.join(nodes, ["part", "a", "b"]).filter(F.col("doc_id") > F.col("low"))
-    return later.groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
+                out: list[list] = [[], [], [], []]
+                for doc, text, covered in zip(*(part.column(i).to_pylist() for i in range(3))):
+                    words = split_words(text)
+                    left = words
+                    if covered:
+                        edge = np.zeros(len(words) + 1, dtype=np.int32)
+                        first = np.array([c["meta"] >> 8 for c in covered])
+                        last = first + np.array([c["meta"] >> 2 & 63 for c in covered]) + WINDOW_WORDS - 1
+                        ok = last <= len(words)
+                        np.add.at(edge, first[ok], 1)
+                        np.add.at(edge, last[ok], -1)
+                        left = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()]
+                    for held, x in zip(out, (doc, len(words), len(words) - len(left), b" ".join(left).decode())):
+                        held.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow)], schema=arrow)
+
+    return rows.mapInArrow(run, _DONE)
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_text`` for every row; kept words are joined by one space."""
-    base = id_and_text(docs)
-    gone = covered_starts(docs).withColumnRenamed("doc_id", "at_id")
-    joined = base.join(gone, F.col("doc_id") == F.col("at_id"), "left").select("doc_id", "text", "starts")
-
-    def cut(columns: list[list], _: WordHashes) -> list:
-        n_words, n_removed, kept = [], [], []
-        for _doc, text, starts in zip(*columns):
-            words = split_words(text)
-            edge = np.zeros(len(words) + 1, dtype=np.int32)
-            at = np.array(starts or [], dtype=np.int64)
-            at = at[at + WINDOW_WORDS <= len(words)]
-            np.add.at(edge, at, 1)
-            np.add.at(edge, at + WINDOW_WORDS, -1)
-            stays = np.cumsum(edge[:-1]) == 0
-            left = words if stays.all() else [words[i] for i in np.flatnonzero(stays).tolist()]
-            n_words.append(len(words))
-            n_removed.append(len(words) - len(left))
-            kept.append(b" ".join(left).decode())
-        return [columns[0], n_words, n_removed, kept]
-
-    return _tasks(joined, "doc_id long, n_words long, n_removed long, kept_text string", cut)
+    base = _known(docs)
+    joined = base.join(covered_windows(docs), F.col("doc_id") == F.col("at_id"), "left").select("doc_id", "text", "covered")
+    nameless = id_and_text(docs).filter(F.col("doc_id").isNull()).withColumn("covered", F.lit(None).cast(joined.schema["covered"].dataType))
+    return _cut(joined).union(_cut(nameless))
 
 
 def kept_digests(done: DataFrame) -> DataFrame:
