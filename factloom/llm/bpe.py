@@ -29,7 +29,7 @@ _CHUNK_START = re.compile(r" (?=\S)")
 class ChunkEncoder:
     """Ids of whole texts from ids of chunks; ``encode_chunks`` does new ones."""
 
-    def __init__(self, encode_chunks: Callable[[list[str]], Iterable[bytes]], limit: int = 400_000, group_chars: int = 1_000_000):
+    def __init__(self, encode_chunks: Callable[[list[str]], Iterable[bytes]], limit: int = 300_000, group_chars: int = 1_000_000):
         self.encode_chunks, self.limit, self.group_chars = encode_chunks, limit, group_chars
         self.known: dict[str, bytes] = {}
 

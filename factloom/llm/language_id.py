@@ -19,7 +19,7 @@ import itertools
 
 import regex
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches, split_words
@@ -35,8 +35,9 @@ MARGIN = 0.01
 HELD_OUT = 2
 
 
-def held_out(docs: DataFrame):
-    return F.coalesce(F.crc32(docs["doc_id"].cast("string")) % 4 == HELD_OUT, F.lit(False))
+def held_out() -> Column:
+    """Whether ``doc_id`` is one that nothing is learned from; null ids aren't."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == HELD_OUT, F.lit(False))
 
 
 def learn_dictionaries(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, passage_chars: int = PASSAGE_CHARS) -> dict[str, bytes]:
@@ -46,7 +47,7 @@ def learn_dictionaries(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, passage_
     first ``sample_docs`` of a language in each task before it shuffles them.
     At most that many passages of a language reach the driver.
     """
-    rows = docs.filter(~held_out(docs) & docs["lang"].isNotNull() & docs["text"].isNotNull() & docs["doc_id"].isNotNull()).select("doc_id", "lang", "text")
+    rows = docs.filter(~held_out() & docs["lang"].isNotNull() & docs["text"].isNotNull() & docs["doc_id"].isNotNull()).select("doc_id", "lang", "text")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     picked = rows.select("doc_id", "lang").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= sample_docs)
     ids = [r[0] for r in picked.select("doc_id").distinct().collect()]

@@ -128,7 +128,7 @@ def components(edges: DataFrame, label: str, most_rounds: int = 60) -> DataFrame
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
 
 
-def compare_cell(sets: list[np.ndarray], weights: np.ndarray, rows: np.ndarray, columns: np.ndarray, threshold: float) -> np.ndarray:
+def compare_cell(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray, threshold: float) -> np.ndarray:
     """Links between ``rows`` and ``columns`` (places in ``sets``) as a boolean matrix; never of a set with itself.
 
     Shared shingles are counted by matrix products over shingles that many sets
@@ -188,21 +188,21 @@ def _spread(links: np.ndarray, labels: np.ndarray, a: np.ndarray, b: np.ndarray)
 
 def _verify(threshold: float):
     def cell(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["block", "rep"], ignore_index=True)
+        group = group.sort_values(["block", "rep", "cls"], ignore_index=True)
         sets = [np.frombuffer(x, dtype=np.uint64) for x in group["shingles"]]
         reps, weights, block = group["rep"].to_numpy(np.int64), group["copies"].to_numpy(np.int64), group["block"].to_numpy()
         one, two = int(group["one"].iloc[0]), int(group["two"].iloc[0])
         a, b = np.flatnonzero(block == one), np.flatnonzero(block == two)
         if not len(a) or not len(b):
-            return pd.DataFrame({"rep": [], "links": [], "root": []}).astype("int64")
-        links = compare_cell(sets, weights, a, b, threshold)
+            return pd.DataFrame({"cls": [], "rep": [], "links": [], "root": []}).astype("int64")
+        links = compare_cell(sets, a, b, threshold)
         count = np.zeros(len(reps), dtype=np.int64)
         count[a] += links @ weights[b]
         if one != two:
             count[b] += links.T @ weights[a]
         root = _spread(links, reps.copy(), a, b)
         hit = count > 0
-        return pd.DataFrame({"rep": reps[hit], "links": count[hit], "root": root[hit]})
+        return pd.DataFrame({"cls": group["cls"].to_numpy(np.int64)[hit], "rep": reps[hit], "links": count[hit], "root": root[hit]})
 
     return cell
 
@@ -219,7 +219,7 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES
         sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL")
         .groupBy("low", "high")
         .agg(F.min(F.struct("doc_id", "print")).alias("first"), F.count("*").alias("copies"), F.any_value("nodes").alias("nodes"))
-        .select("low", "high", F.col("first.doc_id").alias("rep"), F.col("first.print").alias("rep_print"), "copies", "nodes"),
+        .select("low", "high", F.xxhash64("low", "high").alias("cls"), F.col("first.doc_id").alias("rep"), F.col("first.print").alias("rep_print"), "copies", "nodes"),
         "join-classes",
     )
     nodes = classes.select("rep", F.posexplode("nodes").alias("tree", "node"))
@@ -229,27 +229,29 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES
 
     blocks = groups.groupBy("part").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     members = groups.join(blocks, "part").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    open_classes = members.join(classes.select("rep", "rep_print", "copies"), members["node"] == F.col("rep")).select(
-        "rep", "rep_print", "copies", "part", "block", "blocks"
+    open_classes = members.join(classes.select("cls", "rep", "rep_print", "copies"), members["node"] == F.col("rep")).select(
+        "cls", "rep", "rep_print", "copies", "part", "block", "blocks"
     )
     with_text = id_and_text(docs).join(open_classes, (F.col("doc_id") == F.col("rep")) & (F.xxhash64("text") == F.col("rep_print")))
-    schema = "rep long, copies long, part long, block int, blocks int, shingles binary"
+    schema = "cls long, rep long, copies long, part long, block int, blocks int, shingles binary"
+
+    schema_keys = ("cls", "rep", "copies", "part", "block", "blocks")
 
     def sets(x: dict[str, list], hashes: WordHashes) -> dict[str, object]:
-        return {k: x[k] for k in ("rep", "copies", "part", "block", "blocks")} | {"shingles": [shingles(split_words(t), hashes).tobytes() for t in x["text"]]}
+        return {k: x[k] for k in schema_keys} | {"shingles": [shingles(split_words(t), hashes).tobytes() for t in x["text"]]}
 
-    shingled = map_batches(with_text.select("rep", "copies", "part", "block", "blocks", "text"), sets, schema, state=WordHashes)
+    shingled = map_batches(with_text.select(*schema_keys, "text"), sets, schema, state=WordHashes)
     pair = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("one"), F.greatest(o, F.col("block")).alias("two"))
     )
-    cells = shingled.dropDuplicates(["rep"]).withColumn("cell", F.explode(pair)).select("*", "cell.one", "cell.two").drop("cell", "blocks")
-    verified = staged(cells.groupBy("part", "one", "two").applyInPandas(_verify(threshold), "rep long, links long, root long"), "join-verified")
-    linked = verified.groupBy("rep").agg(F.sum("links").alias("links"))
+    cells = shingled.dropDuplicates(["cls"]).withColumn("cell", F.explode(pair)).select("*", "cell.one", "cell.two").drop("cell", "blocks")
+    verified = staged(cells.groupBy("part", "one", "two").applyInPandas(_verify(threshold), "cls long, rep long, links long, root long"), "join-verified")
+    linked = verified.groupBy("cls").agg(F.sum("links").alias("links"))
     roots = components(verified.select(F.col("rep").alias("a"), F.col("root").alias("b")), "join-links")
 
     result = (
-        classes.select("low", "high", "rep", "copies")
-        .join(linked, "rep", "left")
+        classes.select("low", "high", "cls", "rep", "copies")
+        .join(linked, "cls", "left")
         .join(roots, F.col("rep") == F.col("node"), "left")
         .select("low", "high", F.coalesce("root", "rep").alias("class_id"), (F.col("copies") - 1).alias("n_copies"), F.coalesce("links", F.lit(0)).alias("links"))
     )

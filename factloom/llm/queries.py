@@ -45,7 +45,7 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = language_id.predict_language(docs, language_id.learn_dictionaries(docs))
-    return found.select("doc_id", language_id.held_out(found).alias("held_out"), "lang_pred", "score", "accepted")
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "accepted")
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
