@@ -33,9 +33,11 @@ def exact_dedup(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
         base.select("doc_id", F.length(normal).alias("size"), F.xxhash64(F.substring(normal, 1, prefix_chars)).alias("prefix")),
         "exact-keys",
     )
-    several = lambda df, *by: df.groupBy(*by).agg(F.count("*").alias("rows")).filter("rows > 1").drop("rows")
-    same_size = keys.join(several(keys, "size"), "size", "left_semi")
-    same_prefix = same_size.join(several(same_size, "size", "prefix"), ["size", "prefix"], "left_semi")
+    # both rounds count rows by aggregates, so that a length or prefix of many rows is one row early on
+    prefixes = keys.groupBy("size", "prefix").agg(F.count("*").alias("rows"))
+    lengths = prefixes.groupBy("size").agg(F.sum("rows").alias("of_size")).filter("of_size > 1")
+    shared = prefixes.join(lengths, "size", "left_semi").filter("rows > 1").select("size", "prefix")
+    same_prefix = keys.join(shared, ["size", "prefix"], "left_semi")
     ids = same_prefix.groupBy(F.col("doc_id").alias("open_id")).agg(F.lit(True).alias("open"))
 
     matches = base["doc_id"].eqNullSafe(ids["open_id"])

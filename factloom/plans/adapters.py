@@ -73,9 +73,14 @@ SELECT l_orderkey * 10 + l_linenumber AS dependency_id, 'svc' || CAST(l_suppkey
   'com.g' || CAST(l_partkey % 10 AS STRING) AS to_group, 'p' || CAST(l_partkey AS STRING) AS to_artifact, CASE WHEN l_linestatus = 'O' THEN CAST(l_linenumber AS STRING) END AS to_version,
   CASE l_returnflag WHEN 'A' THEN 'compile' WHEN 'N' THEN 'runtime' ELSE 'test' END AS scope, l_linenumber > 3 AS transitive, l_linestatus = 'O' AS resolved FROM lineitem""",
     "gates": """
-SELECT DISTINCT 'svc' || CAST(o_custkey AS STRING) AS service_id, 'com.acme.H' || CAST(o_custkey AS STRING) || '#run' AS guarded_symbol, 'gate.' || o_orderstatus AS gate_key, CASE o_orderstatus WHEN 'F' THEN 'BUSINESS_RULE' ELSE 'CODE_FLAG' END AS gate_kind, CASE o_orderstatus WHEN 'O' THEN 'true' ELSE 'x' END AS required_value FROM orders""",
+SELECT DISTINCT 'svc' || CAST(o_custkey AS STRING) AS service_id, 'com.acme.H' || CAST(o_custkey AS STRING) || '#run' AS guarded_symbol, 'gate.' || o_orderstatus AS gate_key, CASE o_orderstatus WHEN 'F' THEN 'BUSINESS_RULE' ELSE 'CODE_FLAG' END AS gate_kind, CASE o_orderstatus WHEN 'O' THEN 'true' ELSE 'x' END AS required_value FROM orders WHERE o_orderpriority = '2-HIGH' AND o_orderstatus <> 'P'""",
     "schemas": """
-SELECT DISTINCT 'svc' || CAST(o_custkey AS STRING) AS service_id, 'com.acme.H' || CAST(o_custkey AS STRING) AS linked_class_fqn, 'Proto' || o_orderpriority AS payload_proto FROM orders WHERE o_totalprice > 250000""",
+SELECT DISTINCT 'svc' || CAST(o_custkey AS STRING) AS service_id, 'com.acme.H' || CAST(o_custkey AS STRING) AS linked_class_fqn, 'Proto' || o_orderpriority AS payload_proto FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'""",
+    "sources": """
+SELECT 'svc' || CAST(c_nationkey AS STRING) AS service_id, 'src/main/java/Customer' || CAST(c_custkey AS STRING) || 'Controller.java' AS path, 'package com.acme.n' || CAST(c_nationkey AS STRING) || ';' || chr(10) ||
+  '@RestController' || chr(10) || '@RequestMapping("/n' || CAST(c_nationkey AS STRING) || '")' || chr(10) || 'public class Customer' || CAST(c_custkey AS STRING) || 'Controller implements Api' || CAST(c_nationkey AS STRING) || ' {' || chr(10) ||
+  '  private final Nation' || CAST(c_nationkey AS STRING) || 'Repository repo;' || chr(10) || '  @GetMapping("/c/{id}")' || chr(10) || '  public Order getOne(String id, String x) { return repo.findById(id); }' || chr(10) ||
+  '  @PostMapping("/c' || CAST(c_custkey AS STRING) || '/")' || chr(10) || '  public Order create(Order o) { client.get().uri("/stock/' || c_mktsegment || '"); return repo.save(o); }' || chr(10) || '}' || chr(10) AS text FROM customer""",
 }
 
 

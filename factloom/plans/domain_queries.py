@@ -307,13 +307,14 @@ def i18_type_names(spark, sf):
     return catalog.resolve_types(uses, imports, none, cat, none).select("use_id", "outcome")
 
 
-@query("SELECT dependency_id, CASE WHEN p % 2 = 0 THEN 'svcG' WHEN p % 3 = 0 THEN 'svcR' END AS linked_service_id FROM (SELECT dependency_id, CAST(substring(to_artifact, 2) AS BIGINT) AS p FROM f_dependencies)")
+@query("SELECT dependency_id, CASE WHEN p % 2 = 0 THEN 'svcG' WHEN p % 3 = 0 THEN 'svcR' END AS linked_service_id FROM (SELECT DISTINCT service_id || '/' || to_artifact AS dependency_id, CAST(substring(to_artifact, 2) AS BIGINT) AS p FROM f_dependencies)")
 def i27_links(spark, sf):
     p = base(spark, sf, "part")
     ga = F.concat_ws(":", F.concat(F.lit("com.g"), (F.col("p_partkey") % 10).cast("string")), F.concat(F.lit("p"), "p_partkey"))
     one = p.filter("p_partkey % 2 = 0").select(F.lit("GAV").alias("source"), ga.alias("artifact_key"), F.lit("svcG").alias("linked_service_id"))
     two = p.filter("p_partkey % 3 = 0").select(F.lit("REGISTRY"), ga, F.lit("svcR"))
-    return catalog.link_artifacts(fact(spark, sf, "dependencies"), one.union(two)).select("dependency_id", "linked_service_id")
+    d = fact(spark, sf, "dependencies").select("service_id", "to_group", "to_artifact").distinct().withColumn("dependency_id", F.concat_ws("/", "service_id", "to_artifact"))
+    return catalog.link_artifacts(d, one.union(two)).select("dependency_id", "linked_service_id")
 
 
 @query("SELECT ts, event_id FROM (SELECT ts, event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 200)")
@@ -347,3 +348,121 @@ def h02_accepted(spark, sf):
     kind = F.col("event_type")
     e = base(spark, sf, "events").select("event_id", F.when(kind == "view", "push").otherwise("pull_request").alias("event"), F.when(kind == "purchase", "opened").when(kind == "error", "closed").otherwise("labeled").alias("action"), F.lit("refs/heads/main").alias("ref"))
     return jobs.accepted(e).select("event_id")
+
+
+# source texts made from the tables
+
+
+def _parsed(spark, sf):
+    return extract.light_parse(fact(spark, sf, "sources"))
+
+
+_OWN = "'com.acme.n' || CAST(c_nationkey AS STRING) || '.Customer' || CAST(c_custkey AS STRING) || 'Controller'"
+
+
+@query(f"SELECT {_OWN} AS class_fqn, 'class' AS type_kind FROM customer")
+def i01_i02_classes(spark, sf):
+    return _parsed(spark, sf).select("class_fqn", "type_kind")
+
+
+@query(f"SELECT {_OWN} AS class_fqn, 'GET' AS http_method, '/n' || CAST(c_nationkey AS STRING) || '/c/{{*}}' AS path FROM customer UNION ALL SELECT {_OWN}, 'POST', '/n' || CAST(c_nationkey AS STRING) || '/c' || CAST(c_custkey AS STRING) FROM customer")
+def i01_i19_endpoints(spark, sf):
+    return extract.endpoints(_parsed(spark, sf)).select("class_fqn", "http_method", "path")
+
+
+@query(f"SELECT {_OWN} AS class_fqn, 'GET' AS http_method, '/stock/' || c_mktsegment AS path_text FROM customer")
+def i01_outbound(spark, sf):
+    return extract.outbound_calls(_parsed(spark, sf)).select("class_fqn", "http_method", "path_text")
+
+
+@query(f"SELECT symbol_kind, count(*) AS n FROM (SELECT 'CLASS' AS symbol_kind FROM customer UNION ALL SELECT unnest(['METHOD', 'METHOD', 'ENDPOINT', 'ENDPOINT']) FROM customer) GROUP BY 1")
+def i03_symbols(spark, sf):
+    return extract.symbol_facts(_parsed(spark, sf)).groupBy("symbol_kind").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT {_OWN} AS handler_class_fqn, unnest(['findById', 'save']) AS dao_method, unnest(['READ', 'WRITE']) AS operation FROM customer")
+def i09_accesses(spark, sf):
+    return extract.data_accesses(_parsed(spark, sf)).select("handler_class_fqn", "dao_method", "operation")
+
+
+@query(f"SELECT {_OWN} AS class_fqn, 'Api' || CAST(c_nationkey AS STRING) AS interface FROM customer")
+def i01_interfaces(spark, sf):
+    return extract.implemented(_parsed(spark, sf)).select("class_fqn", "interface")
+
+
+@query(f"SELECT {_OWN} AS class_fqn, 'Nation' || CAST(c_nationkey AS STRING) || 'Repository' AS type, 'repo' AS name FROM customer")
+def i25_injected(spark, sf):
+    return extract.injected(_parsed(spark, sf)).select("class_fqn", "type", "name")
+
+
+@query("SELECT trigger_kind, count(*) AS n FROM (SELECT DISTINCT 'REST_INBOUND' AS trigger_kind, 'svc' || CAST(c_nationkey AS STRING) AS s, unnest(['GET|/n' || CAST(c_nationkey AS STRING) || '/c/{*}', 'POST|/n' || CAST(c_nationkey AS STRING) || '/c' || CAST(c_custkey AS STRING)]) AS k FROM customer) GROUP BY 1")
+def i24_triggers(spark, sf):
+    return extract.triggers(_parsed(spark, sf)).groupBy("trigger_kind").agg(F.count("*").alias("n"))
+
+
+def _diagram(spark, sf):
+    from ..operators import flow_diagram
+
+    return flow_diagram.diagram_of(fact(spark, sf, "nodes"), fact(spark, sf, "edges"), fact(spark, sf, "triggers"), "supplier::3", 2)
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT from_node AS s, to_node AS d FROM f_edges WHERE edge_type IN ('DEPENDS_ON', 'INVOKES', 'ROUTES_TO', 'IMPLEMENTS', 'OUTBOUND_TO')),
+r AS (SELECT 'supplier::3' AS d, 0 AS k UNION SELECT e.d, k + 1 FROM r JOIN e ON e.s = r.d WHERE k < 2)
+SELECT d AS id, min(k) AS depth, CASE WHEN d LIKE 'nation::%' THEN 'service' ELSE 'class' END AS role FROM r JOIN f_nodes n ON n.id = d GROUP BY 1""")
+def f44_diagram_nodes(spark, sf):
+    return _diagram(spark, sf).nodes.select("id", "depth", "role")
+
+
+@query()
+def f44_diagram_gaps(spark, sf):
+    return _diagram(spark, sf).gaps
+
+
+@query("SELECT l_suppkey AS factory_class_fqn, count(*) AS n_routes, min(l_returnflag || l_linestatus || CAST(l_partkey AS STRING)) AS first_key FROM (SELECT DISTINCT l_suppkey, l_returnflag, l_linestatus, l_partkey FROM lineitem) GROUP BY 1")
+def g18_routing(spark, sf):
+    from ..operators import traverse
+
+    key = F.concat("l_returnflag", "l_linestatus", F.col("l_partkey").cast("string"))
+    r = base(spark, sf, "lineitem").select(F.col("l_suppkey").alias("factory_class_fqn"), key.alias("routing_key"), F.col("l_partkey").alias("target_class_fqn"), F.lit(False).alias("fallback"), F.lit("s").alias("selector")).distinct()
+    return traverse.routing(r).select("factory_class_fqn", F.size("routes").cast("long").alias("n_routes"), F.col("routes")[0]["routing_key"].alias("first_key"))
+
+
+@query("SELECT 'FACE' || CAST(c_nationkey AS STRING) AS face, max(c_custkey) AS impl FROM customer GROUP BY 1")
+def g21_interface_bridge(spark, sf):
+    c = base(spark, sf, "customer").select(F.col("c_custkey").alias("seq"), F.lit("s").alias("service_id"), F.col("c_custkey").cast("string").alias("class_fqn"), F.array(F.concat(F.lit("FACE"), "c_nationkey")).alias("interfaces"))
+    none = spark.createDataFrame([], graph_projection.EDGE)
+    return graph_projection.bridge_interfaces(c, none).select(F.split_part("from_node", F.lit("::"), F.lit(3)).alias("face"), F.split_part("to_node", F.lit("::"), F.lit(3)).cast("long").alias("impl"))
+
+
+@query("SELECT 'svc' || CAST(s_suppkey AS STRING) AS service_id, 'PDN_S.N' || CAST(s_nationkey AS STRING) AS short_id, CASE WHEN s_acctbal < 0 THEN 'SUBSCRIPTION_MISSING' WHEN s_acctbal > 5000 THEN 'TOPIC_MISMATCH' ELSE 'OK' END AS status FROM supplier")
+def f39_live_subscriptions(spark, sf):
+    s = base(spark, sf, "supplier")
+    name = F.concat(F.lit("PDN_S.N"), F.col("s_nationkey").cast("string"), F.lit("#"), F.col("s_suppkey").cast("string"))
+    r = s.select(F.concat(F.lit("svc"), "s_suppkey").alias("service_id"), name.alias("short_id"), F.lit("SUBSCRIPTION").alias("resource_kind"))
+    live = s.filter("s_acctbal >= 0").select(name.alias("short_id"), F.when(F.col("s_acctbal") > 5000, "other").otherwise(T.subscription_topic(name)).alias("topic"), F.lit(None).cast("string").alias("error"))
+    return messaging.verify_subscriptions(r, live).select("service_id", F.split_part("short_id", F.lit("#"), F.lit(1)).alias("short_id"), "status")
+
+
+@query("SELECT DISTINCT 'svc' || CAST(l_suppkey AS STRING) AS service_id, 'UNIT' AS kind, CAST(l_suppkey AS STRING) AS n FROM lineitem WHERE l_suppkey < 0 UNION ALL SELECT 'svc', CASE WHEN s_acctbal > 0 THEN 'UNIT' ELSE 'MISSING' END, CAST(s_suppkey AS STRING) FROM supplier")
+def e10_suggestions(spark, sf):
+    s = base(spark, sf, "supplier")
+    name = F.concat(F.lit("a.S"), F.col("s_suppkey").cast("string"))
+    changed = s.select(F.lit("svc").alias("service_id"), name.alias("symbol_fqn"), F.lit("CLASS").alias("symbol_kind"))
+    tests = s.filter("s_acctbal > 0").select(F.lit("svc").alias("service_id"), F.concat(name, F.lit("Test")).alias("symbol_fqn"))
+    out = analysis.test_suggestions(changed, spark.createDataFrame([], "consumer_service string, consumer string"), spark.createDataFrame([], "endpoint_id string"), tests)
+    return out.select(F.lit("svc").alias("service_id"), F.when(F.col("exists"), F.col("kind")).otherwise("MISSING").alias("kind"), F.regexp_extract("subject", r"(\d+)$", 1).alias("n"))
+
+
+@query("SELECT step, scenario_id FROM (SELECT l_suppkey AS step, l_returnflag AS scenario_id, list_sort(list(DISTINCT l_linestatus)) AS p FROM lineitem GROUP BY 1, 2) x WHERE NOT EXISTS (SELECT 1 FROM (SELECT l_suppkey AS step, l_returnflag AS scenario_id, list_sort(list(DISTINCT l_linestatus)) AS p FROM lineitem GROUP BY 1, 2) y WHERE y.step = x.step AND y.scenario_id <> x.scenario_id AND len(list_intersect(x.p, y.p)) = len(x.p) AND len(y.p) > len(x.p))")
+def f18_overlay(spark, sf):
+    h = base(spark, sf, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("step"), F.col("l_returnflag").alias("scenario_id")).agg(F.collect_set("l_linestatus").alias("participants"))
+    out = consistency.overlay_hints(h.withColumns({"pattern": F.lit("P"), "curated": F.lit(False)}))
+    return out.select(F.col("step").cast("long").alias("step"), "scenario_id")
+
+
+@query("SELECT conv_id, turn, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role FROM conversations")
+def f05_ordered_steps(spark, sf):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return base(spark, sf, "conversations").select("conv_id", "turn", "role", F.lead("role").over(w).alias("next_role"))
