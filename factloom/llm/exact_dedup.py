@@ -18,7 +18,7 @@ PREFIX_CHARS = 256
 
 
 def exact_dedup(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
-    """``doc_id, keep_id, group_size, kept`` for every row.
+    """``doc_id, print, keep_id, group_size, kept`` for every row; ``print`` is the text's hash.
 
     Three rounds, each on what the one before left: length of the text, hash
     of its first characters, SHA-256 of all of it.  The first two move only
@@ -30,7 +30,7 @@ def exact_dedup(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
     base = id_and_text(docs)
     normal = squeezed(F.col("text"))
     keys = staged(
-        base.select("doc_id", F.length(normal).alias("size"), F.xxhash64(F.substring(normal, 1, prefix_chars)).alias("prefix")),
+        base.select("doc_id", F.xxhash64("text").alias("print"), F.length(normal).alias("size"), F.xxhash64(F.substring(normal, 1, prefix_chars)).alias("prefix")),
         "exact-keys",
     )
     # both rounds count rows by aggregates, so that a length or prefix of many rows is one row early on
@@ -42,7 +42,9 @@ def exact_dedup(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
 
     matches = base["doc_id"].eqNullSafe(ids["open_id"])
     full = staged(
-        base.join(ids, matches, "left_semi").select("doc_id", F.length("text").alias("chars"), F.sha2(squeezed(F.col("text")), 256).alias("digest")),
+        base.join(ids, matches, "left_semi").select(
+            "doc_id", F.xxhash64("text").alias("print"), F.length("text").alias("chars"), F.sha2(squeezed(F.col("text")), 256).alias("digest")
+        ),
         "exact-full",
     )
     # -doc_id is null for a null id, and nulls are the smallest of a struct's fields
@@ -52,17 +54,24 @@ def exact_dedup(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
     grouped = (
         full.withColumn("nth", F.row_number().over(twins))
         .join(groups, "digest")
-        .select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"))
+        .select("doc_id", "print", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"))
     )
     alone = keys.join(ids, keys["doc_id"].eqNullSafe(ids["open_id"]), "left_anti").select(
-        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept")
+        "doc_id", "print", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept")
     )
     return grouped.unionByName(alone)
 
 
 def text_digests(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_sha256`` of the text without white space."""
-    return id_and_text(docs).select("doc_id", F.sha2(squeezed(F.col("text")), 256).alias("text_sha256"))
+    """``doc_id, print, text_sha256`` of the text without white space."""
+    return id_and_text(docs).select("doc_id", F.xxhash64("text").alias("print"), F.sha2(squeezed(F.col("text")), 256).alias("text_sha256"))
+
+
+def dedup_digests(docs: DataFrame) -> DataFrame:
+    """``doc_id, keep_id, group_size, kept, text_sha256`` for every row, rows that repeat an id or lack one included."""
+    digests = text_digests(docs).groupBy(F.col("doc_id").alias("at_id"), F.col("print").alias("at_print")).agg(F.any_value("text_sha256").alias("text_sha256"))
+    same = F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("print") == F.col("at_print"))
+    return exact_dedup(docs).join(digests, same).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:

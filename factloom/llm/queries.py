@@ -16,9 +16,7 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    digests = exact_dedup.text_digests(docs).withColumnRenamed("doc_id", "at_id")
-    return exact_dedup.exact_dedup(docs).join(digests, F.col("doc_id") == F.col("at_id")).drop("at_id")
+    return exact_dedup.dedup_digests(documents(spark, sf_dir))
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

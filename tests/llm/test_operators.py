@@ -105,6 +105,16 @@ def test_exact_dedup(docs, rows):
     assert got == want
 
 
+def test_dedup_digests_keep_every_row(docs, rows):
+    """Null and repeated ids, with equal and with other texts."""
+    digest = lambda t: hashlib.sha256(re.sub(SPACE, "", t or "").encode()).hexdigest()
+    got = exact_dedup.dedup_digests(docs).collect()
+    assert collections.Counter((r.doc_id, r.text_sha256) for r in got) == collections.Counter((d, digest(t)) for d, t in rows)
+    sizes = collections.Counter(digest(t) for _, t in rows)
+    assert all(r.group_size == sizes[r.text_sha256] for r in got)
+    assert collections.Counter(r.text_sha256 for r in got if r.kept) == collections.Counter(list(sizes))
+
+
 def test_text_digests(docs, rows):
     got = collections.Counter((r.doc_id, r.text_sha256) for r in exact_dedup.text_digests(docs).collect())
     assert got == collections.Counter((d, hashlib.sha256(re.sub(SPACE, "", t or "").encode()).hexdigest()) for d, t in rows)
