@@ -35,7 +35,7 @@ def light_parse(files: DataFrame) -> DataFrame:
 def implemented(parsed: DataFrame) -> DataFrame:
     """I-01: a row for each interface a class names."""
     listed = F.regexp_extract("text", r"\bclass\s+\w+(?:<[^>]*>)?(?:\s+extends\s+[\w.<>, ]+?)?\s+implements\s+([\w.<>, ]+?)\s*\{", 1)
-    names = F.transform(F.split(F.regexp_replace(listed, "<[^>]*>", ""), ","), F.trim)
+    names = F.transform(F.split(F.regexp_replace(listed, "<[^>]*>", ""), ","), lambda n: F.trim(n))  # trim itself would get the index as a second argument
     return parsed.select("service_id", "class_fqn", "package", F.explode(F.filter(names, lambda n: n != "")).alias("interface"))
 
 
