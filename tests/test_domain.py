@@ -194,3 +194,8 @@ def test_run_states(spark):
     failed = spark.createDataFrame([("a", 1), ("b", 3)], "job_id string, attempt int")
     again, dead = jobs.after_failure(failed, F.lit(NOW))
     assert again.head().next_retry_at == NOW + dt.timedelta(seconds=60) and dead.head().job_id == "b"
+
+
+def test_interface_names_keep_their_digits(spark):
+    parsed = extract.light_parse(spark.createDataFrame([("s", "A.java", "package a; public class A implements Api10, b.Other1<X0> { }")], "service_id string, path string, text string"))
+    assert {r.interface for r in extract.implemented(parsed).collect()} == {"Api10", "b.Other1"}
