@@ -14,8 +14,9 @@ if the Jaccard similarity of their sets is ``threshold`` (0.8) or more.
    connected components of these joins are the candidate groups, and no pair is
    written out.
 3. Exact verification.  Within a candidate group every pair is compared, whether
-   it met in a tree or not, in cells of at most two blocks of BLOCK
-   representatives, so a group of any size is many bounded tasks.  A cell
+   it met in a tree or not, in cells of two blocks of about BLOCK
+   representatives or BLOCK_SHINGLES shingles, whichever is less, so a group of
+   any size, or of texts of any length, is many bounded tasks.  A cell
    returns, for each representative, how many documents it is linked to and the
    smallest representative it is connected to in the cell.
 4. Classes of the result are the connected components of verified links.
@@ -43,6 +44,7 @@ TREES = 24
 DEPTH = 8
 RECALL = 0.999
 BLOCK = 1024
+BLOCK_SHINGLES = 1 << 20
 _SKETCH = "doc_id long, print long, low long, high long, n_shingles long, nodes array<long>"
 
 
@@ -207,7 +209,10 @@ def _verify(threshold: float):
     return cell
 
 
-def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+def ngram_join(
+    docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK,
+    block_shingles: int = BLOCK_SHINGLES,
+) -> DataFrame:
     """``doc_id, print, class_id, n_links, n_copies`` for every row; ``print`` is the text's hash.
 
     ``class_id`` is the smallest doc_id that chains of links lead to, ``n_links``
@@ -218,8 +223,8 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES
     classes = staged(
         sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL")
         .groupBy("low", "high")
-        .agg(F.min(F.struct("doc_id", "print")).alias("first"), F.count("*").alias("copies"), F.any_value("nodes").alias("nodes"))
-        .select("low", "high", F.xxhash64("low", "high").alias("cls"), F.col("first.doc_id").alias("rep"), F.col("first.print").alias("rep_print"), "copies", "nodes"),
+        .agg(F.min(F.struct("doc_id", "print")).alias("first"), F.count("*").alias("copies"), F.any_value("nodes").alias("nodes"), F.max("n_shingles").alias("n_shingles"))
+        .select("low", "high", F.xxhash64("low", "high").alias("cls"), F.col("first.doc_id").alias("rep"), F.col("first.print").alias("rep_print"), "copies", "nodes", "n_shingles"),
         "join-classes",
     )
     nodes = classes.select("rep", F.posexplode("nodes").alias("tree", "node"))
@@ -227,9 +232,9 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES
     edges = nodes.join(low, ["tree", "node"]).select(F.col("rep").alias("a"), "b")
     groups = staged(components(edges, "join-candidates").withColumnRenamed("root", "part"), "join-groups")
 
-    blocks = groups.groupBy("part").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    members = groups.join(blocks, "part").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    open_classes = members.join(classes.select("cls", "rep", "rep_print", "copies"), members["node"] == F.col("rep")).select(
+    members = groups.join(classes.select("cls", "rep", "rep_print", "copies", "n_shingles"), F.col("node") == F.col("rep"))
+    blocks = members.groupBy("part").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n_shingles") / block_shingles)).cast("int").alias("blocks"))
+    open_classes = members.join(blocks, "part").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).select(
         "cls", "rep", "rep_print", "copies", "part", "block", "blocks"
     )
     with_text = id_and_text(docs).join(open_classes, (F.col("doc_id") == F.col("rep")) & (F.xxhash64("text") == F.col("rep_print")))

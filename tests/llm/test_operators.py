@@ -277,9 +277,10 @@ def brute_join(rows, threshold=0.8):
     return out
 
 
-@pytest.mark.parametrize("block", [1024, 5])
-def test_ngram_join(docs, rows, block):
-    got = collections.Counter((r.doc_id, r.class_id, r.n_links) for r in ngram_join.ngram_join(docs, block=block).collect())
+@pytest.mark.parametrize(("block", "block_shingles"), [(1024, 1 << 20), (5, 1 << 20), (1024, 40)])
+def test_ngram_join(docs, rows, block, block_shingles):
+    done = ngram_join.ngram_join(docs, block=block, block_shingles=block_shingles)
+    got = collections.Counter((r.doc_id, r.class_id, r.n_links) for r in done.collect())
     assert got == brute_join(rows)
 
 
