@@ -143,13 +143,20 @@ def _dealt(rows: DataFrame, one: Callable, branching: bool) -> DataFrame:
 _FATE = "doc_id long, meta long, guard int"
 
 
+def _each_once(doc: np.ndarray, meta: np.ndarray, guard: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Entries of one document without repeats, so that rows alike don't add up."""
+    _, at = np.unique(np.stack([meta, guard.astype(np.int64)]), axis=1, return_index=True)
+    return doc[at], meta[at], guard[at]
+
+
 def _met(entries: DataFrame, branching: bool) -> DataFrame:
     """Fates of entries that meet others of their key, read in order; covered and branching ones only."""
     arrow = _arrow_schema(_FATE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple | None = None  # key, words and document of the entry before
-        waiting: tuple | None = None  # the first entry of a key that has not branched yet
+        forked = False  # whether the key of the entry before has branched
+        waiting: tuple | None = None  # its entries that are not covered, all of one document, until it branches
         for batch in batches:
             key, words, doc, meta, guard = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
             state = meta & 3
@@ -165,22 +172,21 @@ def _met(entries: DataFrame, branching: bool) -> DataFrame:
                 covered = same & (d > lead)
                 out.append((d[covered], m[covered] | COVERED, g[covered]))
                 if branching:
-                    heads = np.flatnonzero(~same)
                     group = np.cumsum(~same_key)
-                    tally = np.bincount(group, weights=~same, minlength=int(group[-1]) + 1)
-                    # in group 0 the key goes on from the batch before, whose first entry may wait
-                    goes_on = bool(same_key[0])
-                    carried = 1 if goes_on else 0
-                    branched = tally[group] + np.where((group == 0) & goes_on, carried, 0) > 1
-                    if goes_on and tally[0] > 0 and waiting is not None:
-                        out.append(tuple(np.array([x]) for x in (waiting[0], waiting[1] | BRANCHES, waiting[2])))
-                        waiting = None
-                    hit = heads[branched[heads]]
+                    # in group 0 the key goes on from the batch before, whose entries may wait
+                    forks = np.bincount(group, weights=~same, minlength=int(group[-1]) + 1) > np.where(np.arange(int(group[-1]) + 1) > 0, 1, 0)
+                    forks[0] |= forked
+                    if same_key[0] and forks[0] and waiting is not None:
+                        out.append((waiting[0], waiting[1] | BRANCHES, waiting[2]))
+                    hit = forks[group] & ~covered
                     out.append((d[hit], m[hit] | BRANCHES, g[hit]))
-                    end = int(group[-1])
-                    if not (end == 0 and goes_on):
-                        alone = heads[(group[heads] == end) & ~branched[heads]]
-                        waiting = (d[alone[0]], m[alone[0]], g[alone[0]]) if len(alone) else None
+                    end = group == group[-1]
+                    forked = bool(forks[group[-1]])
+                    rest = end & ~covered
+                    held = [(d[rest], m[rest], g[rest])]
+                    if same_key[0] and group[-1] == 0 and waiting is not None:
+                        held.append(waiting)
+                    waiting = None if forked else _each_once(*(np.concatenate(x) for x in zip(*held)))
                 last = (k[-1], w[-1], lead[-1])
             doc, meta, guard = (np.concatenate(x) for x in zip(*out))
             if len(doc):

@@ -175,6 +175,25 @@ def test_substring_dedup_compares_within_small_batches(spark, rows, monkeypatch)
         assert got == brute_substring(rows)
 
 
+@pytest.mark.parametrize("batch_rows", [1, 3, 10_000])
+def test_substring_dedup_of_passages_repeated_inside_a_document(spark, batch_rows):
+    """The smaller holder is in another task, and a prefix branches only across tasks and Arrow batches."""
+    word = lambda *x: "w" + "x".join(map(str, x))
+    rows = []
+    for n in (13, 14, 20, 40):
+        p, x, y = ([word(n, k, i) for i in range(n)] for k in range(3))
+        rows += [(5 + n * 10, " ".join(x + p + y + x + p)), (3 + n * 10, " ".join(y[::-1] + p)), (7 + n * 10, " ".join(x + p + p + x + p + y))]
+    docs = made(spark, rows, 1)
+    one_each = docs.repartitionByRange(len(rows), "doc_id")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch_rows)
+    try:
+        got = collections.Counter(tuple(r) for r in substring_dedup.substring_dedup(one_each).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == brute_substring(rows)
+
+
 def test_anchors_are_those_of_the_window():
     r = np.random.default_rng(1)
     values = r.integers(0, 5, 200).astype(np.uint64)
