@@ -64,6 +64,11 @@ def anchors(ranges: Ranges, n: int, window: int = WINDOW_WORDS, prefix: int = PR
     return low, at
 
 
+def _guards(ranges: Ranges, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the words of each run, by which a row is known to have them."""
+    return (ranges.of(start, end, seed=5) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+
+
 def _entries(text: str | None, hashes: WordHashes) -> tuple[np.ndarray, ...] | None:
     words = hashes.of(split_words(text))
     n = len(words)
@@ -73,8 +78,9 @@ def _entries(text: str | None, hashes: WordHashes) -> tuple[np.ndarray, ...] | N
     low, at = anchors(ranges, n)
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     count = np.diff(np.append(first, len(at)))
-    over = ranges.of(first, first + count + WINDOW_WORDS - 1, seed=2) + mix((at[first] - first).astype(np.uint64))
-    return low[first], over, first, count
+    last = first + count + WINDOW_WORDS - 1
+    over = ranges.of(first, last, seed=2) + mix((at[first] - first).astype(np.uint64))
+    return low[first], over, _guards(ranges, first, last), first, count
 
 
 def _windows(text: str | None, found: list[int], hashes: WordHashes) -> tuple[np.ndarray, ...] | None:
@@ -85,7 +91,7 @@ def _windows(text: str | None, found: list[int], hashes: WordHashes) -> tuple[np
         return None
     ranges = Ranges(words)
     end = start + WINDOW_WORDS
-    return ranges.of(start, end, seed=3), mix(ranges.of(start, end, seed=4)), start, np.ones(len(start), dtype=np.int64)
+    return ranges.of(start, end, seed=3), mix(ranges.of(start, end, seed=4)), _guards(ranges, start, end), start, np.ones(len(start), dtype=np.int64)
 
 
 def _dealt(rows: DataFrame, one: Callable, branching: bool) -> DataFrame:
@@ -93,11 +99,11 @@ def _dealt(rows: DataFrame, one: Callable, branching: bool) -> DataFrame:
     arrow = _arrow_schema(_ENTRY)
 
     def compare(docs: list, parts: list) -> pa.RecordBatch:
-        key, over, first, count = (np.concatenate(x) for x in zip(*parts))
+        key, over, guard, first, count = (np.concatenate(x) for x in zip(*parts))
         doc = np.repeat(np.array(docs, dtype=np.int64), [len(p[0]) for p in parts])
         words = (over >> np.uint64(32)).astype(np.uint32).view(np.int32)
         order = np.lexsort((doc, words, key))
-        key, words, over, doc, first, count = key[order], words[order], over[order], doc[order], first[order], count[order]
+        key, words, guard, doc, first, count = key[order], words[order], guard[order], doc[order], first[order], count[order]
         new_key = np.concatenate(([True], key[1:] != key[:-1]))
         new_words = new_key | np.concatenate(([True], words[1:] != words[:-1]))
         lead = doc[np.maximum.accumulate(np.where(new_words, np.arange(len(doc)), 0))]
@@ -111,11 +117,10 @@ def _dealt(rows: DataFrame, one: Callable, branching: bool) -> DataFrame:
             witness = forks & new_words & (heads - heads[np.flatnonzero(new_key)][group] < 2)
             pick = np.concatenate([np.arange(len(doc)), np.flatnonzero(witness)])
             state = np.concatenate([state, np.full(int(witness.sum()), OPEN)])
-            key, words, over, doc, first, count = key[pick], words[pick], over[pick], doc[pick], first[pick], count[pick]
+            key, words, guard, doc, first, count = key[pick], words[pick], guard[pick], doc[pick], first[pick], count[pick]
         # entries whose fate is known need not meet others
         spread = np.where(state == OPEN, key, mix(doc.astype(np.uint64) + np.uint64(1)))
         meta = first.astype(np.int64) << 8 | np.minimum(count, 63) << 2 | state
-        guard = (over & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
         columns = (signed(spread), words, doc, meta, guard)
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
@@ -217,10 +222,11 @@ _DONE = "doc_id long, n_words long, n_removed long, kept_text string"
 
 
 def _cut(rows: DataFrame) -> DataFrame:
-    """``rows(doc_id, text, covered)`` without the covered words."""
+    """``rows(doc_id, text, covered)`` without the covered words; a run counts only where the row has its words."""
     arrow = _arrow_schema(_DONE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
                 part = batch.slice(lo, 200)
@@ -232,7 +238,10 @@ def _cut(rows: DataFrame) -> DataFrame:
                         edge = np.zeros(len(words) + 1, dtype=np.int32)
                         first = np.array([c["meta"] >> 8 for c in covered])
                         last = first + np.array([c["meta"] >> 2 & 63 for c in covered]) + WINDOW_WORDS - 1
-                        ok = last <= len(words)
+                        guard = np.array([c["guard"] for c in covered])
+                        inside = last <= len(words)
+                        first, last, guard = first[inside], last[inside], guard[inside]
+                        ok = _guards(Ranges(hashes.of(words)), first, last) == guard
                         np.add.at(edge, first[ok], 1)
                         np.add.at(edge, last[ok], -1)
                         left = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()]

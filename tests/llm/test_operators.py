@@ -194,6 +194,14 @@ def test_substring_dedup_of_passages_repeated_inside_a_document(spark, batch_row
     assert got == brute_substring(rows)
 
 
+def test_substring_dedup_of_other_texts_with_one_id(spark):
+    words = [[f"w{k}x{i}" for i in range(200)] for k in range(3)]
+    rows = [(3, " ".join(words[0][:100])), (7, " ".join(words[0][:100])), (7, " ".join(words[1])), (7, " ".join(words[2][:50] + words[0][:60])), (9, " ".join(words[1][20:90]))]
+    for parts in (1, 5):
+        got = collections.Counter(tuple(r) for r in substring_dedup.substring_dedup(made(spark, rows, parts)).collect())
+        assert got == brute_substring(rows)
+
+
 def test_anchors_are_those_of_the_window():
     r = np.random.default_rng(1)
     values = r.integers(0, 5, 200).astype(np.uint64)
