@@ -8,7 +8,7 @@ A window slides over a candidate; its Shannon entropy follows from the sum of
 c * log2(c) over the counts c of its characters, and a step changes only the
 counts of the character that enters and of the one that leaves.  A candidate
 with a window at the class's threshold or above is a span, unless an allow-list
-pattern matches it or a span of another kind overlaps it.
+pattern matches it or spans of other kinds cover the whole of it.
 """
 
 from __future__ import annotations
@@ -120,8 +120,10 @@ def secret_spans(docs: DataFrame) -> DataFrame:
         spans = F.arrays_zip(_located(3, f"{name}_gaps", f"{name}_hits").alias("span"), F.col(f"{name}_hits").alias("hit"))
         found.append(F.transform(F.filter(spans, _is_secret(window, least)), lambda x: x["span"]))
     parts = cut.select("row", F.array_sort(F.concat(base["assign"], base["access"], base["hex"])).alias("base"), F.array_distinct(F.concat(*found)).alias("more"))
-    apart = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"])))
-    return parts.select("row", F.array_sort(F.concat("base", apart)).alias("spans"))
+    # how far the base spans, in order, cover a span from its start on
+    reach = lambda m: F.aggregate("base", m["start"], lambda at, b: F.when(b["start"] <= at, F.greatest(at, b["stop"])).otherwise(at))
+    added = F.filter("more", lambda m: reach(m) < m["stop"])
+    return parts.select("row", F.array_sort(F.concat("base", added)).alias("spans"))
 
 
 def spelled(spans: Column) -> Column:

@@ -276,6 +276,15 @@ def test_secrets(spark, rows):
     assert any("entropy" in k[2] for k in want)
 
 
+def test_entropy_spans_that_base_spans_cover_in_part(spark):
+    key = "kD83HFke92ksKE83jfKSLe93kfGH20QwZx71VbNm"
+    texts = {f"id 1234567890123456789-{key}, end": "hex:3:22,entropy:3:63", f"{'0af9' * 5}/{key}": "hex:0:20,entropy:0:61", f"{key}-{'0af9' * 5}": "entropy:0:61,hex:41:61",
+             f"AKIA{'B7' * 8}{key} x": "access:0:20,entropy:0:60", f"secret: {key}": "assign:0:48"}
+    found = secrets.secret_spans(made(spark, list(enumerate(texts)))).select("row.text", secrets.spelled(F.col("spans")).alias("s"), secrets.redacted(F.col("row.text"), F.col("spans")).alias("cut")).collect()
+    assert {r.text: r.s for r in found} == texts
+    assert not any(key in r.cut for r in found)
+
+
 def brute_join(rows, threshold=0.8):
     sets = {}
     for d, t in dict.fromkeys(rows):
