@@ -1,8 +1,10 @@
 """Harmonic packing of token sequences.
 
 With capacity C, class k holds the lengths over C // (k + 1) and up to C // k,
-and each bin of class k takes k pieces.  Classes are independent, and so are
-workers: a worker is one task, which packs what it reads and shares nothing.
+and each bin of class k takes k pieces.  The last class, of the shortest pieces,
+fills its bins instead: the piece that does not fit is cut there.  Classes are
+independent, and so are workers: a worker is one task, which packs what it reads
+and shares nothing.
 A piece that would leave more than :data:`SLACK` of its bins empty is cut: first
 a piece of just C // (k + 1) ids, which fills its own class's bins, then the
 rest.  Bins still open at a worker's end are laid end to end, cut every C ids,
@@ -53,6 +55,7 @@ class Bins:
     def __init__(self, first: int, capacity: int = CAPACITY, classes: int = CLASSES):
         self.next, self.capacity, self.classes = first, capacity, classes
         self.open: dict[int, list[tuple]] = {}
+        self.short = 0  # ids in the last class's open bin
 
     def _fill(self, pieces: list[tuple]) -> list[tuple]:
         total = sum(p[2] for p in pieces)
@@ -67,6 +70,17 @@ class Bins:
         """``piece``: (doc_id, start, length, ids, doc_tokens)."""
         k = min(self.capacity // piece[2], self.classes)
         held = self.open.setdefault(k, [])
+        if k == self.classes:
+            doc, start, length, ids, tokens = piece
+            take = min(length, self.capacity - self.short)
+            held.append((doc, start, take, ids[: take * 4], tokens))
+            self.short += take
+            if self.short < self.capacity:
+                return []
+            out = self._fill(held)
+            rest = length - take
+            self.open[k], self.short = [(doc, start + take, rest, ids[take * 4 :], tokens)] if rest else [], rest
+            return out
         held.append(piece)
         if len(held) < k:
             return []
@@ -84,7 +98,7 @@ class Bins:
                     if size == self.capacity:
                         out += self._fill(held)
                         held, size = [], 0
-        self.open = {}
+        self.open, self.short = {}, 0
         return out + (self._fill(held) if held else [])
 
 
@@ -93,8 +107,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPAC
 
     ``sequence_tokens`` is what the sequence holds; writers pad it to the
     capacity except at a power of two.  Nothing is shuffled and each task holds
-    only its open bins, fewer than :data:`CLASSES` of them with fewer than
-    :data:`CLASSES` pieces each.
+    only its open bins, at most :data:`CLASSES` of them with less than
+    ``capacity`` ids each.
     """
     arrow = _arrow_schema(_PIECES)
     end = end_id.to_bytes(4, "little")

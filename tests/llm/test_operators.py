@@ -421,6 +421,27 @@ def test_packing(docs, rows):
     assert pad <= 0.05 * sum(p.length for p in pieces) + 1024 * len({p.sequence_id // packing.WORKER_SPAN for p in pieces})
 
 
+def test_packing_of_short_documents(spark):
+    """Sequences of documents of 1 to 30 ids are full but for the last one."""
+    tok, r = public_tokenizers.path("byte_bpe_50k.json"), random.Random(4)
+    rows = [(i, " ".join(["the"] * r.randint(0, 29))) for i in range(3000)]
+    encoder = bpe.library_encoder(tok)
+    pieces = packing.pack(made(spark, rows, 1), tok).collect()
+    sizes = {p.sequence_id: p.sequence_tokens for p in pieces}
+    assert sorted(sizes.values())[1:] == [1024] * (len(sizes) - 1)
+    sequences, parts = collections.defaultdict(list), collections.defaultdict(list)
+    for p in pieces:
+        sequences[p.sequence_id].append((p.offset, p.length))
+        parts[p.doc_id].append((p.start, bytes(p.ids)))
+    for i, held in sequences.items():
+        at = 0
+        for offset, length in sorted(held):
+            assert offset == at
+            at += length
+        assert at == sizes[i]
+    assert {i: b"".join(x for _, x in sorted(parts[i])) for i, _ in rows} == {i: encoder.encode([t])[0] + bytes(4) for i, t in rows}
+
+
 def test_cut_lengths():
     for n in range(1, 5000):
         cut = packing.cut_lengths(n)
