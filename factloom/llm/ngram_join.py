@@ -196,29 +196,27 @@ def _verify(threshold: float):
         one, two = int(group["one"].iloc[0]), int(group["two"].iloc[0])
         a, b = np.flatnonzero(block == one), np.flatnonzero(block == two)
         if not len(a) or not len(b):
-            return pd.DataFrame({"cls": [], "rep": [], "links": [], "root": []}).astype("int64")
+            return pd.DataFrame({"cls": [], "rep": [], "links": [], "root": [], "root_cls": []}).astype("int64")
         links = compare_cell(sets, a, b, threshold)
         count = np.zeros(len(reps), dtype=np.int64)
         count[a] += links @ weights[b]
         if one != two:
             count[b] += links.T @ weights[a]
-        root = _spread(links, reps.copy(), a, b)
+        cls = group["cls"].to_numpy(np.int64)
+        order = np.lexsort((cls, reps))
+        label = np.empty(len(reps), dtype=np.int64)
+        label[order] = np.arange(len(reps))
+        root = order[_spread(links, label, a, b)]
         hit = count > 0
-        return pd.DataFrame({"cls": group["cls"].to_numpy(np.int64)[hit], "rep": reps[hit], "links": count[hit], "root": root[hit]})
+        return pd.DataFrame({"cls": cls[hit], "rep": reps[hit], "links": count[hit], "root": reps[root][hit], "root_cls": cls[root][hit]})
 
     return cell
 
 
-def ngram_join(
-    docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK,
-    block_shingles: int = BLOCK_SHINGLES,
-) -> DataFrame:
-    """``doc_id, print, class_id, n_links, n_copies`` for every row; ``print`` is the text's hash.
-
-    ``class_id`` is the smallest doc_id that chains of links lead to, ``n_links``
-    how many other documents are linked directly, ``n_copies`` how many others
-    have the same shingles.
-    """
+def _verified(
+    docs: DataFrame, threshold: float, trees: int, depth: int, recall: float, block: int, block_shingles: int
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sketches of all rows, classes of equal shingles, and verified links of classes to the smallest one of their cell."""
     sketch = staged(sketches(docs, trees, matched_depth(threshold, trees, depth, recall)), "join-sketch")
     classes = staged(
         sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -250,7 +248,21 @@ def ngram_join(
         F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("one"), F.greatest(o, F.col("block")).alias("two"))
     )
     cells = shingled.dropDuplicates(["cls"]).withColumn("cell", F.explode(pair)).select("*", "cell.one", "cell.two").drop("cell", "blocks")
-    verified = staged(cells.groupBy("part", "one", "two").applyInPandas(_verify(threshold), "cls long, rep long, links long, root long"), "join-verified")
+    found = cells.groupBy("part", "one", "two").applyInPandas(_verify(threshold), "cls long, rep long, links long, root long, root_cls long")
+    return sketch, classes, staged(found, "join-verified")
+
+
+def ngram_join(
+    docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK,
+    block_shingles: int = BLOCK_SHINGLES,
+) -> DataFrame:
+    """``doc_id, print, class_id, n_links, n_copies`` for every row; ``print`` is the text's hash.
+
+    ``class_id`` is the smallest doc_id that chains of links lead to, ``n_links``
+    how many other documents are linked directly, ``n_copies`` how many others
+    have the same shingles.
+    """
+    sketch, classes, verified = _verified(docs, threshold, trees, depth, recall, block, block_shingles)
     linked = verified.groupBy("cls").agg(F.sum("links").alias("links"))
     roots = components(verified.select(F.col("rep").alias("a"), F.col("root").alias("b")), "join-links")
 
@@ -272,11 +284,23 @@ def ngram_join(
 
 
 def one_of_each_class(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is their class's smallest, all columns; rows alike in id and text all stay."""
-    found = ngram_join(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    found = found.select(F.col("doc_id").alias("at_id"), F.col("print").alias("at_print"))
-    found = found.groupBy("at_id").agg(F.min("at_print").alias("at_print"))
+    """One text of each class of linked texts, that of the smallest doc_id: its rows, all columns.
+
+    Texts of that id that no links connect stay side by side; an id one of whose
+    texts is linked to a smaller id goes with all of its texts, as in
+    :func:`ngram_join`.  Rows alike in id and text all stay, and so do rows
+    without an id or without words.
+    """
+    _, classes, verified = _verified(docs, THRESHOLD, TREES, DEPTH, RECALL, BLOCK, BLOCK_SHINGLES)
+    roots = components(verified.select(F.col("cls").alias("a"), F.col("root_cls").alias("b")), "join-kept")
+    parts = classes.join(roots, F.col("cls") == F.col("node"), "left").withColumn("part", F.coalesce("root", "cls"))
+    first = parts.groupBy("part").agg(F.min(F.struct("rep", "rep_print")).alias("first"))
+    found = first.select(F.col("first.rep").alias("at_id"), F.col("first.rep_print").alias("at_print"))
+    if not classes.groupBy("rep").count().filter("count > 1").isEmpty():
+        by_id = components(verified.select(F.col("rep").alias("a"), F.col("root").alias("b")), "join-kept-ids")
+        found = found.join(by_id, F.col("at_id") == F.col("node"), "left").filter(F.coalesce("root", "at_id") == F.col("at_id")).select("at_id", "at_print")
     rows = docs.select(F.struct(*docs.columns).alias("row"))
-    rows = rows.withColumn("print", F.xxhash64(F.coalesce("row.text", F.lit(""))))
-    kept = rows.join(found, F.col("row.doc_id").eqNullSafe(F.col("at_id")) & (F.col("print") == F.col("at_print")))
-    return kept.select("row.*")
+    has_links = F.col("row.doc_id").isNotNull() & F.coalesce("row.text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    print_ = F.xxhash64(F.coalesce("row.text", F.lit("")))
+    kept = rows.filter(has_links).join(found, (F.col("row.doc_id") == F.col("at_id")) & (print_ == F.col("at_print")))
+    return kept.select("row.*").union(rows.filter(~has_links).select("row.*"))

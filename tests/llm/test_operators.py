@@ -327,6 +327,17 @@ def test_one_of_each_class(docs, rows):
     assert {r.doc_id for r in kept.select("doc_id").collect()} == want
 
 
+def test_one_of_each_class_keeps_every_other_text(spark):
+    """Texts without an id, and texts that share one, count by themselves."""
+    words = [[f"w{k}x{i}" for i in range(60)] for k in range(6)]
+    text = [" ".join(w) for w in words]
+    near = [" ".join(w[:-1]) for w in words]
+    keep = [(None, text[0]), (None, text[1]), (None, text[0]), (7, text[2]), (7, text[2]), (7, text[3]), (3, near[4]), (8, None), (8, ""), (8, " \n"), (1, text[5]), (None, None)]
+    drop = [(9, text[2]), (9, near[3]), (11, text[4]), (10, text[4]), (2, near[5])]
+    got = collections.Counter((r.doc_id, r.text) for r in ngram_join.one_of_each_class(made(spark, keep + drop)).select("doc_id", "text").collect())
+    assert got == collections.Counter(keep)
+
+
 def test_matched_depth():
     k = ngram_join.matched_depth(0.8, 24, 8, 0.999)
     assert 1 - (1 - 0.8**k) ** 24 >= 0.999 > 1 - (1 - 0.8 ** (k + 1)) ** 24
