@@ -1,4 +1,4 @@
-"""N-gram Jaccard self-join by a MinHash LSH forest, verified exactly.
+"""N-gram Jaccard self-join by MinHash bands of a fixed depth, verified exactly.
 
 A document is its set of 5-word shingles (of fewer words: the one shingle of all
 its words; without words: no shingles and no links).  Two documents are linked
@@ -7,10 +7,11 @@ if the Jaccard similarity of their sets is ``threshold`` (0.8) or more.
 1. Classes.  Documents with equal sets are one class, represented by its
    smallest doc_id; they are linked to each other and to the same others, so
    only representatives go on and copies are never expanded.
-2. Forest.  Each of TREES trees sorts signatures of up to DEPTH MinHash values
-   as a prefix trie.  Starting from full depth, matched prefixes are shortened
-   until a pair at the threshold meets in some tree with probability RECALL.
-   Nodes at that depth join their representatives to the smallest one; the
+2. Bands.  Each of TREES bands ("trees") hashes one prefix of MinHash values, as
+   long as DEPTH allows while a pair at the threshold meets in some band with
+   probability RECALL; its length follows from these constants, not from the
+   data.  A pair that meets in no band and that nothing else connects is lost.
+   Nodes, which are equal prefixes, join their representatives to the smallest one; the
    connected components of these joins are the candidate groups, and no pair is
    written out.
 3. Exact verification.  Within a candidate group every pair is compared, whether
