@@ -8,8 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a local one only where that is unset."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/factloom"
+    """The folder all executors share: ``spark.checkpoint.dir``, or what ``setCheckpointDir`` set.
+
+    With neither, a local folder serves a session in one process; on a cluster
+    each node would have its own, so that is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith(("local[", "local ")) and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "/tmp/checkpoints"
+    return f"{folder}/factloom"
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
