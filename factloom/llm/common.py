@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +10,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder, staged  # noqa: F401  the operators take them from here
+
 #: Characters that separate words: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 SHINGLE_WORDS = 5
@@ -25,19 +26,6 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(docs["text"], F.lit("")).alias("text"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{folder or '/tmp/checkpoints'}/factloom"
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write once to the shared folder and read back: short lineage, nothing computed twice."""
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def map_batches(
     df: DataFrame, fn: Callable[[dict[str, list]], dict[str, object]], schema: str, *, state: Callable | None = None
 ) -> DataFrame:
@@ -73,7 +61,7 @@ def _arrow_schema(schema: str) -> pa.Schema:
 
 
 class WordHashes(dict):
-    """64-bit hash of each word; words seen often are remembered, up to ``limit`` of them."""
+    """64-bit hash of each word; words of up to 32 bytes are remembered, up to ``limit`` of them (about 60 MB)."""
 
     def __init__(self, limit: int = 400_000):
         super().__init__()
@@ -81,7 +69,7 @@ class WordHashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < self.limit:
+        if len(self) < self.limit and len(word) <= 32:
             self[word] = value
         return value
 

@@ -1,52 +1,63 @@
-"""Repeated passages: deep nodes of a suffix tree over words, partitioned by prefix.
-
-A suffix starts at each word of a document.  Suffixes that share their first 13
-words meet in a node at that depth or below it, so the nodes at depth 13 hold
-all repeats of 13 words or more, and runs of neighbouring ones are the maximal
-repeats.  The tree is never whole anywhere:
-
-1. Prefixes.  Of the 9 prefixes of 5 words in a window the one with the
-   smallest hash stands for it, so equal windows choose equal prefixes at equal
-   places, and each document has one entry for each chosen place: the windows
-   that chose it, neighbours all, and a hash of all their words.
-2. Long edges.  Entries are dealt by prefix.  Entries with equal words share one
-   edge down to the depth of all their windows: each but that of the smallest
-   document is covered, and only the smallest goes on.  A prefix that only one
-   entry has leads to no node and ends here.
-3. Variable length.  Where a prefix branches before depth 13 (entries with other
-   words), it is lengthened to the 13 words of each window, and these suffixes
-   are dealt by the longer prefix.  A group is then one node, a repeat if two
-   documents have it; all but the smallest doc_id are covered.
-
-A task that reads a batch of documents first does 2 and 3 within the batch: of
-equal entries one goes on, and a prefix that branches within the batch is
-lengthened at once.  So of a passage that a third of all documents hold, each
-batch sends one entry, and no group grows with the number of copies.  Groups are
-read in order, one entry at a time, and need no memory of their own.
-
-Prefixes and paths are held as hashes: of 64 bits, and 32 more over the words
-that follow.  A null or empty text has no words.  Rows that share a doc_id
-don't cover each other; what is found in one of them holds for each that has
-the same words there.  Rows with a null id are returned as they are.
+"""Repeated passages: deep nodes of suffix trees over words, partitioned by prefix.
+
+Two windows of 13 words are equal where the suffixes that start in them share a
+node of the suffix tree, so windows that several documents have hang together
+as runs, which are the maximal repeats.  The tree is never whole anywhere:
+
+1. Prefixes.  A suffix can stand for the windows around it: of the 9 prefixes of
+   5 words in a window the one with the smallest hash is its anchor, so equal
+   windows have equal anchors at equal places.  One suffix for each anchor
+   place goes on, with the up to 9 windows that chose it.  Prefixes are counted,
+   and suffixes whose prefix one document alone has meet no other and end here.
+2. Groups.  Suffixes are dealt by prefix, with the words of their windows.  The
+   prefix is 5 words long where at most GROUP_SUFFIXES suffixes have it.  Where
+   more have it, it is lengthened, window by window, to the 13 words that the
+   tree is deep; such a group is a single node, and is read in order of doc_id
+   with one suffix a node in memory.  So each group fits in memory, and
+   a task builds the subtrees of many groups, one memory-full at a time.
+3. Subtrees.  The suffixes of a memory-full are sorted by their words; the
+   lengths of the prefixes that neighbours share give the internal nodes.  A
+   window whose anchor is its k-th word needs a node of depth 13 - k, and the
+   k words to the left must be equal too.  All words are compared, no hashes.
+   Of the windows in a node, those of all but the smallest doc_id are covered.
+
+Before suffixes are dealt, a task compares those of its own batch: of equal ones
+that of the smallest document goes on, once, and the others are covered.  So of
+a passage that a third of all documents hold, a batch sends one suffix.
+
+What is found is kept as hashes (64 bits) of covered windows, by which a
+document finds all its places of them again.  A null or empty text has no words.
+Rows that share a doc_id don't cover each other, but each is cut by what any
+smaller doc_id has.  Rows with a null id are returned as they are, an empty
+table gives an empty result, and columns but doc_id and text are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Ranges, WordHashes, _arrow_schema, id_and_text, mix, signed, split_words, staged
+from .common import Ranges, WordHashes, _arrow_schema, id_and_text, split_words, staged
 
 WINDOW_WORDS = 13
 PREFIX_WORDS = 5
-#: What becomes of an entry: still to be compared, covered, or to be lengthened.
-OPEN, COVERED, BRANCHES = 0, 1, 2
-#: ``meta``: first window << 8 | number of windows << 2 | what becomes of it.
-_ENTRY = "key long, words int, doc_id long, meta long, guard int"
+#: Most anchors in a window, and most windows that choose one place.
+PLACES = WINDOW_WORDS - PREFIX_WORDS + 1
+#: Most suffixes of a prefix that is not lengthened.
+GROUP_SUFFIXES = 50_000
+#: Suffixes, and bytes of them, that a task compares before it deals them.
+BATCH_SUFFIXES, BATCH_BYTES = 200_000, 32_000_000
+_SPOTS = "doc_id long, keys array<long>, spots array<long>"
+_SUFFIX = "key long, doc_id long, lead int, words binary, gone binary"
+_GONE = "doc_id long, gone binary"
+_DONE = "doc_id long, n_words long, n_removed long, kept_text string"
+_RUNS = "doc_id long, start long, length long"
 
 
 def anchors(ranges: Ranges, n: int, window: int = WINDOW_WORDS, prefix: int = PREFIX_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -64,200 +75,276 @@ def anchors(ranges: Ranges, n: int, window: int = WINDOW_WORDS, prefix: int = PR
     return low, at
 
 
-def _guards(ranges: Ranges, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of the words of each run, by which a row is known to have them."""
-    return (ranges.of(start, end, seed=5) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-
-
-def _entries(text: str | None, hashes: WordHashes) -> tuple[np.ndarray, ...] | None:
+def _spots(text: str | None, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray] | None:
+    """Hash of the prefix and spot of each anchor: first window << 8 | words before the anchor << 4 | windows."""
     words = hashes.of(split_words(text))
     n = len(words)
     if n < WINDOW_WORDS:
         return None
-    ranges = Ranges(words)
-    low, at = anchors(ranges, n)
+    low, at = anchors(Ranges(words), n)
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     count = np.diff(np.append(first, len(at)))
-    last = first + count + WINDOW_WORDS - 1
-    over = ranges.of(first, last, seed=2) + mix((at[first] - first).astype(np.uint64))
-    return low[first], over, _guards(ranges, first, last), first, count
+    return low[first], first << 8 | (at[first] - first) << 4 | count
 
 
-def _windows(text: str | None, found: list[int], hashes: WordHashes) -> tuple[np.ndarray, ...] | None:
-    words = hashes.of(split_words(text))
-    start = np.unique(np.concatenate([np.arange(m >> 8, (m >> 8) + (m >> 2 & 63)) for m in found])) if found else np.empty(0, np.int64)
-    start = start[start + WINDOW_WORDS <= len(words)]
-    if not len(start):
-        return None
-    ranges = Ranges(words)
-    end = start + WINDOW_WORDS
-    return ranges.of(start, end, seed=3), mix(ranges.of(start, end, seed=4)), _guards(ranges, start, end), start, np.ones(len(start), dtype=np.int64)
-
-
-def _dealt(rows: DataFrame, one: Callable, branching: bool) -> DataFrame:
-    """Entries of each document, compared within batches first."""
-    arrow = _arrow_schema(_ENTRY)
-
-    def compare(docs: list, parts: list) -> pa.RecordBatch:
-        key, over, guard, first, count = (np.concatenate(x) for x in zip(*parts))
-        doc = np.repeat(np.array(docs, dtype=np.int64), [len(p[0]) for p in parts])
-        words = (over >> np.uint64(32)).astype(np.uint32).view(np.int32)
-        order = np.lexsort((doc, words, key))
-        key, words, guard, doc, first, count = key[order], words[order], guard[order], doc[order], first[order], count[order]
-        new_key = np.concatenate(([True], key[1:] != key[:-1]))
-        new_words = new_key | np.concatenate(([True], words[1:] != words[:-1]))
-        lead = doc[np.maximum.accumulate(np.where(new_words, np.arange(len(doc)), 0))]
-        state = np.where(doc > lead, COVERED, OPEN)
-        if branching:
-            group = np.cumsum(new_key) - 1
-            forks = np.bincount(group, weights=new_words)[group] > 1
-            state[forks & (state == OPEN)] = BRANCHES
-            heads = np.cumsum(new_words)
-            # two entries with other words tell those of other batches that the prefix branches
-            witness = forks & new_words & (heads - heads[np.flatnonzero(new_key)][group] < 2)
-            pick = np.concatenate([np.arange(len(doc)), np.flatnonzero(witness)])
-            state = np.concatenate([state, np.full(int(witness.sum()), OPEN)])
-            key, words, guard, doc, first, count = key[pick], words[pick], guard[pick], doc[pick], first[pick], count[pick]
-        # entries whose fate is known need not meet others
-        spread = np.where(state == OPEN, key, mix(doc.astype(np.uint64) + np.uint64(1)))
-        meta = first.astype(np.int64) << 8 | np.minimum(count, 63) << 2 | state
-        columns = (signed(spread), words, doc, meta, guard)
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+def _placed(docs: DataFrame) -> DataFrame:
+    arrow = _arrow_schema(_SPOTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        docs, parts, size = [], [], 0
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
                 part = batch.slice(lo, 200)
-                for doc, *values in zip(*(part.column(i).to_pylist() for i in range(part.num_columns))):
-                    got = one(*values, hashes)
-                    if got is not None:
-                        docs.append(doc)
-                        parts.append(got)
-                        size += len(got[0])
-                        if size >= 300_000:
-                            yield compare(docs, parts)
-                            docs, parts, size = [], [], 0
-        if parts:
-            yield compare(docs, parts)
-
-    return rows.mapInArrow(run, _ENTRY)
-
+                found = [(d, got) for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if (got := _spots(t, hashes)) is not None]
+                if found:
+                    ends = pa.array(np.cumsum([0, *(len(g[0]) for _, g in found)]), pa.int32())
+                    lists = (pa.ListArray.from_arrays(ends, pa.array(np.concatenate([g[i] for _, g in found]).view(np.int64))) for i in (0, 1))
+                    columns = [pa.array([d for d, _ in found], pa.int64()), *(x.cast(f.type) for x, f in zip(lists, list(arrow)[1:]))]
+                    yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    return docs.mapInArrow(run, _SPOTS)
+
+
+def _shared(placed: DataFrame, group_suffixes: int) -> DataFrame:
+    """``at_id, spots``: the suffixes of a document whose prefix another one has; negative where it is to be lengthened."""
+    keys = placed.select("doc_id", F.explode("keys").alias("key"))
+    ends = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
+    prefixes = ends.filter("low < high").select("key", (F.col("n") > group_suffixes).alias("lengthen"))
+    each = placed.select("doc_id", F.explode(F.arrays_zip("keys", "spots")).alias("s")).select("doc_id", F.col("s.keys").alias("key"), F.col("s.spots").alias("spot"))
+    met = each.join(prefixes, "key").select("doc_id", F.when(F.col("lengthen"), -F.col("spot")).otherwise(F.col("spot")).alias("spot"))
+    return met.groupBy(F.col("doc_id").alias("at_id")).agg(F.collect_list("spot").alias("spots"))
+
+
+def _flat(suffixes: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """All words, where each suffix starts among them, and how many words it has."""
+    sizes = np.fromiter((s.count(b" ") + 1 for s in suffixes), dtype=np.int64, count=len(suffixes))
+    return b" ".join(suffixes).split(b" "), np.cumsum(sizes) - sizes, sizes
+
+
+def _window_hashes(words: list[bytes], starts: np.ndarray, hashes: WordHashes) -> np.ndarray:
+    return Ranges(hashes.of(words)).of(starts, starts + WINDOW_WORDS, seed=3)
+
+
+def _by_document(doc: np.ndarray, windows: np.ndarray) -> tuple[list[int], list[bytes]]:
+    order = np.lexsort((windows, doc))
+    doc, windows = doc[order], windows[order]
+    new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (windows[1:] != windows[:-1])))
+    doc, windows = doc[new], windows[new]
+    first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+    return doc[first].tolist(), [x.tobytes() for x in np.split(windows, first[1:])]
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Suffixes of ``rows(doc_id, text, spots)`` by prefix, and (without words) what a batch found covered."""
+    arrow = _arrow_schema(_SUFFIX)
+
+    def compare(found: list[tuple[int, int, int, bytes]], hashes: WordHashes) -> pa.RecordBatch:
+        low: dict[tuple[bytes, int], int] = {}
+        for _, doc, lead, words in found:
+            if low.setdefault((words, lead), doc) > doc:
+                low[words, lead] = doc
+        rows = {(words, lead): (key, doc, lead, words, None) for key, doc, lead, words in found if low[words, lead] == doc}
+        covered = list({(doc, words) for _, doc, lead, words in found if low[words, lead] < doc})
+        out = list(rows.values())
+        if covered:
+            words, starts, sizes = _flat([w for _, w in covered])
+            count = sizes - WINDOW_WORDS + 1
+            at = np.repeat(starts, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            doc = np.repeat(np.fromiter((d for d, _ in covered), np.int64, len(covered)), count)
+            out += [(d, d, 0, None, gone) for d, gone in zip(*_by_document(doc, _window_hashes(words, at, hashes)))]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
 
-_FATE = "doc_id long, meta long, guard int"
-
-
-def _each_once(doc: np.ndarray, meta: np.ndarray, guard: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Entries of one document without repeats, so that rows alike don't add up."""
-    _, at = np.unique(np.stack([meta, guard.astype(np.int64)]), axis=1, return_index=True)
-    return doc[at], meta[at], guard[at]
-
-
-def _met(entries: DataFrame, branching: bool) -> DataFrame:
-    """Fates of entries that meet others of their key, read in order; covered and branching ones only."""
-    arrow = _arrow_schema(_FATE)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, digest = WordHashes(), xxhash.xxh3_64_intdigest
+        found: list[tuple[int, int, int, bytes]] = []
+        size = 0
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 200):
+                for doc, text, spots in zip(*(batch.column(i).slice(lo, 200).to_pylist() for i in range(3))):
+                    words = split_words(text)
+                    for spot in spots:
+                        deep, spot = spot < 0, abs(spot)
+                        first, lead, count = spot >> 8, spot >> 4 & 15, spot & 15
+                        if first + count + WINDOW_WORDS - 1 > len(words):
+                            continue  # a spot of another text with this id
+                        if deep:
+                            for i in range(first, first + count):
+                                own = b" ".join(words[i : i + WINDOW_WORDS])
+                                found.append((digest(own, 1) - (1 << 63), doc, -1, own))
+                        else:
+                            own = b" ".join(words[first : first + count + WINDOW_WORDS - 1])
+                            at = first + lead
+                            found.append((digest(b" ".join(words[at : at + PREFIX_WORDS])) - (1 << 63), doc, lead, own))
+                        size += len(own)
+                        if len(found) >= BATCH_SUFFIXES or size >= BATCH_BYTES:
+                            yield compare(found, hashes)
+                            found, size = [], 0
+        if found:
+            yield compare(found, hashes)
+
+    return rows.mapInArrow(run, _SUFFIX)
+
+
+def suffix_order(right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes (rows of word numbers) in order, and how many words each shares with the one before (0 for the first)."""
+    order = np.lexsort(right.T[::-1])
+    other = right[order[1:]] != right[order[:-1]]
+    shared = np.where(other.any(axis=1), other.argmax(axis=1), right.shape[1])
+    return order, np.concatenate(([0], shared)) if len(order) else shared
+
+
+def covered_windows(doc: np.ndarray, lead: np.ndarray, words: list[bytes], starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each suffix and each of its windows (a column each) whether a smaller document has it.
+
+    ``lead`` is how many words a suffix brings along from before its anchor.
+    The internal nodes of the tree follow from the order of the suffixes: those
+    of depth d are the runs in which neighbours share d words or more.
+    """
+    numbers: dict[bytes, int] = {}
+    flat = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), dtype=np.int32, count=len(words))
+    anchor, count = starts + lead, sizes - WINDOW_WORDS + 1
+
+    def column(at: np.ndarray, there: np.ndarray) -> np.ndarray:
+        return np.where(there, flat[np.where(there, at, 0)], -1)
+
+    right = np.stack([column(anchor + i, i < sizes - lead) for i in range(WINDOW_WORDS)], axis=1)
+    order, shared = suffix_order(right)
+    covered = np.zeros((len(doc), PLACES), dtype=bool)
+    left = np.zeros(len(doc), dtype=np.int64)  # number of the words before the anchor that a window of this k has
+    for k in range(PLACES):
+        if k:
+            left = np.unique(left * (len(numbers) + 1) + column(anchor - k, k <= lead) + 1, return_inverse=True)[1]
+        node = np.empty(len(doc), dtype=np.int64)
+        node[order] = np.cumsum(shared < WINDOW_WORDS - k)
+        own = np.flatnonzero((k <= lead) & (lead - count < k))
+        own = own[np.bincount(node[own], minlength=len(doc) + 1)[node[own]] > 1]
+        if len(own):
+            _, group = np.unique(node[own] * (int(left.max()) + 1) + left[own], return_inverse=True)
+            low = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
+            np.minimum.at(low, group, doc[own])
+            hit = own[doc[own] > low[group]]
+            covered[hit, lead[hit] - k] = True
+    return covered
+
+
+def _met(suffixes: DataFrame, group_suffixes: int) -> DataFrame:
+    """``doc_id, gone``: hashes of covered windows, from the subtrees of groups."""
+    arrow = _arrow_schema(_GONE)
+
+    def found(doc: np.ndarray, lead: np.ndarray, suffix: list[bytes], hashes: WordHashes) -> pa.RecordBatch | None:
+        words, starts, sizes = _flat(suffix)
+        hit, nth = np.nonzero(covered_windows(doc, np.maximum(lead, 0), words, starts, sizes))
+        if not len(hit):
+            return None
+        columns = _by_document(doc[hit], _window_hashes(words, starts[hit] + nth, hashes))
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple | None = None  # key, words and document of the entry before
-        forked = False  # whether the key of the entry before has branched
-        waiting: tuple | None = None  # its entries that are not covered, all of one document, until it branches
+        hashes = WordHashes()
+        held: list[pa.RecordBatch] = []
+        rows = 0
+
+        def ready(last: bool) -> tuple[pa.Table, pa.Table | None]:
+            """What can be compared now: all groups but the last one, which may go on."""
+            table = pa.Table.from_batches(held)
+            key = table.column(0).to_numpy()
+            cut = len(key) if last else int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0
+            if cut == 0 and table.column(2)[0].as_py() < 0:
+                # a group of one node may be of any size: its smallest documents, which came first, meet the rest
+                words = table.column(3).to_pylist()
+                heads = sorted({w: i for i, w in reversed(list(enumerate(words)))}.values())
+                return table, table.take(heads)
+            return table.slice(0, cut), table.slice(cut) if cut < len(key) else None
+
         for batch in batches:
-            key, words, doc, meta, guard = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-            state = meta & 3
-            known = np.flatnonzero(state != OPEN)
-            out = [(doc[known], meta[known], guard[known])]
-            live = np.flatnonzero(state == OPEN)
-            if len(live):
-                k, w, d, m, g = key[live], words[live], doc[live], meta[live], guard[live]
-                same_key = np.concatenate(([last is not None and last[0] == k[0]], k[1:] == k[:-1]))
-                same = same_key & np.concatenate(([last is not None and last[1] == w[0]], w[1:] == w[:-1]))
-                at = np.maximum.accumulate(np.where(same, -1, np.arange(len(d))))
-                lead = np.where(at >= 0, d[at], last[2] if last is not None else 0)
-                covered = same & (d > lead)
-                out.append((d[covered], m[covered] | COVERED, g[covered]))
-                if branching:
-                    group = np.cumsum(~same_key)
-                    # in group 0 the key goes on from the batch before, whose entries may wait
-                    forks = np.bincount(group, weights=~same, minlength=int(group[-1]) + 1) > np.where(np.arange(int(group[-1]) + 1) > 0, 1, 0)
-                    forks[0] |= forked
-                    if same_key[0] and forks[0] and waiting is not None:
-                        out.append((waiting[0], waiting[1] | BRANCHES, waiting[2]))
-                    hit = forks[group] & ~covered
-                    out.append((d[hit], m[hit] | BRANCHES, g[hit]))
-                    end = group == group[-1]
-                    forked = bool(forks[group[-1]])
-                    rest = end & ~covered
-                    held = [(d[rest], m[rest], g[rest])]
-                    if same_key[0] and group[-1] == 0 and waiting is not None:
-                        held.append(waiting)
-                    waiting = None if forked else _each_once(*(np.concatenate(x) for x in zip(*held)))
-                last = (k[-1], w[-1], lead[-1])
-            doc, meta, guard = (np.concatenate(x) for x in zip(*out))
-            if len(doc):
-                columns = (doc.astype(np.int64), meta.astype(np.int64), guard.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
-
-    ordered = entries.repartition("key").sortWithinPartitions("key", "words", "doc_id")
-    return ordered.mapInArrow(run, _FATE)
+            known = batch.filter(pc.is_null(batch.column(3)))
+            if known.num_rows:
+                yield pa.RecordBatch.from_arrays([known.column(1), known.column(4)], schema=arrow)
+            batch = batch.filter(pc.is_valid(batch.column(3)))
+            if batch.num_rows:
+                held.append(batch)
+                rows += batch.num_rows
+            if rows >= group_suffixes:
+                now, rest = ready(False)
+                if now.num_rows:
+                    if (out := found(*_columns(now), hashes)) is not None:
+                        yield out
+                held = rest.combine_chunks().to_batches() if rest is not None else []
+                rows = 0  # what stays waits for as many more, so that a long group is not looked through again each time
+        if held and (out := found(*_columns(ready(True)[0]), hashes)) is not None:
+            yield out
+
+    ordered = suffixes.repartition("key").sortWithinPartitions("key", "doc_id")
+    return ordered.mapInArrow(run, _GONE)
+
+
+def _columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    return table.column(1).to_numpy(), table.column(2).to_numpy().astype(np.int64), table.column(3).to_pylist()
 
 
 def _known(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).filter(F.col("doc_id").isNotNull())
 
 
-def covered_windows(docs: DataFrame) -> DataFrame:
-    """``doc_id, covered``: windows of a document that a smaller doc_id has too, as ``meta`` and ``guard`` of runs."""
+def repeated_windows(docs: DataFrame, group_suffixes: int = GROUP_SUFFIXES) -> DataFrame:
+    """``at_id, gone``: hashes of the windows of a document that a smaller doc_id has too."""
     base = _known(docs)
-    fates = staged(_met(_dealt(base, _entries, branching=True), branching=True), "substring-fates")
-    is_covered = F.col("meta").bitwiseAND(F.lit(3)) == COVERED
-    branches = fates.filter(~is_covered).groupBy(F.col("doc_id").alias("at_id")).agg(F.collect_set("meta").alias("found"))
-    suffixes = base.join(branches, F.col("doc_id") == F.col("at_id")).select("doc_id", "text", "found")
-    longer = _met(_dealt(suffixes, _windows, branching=False), branching=False)
-    covered = fates.filter(is_covered).union(longer)
-    return covered.groupBy(F.col("doc_id").alias("at_id")).agg(F.collect_list(F.struct("meta", "guard")).alias("covered"))
+    shared = staged(_shared(staged(_placed(base), "substring-spots"), group_suffixes), "substring-shared")
+    suffixes = base.join(shared, F.col("doc_id") == F.col("at_id")).select("doc_id", "text", "spots")
+    found = _met(_dealt(suffixes), group_suffixes)
+    return found.groupBy(F.col("doc_id").alias("at_id")).agg(F.collect_list("gone").alias("gone"))
 
 
-_DONE = "doc_id long, n_words long, n_removed long, kept_text string"
+def _runs(words: list[bytes], gone: list[bytes] | None, hashes: WordHashes) -> np.ndarray:
+    """Which words lie in covered windows."""
+    edge = np.zeros(len(words) + 1, dtype=np.int32)
+    if gone:
+        windows = Ranges(hashes.of(words)).width(WINDOW_WORDS, seed=3)
+        start = np.flatnonzero(np.isin(windows, np.frombuffer(b"".join(gone), dtype=np.uint64)))
+        edge[start] += 1
+        edge[start + WINDOW_WORDS] -= 1
+    return np.cumsum(edge[:-1]) > 0
 
 
-def _cut(rows: DataFrame) -> DataFrame:
-    """``rows(doc_id, text, covered)`` without the covered words; a run counts only where the row has its words."""
-    arrow = _arrow_schema(_DONE)
+def _per_text(docs: DataFrame, group_suffixes: int, one, schema: str) -> DataFrame:
+    """Rows that ``one(doc_id, words, whether each is covered)`` gives for each row of ``docs``."""
+    arrow = _arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
-                part = batch.slice(lo, 200)
-                out: list[list] = [[], [], [], []]
-                for doc, text, covered in zip(*(part.column(i).to_pylist() for i in range(3))):
+                out: list[tuple] = []
+                for doc, text, gone in zip(*(batch.column(i).slice(lo, 200).to_pylist() for i in range(3))):
                     words = split_words(text)
-                    left = words
-                    if covered:
-                        edge = np.zeros(len(words) + 1, dtype=np.int32)
-                        first = np.array([c["meta"] >> 8 for c in covered])
-                        last = first + np.array([c["meta"] >> 2 & 63 for c in covered]) + WINDOW_WORDS - 1
-                        guard = np.array([c["guard"] for c in covered])
-                        inside = last <= len(words)
-                        first, last, guard = first[inside], last[inside], guard[inside]
-                        ok = _guards(Ranges(hashes.of(words)), first, last) == guard
-                        np.add.at(edge, first[ok], 1)
-                        np.add.at(edge, last[ok], -1)
-                        left = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()]
-                    for held, x in zip(out, (doc, len(words), len(words) - len(left), b" ".join(left).decode())):
-                        held.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow)], schema=arrow)
-
-    return rows.mapInArrow(run, _DONE)
-
-
-def substring_dedup(docs: DataFrame) -> DataFrame:
+                    out += one(doc, words, _runs(words, gone, hashes))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+
+    gone = repeated_windows(docs, group_suffixes)
+    joined = _known(docs).join(gone, F.col("doc_id") == F.col("at_id"), "left").select("doc_id", "text", "gone")
+    nameless = id_and_text(docs).filter(F.col("doc_id").isNull()).withColumn("gone", F.lit(None).cast(joined.schema["gone"].dataType))
+    return joined.mapInArrow(run, schema).union(nameless.mapInArrow(run, schema))
+
+
+def substring_dedup(docs: DataFrame, group_suffixes: int = GROUP_SUFFIXES) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_text`` for every row; kept words are joined by one space."""
-    base = _known(docs)
-    joined = base.join(covered_windows(docs), F.col("doc_id") == F.col("at_id"), "left").select("doc_id", "text", "covered")
-    nameless = id_and_text(docs).filter(F.col("doc_id").isNull()).withColumn("covered", F.lit(None).cast(joined.schema["covered"].dataType))
-    return _cut(joined).union(_cut(nameless))
+
+    def cut(doc: int | None, words: list[bytes], covered: np.ndarray) -> list[tuple]:
+        left = [words[i] for i in np.flatnonzero(~covered).tolist()] if covered.any() else words
+        return [(doc, len(words), len(words) - len(left), b" ".join(left).decode())]
+
+    return _per_text(docs, group_suffixes, cut, _DONE)
+
+
+def maximal_repeats(docs: DataFrame, group_suffixes: int = GROUP_SUFFIXES) -> DataFrame:
+    """``doc_id, start, length``: each longest run of words that smaller documents have, in words."""
+
+    def spans(doc: int | None, words: list[bytes], covered: np.ndarray) -> list[tuple]:
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], covered.astype(np.int8), [0]))))
+        return [(doc, int(a), int(b - a)) for a, b in edge.reshape(-1, 2)]
+
+    return _per_text(docs, group_suffixes, spans, _RUNS)
 
 
 def kept_digests(done: DataFrame) -> DataFrame:
