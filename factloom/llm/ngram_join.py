@@ -1,4 +1,4 @@
-"""N-gram Jaccard self-join by MinHash bands of a fixed depth, verified exactly.
+"""N-gram Jaccard self-join by a MinHash LSH forest, verified exactly.
 
 A document is its set of 5-word shingles (of fewer words: the one shingle of all
 its words; without words: no shingles and no links).  Two documents are linked
@@ -7,46 +7,60 @@ if the Jaccard similarity of their sets is ``threshold`` (0.8) or more.
 1. Classes.  Documents with equal sets are one class, represented by its
    smallest doc_id; they are linked to each other and to the same others, so
    only representatives go on and copies are never expanded.
-2. Bands.  Each of TREES bands ("trees") hashes one prefix of MinHash values, as
-   long as DEPTH allows while a pair at the threshold meets in some band with
-   probability RECALL; its length follows from these constants, not from the
-   data.  A pair that meets in no band and that nothing else connects is lost.
-   Nodes, which are equal prefixes, join their representatives to the smallest one; the
-   connected components of these joins are the candidate groups, and no pair is
-   written out.
-3. Exact verification.  Within a candidate group every pair is compared, whether
-   it met in a tree or not, in cells of two blocks of about BLOCK
-   representatives or BLOCK_SHINGLES shingles, whichever is less, so a group of
-   any size, or of texts of any length, is many bounded tasks.  A cell
-   returns, for each representative, how many documents it is linked to and the
-   smallest representative it is connected to in the cell.
-4. Classes of the result are the connected components of verified links.
-
-Shingles are compared as 64-bit hashes.  Rows that repeat an id and text count
-as copies of each other; rows that repeat an id with another text as one
-document of each text.  Null ids come last.
+2. Forest.  Each of TREES trees has a label for each representative: DEPTH
+   MinHash values of a byte each, which makes a whole number.  All labels are
+   sorted once; the bytes that neighbours share are the trie of a tree, and a
+   node of depth d is a run in which neighbours share d bytes or more.  A
+   representative is joined to the head of the deepest run that it goes on, so
+   a node of n texts has n - 1 joins, however large it is.
+3. Verification.  The joins at a depth connect candidate groups.  A group is
+   compared in cells of two blocks of about BLOCK representatives or
+   BLOCK_SHINGLES shingles, whichever is less; texts of one node lie in the same
+   blocks, and of a group of several blocks only those are compared that meet in
+   a node.  A cell returns, for each representative, how many documents it is
+   linked to and the smallest representative it is connected to in the cell.
+4. Shortening.  The matched prefix starts as long as a pair at the threshold
+   allows to meet with probability START.  Each verified link of similarity s,
+   which met with a known probability p(s), stands for 1 / p(s) links, and that
+   gives the recall.  Where it is under ``recall``, prefixes are shortened to the
+   longest that these links say is enough, and the groups that grow by it are
+   verified anew; this ends at the target, or at depth 1.
+5. Classes of the result are the connected components of verified links.
+
+A group's exact link counts need all of its pairs that may be linked, so the work
+of one dense group grows with the square of its different texts, in cells of
+bounded size.  Shingles are compared as 64-bit hashes.  Rows that repeat an id
+and text count as copies of each other; rows that repeat an id with another text
+as one document of each text.  Null ids come last and have no links; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
 import functools
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, WordHashes, id_and_text, map_batches, mix, rolling, split_words, staged
+from .common import SHINGLE_WORDS, WordHashes, _arrow_schema, id_and_text, map_batches, mix, rolling, split_words, staged
 
 THRESHOLD = 0.8
 TREES = 24
 DEPTH = 8
-RECALL = 0.999
+START = 0.99
+RECALL = 0.9999
 BLOCK = 1024
 BLOCK_SHINGLES = 1 << 20
-_SKETCH = "doc_id long, print long, low long, high long, n_shingles long, nodes array<long>"
+_SKETCH = "doc_id long, print long, low long, high long, n_shingles long, labels array<long>"
+_JOINS = "a long, b long, shared int, part int, tree int, label long"
+#: ``shared`` of the first and the last row of a sorted part, which may go on in the parts beside it.
+_FIRST, _LAST = -2, -1
 
 
 def shingles(words: list[bytes], hashes: WordHashes) -> np.ndarray:
@@ -81,26 +95,28 @@ def signature(values: np.ndarray, count: int) -> np.ndarray:
     return low
 
 
-def forest_nodes(values: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """The node at ``depth`` in each tree, as a hash of the matched prefix."""
-    rows = signature(values, trees * depth).reshape(trees, depth)
-    out = np.arange(trees, dtype=np.uint64)
-    for i in range(depth):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + rows[:, i])
-    return out.view(np.int64)
+def forest_labels(values: np.ndarray, trees: int, depth: int) -> np.ndarray:
+    """One label for each tree: the first ``depth`` of its bytes are MinHash values, the highest byte first."""
+    rows = (mix(signature(values, trees * depth)) & np.uint64(0xFF)).reshape(trees, depth)
+    return (rows << np.arange(56, 56 - 8 * depth, -8, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def meeting(similarity: np.ndarray | float, trees: int, depth: int) -> np.ndarray | float:
+    """The probability that two texts share ``depth`` values in one of the trees."""
+    return 1 - (1 - similarity**depth) ** trees
 
 
 def sketches(docs: DataFrame, trees: int, depth: int) -> DataFrame:
     def one(x: dict[str, list], hashes: WordHashes) -> dict[str, object]:
-        low, high, sizes, nodes = [], [], [], []
+        low, high, sizes, labels = [], [], [], []
         for text in x["text"]:
             found = shingles(split_words(text), hashes)
             whole = xxhash.xxh3_128_intdigest(found.tobytes())
             low.append((whole & (1 << 64) - 1) - (1 << 63))
             high.append((whole >> 64) - (1 << 63))
             sizes.append(len(found))
-            nodes.append(forest_nodes(found, trees, depth) if len(found) else None)
-        return {"doc_id": x["doc_id"], "print": x["print"], "low": low, "high": high, "n_shingles": sizes, "nodes": nodes}
+            labels.append(forest_labels(found, trees, depth) if len(found) else None)
+        return {"doc_id": x["doc_id"], "print": x["print"], "low": low, "high": high, "n_shingles": sizes, "labels": labels}
 
     return map_batches(id_and_text(docs).withColumn("print", F.xxhash64("text")), one, _SKETCH, state=WordHashes)
 
@@ -110,10 +126,13 @@ def components(edges: DataFrame, label: str, most_rounds: int = 60) -> DataFrame
 
     Each round gives a node's neighbours and itself its smallest neighbour, on
     the larger side and then on the smaller side, until nothing changes; edges
-    are written to the shared folder each round, so lineage stays short.
+    are written to the shared folder each round, so lineage stays short.  Rounds
+    are told apart by their number of edges and a sum of hashes.
     """
+    mark = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
     both = lambda e: e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = staged(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
+    before = mark(edges)
     for _ in range(most_rounds):
         around = both(edges)
         low = around.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
@@ -122,9 +141,10 @@ def components(edges: DataFrame, label: str, most_rounds: int = 60) -> DataFrame
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).union(low.select("a", F.col("low").alias("b")))
         after = staged(small.filter("a <> b").distinct(), label)
-        if after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty():
+        now = mark(after)
+        if now == before:
             break
-        edges = after
+        edges, before = after, now
     else:
         raise RuntimeError(f"{label}: components still change after {most_rounds} rounds")
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
@@ -132,7 +152,12 @@ def components(edges: DataFrame, label: str, most_rounds: int = 60) -> DataFrame
 
 
 def compare_cell(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray, threshold: float) -> np.ndarray:
-    """Links between ``rows`` and ``columns`` (places in ``sets``) as a boolean matrix; never of a set with itself.
+    """Links between ``rows`` and ``columns`` (places in ``sets``) as a boolean matrix; never of a set with itself."""
+    return similarities(sets, rows, columns, threshold) > 0
+
+
+def similarities(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray, threshold: float) -> np.ndarray:
+    """Similarities of ``rows`` and ``columns`` where they are linked, else 0.
 
     Shared shingles are counted by matrix products over shingles that many sets
     have, and one by one over the rest.
@@ -174,7 +199,7 @@ def compare_cell(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray,
     # shared / total >= threshold on whole numbers, safe against rounding
     links = (shared >= threshold * total - 1e-6) & (total > 0)
     links &= rows[:, None] != columns[None, :]
-    return links
+    return np.where(links, shared / np.maximum(total, 1), 0)
 
 
 def _spread(links: np.ndarray, labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -189,16 +214,18 @@ def _spread(links: np.ndarray, labels: np.ndarray, a: np.ndarray, b: np.ndarray)
             return labels
 
 
-def _verify(threshold: float):
+_FOUND = "cls long, rep long, links long, root long, root_cls long, odds array<double>"
+
+
+def _verify(threshold: float, trees: int, depths: int, depth: int):
     def cell(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["block", "rep", "cls"], ignore_index=True)
         sets = [np.frombuffer(x, dtype=np.uint64) for x in group["shingles"]]
         reps, weights, block = group["rep"].to_numpy(np.int64), group["copies"].to_numpy(np.int64), group["block"].to_numpy()
         one, two = int(group["one"].iloc[0]), int(group["two"].iloc[0])
         a, b = np.flatnonzero(block == one), np.flatnonzero(block == two)
-        if not len(a) or not len(b):
-            return pd.DataFrame({"cls": [], "rep": [], "links": [], "root": [], "root_cls": []}).astype("int64")
-        links = compare_cell(sets, a, b, threshold)
+        likeness = similarities(sets, a, b, threshold) if len(a) and len(b) else np.zeros((len(a), len(b)))
+        links = likeness > 0
         count = np.zeros(len(reps), dtype=np.int64)
         count[a] += links @ weights[b]
         if one != two:
@@ -208,49 +235,144 @@ def _verify(threshold: float):
         label = np.empty(len(reps), dtype=np.int64)
         label[order] = np.arange(len(reps))
         root = order[_spread(links, label, a, b)]
-        hit = count > 0
-        return pd.DataFrame({"cls": cls[hit], "rep": reps[hit], "links": count[hit], "root": reps[root][hit], "root_cls": cls[root][hit]})
+        hit = np.flatnonzero(count > 0)
+        out = pd.DataFrame({"cls": cls[hit], "rep": reps[hit], "links": count[hit], "root": reps[root][hit], "root_cls": cls[root][hit], "odds": None})
+        if len(hit):
+            # how many links these stand for, and how many of those each depth would find
+            s = likeness[links].astype(np.float64)
+            p = meeting(s, trees, depth) * (2 if one == two else 1)
+            out.at[0, "odds"] = [float((1 / p).sum()), *(float((meeting(s, trees, d) / p).sum()) for d in range(1, depths + 1))]
+        return out
 
     return cell
 
 
+def prefix(label: Column, depth: int) -> Column:
+    """The node at ``depth`` of a label's tree."""
+    return F.shiftright(label, 8 * (8 - depth))
+
+
+def forest_joins(classes: DataFrame, floor: int) -> DataFrame:
+    """``a, b, shared``: representatives that share a node, each joined to the head of the deepest run it goes on.
+
+    Labels are dealt by ranges of (tree, label, representative), so a node of any
+    size is many parts; a part's first row is compared with the last one of the
+    part before it, two rows a part.
+    """
+    arrow = _arrow_schema(_JOINS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, before, last = TaskContext.get().partitionId(), None, None
+        heads: dict[int, int] = {}  # by depth, the representative that the open run began with
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tree, label, rep = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+            first = before is None
+            before = (tree[0], label[0]) if first else before
+            other = label ^ np.concatenate(([before[1]], label[:-1]))
+            own = tree == np.concatenate(([before[0]], tree[:-1]))
+            shared = sum(((other.view(np.uint64) >> np.uint64(64 - 8 * d)) == 0).astype(np.int32) for d in range(1, 9)) * own
+            if first:
+                shared[0] = 0
+            head = rep.copy()
+            for d in range(floor, 9):
+                at = np.maximum.accumulate(np.where(shared < d, np.arange(len(rep)), -1))
+                run_head = np.where(at >= 0, rep[at], heads.get(d, rep[0]))
+                head = np.where(shared >= d, run_head, head)
+                heads[d] = int(run_head[-1])
+            hit = np.flatnonzero((shared >= floor) & (rep != head))
+            out = [rep[hit], head[hit], shared[hit], np.full(len(hit), part), tree[hit], label[hit]]
+            if first:
+                out = [np.append(x, y) for x, y in zip(out, (rep[0], rep[0], _FIRST, part, tree[0], label[0]))]
+            before, last = (tree[-1], label[-1]), (rep[-1], rep[-1], _LAST, part, tree[-1], label[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, arrow)], schema=arrow)
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(last, arrow)], schema=arrow)
+
+    labels = classes.select("rep", F.posexplode("labels").alias("tree", "label")).select("tree", "label", "rep")
+    ordered = labels.repartitionByRange("tree", "label", "rep").sortWithinPartitions("tree", "label", "rep")
+    found = staged(ordered.mapInArrow(run, _JOINS), "join-forest")
+    beside = Window.orderBy("part", "shared")  # over the edges of parts alone: two rows a part
+    seams = found.filter("shared < 0").select(
+        F.col("a"), "shared", F.lag("a").over(beside).alias("b"), (F.lag("tree").over(beside) == F.col("tree")).alias("same"),
+        F.col("label").bitwiseXOR(F.lag("label").over(beside)).alias("other"),
+    ).filter((F.col("shared") == _FIRST) & F.col("same"))
+    depth = functools.reduce(lambda n, d: n + F.when(F.shiftrightunsigned("other", 64 - 8 * d) == 0, 1).otherwise(0), range(1, 9), F.lit(0))
+    joins = found.filter("shared > 0").select("a", "b", "shared").union(seams.select("a", "b", depth.alias("shared")).filter(f"shared >= {floor} AND a <> b"))
+    return joins.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "shared").groupBy("a", "b").agg(F.max("shared").alias("shared"))
+
+
+def _blocks(members: DataFrame, depth: int, block: int, block_shingles: int) -> DataFrame:
+    """``members`` of groups with their ``block`` and the ``cells`` (pairs of blocks) it is in."""
+    need = lambda part: F.ceil(part * F.greatest(F.count("*") / block, F.sum("n_shingles") / block_shingles))
+    members = staged(members.join(members.groupBy("part").agg(need(1).alias("blocks")), "part"), "join-members")
+    zero = F.lit(0).cast("long")
+    one = members.filter("blocks = 1").withColumns({"block": zero, "cells": F.array(F.struct(zero.alias("one"), zero.alias("two")))})
+    large = members.filter("blocks > 1")
+    if large.isEmpty():
+        return one
+    # nodes of the first tree stay together, in blocks of their own where they are large
+    large = large.withColumn("home", prefix(F.col("labels")[0], depth))
+    homes = large.groupBy("part", "home").agg(need(4).alias("pieces"))
+    placed = large.join(homes, ["part", "home"]).withColumn(
+        "block", F.pmod(F.xxhash64("home"), F.col("blocks")) * (1 << 24) + F.pmod(F.xxhash64(F.lit(1), "cls"), F.col("pieces"))
+    )
+    placed = staged(placed.drop("home", "pieces"), "join-blocks")
+    nodes = placed.select("part", "block", F.posexplode("labels").alias("tree", "label")).select("part", "tree", prefix(F.col("label"), depth).alias("node"), "block").distinct()
+    held = nodes.groupBy("part", "tree", "node").agg(F.collect_set("block").alias("held"))
+    met = held.select("part", "held", F.explode("held").alias("one")).select("part", "one", F.explode(F.filter("held", lambda x: x >= F.col("one"))).alias("two")).distinct()
+    cells = met.union(met.filter("one < two").select("part", F.col("two").alias("one"), F.col("one").alias("two")))
+    cells = cells.groupBy("part", F.col("one").alias("block")).agg(F.collect_list(F.struct(F.least("one", "two").alias("one"), F.greatest("one", "two").alias("two"))).alias("cells"))
+    return one.unionByName(placed.join(cells, ["part", "block"]))
+
+
+def _compared(docs: DataFrame, members: DataFrame, verify) -> DataFrame:
+    keys = ("cls", "rep", "copies", "part", "block", "cells")
+    with_text = id_and_text(docs).join(members.select(*keys, "rep_print"), (F.col("doc_id") == F.col("rep")) & (F.xxhash64("text") == F.col("rep_print")))
+
+    def sets(x: dict[str, list], hashes: WordHashes) -> dict[str, object]:
+        return {k: x[k] for k in keys} | {"shingles": [shingles(split_words(t), hashes).tobytes() for t in x["text"]]}
+
+    schema = "cls long, rep long, copies long, part long, block long, cells array<struct<one:long,two:long>>, shingles binary"
+    shingled = map_batches(with_text.select(*keys, "text"), sets, schema, state=WordHashes)
+    cells = shingled.dropDuplicates(["cls"]).withColumn("cell", F.explode("cells")).select("*", "cell.one", "cell.two").drop("cell", "cells")
+    return staged(cells.groupBy("part", "one", "two").applyInPandas(verify, _FOUND), "join-verified")
+
+
 def _verified(
     docs: DataFrame, threshold: float, trees: int, depth: int, recall: float, block: int, block_shingles: int
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sketches of all rows, classes of equal shingles, and verified links of classes to the smallest one of their cell."""
-    sketch = staged(sketches(docs, trees, matched_depth(threshold, trees, depth, recall)), "join-sketch")
+    sketch = staged(sketches(docs, trees, depth), "join-sketch")
     classes = staged(
         sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL")
         .groupBy("low", "high")
-        .agg(F.min(F.struct("doc_id", "print")).alias("first"), F.count("*").alias("copies"), F.any_value("nodes").alias("nodes"), F.max("n_shingles").alias("n_shingles"))
-        .select("low", "high", F.xxhash64("low", "high").alias("cls"), F.col("first.doc_id").alias("rep"), F.col("first.print").alias("rep_print"), "copies", "nodes", "n_shingles"),
+        .agg(F.min(F.struct("doc_id", "print")).alias("first"), F.count("*").alias("copies"), F.any_value("labels").alias("labels"), F.max("n_shingles").alias("n_shingles"))
+        .select("low", "high", F.xxhash64("low", "high").alias("cls"), F.col("first.doc_id").alias("rep"), F.col("first.print").alias("rep_print"), "copies", "labels", "n_shingles"),
         "join-classes",
     )
-    nodes = classes.select("rep", F.posexplode("nodes").alias("tree", "node"))
-    low = nodes.groupBy("tree", "node").agg(F.min("rep").alias("b"), F.max("rep").alias("last")).filter("b < last").drop("last")
-    edges = nodes.join(low, ["tree", "node"]).select(F.col("rep").alias("a"), "b")
-    groups = staged(components(edges, "join-candidates").withColumnRenamed("root", "part"), "join-groups")
-
-    members = groups.join(classes.select("cls", "rep", "rep_print", "copies", "n_shingles"), F.col("node") == F.col("rep"))
-    blocks = members.groupBy("part").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n_shingles") / block_shingles)).cast("int").alias("blocks"))
-    open_classes = members.join(blocks, "part").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).select(
-        "cls", "rep", "rep_print", "copies", "part", "block", "blocks"
-    )
-    with_text = id_and_text(docs).join(open_classes, (F.col("doc_id") == F.col("rep")) & (F.xxhash64("text") == F.col("rep_print")))
-    schema = "cls long, rep long, copies long, part long, block int, blocks int, shingles binary"
-
-    schema_keys = ("cls", "rep", "copies", "part", "block", "blocks")
-
-    def sets(x: dict[str, list], hashes: WordHashes) -> dict[str, object]:
-        return {k: x[k] for k in schema_keys} | {"shingles": [shingles(split_words(t), hashes).tobytes() for t in x["text"]]}
-
-    shingled = map_batches(with_text.select(*schema_keys, "text"), sets, schema, state=WordHashes)
-    pair = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("one"), F.greatest(o, F.col("block")).alias("two"))
-    )
-    cells = shingled.dropDuplicates(["cls"]).withColumn("cell", F.explode(pair)).select("*", "cell.one", "cell.two").drop("cell", "blocks")
-    found = cells.groupBy("part", "one", "two").applyInPandas(_verify(threshold), "cls long, rep long, links long, root long, root_cls long")
-    return sketch, classes, staged(found, "join-verified")
+    at = matched_depth(threshold, trees, depth, START)
+    joins = staged(forest_joins(classes, matched_depth(threshold, trees, at, 1 - (1 - recall) / 10)), "join-pairs")
+    groups = verified = None
+    while True:
+        before, groups = groups, staged(components(joins.filter(F.col("shared") >= at).select("a", "b"), "join-candidates").withColumnRenamed("root", "part"), "join-groups")
+        if before is not None:
+            # groups that are just what they were keep their links
+            parts = groups.join(before.withColumnRenamed("part", "was"), "node", "left").groupBy("part").agg(F.count_distinct(F.coalesce("was", "node")).alias("n"))
+            grown = parts.filter("n > 1").select("part")
+            again = groups.join(grown, "part", "left_semi")
+            verified = verified.join(again, F.col("rep") == F.col("node"), "left_anti")
+        else:
+            again = groups
+        members = again.join(classes.select("cls", "rep", "rep_print", "copies", "n_shingles", "labels"), F.col("node") == F.col("rep"))
+        found = _compared(docs, _blocks(members, at, block, block_shingles), _verify(threshold, trees, depth, at))
+        verified = staged(verified.unionByName(found), "join-verified") if before is not None else found
+        odds = verified.select(*(F.sum(F.col("odds")[d]).alias(f"d{d}") for d in range(depth + 1))).first()
+        enough = [d for d in range(1, at + 1) if not odds[0] or odds[d] >= recall * odds[0]]
+        if at in enough or at == 1 or at <= matched_depth(threshold, trees, at, 1 - (1 - recall) / 10):
+            return sketch, classes, verified
+        at = max([*enough, 1])
 
 
 def ngram_join(
