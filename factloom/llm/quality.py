@@ -6,9 +6,16 @@ or boilerplate, by Viterbi decoding; a document stays if no base rule fails and
 lines labelled content hold at least ``share`` of its word characters.  A null
 or empty text has no words, fails a base rule, and goes.
 
-The CRF learns from labelled documents: the lines of a document of quality 1
-are content, those of quality 0 boilerplate.  With labels of one kind only, or
-none, there is no model and the base rules decide alone.
+The CRF learns from labelled documents.  The lines of a document of quality 0
+are boilerplate.  Those of a document of quality 1 are content, but for lines
+that at least :data:`REPEATED` documents of the sample hold between other lines
+each time, as notices and headings are (a copied document brings its lines
+along, so copies don't make their lines boilerplate); in texts of at most
+:data:`FEW_LINES` lines all are content, as they are most of the text.  With labels of one kind
+only, or none, there is no model and the base rules decide alone.
+
+Rows are judged one by one, whether or not their ids repeat or are null; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,10 +33,16 @@ from .common import SHINGLE_WORDS, SPACES, WordHashes, map_batches, rolling, spl
 
 SYMBOLS = "#*$%&|<>"
 CONTENT_SHARE = 0.5
-#: The CRF is fitted on at most so many labelled documents, and so many lines of each.
+#: The CRF is fitted on at most so many labelled documents of each quality, whole ones of at most so many lines.
 SAMPLE_DOCS = 600
-SAMPLE_LINES = 40
+SAMPLE_LINES = 64
+#: Texts of so few lines have a feature of their own.
+FEW_LINES = 3
+#: From so many documents on, each with other lines around it, a line is boilerplate.
+REPEATED = 4
 STEPS = 120
+#: Texts are judged together, up to about so many characters.
+GROUP_CHARS = 1_000_000
 _EDGES = {
     "words": (2, 4, 8, 16, 32, 64),
     "word_chars": (2.5, 3.5, 4.5, 5.5, 7.0, 9.0, 12.0),
@@ -39,8 +53,9 @@ _EDGES = {
     "marks": (0.0, 0.02, 0.04, 0.08, 0.15),
 }
 _SLOTS = np.cumsum([0] + [len(e) + 1 for e in _EDGES.values()])
-#: Further features: seen before in the text, ends a sentence, is the first line, is the last.
-N_FEATURES = int(_SLOTS[-1]) + 4
+#: Further features: seen before in the text, ends a sentence, is the first line, is the last, is the only one, is one of two or three.
+N_FLAGS = 6
+N_FEATURES = int(_SLOTS[-1]) + N_FLAGS
 #: What a byte of UTF-8 counts as: one character, one that is no white space, and so on.
 _CHAR, _INK, _SYMBOL, _UPPER, _DIGIT, _MARK = (1 << i for i in range(6))
 _KINDS = np.array(
@@ -66,75 +81,102 @@ class LineModel:
     move: np.ndarray
 
 
-def line_features(lines: list[str]) -> np.ndarray:
-    """The features each line has, as 0 or 1; a row a line.  Lines hold a word and no ``\\n``."""
-    out = np.zeros((len(lines), N_FEATURES), dtype=np.float32)
-    if not lines:
+@dataclass(frozen=True)
+class Lines:
+    """Lines of many texts: feature numbers (a column a kind), further features as 0 or 1, characters that are no white space."""
+
+    slots: np.ndarray
+    flags: np.ndarray
+    ink: np.ndarray
+
+    def scores(self, model: LineModel) -> np.ndarray:
+        last = int(_SLOTS[-1])
+        out = self.flags @ model.emit[last:]
+        for column in self.slots.T:
+            out += model.emit[column]
         return out
+
+
+def describe(lines: list[str], sizes: list[int]) -> Lines:
+    """``lines`` of texts that have ``sizes`` lines each; a line holds a word and no ``\\n``."""
+    slots, flags = np.zeros((len(lines), len(_EDGES)), dtype=np.int64), np.zeros((len(lines), N_FLAGS))
+    if not lines:
+        return Lines(slots, flags, np.zeros(0, dtype=np.int64))
     raw = "\n".join(lines).encode()
     data = np.frombuffer(raw, dtype=np.uint8)
     kind = _KINDS[data]
     kind[1:][(data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)] |= _UPPER  # capital letters U+00C0 to U+00DE
     starts = np.concatenate(([0], np.flatnonzero(data == 10) + 1))
     count = lambda bit: np.add.reduceat((kind & bit) != 0, starts, dtype=np.int64)
-    chars = np.maximum(count(_CHAR), 1)
+    chars, ink = np.maximum(count(_CHAR), 1), count(_INK)
     words = [x.split() for x in raw.split(b"\n")]
     n = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    distinct = np.fromiter((len(set(w)) for w in words), dtype=np.int64, count=len(words))
+    distinct = np.fromiter(map(len, map(set, words)), dtype=np.int64, count=len(words))
     values = {
-        "words": n, "word_chars": count(_INK) / np.maximum(n, 1), "symbols": count(_SYMBOL) / chars, "upper": count(_UPPER) / chars,
+        "words": n, "word_chars": ink / np.maximum(n, 1), "symbols": count(_SYMBOL) / chars, "upper": count(_UPPER) / chars,
         "digits": count(_DIGIT) / chars, "repeats": 1 - distinct / np.maximum(n, 1), "marks": count(_MARK) / chars,
     }
-    rows = np.arange(len(lines))
     for j, (name, edges) in enumerate(_EDGES.items()):
-        out[rows, _SLOTS[j] + np.searchsorted(edges, values[name], side="left")] = 1
-    last, seen = int(_SLOTS[-1]), set()
-    for i, line in enumerate(lines):
-        out[i, last] = line in seen
-        seen.add(line)
-    out[:, last + 1] = [w[-1][-1:] in (b".", b"!", b"?") if w else False for w in words]
-    out[0, last + 2] = out[-1, last + 3] = 1
-    return out
+        slots[:, j] = _SLOTS[j] + np.searchsorted(edges, values[name], side="left")
+    at = 0
+    for size in sizes:
+        seen: set[str] = set()
+        for i in range(at, at + size):
+            flags[i, 0] = lines[i] in seen
+            seen.add(lines[i])
+        flags[at, 2] = flags[at + size - 1, 3] = 1
+        flags[at : at + size, 4], flags[at : at + size, 5] = size == 1, 1 < size <= FEW_LINES
+        at += size
+    flags[:, 1] = [bool(w) and w[-1][-1:] in (b".", b"!", b"?") for w in words]
+    return Lines(slots, flags, ink)
 
 
-def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
+def line_features(lines: list[str]) -> np.ndarray:
+    """The features each line of one text has, as 0 or 1; a row a line."""
+    found = describe(lines, [len(lines)] if lines else [])
+    out = np.zeros((len(lines), N_FEATURES), dtype=np.float32)
+    np.put_along_axis(out, found.slots, 1, axis=1)
+    out[:, int(_SLOTS[-1]) :] = found.flags
+    return out
 
 
-def fit_crf(texts: list[tuple[np.ndarray, int]], steps: int = STEPS, l2: float = 1e-3) -> LineModel | None:
-    """Gradient ascent on the likelihood of label sequences; texts are (features of lines, label of all its lines)."""
-    if len({y for _, y in texts}) < 2:
+def fit_crf(texts: list[tuple[np.ndarray, np.ndarray]], steps: int = STEPS, l2: float = 1e-3) -> LineModel | None:
+    """Gradient ascent on the likelihood of label sequences; texts are (features of lines, labels of lines).
+
+    Texts of mostly content and of mostly boilerplate count the same in sum.
+    """
+    if len({int(k) for _, y in texts for k in y}) < 2:
         return None
-    longest = max(len(x) for x, _ in texts)
-    features = np.zeros((len(texts), longest, N_FEATURES), dtype=np.float32)
-    there = np.zeros((len(texts), longest), dtype=bool)
-    gold = np.array([y for _, y in texts])
-    for i, (x, _) in enumerate(texts):
-        features[i, : len(x)], there[i, : len(x)] = x, True
-    weight = np.where(gold == 1, 0.5 / max(1, (gold == 1).sum()), 0.5 / max(1, (gold == 0).sum()))
+    texts = sorted(texts, key=lambda t: -len(t[1]))  # at line t only the first texts[:more[t]] go on
+    sizes = np.array([len(y) for _, y in texts])
+    more = [int((sizes > t).sum()) for t in range(int(sizes[0]))]
+    x, gold = np.concatenate([f for f, _ in texts]).astype(np.float64), np.concatenate([y for _, y in texts])
+    starts = np.cumsum(sizes) - sizes
+    good = np.array([2 * y.sum() >= len(y) for _, y in texts])
+    weight = np.where(good, 0.5 / max(1, good.sum()), 0.5 / max(1, (~good).sum()))
+    each, last = np.repeat(weight, sizes), starts + sizes - 1
+    follows = np.ones(len(gold), dtype=bool)
+    follows[starts] = False
+    after = np.flatnonzero(follows)
+    hot = np.eye(2)[gold]
+    real = np.einsum("ni,nj,n->ij", hot[after - 1], hot[after], each[after])
     emit, move = np.zeros((N_FEATURES, 2)), np.zeros((2, 2))
     grad_e2, grad_m2 = np.full_like(emit, 1e-8), np.full_like(move, 1e-8)
-    hot = np.eye(2)[gold]
     for _ in range(steps):
-        score = features @ emit
-        alpha, beta = np.zeros_like(score), np.zeros_like(score)
-        alpha[:, 0] = score[:, 0]
-        for t in range(1, longest):
-            step = _logsum(alpha[:, t - 1, :, None] + move, 1) + score[:, t]
-            alpha[:, t] = np.where(there[:, t, None], step, alpha[:, t - 1])
-        for t in range(longest - 2, -1, -1):
-            step = _logsum(move + (beta[:, t + 1] + score[:, t + 1])[:, None, :], 2)
-            beta[:, t] = np.where(there[:, t + 1, None], step, 0)
-        total = _logsum(alpha[:, -1], 1)
-        share = np.exp(np.clip(alpha + beta - total[:, None, None], -50, 0)) * there[:, :, None]
-        off = (hot[:, None, :] * there[:, :, None] - share) * weight[:, None, None]
-        g_emit = np.einsum("dtf,dtk->fk", features, off) - l2 * emit
-        g_move = -l2 * move
-        for t in range(1, longest):
-            pair = np.exp(np.clip(alpha[:, t - 1, :, None] + move + (score[:, t] + beta[:, t])[:, None, :] - total[:, None, None], -50, 0))
-            real = hot[:, :, None] * hot[:, None, :]
-            g_move += ((real - pair) * (weight * there[:, t])[:, None, None]).sum(axis=0)
+        score = x @ emit
+        alpha, beta = score.copy(), np.zeros_like(score)
+        for t in range(1, len(more)):
+            at = starts[: more[t]] + t
+            alpha[at] += np.logaddexp(alpha[at - 1, :1] + move[0], alpha[at - 1, 1:] + move[1])
+        for t in range(len(more) - 1, 0, -1):
+            at = starts[: more[t]] + t
+            on = beta[at] + score[at]
+            beta[at - 1] = np.logaddexp(move[:, 0] + on[:, :1], move[:, 1] + on[:, 1:])
+        total = np.repeat(np.logaddexp(alpha[last, 0], alpha[last, 1]), sizes)
+        share = np.exp(np.clip(alpha + beta - total[:, None], -50, 0))
+        pair = alpha[after - 1][:, :, None] + move + (score[after] + beta[after] - total[after, None])[:, None, :]
+        g_emit = x.T @ ((hot - share) * each[:, None]) - l2 * emit
+        g_move = real - np.einsum("nij,n->ij", np.exp(np.clip(pair, -50, 0)), each[after]) - l2 * move
         grad_e2 += g_emit**2
         grad_m2 += g_move**2
         emit += 0.3 * g_emit / np.sqrt(grad_e2)
@@ -144,7 +186,11 @@ def fit_crf(texts: list[tuple[np.ndarray, int]], steps: int = STEPS, l2: float =
 
 def viterbi(features: np.ndarray, model: LineModel) -> list[int]:
     """The likeliest labels of the lines; ties go to content."""
-    score = (features @ model.emit).tolist()
+    return best_path((features @ model.emit).tolist(), model)
+
+
+def best_path(score: list[list[float]], model: LineModel) -> list[int]:
+    """The likeliest labels of lines with these scores of (boilerplate, content)."""
     (bb, bc), (cb, cc) = model.move.tolist()
     back: list[tuple[int, int]] = []
     b, c = score[0]
@@ -158,8 +204,27 @@ def viterbi(features: np.ndarray, model: LineModel) -> list[int]:
     return labels[::-1]
 
 
+def weak_labels(lines: list[tuple[int, np.ndarray]]) -> list[np.ndarray]:
+    """Labels of the lines of each document, from (quality, hashes of lines)."""
+    around: dict[int, set[tuple[int, int]]] = {}
+    for _, own in lines:
+        beside = [0, *own.tolist(), 0]
+        for before, line, after in zip(beside, beside[1:-1], beside[2:]):
+            around.setdefault(line, set()).add((before, after))
+
+    def repeated(line: int) -> bool:
+        # as many other lines before it, and after it
+        return all(len({x[i] for x in around[line]}) >= REPEATED for i in (0, 1))
+
+    return [np.array([q and not (len(own) > FEW_LINES and repeated(x)) for x in own.tolist()], dtype=np.int64) for q, own in lines]
+
+
 def train_line_model(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES) -> LineModel | None:
-    """A CRF from at most ``sample_docs`` labelled documents of each quality, those whose ids hash lowest."""
+    """A CRF from at most ``sample_docs`` labelled documents of each quality, those whose ids hash lowest.
+
+    Documents of more than ``sample_lines`` lines are left out of the sample;
+    of the others all lines are read.
+    """
     known = labels.select("doc_id", "quality").dropna().groupBy("doc_id").agg(F.min("quality").alias("quality"))
     quality: dict[int, int] = {}
     for q in (0, 1):
@@ -168,13 +233,27 @@ def train_line_model(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMP
         return None
 
     def features(x: dict[str, list]) -> dict[str, object]:
-        lines = [[y for y in (t or "").split("\n") if y.translate(_TABLE)][:sample_lines] for t in x["text"]]
-        rows = [(d, line_features(y).astype(np.uint8).tobytes()) for d, y in zip(x["doc_id"], lines) if y]
-        return {"doc_id": [r[0] for r in rows], "features": [r[1] for r in rows]}
+        lines = [_worded((t or "").split("\n")) for t in x["text"]]
+        rows = [(d, line_features(y).astype(np.uint8).tobytes(), np.array([xxhash.xxh3_64_intdigest(z) >> 1 for z in y], np.int64).tobytes()) for d, y in zip(x["doc_id"], lines) if y]
+        return {"doc_id": [r[0] for r in rows], "features": [r[1] for r in rows], "hashes": [r[2] for r in rows]}
 
-    picked = docs.select("doc_id", "text").filter(F.col("doc_id").isin(list(quality)))
-    got = sorted((r[0], bytes(r[1])) for r in map_batches(picked, features, "doc_id long, features binary").collect())
-    return fit_crf([(np.frombuffer(f, np.uint8).reshape(-1, N_FEATURES).astype(np.float32), quality[d]) for d, f in got])
+    picked = docs.select("doc_id", "text").filter(F.col("doc_id").isin(list(quality)) & (F.size(F.split("text", "\n", -1)) <= sample_lines))
+    got = sorted((r[0], bytes(r[1]), bytes(r[2])) for r in map_batches(picked, features, "doc_id long, features binary, hashes binary").collect())
+    gold = weak_labels([(quality[d], np.frombuffer(h, np.int64)) for d, _, h in got])
+    model = fit_crf([(np.frombuffer(f, np.uint8).reshape(-1, N_FEATURES).astype(np.float32), y) for (_, f, _), y in zip(got, gold)])
+    counts = dict(known.groupBy("quality").count().collect())
+    return model and with_odds(model, counts.get(1, 1) / counts.get(0, 1))
+
+
+def with_odds(model: LineModel, odds: float) -> LineModel:
+    """The model for texts that are content ``odds`` times as often as boilerplate; it was fitted as if both were as often."""
+    emit = model.emit.copy()
+    emit[int(_SLOTS[-1]) + 2, 1] += np.log(odds)
+    return LineModel(emit, model.move)
+
+
+def _worded(lines: list[str]) -> list[str]:
+    return [y for y in lines if y and not (y.isspace() and not y.translate(_TABLE))]
 
 
 def repeated_words(hashes: np.ndarray, width: int = SHINGLE_WORDS) -> int:
@@ -190,28 +269,49 @@ def repeated_words(hashes: np.ndarray, width: int = SHINGLE_WORDS) -> int:
     return int((np.cumsum(edge[:-1]) > 0).sum())
 
 
-def judged(text: str | None, hashes: WordHashes, model: LineModel | None, share: float) -> tuple:
-    """One text's columns of :func:`quality_rules`, in their order."""
-    text = text or ""
-    words = split_words(text)
-    n = len(words)
-    repeats = repeated_words(hashes.of(words)) if n else 0
-    lines = [y for y in text.split("\n") if y and not (y.isspace() and not y.translate(_TABLE))]
-    failed = n < 10 or 100 * repeats > 20 * n
-    content = 1.0 if n else 0.0
-    if n and model is not None:
-        weights = [len(y) - sum(map(y.count, SPACES)) for y in lines]
-        labels = viterbi(line_features(lines), model)
-        content = sum(w for w, k in zip(weights, labels) if k) / sum(weights)
-    chars, symbols = len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS))
-    return n, chars, symbols, len(lines) - len(set(lines)), repeats, failed, content, not failed and content >= share
+def judged(texts: list[str | None], hashes: WordHashes, model: LineModel | None, share: float) -> list[tuple]:
+    """Each text's columns of :func:`quality_rules`, in their order; the lines of all texts are described together."""
+    held, lines, sizes = [], [], []
+    for text in texts:
+        text = text or ""
+        words = split_words(text)
+        own = _worded(text.split("\n")) if words else []
+        repeats = repeated_words(hashes.of(words)) if len(words) >= SHINGLE_WORDS else 0
+        chars, symbols = len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS))
+        held.append((len(words), chars, symbols, len(own) - len(set(own)), repeats, len(words) < 10 or 100 * repeats > 20 * len(words)))
+        if own and model is not None:
+            lines += own
+            sizes.append(len(own))
+    found = describe(lines, sizes)
+    score, ink = (found.scores(model).tolist(), found.ink.tolist()) if model is not None else ([], [])
+    out, at, left = [], 0, iter(sizes)
+    for n, *counts, failed in held:
+        content = 1.0 if n else 0.0
+        if n and model is not None:
+            end = at + next(left)
+            weights = ink[at:end]
+            content = sum(w for w, k in zip(weights, best_path(score[at:end], model)) if k) / sum(weights)
+            at = end
+        out.append((n, *counts, failed, content, not failed and content >= share))
+    return out
+
+
+def _judged_in_groups(texts: list[str | None], hashes: WordHashes, model: LineModel | None, share: float) -> list[tuple]:
+    out, group, chars = [], [], 0
+    for text in texts:
+        group.append(text)
+        chars += len(text or "")
+        if chars >= GROUP_CHARS:
+            out += judged(group, hashes, model, share)
+            group, chars = [], 0
+    return out + judged(group, hashes, model, share)
 
 
 def quality_rules(docs: DataFrame, model: LineModel | None, share: float = CONTENT_SHARE) -> DataFrame:
     """Counts, ``base_failed``, ``content_share`` and ``kept`` for every row.  Nothing is shuffled."""
 
     def judge(x: dict[str, list], hashes: WordHashes) -> dict[str, object]:
-        rows = [(doc, *judged(text, hashes, model, share)) for doc, text in zip(x["doc_id"], x["text"])]
+        rows = [(doc, *r) for doc, r in zip(x["doc_id"], _judged_in_groups(x["text"], hashes, model, share))]
         return dict(zip(_COLUMNS, zip(*rows))) if rows else {c: [] for c in _COLUMNS}
 
     return map_batches(docs.select("doc_id", "text"), judge, _RULES, state=WordHashes)
@@ -224,7 +324,7 @@ def keep_good(docs: DataFrame, model: LineModel | None, share: float = CONTENT_S
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            stays = [judged(t, hashes, model, share)[-1] for t in batch.column(place).to_pylist()]
+            stays = [r[-1] for r in _judged_in_groups(batch.column(place).to_pylist(), hashes, model, share)]
             yield batch.filter(pa.array(stays, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
