@@ -1,14 +1,16 @@
 """Language by compression.
 
-Each language has a raw-content zstandard dictionary: the words of passages of
-its documents, each once, the most frequent last, where references to them are
+Each language has a raw-content zstandard dictionary: the words of documents
+of it, each once, the most frequent last, where references to them are
 shortest.  (Running text would let one copied passage decide.)  Case is folded.
 A text is cut into chunks, all of it; each chunk is compressed with
 each dictionary, and the language with the smallest sum wins (ties: the first
 by name).  The score is the share that it saves against the second, 0 to 1;
 where that is under ``MARGIN`` the verdict is not accepted, though the best
 language is still named.  A null text, or one without letters, is ``und`` with
-score 0 and not accepted; so is every text if nothing was learned.
+score 0 and not accepted; so is every text if nothing was learned.  Rows are
+judged one by one, whether or not their ids repeat; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -22,12 +24,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, split_words
+from .common import map_batches
 
-#: Bounds of the sample that a language is learned from: documents of a language, and
-#: characters of one passage of each, taken at a place that the id decides.
+#: Most documents that a language is learned from, each of them whole.
 SAMPLE_DOCS = 60
-PASSAGE_CHARS = 3000
 DICTIONARY_BYTES = 65_536
 CHUNK_BYTES = 2048
 LEVEL = 5
@@ -40,12 +40,13 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == HELD_OUT, F.lit(False))
 
 
-def learn_dictionaries(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, passage_chars: int = PASSAGE_CHARS) -> dict[str, bytes]:
+def learn_dictionaries(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, limit: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """A dictionary for each non-null ``lang`` of the rows that are not held out.
 
     Only ids and languages are ranked, by a hash of the id; Spark keeps the
     first ``sample_docs`` of a language in each task before it shuffles them.
-    At most that many passages of a language reach the driver.
+    Their whole texts are counted, word by word, and of the counts only what
+    fits into a dictionary reaches the driver.
     """
     rows = docs.filter(~held_out() & docs["lang"].isNotNull() & docs["text"].isNotNull() & docs["doc_id"].isNotNull()).select("doc_id", "lang", "text")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
@@ -53,14 +54,14 @@ def learn_dictionaries(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, passage_
     ids = [r[0] for r in picked.select("doc_id").distinct().collect()]
     if not ids:
         return {}
-    spare = F.greatest(F.length("text") - passage_chars, F.lit(0)) + 1
-    passages = rows.filter(F.col("doc_id").isin(ids)).select(
-        "lang", F.substring("text", F.pmod(F.xxhash64("doc_id"), spare).cast("int") + 1, F.lit(passage_chars)).alias("text")
-    )
-    words: dict[str, collections.Counter] = {}
-    for lang, text in passages.collect():
-        words.setdefault(lang, collections.Counter()).update(split_words(text.lower()))
-    return {lang: word_dictionary(counts) for lang, counts in sorted(words.items())}
+    words = rows.filter(F.col("doc_id").isin(ids)).select("lang", F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("word")).filter("word <> ''")
+    counts = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
+    # a word takes two bytes at least, with its space
+    ranked = counts.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("nth") <= limit // 2)
+    found: dict[str, collections.Counter] = {}
+    for lang, word, n in ranked.select("lang", "word", "n").collect():
+        found.setdefault(lang, collections.Counter())[word.encode()] = n
+    return {lang: word_dictionary(n, limit) for lang, n in sorted(found.items())}
 
 
 def word_dictionary(counts: collections.Counter, limit: int = DICTIONARY_BYTES) -> bytes:
