@@ -5,6 +5,10 @@ pattern always starts a new piece at a space that a character other than white
 space follows.  So a text is cut at those spaces, and each chunk is encoded on
 its own and remembered: most chunks come up again and again.  The ids of a text
 are the ids of its chunks, one after the other, whatever its length.
+
+Rows are encoded one by one: rows that repeat an id or a text, or lack an id,
+each get their ids, a null text is an empty one and has no ids, and an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,6 +33,9 @@ _CHUNK_START = re.compile(r" (?=\S)")
 class ChunkEncoder:
     """Ids of whole texts from ids of chunks; ``encode_chunks`` does new ones."""
 
+    #: Chunks of more characters are not remembered, so that ``limit`` of them take about 60 MB.
+    SHORT = 32
+
     def __init__(self, encode_chunks: Callable[[list[str]], Iterable[bytes]], limit: int = 300_000, group_chars: int = 1_000_000):
         self.encode_chunks, self.limit, self.group_chars = encode_chunks, limit, group_chars
         self.known: dict[str, bytes] = {}
@@ -57,9 +64,8 @@ class ChunkEncoder:
         head = dict(zip(heads, coded[len(new) :]))
         head[""] = b""
         out = [head[parts[0]] + b"".join(map(known.__getitem__, itertools.islice(parts, 1, None))) for parts in group]
-        if len(known) > self.limit:
-            for x in new:
-                del known[x]
+        for x in new if len(known) > self.limit else [x for x in new if len(x) > self.SHORT]:
+            del known[x]
         return out
 
 

@@ -15,7 +15,7 @@ so that any store Spark reaches will do and lost executors leave no torn files:
 
 Documents are in ascending doc_id, null ids first (written as the smallest
 64-bit integer); rows that repeat an id stand side by side.  A null or empty
-text has the end id alone.
+text has the end id alone.  An empty table gives files without blocks.
 """
 
 from __future__ import annotations
@@ -33,9 +33,10 @@ from pyspark.sql import functions as F
 from .bpe import library_encoder
 from .common import _arrow_schema, id_and_text, map_batches
 
-#: A dictionary is trained on at most so many documents, and on at most so many bytes of each.
+#: A dictionary is trained on at most so many documents, and of each on at most so many pieces, spread evenly over all its ids.
 SAMPLE_DOCS = 400
-SAMPLE_BYTES = 16_384
+SAMPLE_PIECES = 16
+PIECE_BYTES = 1024
 DICTIONARY_BYTES = 65_536
 DOCS_PER_SHARD = 8192
 BLOCK_BYTES = 16_000_000
@@ -51,15 +52,23 @@ def _with_end(ids: list[bytes], end_id: int | None) -> list[bytes]:
     return [x + end for x in ids]
 
 
+def spread_pieces(raw: bytes, most: int = SAMPLE_PIECES, size: int = PIECE_BYTES) -> list[bytes]:
+    """All of ``raw`` in pieces, or ``most`` of them at even distances from its start to its end."""
+    n = -(-len(raw) // size)
+    return [raw[i * size : (i + 1) * size] for i in (range(n) if n <= most else (j * (n - 1) // (most - 1) for j in range(most)))]
+
+
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int | None) -> bytes:
     """A dictionary from the :data:`SAMPLE_DOCS` documents whose ids hash lowest; empty if there is too little."""
     ids = [r[0] for r in docs.select("doc_id").dropna().distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()]
     if not ids:
         return b""
     picked = id_and_text(docs).filter(F.col("doc_id").isin(ids))
-    coded = map_batches(picked, lambda x: {"ids": [i[:SAMPLE_BYTES] for i in _with_end(library_encoder(tokenizer).encode(x["text"]), end_id)]}, "ids binary")
-    samples = sorted(bytes(r[0]) for r in coded.collect())
-    samples = [s[i : i + 1024] for s in samples for i in range(0, len(s), 1024)]
+
+    def pieces(x: dict[str, list]) -> dict[str, object]:
+        return {"piece": [p for raw in _with_end(library_encoder(tokenizer).encode(x["text"]), end_id) for p in spread_pieces(raw)]}
+
+    samples = sorted(bytes(r[0]) for r in map_batches(picked, pieces, "piece binary").collect())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
