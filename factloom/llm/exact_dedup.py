@@ -47,8 +47,8 @@ def exact_dedup(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
         ),
         "exact-full",
     )
-    # -doc_id is null for a null id, and nulls are the smallest of a struct's fields
-    rank = F.struct("chars", (-F.col("doc_id")).alias("back"))
+    # all bits turned, ids sort backwards; a null stays null, and nulls are the smallest of a struct's fields
+    rank = F.struct("chars", F.bitwise_not("doc_id").alias("back"))
     groups = full.groupBy("digest").agg(F.count("*").alias("group_size"), F.max_by("doc_id", rank).alias("keep_id"), F.max("chars").alias("most"))
     twins = Window.partitionBy("digest", "doc_id").orderBy(F.desc("chars"))
     grouped = (

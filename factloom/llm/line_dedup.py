@@ -1,7 +1,8 @@
 """Line deduplication over three-line windows, with DataFrame functions only.
 
 A text's lines are what ``\\n`` separates, compared as they are.  Windows of
-three consecutive lines that all hold nothing but white space are passed over.
+three consecutive lines that all hold nothing but white space (space, U+0009 to
+U+000D) are passed over.
 A window that occurred before, in the order of (doc_id, text hash, position),
 is a later occurrence; all lines that later occurrences cover go.  Texts of
 fewer than three lines stay whole, a null text counts as empty, and null ids
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import SPACES, id_and_text
 
 WINDOW_LINES = 3
 
@@ -32,7 +33,7 @@ def covered_lines(docs: DataFrame, window_lines: int = WINDOW_LINES) -> DataFram
     hashed = lines.select(
         "doc_id",
         "print",
-        F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b"), (F.trim(x) != "").alias("word"))).alias("h"),
+        F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b"), (F.btrim(x, F.lit(SPACES)) != "").alias("word"))).alias("h"),
     )
     span = range(window_lines)
     at = lambda i, k: F.element_at("h", i + k + 1)

@@ -99,7 +99,7 @@ _OP4 = r"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 p AS (SELECT doc_id, unnest(range(1, len(l) - 1)) AS i, l FROM d WHERE len(l) >= 3),
 x AS (SELECT doc_id, i, l[i] || chr(10) || l[i + 1] || chr(10) || l[i + 2] AS s FROM p),
-y AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS nth FROM x WHERE trim(replace(s, chr(10), '')) <> ''),
+y AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS nth FROM x WHERE regexp_matches(s, '[^\x20\x09-\x0D]')),
 g AS (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS j FROM y WHERE nth > 1),
 a AS (SELECT doc_id, list(j) AS gone FROM g GROUP BY doc_id)
 SELECT d.doc_id, len(l)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed,

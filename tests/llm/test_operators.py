@@ -222,7 +222,7 @@ def test_line_dedup(docs, rows):
         lines = (t or "").split("\n")
         for i in range(len(lines) - 2):
             w = tuple(lines[i : i + 3])
-            if any(x.strip(" ") for x in w):
+            if any(x.strip(" \t\n\x0b\x0c\r") for x in w):
                 if w in seen:
                     gone[d, t] |= {i, i + 1, i + 2}
                 seen.add(w)
