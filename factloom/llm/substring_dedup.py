@@ -40,6 +40,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,7 +54,7 @@ PLACES = WINDOW_WORDS - PREFIX_WORDS + 1
 GROUP_SUFFIXES = 50_000
 #: Suffixes, and bytes of them, that a task compares before it deals them.
 BATCH_SUFFIXES, BATCH_BYTES = 200_000, 32_000_000
-_SPOTS = "doc_id long, keys array<long>, spots array<long>"
+_SPOTS = "doc_id long, packed binary, keys array<long>, spots array<long>"
 _SUFFIX = "key long, doc_id long, lead int, words binary, gone binary"
 _GONE = "doc_id long, gone binary"
 _DONE = "doc_id long, n_words long, n_removed long, kept_text string"
@@ -88,19 +89,20 @@ def _spots(text: str | None, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray
 
 
 def _placed(docs: DataFrame) -> DataFrame:
+    """Each row's text (``packed`` by zstandard, as it is shuffled twice) and its anchors."""
     arrow = _arrow_schema(_SPOTS)
+    none = (np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, pack = WordHashes(), zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
-                part = batch.slice(lo, 200)
-                found = [(d, got) for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if (got := _spots(t, hashes)) is not None]
-                if found:
-                    ends = pa.array(np.cumsum([0, *(len(g[0]) for _, g in found)]), pa.int32())
-                    lists = (pa.ListArray.from_arrays(ends, pa.array(np.concatenate([g[i] for _, g in found]).view(np.int64))) for i in (0, 1))
-                    columns = [pa.array([d for d, _ in found], pa.int64()), *(x.cast(f.type) for x, f in zip(lists, list(arrow)[1:]))]
-                    yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+                texts = batch.column(1).slice(lo, 200).to_pylist()
+                found = [_spots(t, hashes) or none for t in texts]
+                ends = pa.array(np.cumsum([0, *(len(f[0]) for f in found)]), pa.int32())
+                lists = (pa.ListArray.from_arrays(ends, pa.array(np.concatenate([f[i] for f in found]).view(np.int64))) for i in (0, 1))
+                columns = [batch.column(0).slice(lo, 200), pa.array([pack(t.encode()) for t in texts], pa.binary()), *(x.cast(f.type) for x, f in zip(lists, list(arrow)[2:]))]
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return docs.mapInArrow(run, _SPOTS)
 
@@ -135,7 +137,7 @@ def _by_document(doc: np.ndarray, windows: np.ndarray) -> tuple[list[int], list[
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
-    """Suffixes of ``rows(doc_id, text, spots)`` by prefix, and (without words) what a batch found covered."""
+    """Suffixes of ``rows(doc_id, packed, spots)`` by prefix, and (without words) what a batch found covered."""
     arrow = _arrow_schema(_SUFFIX)
 
     def compare(found: list[tuple[int, int, int, bytes]], hashes: WordHashes) -> pa.RecordBatch:
@@ -155,13 +157,13 @@ def _dealt(rows: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, digest = WordHashes(), xxhash.xxh3_64_intdigest
+        hashes, digest, unpack = WordHashes(), xxhash.xxh3_64_intdigest, zstandard.ZstdDecompressor().decompress
         found: list[tuple[int, int, int, bytes]] = []
         size = 0
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
-                for doc, text, spots in zip(*(batch.column(i).slice(lo, 200).to_pylist() for i in range(3))):
-                    words = split_words(text)
+                for doc, packed, spots in zip(*(batch.column(i).slice(lo, 200).to_pylist() for i in range(3))):
+                    words = unpack(packed).split()
                     for spot in spots:
                         deep, spot = spot < 0, abs(spot)
                         first, lead, count = spot >> 8, spot >> 4 & 15, spot & 15
@@ -236,8 +238,11 @@ def _met(suffixes: DataFrame, group_suffixes: int) -> DataFrame:
         hit, nth = np.nonzero(covered_windows(doc, np.maximum(lead, 0), words, starts, sizes))
         if not len(hit):
             return None
-        columns = _by_document(doc[hit], _window_hashes(words, starts[hit] + nth, hashes))
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+        # a row for each suffix with covered windows, so that rows are in proportion to the suffixes
+        first = np.flatnonzero(np.concatenate(([True], hit[1:] != hit[:-1])))
+        ends = (8 * np.append(first, len(hit))).astype(np.int32)
+        gone = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(_window_hashes(words, starts[hit] + nth, hashes))])
+        return pa.RecordBatch.from_arrays([pa.array(doc[hit[first]], pa.int64()), gone], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -282,15 +287,10 @@ def _columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     return table.column(1).to_numpy(), table.column(2).to_numpy().astype(np.int64), table.column(3).to_pylist()
 
 
-def _known(docs: DataFrame) -> DataFrame:
-    return id_and_text(docs).filter(F.col("doc_id").isNotNull())
-
-
-def repeated_windows(docs: DataFrame, group_suffixes: int = GROUP_SUFFIXES) -> DataFrame:
+def repeated_windows(placed: DataFrame, group_suffixes: int = GROUP_SUFFIXES) -> DataFrame:
     """``at_id, gone``: hashes of the windows of a document that a smaller doc_id has too."""
-    base = _known(docs)
-    shared = staged(_shared(staged(_placed(base), "substring-spots"), group_suffixes), "substring-shared")
-    suffixes = base.join(shared, F.col("doc_id") == F.col("at_id")).select("doc_id", "text", "spots")
+    shared = staged(_shared(placed, group_suffixes), "substring-shared")
+    suffixes = placed.select("doc_id", "packed").join(shared, F.col("doc_id") == F.col("at_id")).select("doc_id", "packed", "spots")
     found = _met(_dealt(suffixes), group_suffixes)
     return found.groupBy(F.col("doc_id").alias("at_id")).agg(F.collect_list("gone").alias("gone"))
 
@@ -311,19 +311,20 @@ def _per_text(docs: DataFrame, group_suffixes: int, one, schema: str) -> DataFra
     arrow = _arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, unpack = WordHashes(), zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
                 out: list[tuple] = []
-                for doc, text, gone in zip(*(batch.column(i).slice(lo, 200).to_pylist() for i in range(3))):
-                    words = split_words(text)
+                for doc, packed, gone in zip(*(batch.column(i).slice(lo, 200).to_pylist() for i in range(3))):
+                    words = unpack(packed).split()
                     out += one(doc, words, _runs(words, gone, hashes))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
 
-    gone = repeated_windows(docs, group_suffixes)
-    joined = _known(docs).join(gone, F.col("doc_id") == F.col("at_id"), "left").select("doc_id", "text", "gone")
-    nameless = id_and_text(docs).filter(F.col("doc_id").isNull()).withColumn("gone", F.lit(None).cast(joined.schema["gone"].dataType))
+    placed = staged(_placed(id_and_text(docs)), "substring-spots")
+    known = placed.filter(F.col("doc_id").isNotNull())
+    joined = known.join(repeated_windows(known, group_suffixes), F.col("doc_id") == F.col("at_id"), "left").select("doc_id", "packed", "gone")
+    nameless = placed.filter(F.col("doc_id").isNull()).select("doc_id", "packed", F.lit(None).cast(joined.schema["gone"].dataType).alias("gone"))
     return joined.mapInArrow(run, schema).union(nameless.mapInArrow(run, schema))
 
 
