@@ -8,7 +8,9 @@ as runs, which are the maximal repeats.  The tree is never whole anywhere:
    5 words in a window the one with the smallest hash is its anchor, so equal
    windows have equal anchors at equal places.  One suffix for each anchor
    place goes on, with the up to 9 windows that chose it.  Prefixes are counted,
-   and suffixes whose prefix one document alone has meet no other and end here.
+   in a task's own batches first: two documents of a batch know at once that they
+   share a prefix, and one row tells other tasks.  Suffixes whose prefix one
+   document alone has meet no other and end here.
 2. Groups.  Suffixes are dealt by prefix, with the words of their windows.  The
    prefix is 5 words long where at most GROUP_SUFFIXES suffixes have it.  Where
    more have it, it is lengthened, window by window, to the 13 words that the
@@ -40,7 +42,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,7 +55,10 @@ PLACES = WINDOW_WORDS - PREFIX_WORDS + 1
 GROUP_SUFFIXES = 50_000
 #: Suffixes, and bytes of them, that a task compares before it deals them.
 BATCH_SUFFIXES, BATCH_BYTES = 200_000, 32_000_000
-_SPOTS = "doc_id long, packed binary, keys array<long>, spots array<long>"
+#: ``spot`` 0: ``n`` suffixes of documents from ``doc_id`` to ``high``, which know that they share their prefix.
+_SPOTS = "key long, doc_id long, high long, spot long, n long, known boolean"
+#: ``spot`` 0: a prefix that is to be lengthened.
+_SHARED = "key long, doc_id long, spot long"
 _SUFFIX = "key long, doc_id long, lead int, words binary, gone binary"
 _GONE = "doc_id long, gone binary"
 _DONE = "doc_id long, n_words long, n_removed long, kept_text string"
@@ -89,31 +93,81 @@ def _spots(text: str | None, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray
 
 
 def _placed(docs: DataFrame) -> DataFrame:
-    """Each row's text (``packed`` by zstandard, as it is shuffled twice) and its anchors."""
+    """The anchors of all texts; those that a batch knows to be shared, and a row for each of their prefixes, beside the others."""
     arrow = _arrow_schema(_SPOTS)
-    none = (np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64))
+
+    def compare(docs: list[int], parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        key, spot = (np.concatenate(x) for x in zip(*parts))
+        doc = np.repeat(np.array(docs, dtype=np.int64), [len(p[0]) for p in parts])
+        order = np.argsort(key, kind="stable")
+        key, spot, doc = key[order].view(np.int64), spot[order], doc[order]
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        n = np.diff(np.append(start, len(key)))
+        low, high = np.minimum.reduceat(doc, start), np.maximum.reduceat(doc, start)
+        known, told = np.repeat(low < high, n), low < high
+        columns = (
+            np.concatenate([key, key[start[told]]]), np.concatenate([doc, low[told]]), np.concatenate([doc, high[told]]),
+            np.concatenate([spot, np.zeros(told.sum(), np.int64)]), np.concatenate([np.ones(len(key), np.int64), n[told]]), np.concatenate([known, np.zeros(told.sum(), bool)]),
+        )
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, pack = WordHashes(), zstandard.ZstdCompressor(level=1).compress
+        hashes = WordHashes()
+        docs, parts, size = [], [], 0
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
-                texts = batch.column(1).slice(lo, 200).to_pylist()
-                found = [_spots(t, hashes) or none for t in texts]
-                ends = pa.array(np.cumsum([0, *(len(f[0]) for f in found)]), pa.int32())
-                lists = (pa.ListArray.from_arrays(ends, pa.array(np.concatenate([f[i] for f in found]).view(np.int64))) for i in (0, 1))
-                columns = [batch.column(0).slice(lo, 200), pa.array([pack(t.encode()) for t in texts], pa.binary()), *(x.cast(f.type) for x, f in zip(lists, list(arrow)[2:]))]
-                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+                for doc, text in zip(*(batch.column(i).slice(lo, 200).to_pylist() for i in range(2))):
+                    if (got := _spots(text, hashes)) is not None:
+                        docs.append(doc)
+                        parts.append(got)
+                        size += len(got[0])
+                        if size >= BATCH_SUFFIXES:
+                            yield compare(docs, parts)
+                            docs, parts, size = [], [], 0
+        if parts:
+            yield compare(docs, parts)
 
     return docs.mapInArrow(run, _SPOTS)
 
 
-def _shared(placed: DataFrame, group_suffixes: int) -> DataFrame:
+def _counted(spots: DataFrame, group_suffixes: int) -> DataFrame:
+    """Suffixes whose prefix another document has, and prefixes to be lengthened; a prefix has at most a few rows a batch."""
+    arrow = _arrow_schema(_SHARED)
+
+    def compare(key: np.ndarray, doc: np.ndarray, high: np.ndarray, spot: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        shared = np.minimum.reduceat(doc, start) < np.maximum.reduceat(high, start)
+        long = shared & (np.add.reduceat(n, start) > group_suffixes)
+        rows = np.diff(np.append(start, len(key)))
+        go = np.flatnonzero(np.repeat(shared, rows) & (spot > 0))
+        columns = (np.concatenate([key[go], key[start[long]]]), np.concatenate([doc[go], doc[start[long]]]), np.concatenate([spot[go], np.zeros(long.sum(), np.int64)]))
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            columns = [np.concatenate(x) for x in zip(held, new)] if held else new
+            cut = int(np.searchsorted(columns[0], columns[0][-1]))
+            held = [c[cut:] for c in columns]  # the last prefix may go on
+            if cut:
+                yield compare(*(c[:cut] for c in columns))
+        if held:
+            yield compare(*held)
+
+    open_ = spots.filter("NOT known").select("key", "doc_id", "high", "spot", "n")
+    return open_.repartition("key").sortWithinPartitions("key").mapInArrow(run, _SHARED)
+
+
+def _shared(spots: DataFrame, group_suffixes: int) -> DataFrame:
     """``at_id, spots``: the suffixes of a document whose prefix another one has; negative where it is to be lengthened."""
-    keys = placed.select("doc_id", F.explode("keys").alias("key"))
-    ends = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
-    prefixes = ends.filter("low < high").select("key", (F.col("n") > group_suffixes).alias("lengthen"))
-    each = placed.select("doc_id", F.explode(F.arrays_zip("keys", "spots")).alias("s")).select("doc_id", F.col("s.keys").alias("key"), F.col("s.spots").alias("spot"))
-    met = each.join(prefixes, "key").select("doc_id", F.when(F.col("lengthen"), -F.col("spot")).otherwise(F.col("spot")).alias("spot"))
+    counted = staged(_counted(spots, group_suffixes), "substring-counted")
+    each = counted.filter("spot > 0").union(spots.filter("known").select("key", "doc_id", "spot"))
+    # at most one in group_suffixes suffixes has such a prefix of its own, so Spark mostly finds this side small
+    long = counted.filter("spot = 0").select("key", F.lit(True).alias("long"))
+    met = each.join(long, "key", "left").select("doc_id", F.when(F.col("long"), -F.col("spot")).otherwise(F.col("spot")).alias("spot"))
     return met.groupBy(F.col("doc_id").alias("at_id")).agg(F.collect_list("spot").alias("spots"))
 
 
@@ -137,7 +191,7 @@ def _by_document(doc: np.ndarray, windows: np.ndarray) -> tuple[list[int], list[
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
-    """Suffixes of ``rows(doc_id, packed, spots)`` by prefix, and (without words) what a batch found covered."""
+    """Suffixes of ``rows(doc_id, text, spots)`` by prefix, and (without words) what a batch found covered."""
     arrow = _arrow_schema(_SUFFIX)
 
     def compare(found: list[tuple[int, int, int, bytes]], hashes: WordHashes) -> pa.RecordBatch:
@@ -157,13 +211,13 @@ def _dealt(rows: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, digest, unpack = WordHashes(), xxhash.xxh3_64_intdigest, zstandard.ZstdDecompressor().decompress
+        hashes, digest = WordHashes(), xxhash.xxh3_64_intdigest
         found: list[tuple[int, int, int, bytes]] = []
         size = 0
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
-                for doc, packed, spots in zip(*(batch.column(i).slice(lo, 200).to_pylist() for i in range(3))):
-                    words = unpack(packed).split()
+                for doc, text, spots in zip(*(batch.column(i).slice(lo, 200).to_pylist() for i in range(3))):
+                    words = split_words(text)
                     for spot in spots:
                         deep, spot = spot < 0, abs(spot)
                         first, lead, count = spot >> 8, spot >> 4 & 15, spot & 15
@@ -287,10 +341,15 @@ def _columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     return table.column(1).to_numpy(), table.column(2).to_numpy().astype(np.int64), table.column(3).to_pylist()
 
 
-def repeated_windows(placed: DataFrame, group_suffixes: int = GROUP_SUFFIXES) -> DataFrame:
+def _known(docs: DataFrame) -> DataFrame:
+    return id_and_text(docs).filter(F.col("doc_id").isNotNull())
+
+
+def repeated_windows(docs: DataFrame, group_suffixes: int = GROUP_SUFFIXES) -> DataFrame:
     """``at_id, gone``: hashes of the windows of a document that a smaller doc_id has too."""
-    shared = staged(_shared(placed, group_suffixes), "substring-shared")
-    suffixes = placed.select("doc_id", "packed").join(shared, F.col("doc_id") == F.col("at_id")).select("doc_id", "packed", "spots")
+    base = _known(docs)
+    shared = staged(_shared(staged(_placed(base), "substring-spots"), group_suffixes), "substring-shared")
+    suffixes = base.join(shared, F.col("doc_id") == F.col("at_id")).select("doc_id", "text", "spots")
     found = _met(_dealt(suffixes), group_suffixes)
     return found.groupBy(F.col("doc_id").alias("at_id")).agg(F.collect_list("gone").alias("gone"))
 
@@ -311,20 +370,20 @@ def _per_text(docs: DataFrame, group_suffixes: int, one, schema: str) -> DataFra
     arrow = _arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, unpack = WordHashes(), zstandard.ZstdDecompressor().decompress
+        hashes = WordHashes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
                 out: list[tuple] = []
-                for doc, packed, gone in zip(*(batch.column(i).slice(lo, 200).to_pylist() for i in range(3))):
-                    words = unpack(packed).split()
+                for doc, text, gone in zip(*(batch.column(i).slice(lo, 200).to_pylist() for i in range(3))):
+                    words = split_words(text)
                     out += one(doc, words, _runs(words, gone, hashes))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
 
-    placed = staged(_placed(id_and_text(docs)), "substring-spots")
-    known = placed.filter(F.col("doc_id").isNotNull())
-    joined = known.join(repeated_windows(known, group_suffixes), F.col("doc_id") == F.col("at_id"), "left").select("doc_id", "packed", "gone")
-    nameless = placed.filter(F.col("doc_id").isNull()).select("doc_id", "packed", F.lit(None).cast(joined.schema["gone"].dataType).alias("gone"))
+    gone = repeated_windows(docs, group_suffixes)
+    # the shuffle of texts by doc_id is the one that repeated_windows has made
+    joined = _known(docs).join(gone, F.col("doc_id") == F.col("at_id"), "left").select("doc_id", "text", "gone")
+    nameless = id_and_text(docs).filter(F.col("doc_id").isNull()).withColumn("gone", F.lit(None).cast(joined.schema["gone"].dataType))
     return joined.mapInArrow(run, schema).union(nameless.mapInArrow(run, schema))
 
 
