@@ -55,8 +55,8 @@ PLACES = WINDOW_WORDS - PREFIX_WORDS + 1
 GROUP_SUFFIXES = 50_000
 #: Suffixes, and bytes of them, that a task compares before it deals them.
 BATCH_SUFFIXES, BATCH_BYTES = 200_000, 32_000_000
-#: ``spot`` 0: ``n`` suffixes of documents from ``doc_id`` to ``high``, which know that they share their prefix.
-_SPOTS = "key long, doc_id long, high long, spot long, n long, known boolean"
+#: ``spot`` under 0: so many suffixes of other documents besides, which know that they share their prefix with this one.
+_SPOTS = "key long, doc_id long, spot long, known boolean"
 #: ``spot`` 0: a prefix that is to be lengthened.
 _SHARED = "key long, doc_id long, spot long"
 _SUFFIX = "key long, doc_id long, lead int, words binary, gone binary"
@@ -105,9 +105,11 @@ def _placed(docs: DataFrame) -> DataFrame:
         n = np.diff(np.append(start, len(key)))
         low, high = np.minimum.reduceat(doc, start), np.maximum.reduceat(doc, start)
         known, told = np.repeat(low < high, n), low < high
+        # of a shared prefix, two rows tell other tasks: the smallest and the largest document, and how many suffixes
+        more = key[start[told]]
         columns = (
-            np.concatenate([key, key[start[told]]]), np.concatenate([doc, low[told]]), np.concatenate([doc, high[told]]),
-            np.concatenate([spot, np.zeros(told.sum(), np.int64)]), np.concatenate([np.ones(len(key), np.int64), n[told]]), np.concatenate([known, np.zeros(told.sum(), bool)]),
+            np.concatenate([key, more, more]), np.concatenate([doc, low[told], high[told]]),
+            np.concatenate([spot, 1 - n[told], np.full(len(more), -1)]), np.concatenate([known, np.zeros(2 * len(more), bool)]),
         )
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
@@ -134,10 +136,10 @@ def _counted(spots: DataFrame, group_suffixes: int) -> DataFrame:
     """Suffixes whose prefix another document has, and prefixes to be lengthened; a prefix has at most a few rows a batch."""
     arrow = _arrow_schema(_SHARED)
 
-    def compare(key: np.ndarray, doc: np.ndarray, high: np.ndarray, spot: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    def compare(key: np.ndarray, doc: np.ndarray, spot: np.ndarray) -> pa.RecordBatch:
         start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        shared = np.minimum.reduceat(doc, start) < np.maximum.reduceat(high, start)
-        long = shared & (np.add.reduceat(n, start) > group_suffixes)
+        shared = np.minimum.reduceat(doc, start) < np.maximum.reduceat(doc, start)
+        long = shared & (np.add.reduceat(np.where(spot > 0, 1, -spot), start) > group_suffixes)
         rows = np.diff(np.append(start, len(key)))
         go = np.flatnonzero(np.repeat(shared, rows) & (spot > 0))
         columns = (np.concatenate([key[go], key[start[long]]]), np.concatenate([doc[go], doc[start[long]]]), np.concatenate([spot[go], np.zeros(long.sum(), np.int64)]))
@@ -148,7 +150,7 @@ def _counted(spots: DataFrame, group_suffixes: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
             columns = [np.concatenate(x) for x in zip(held, new)] if held else new
             cut = int(np.searchsorted(columns[0], columns[0][-1]))
             held = [c[cut:] for c in columns]  # the last prefix may go on
@@ -157,7 +159,7 @@ def _counted(spots: DataFrame, group_suffixes: int) -> DataFrame:
         if held:
             yield compare(*held)
 
-    open_ = spots.filter("NOT known").select("key", "doc_id", "high", "spot", "n")
+    open_ = spots.filter("NOT known").select("key", "doc_id", "spot")
     return open_.repartition("key").sortWithinPartitions("key").mapInArrow(run, _SHARED)
 
 
