@@ -153,9 +153,10 @@ def is_production_handler(fqn: Column | str) -> Column:
 
 
 def in_source_roots(source: Column | str, roots: Sequence[str]) -> Column:
-    """C-20: null sources fail."""
+    """C-20: in one of the folders; null sources fail, blank roots don't count, and without roots all pass."""
     s = F.replace(_c(source), F.lit("\\"), F.lit("/"))
-    return F.coalesce(_any(F.startswith(s, F.lit(r.replace("\\", "/"))) for r in roots), F.lit(False)) if roots else F.lit(True)
+    folders = [f"{r.replace(chr(92), '/').rstrip('/')}/" for r in roots if r and r.strip()]
+    return F.coalesce(_any(F.startswith(s, F.lit(x)) for x in folders), F.lit(False)) if folders else F.lit(True)
 
 
 def in_maven_scope(scope: Column | str, wanted: str | None) -> Column:
@@ -173,13 +174,17 @@ def gate_state(required: Column | str, live: Column | str) -> Column:
     return F.when(v.isNull() | r.isNull(), "UNKNOWN").when(same, "OPEN").otherwise("CLOSED")
 
 
-#: Method name beginnings that write.
-WRITE_PREFIXES = ("save", "insert", "update", "upsert", "delete", "remove", "persist", "write", "put", "add", "merge", "create")
+#: Method name beginnings that read, that write, and what writes wherever it stands; reads come first, others read.
+READ_PREFIXES = ("find", "get", "is", "load", "count", "exists")
+WRITE_PREFIXES = ("save", "insert", "mark", "update", "delete")
+WRITE_PART = "persist"
 
 
 def operation_of(method: Column | str) -> Column:
     """C-23."""
-    return F.when(F.lower(_c(method)).rlike(f"^({'|'.join(WRITE_PREFIXES)})"), "WRITE").otherwise("READ")
+    m = F.lower(_c(method))
+    writes = m.rlike(f"^({'|'.join(WRITE_PREFIXES)})") | m.contains(WRITE_PART)
+    return F.when(writes & ~m.rlike(f"^({'|'.join(READ_PREFIXES)})"), "WRITE").otherwise("READ")
 
 
 def accessor_kind(fqn: Column | str) -> Column:

@@ -8,7 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import class_part, freshness_http, is_test_of, simple_name, test_name_keys
+from ..functions.text import class_part, freshness_http, simple_name, test_name_keys
 from .relational import delete_scoped, distinct_on, latest
 from .traverse import reverse_reachability
 
@@ -141,7 +141,14 @@ def test_suggestions(changed: DataFrame, consumers: DataFrame, external: DataFra
     """E-10: ``kind, subject, test, exists``: unit tests by name or one to be written, integration tests of consumers, external contracts."""
     classes = changed.filter("symbol_kind = 'CLASS'").select("service_id", "symbol_fqn", simple_name("symbol_fqn").alias("simple"))
     names = tests.select("service_id", F.col("symbol_fqn").alias("test_fqn"), simple_name("symbol_fqn").alias("test_name"))
-    matched = classes.join(names, "service_id").filter(is_test_of("test_name", "simple"))
+    # by equal names: the three a class may have, and what may stand after "Test" in a test's own name
+    exact = classes.withColumn("test_name", F.explode(test_name_keys("simple"))).join(names, ["service_id", "test_name"])
+    starts = names.filter(F.startswith("test_name", F.lit("Test"))).withColumn(
+        "simple", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("test_name") - 4, F.lit(1))), lambda n: F.substr("test_name", F.lit(5), n)))
+    )
+    like = classes.join(starts, ["service_id", "simple"])
+    columns = ("service_id", "symbol_fqn", "test_fqn")
+    matched = exact.select(*columns).union(like.select(*columns)).distinct()
     unit = matched.select(F.lit("UNIT").alias("kind"), F.col("symbol_fqn").alias("subject"), F.col("test_fqn").alias("test"), F.lit(True).alias("exists"))
     missing = classes.join(matched.select("symbol_fqn").distinct(), "symbol_fqn", "left_anti").select(
         F.lit("UNIT"), "symbol_fqn", F.concat("simple", F.lit("Test")), F.lit(False)

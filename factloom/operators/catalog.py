@@ -82,7 +82,7 @@ def merge_accesses(accesses: DataFrame, rules: DataFrame, validated: DataFrame)
     tests = [(F.col("e") == F.col("entity"), 0), (F.col("t") == F.col("rt"), 1), ((F.col("a") == F.col("accessor_suffix")) & (F.col("dao_method") == F.col("method")), 2)]
     hits = None
     for test, tier in tests:
-        part = own.select("access_id", "e", "t", "a", "dao_method").join(F.broadcast(rule), test).select("access_id", F.lit(tier).alias("tier"), "rule_id", "set_name", "set_store")
+        part = own.select("access_id", "e", "t", "a", "dao_method").join(rule, test).select("access_id", F.lit(tier).alias("tier"), "rule_id", "set_name", "set_store")
         hits = part if hits is None else hits.union(part)
     best = distinct_on(hits, ["access_id"], [F.asc("tier"), F.asc("rule_id")])
     sure = validated.filter("validation_status = 'DDL_CONFIRMED'").select(normalize_table("physical_name").alias("__t")).distinct().withColumn("confirmed", F.lit(True))

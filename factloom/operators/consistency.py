@@ -102,12 +102,22 @@ def overlay_hints(hints: DataFrame) -> DataFrame:
     return hints.join(gone, ["step", "scenario_id"], "left_anti").select(*hints.columns)
 
 
+#: Most flow-step rules.
+MOST_RULES = 1000
+
+
 def enrich_hints(steps: DataFrame, rules: DataFrame, matches: DataFrame, scenarios: DataFrame) -> DataFrame:
     """F-17: flow steps of a step's handler by rules on its class, and the scenarios matched there; else all of the service.
 
-    ``steps(service_id, handler_class_fqn)``, ``rules(class_contains, flow_step)``; rules are configuration and small.
+    ``steps(service_id, handler_class_fqn)``, ``rules(class_contains, flow_step)``.
+    Rules are configuration, at most :data:`MOST_RULES` of them, and become one
+    expression, so no steps are shuffled or multiplied for them.
     """
-    named = steps.join(F.broadcast(rules), F.contains("handler_class_fqn", F.col("class_contains")), "left")
+    known = rules.select("class_contains", "flow_step").dropna().distinct().limit(MOST_RULES + 1).collect()
+    if len(known) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    hit = F.array(*(F.when(F.contains("handler_class_fqn", F.lit(r[0])), F.lit(r[1])) for r in known)).cast("array<string>")
+    named = steps.withColumn("flow_step", F.explode_outer(F.filter(hit, lambda x: x.isNotNull())))
     flow = named.groupBy("service_id", "handler_class_fqn").agg(F.sort_array(F.collect_set("flow_step")).alias("flow_steps"))
     direct = matches.groupBy("service_id", "handler_class_fqn").agg(F.sort_array(F.collect_set("scenario_id")).alias("direct"))
     every = scenarios.groupBy("service_id").agg(F.sort_array(F.collect_set("scenario_id")).alias("every"))

@@ -11,6 +11,7 @@ from ..functions.text import class_part, in_package, in_source_roots, simple_nam
 from .relational import distinct_on, in_lane, ranked, where_given
 
 #: Triggers are shown in this order of kind.
+SUBSCRIPTION_KINDS = ("KAFKA_SUBSCRIBE", "PUBSUB_SUBSCRIBE")
 KIND_ORDER = ("REST_INBOUND", "WEBHOOK_INBOUND", "PUBSUB_SUBSCRIBE", "KAFKA_SUBSCRIBE", "CRON_SPRING", "CRON_K8S")
 
 
@@ -22,7 +23,12 @@ def entry_triggers(
     df = in_lane(where_given(triggers, service_id=service_id, trigger_kind=kind), env, "env_lane")
     if not with_mains and kind != "SPRING_BOOT_MAIN":
         df = df.filter("trigger_kind <> 'SPRING_BOOT_MAIN'")
-    df = df.filter(in_package("linked_handler_fqn", package) & in_source_roots("source_ref", roots))
+    if package:
+        # a handler known by its interface counts by that; subscriptions belong to no package
+        face = F.get_json_object("attributes", "$.handlerInterfaceFqn") if "attributes" in df.columns else F.lit(None).cast("string")
+        own = in_package("linked_handler_fqn", package) | in_package(face, package)
+        df = df.filter(F.coalesce(own, F.lit(False)) | F.col("trigger_kind").isin(*SUBSCRIPTION_KINDS))
+    df = df.filter(in_source_roots("source_ref", roots))
     return df.orderBy(ranked("trigger_kind", KIND_ORDER), F.asc_nulls_last("path_pattern"), "trigger_id")
 
 

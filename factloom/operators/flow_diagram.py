@@ -61,7 +61,10 @@ class FlowDiagram:
             lines.append(f'    {r["i"]}["{r["l"]}"]')
         lines += ["  end"] if rows else []
         links = self.edges.select(mermaid_id("from_node").alias("a"), mermaid_id("to_node").alias("b"), "edge_type").distinct().orderBy("a", "b", "edge_type")
-        return "\n".join([*lines, *(f"  {r['a']} -->|{r['edge_type']}| {r['b']}" for r in links.limit(20 * MOST_DRAWN).collect())])
+        drawn = links.limit(20 * MOST_DRAWN + 1).collect()
+        if len(drawn) > 20 * MOST_DRAWN:
+            raise ValueError(f"more than {20 * MOST_DRAWN} edges; narrow the package or the depth")
+        return "\n".join([*lines, *(f"  {r['a']} -->|{r['edge_type']}| {r['b']}" for r in drawn)])
 
 
 def compose(nodes: DataFrame, edges: DataFrame, triggers: DataFrame, starts: DataFrame, depth: int = DEFAULT_DEPTH, package: str | None = None, types: Sequence[str] = FLOW_EDGES) -> FlowDiagram:

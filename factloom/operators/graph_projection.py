@@ -179,10 +179,18 @@ def project_triggers(triggers: DataFrame) -> DataFrame:
 
 
 def project_component_scan(mains: DataFrame) -> DataFrame:
-    """G-27: WIRES from a main class to each target that its scan annotation names."""
-    inner = F.regexp_extract("source", r"@(?:ComponentScan|Import)\s*\(([^)]*)\)", 1)
-    targets = F.regexp_extract_all(inner, F.lit(r"([\w.]+)\.class"), F.lit(1))
-    found = mains.select("service_id", "class_fqn", F.explode(targets).alias("target"))
+    """G-27: WIRES from a main class to each class of its scan annotation: by the import of that name, else in its own package; a name with dots is whole."""
+    inner = F.regexp_extract("source", r"@ComponentScan\s*\(\s*basePackageClasses\s*=\s*\{([^}]+)\}", 1)
+    names = F.regexp_extract_all(inner, F.lit(r"([\w.]+)\.class"), F.lit(1))
+    imported = F.regexp_extract_all("source", F.lit(r"(?m)^import\s+([\w.]+\.\w+)\s*;"), F.lit(1))
+    own = F.regexp_extract("class_fqn", r"^(.+)\.[^.]*$", 1)
+
+    def full(name: Column) -> Column:
+        hits = F.filter(imported, lambda i: simple_name(i) == name)
+        local = F.when(name.contains(".") | (own == ""), name).otherwise(F.concat_ws(".", own, name))
+        return F.coalesce(F.try_element_at(hits, F.lit(-1)), local)
+
+    found = mains.select("service_id", "class_fqn", F.explode(F.transform(names, full)).alias("target"))
     return found.select(*edge(class_id("service_id", "class_fqn"), class_id("service_id", "target"), "WIRES", 0.88, "COMPONENT_SCAN")).distinct()
 
 

@@ -93,15 +93,20 @@ def _null_safe(keys: Sequence[str], left: DataFrame, right: DataFrame) -> Column
     return functools.reduce(lambda a, b: a & b, (left[k].eqNullSafe(right[k]) for k in keys))
 
 
-def insert_or_ignore(table: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """A-30: new rows whose key is not there yet, one for each key; null keys are equal."""
-    fresh = new.dropDuplicates(list(keys))
+def _one_each(new: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """The first new row of each key; without an order, the smallest by its columns."""
+    return distinct_on(new, keys, [*order, *(F.asc(c) for c in new.columns)])
+
+
+def insert_or_ignore(table: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
+    """A-30: new rows whose key is not there yet, of each key the first in ``order``; null keys are equal."""
+    fresh = _one_each(new, keys, order)
     return table.unionByName(fresh.join(table, _null_safe(keys, fresh, table), "left_anti"))
 
 
-def upsert(table: DataFrame, new: DataFrame, keys: Sequence[str], update: Sequence[str]) -> DataFrame:
-    """A-31: on a key that is there, only ``update`` columns take the new values."""
-    fresh = new.dropDuplicates(list(keys))
+def upsert(table: DataFrame, new: DataFrame, keys: Sequence[str], update: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
+    """A-31: on a key that is there, only ``update`` columns take the new values, of each key's first new row in ``order``."""
+    fresh = _one_each(new, keys, order)
     old, add = table.alias("o"), fresh.alias("n")
     test = functools.reduce(lambda a, b: a & b, (F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys))
     both = old.withColumn("__o", F.lit(True)).alias("o").join(add.withColumn("__n", F.lit(True)).alias("n"), test, "full")

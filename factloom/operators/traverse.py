@@ -24,6 +24,8 @@ HYDRATED_EDGES = (
     "CALLS", "DEPENDS_ON", "INVOKES", "ROUTES_TO", "OUTBOUND_TO", "USES_TYPE", "PUBLISHES_TO", "SUBSCRIBES_TO", "GUARDED_BY", "TRIGGERED_BY",
 )
 DEFAULT_DEPTH = 6
+#: From so few rows on, so many levels are walked at once.
+FEW_ROWS, LEVELS = 50_000, 5
 
 
 def seeds_of(spark: SparkSession, ids: Iterable[str]) -> DataFrame:
@@ -36,24 +38,36 @@ def _steps(edges: DataFrame, types: Sequence[str] | None, reverse: bool = False)
     return df.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct()
 
 
-def fixpoint(steps: DataFrame, seeds: DataFrame, max_depth: int | None = None, include_seeds: bool = False, most_rounds: int = 10_000) -> DataFrame:
+def fixpoint(steps: DataFrame, seeds: DataFrame, max_depth: int | None = None, include_seeds: bool = False, most_depth: int = 10_000) -> DataFrame:
     """``seed, node, depth``: what each seed reaches over ``steps(src, dst)``, at its first depth.
 
-    All seeds advance together, one join a round.  A round's new nodes are
-    written to the shared folder: the next round joins those only, and what was
-    visited is a read of the written rounds, so lineage does not grow.
+    All seeds advance together.  A round goes one level on, or, from few rows,
+    :data:`LEVELS` levels in one plan, as jobs cost more there than walking over
+    a node twice.  Its new nodes are written to the shared folder: the next
+    round joins those of the last level only, and what was visited is a read of
+    the written rounds, so lineage does not grow.  A traversal without a depth
+    that has not ended at ``most_depth`` is an error.
     """
     steps = staged(steps, "steps")
     frontier = staged(seeds.select("seed", "node", F.lit(0).alias("depth")).distinct(), "frontier")
-    rounds = [frontier] if include_seeds else []
-    for depth in range(1, (most_rounds if max_depth is None else max_depth) + 1):
-        new = frontier.join(steps, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
+    rounds, depth, last = ([frontier] if include_seeds else []), 0, most_depth if max_depth is None else max_depth
+    rows = frontier.count()
+    while rows and depth < last:
+        level, met = frontier, []
+        for _ in range(min(LEVELS if rows <= FEW_ROWS else 1, last - depth)):
+            depth += 1
+            level = level.join(steps, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
+            met.append(level.withColumn("depth", F.lit(depth)))
+        new = _union(met) if len(met) == 1 else _union(met).groupBy("seed", "node").agg(F.min("depth").alias("depth"))
         for done in rounds:
             new = new.join(done.select("seed", "node"), ["seed", "node"], "left_anti")
-        frontier = staged(new.select("seed", "node", F.lit(depth).alias("depth")), "frontier")
-        if frontier.isEmpty():
-            break
-        rounds = [staged(_union(rounds + [frontier]), "visited")] if len(rounds) >= 8 else [*rounds, frontier]
+        rounds.append(staged(new, "visited"))
+        frontier = rounds[-1].filter(F.col("depth") == depth)
+        rows = frontier.count()
+        if len(rounds) > 8:
+            rounds = [staged(_union(rounds), "visited")]
+    if rows and max_depth is None:
+        raise RuntimeError(f"the traversal has not ended at depth {depth}")
     return _union(rounds) if rounds else frontier
 
 

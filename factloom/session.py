@@ -24,5 +24,5 @@ def shared_folder(spark: SparkSession) -> str:
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Written once to the shared folder and read back, so that lineage stays short and lost executors cost little."""
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -99,18 +99,18 @@ def unsupported(files: DataFrame) -> DataFrame:
     return files.join(light_parse(files).select("path"), "path", "left_anti").select("service_id", "path", F.lit("PARSE_ERROR").alias("reason_code"))
 
 
-#: Peripherals by what a text imports or names; tier 1 is sure.
+#: Peripherals by the annotations and types a text names; tier 1 is sure, tier 3 needs to be set up by hand.
 PERIPHERALS = (
-    ("kafka", 1, r"org\.springframework\.kafka|org\.apache\.kafka"),
-    ("rabbitmq", 1, r"org\.springframework\.amqp"),
-    ("redis", 1, r"org\.springframework\.data\.redis|redis\.clients"),
-    ("mongodb", 1, r"org\.springframework\.data\.mongodb|com\.mongodb"),
-    ("s3", 1, r"software\.amazon\.awssdk\.services\.s3|com\.amazonaws\.services\.s3"),
-    ("gcp-pubsub", 1, r"com\.google\.cloud\.(spring\.)?pubsub"),
-    ("postgres", 1, r"org\.postgresql"),
-    ("oracle", 2, r"oracle\.jdbc"),
-    ("sqlserver", 2, r"com\.microsoft\.sqlserver"),
-    ("spring-cloud-config", 3, r"@RefreshScope|spring\.cloud\.config"),
+    ("kafka", 1, r"@KafkaListener\b"),
+    ("rabbitmq", 1, r"@RabbitListener\b"),
+    ("redis", 1, r"\b\w*RedisTemplate\b"),
+    ("mongodb", 1, r"\b\w*MongoTemplate\b"),
+    ("s3", 1, r"\bAmazonS3\b"),
+    ("gcp-pubsub", 1, r"\bBasicPublishSubscribeConsumer\b"),
+    ("postgres", 1, r"(?s)^(?=.*@Entity\b).*postgresql"),
+    ("oracle", 2, r"(?i)oracle"),
+    ("sqlserver", 2, r"(?i)sqlserver"),
+    ("spring-cloud-config", 3, r"ConfigServer"),
 )
 
 

@@ -106,24 +106,30 @@ def due(jobs: DataFrame, now: Column) -> DataFrame:
     return jobs.filter(F.col("next_retry_at").isNull() | (F.col("next_retry_at") <= now))
 
 
+DONE_PARTS = 256
+
+
 def run_stream(jobs: DataFrame, handle: Callable[[DataFrame], None], done: str, checkpoint: str, seconds: int | None = None) -> StreamingQuery:
     """H-03, H-07, B-13: each batch is handled, then its jobs are noted in ``done``.
 
-    At least once: a batch that fails comes again.  Jobs already noted for that
-    batch are passed over, so handling is repeated only for a batch that broke
-    off between the two.
+    At least once: a batch that fails comes again.  Jobs already noted are passed
+    over, so handling is repeated only for a batch that broke off between the
+    two.  Notes lie in :data:`DONE_PARTS` folders by a hash of the job; a batch
+    reads only those of its own jobs, however long the history.
     """
 
     def batch(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
-        fresh = df.dropDuplicates(["job_id", "attempt"])
+        fresh = df.dropDuplicates(["job_id", "attempt"]).withColumn("part", F.pmod(F.xxhash64("job_id"), F.lit(DONE_PARTS)).cast("int"))
+        parts = [r[0] for r in fresh.select("part").distinct().collect()]
         try:
-            fresh = fresh.join(spark.read.parquet(done).select("job_id", "attempt"), ["job_id", "attempt"], "left_anti")
+            noted = spark.read.parquet(done).filter(F.col("part").isin(parts))
+            fresh = fresh.join(noted.select("job_id", "attempt"), ["job_id", "attempt"], "left_anti")
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-        handle(fresh)
-        fresh.select("job_id", "attempt", F.lit(batch_id).alias("batch_id")).write.mode("append").parquet(done)
+        handle(fresh.drop("part"))
+        fresh.select("job_id", "attempt", F.lit(batch_id).alias("batch_id"), "part").write.mode("append").partitionBy("part").parquet(done)
 
     writer = jobs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=f"{seconds} seconds") if seconds else writer.trigger(availableNow=True)).start()
