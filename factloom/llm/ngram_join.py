@@ -53,7 +53,7 @@ from .common import SHINGLE_WORDS, WordHashes, _arrow_schema, id_and_text, map_b
 THRESHOLD = 0.8
 TREES = 24
 DEPTH = 8
-START = 0.99
+START = 0.999
 RECALL = 0.9999
 BLOCK = 1024
 BLOCK_SHINGLES = 1 << 20
@@ -121,30 +121,64 @@ def sketches(docs: DataFrame, trees: int, depth: int) -> DataFrame:
     return map_batches(id_and_text(docs).withColumn("print", F.xxhash64("text")), one, _SKETCH, state=WordHashes)
 
 
+_EDGE = "a long, b long"
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Edges of each part of ``edges``, replaced by one from each node to the smallest node that the part connects it to."""
+    arrow = _arrow_schema(_EDGE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            top = x
+            while (up := root.setdefault(top, top)) != top:
+                top = up
+            while root[x] != top:
+                root[x], x = top, root[x]
+            return top
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = find(a), find(b)
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+        stars = [(x, r) for x in list(root) if (r := find(x)) != x]
+        for lo in range(0, len(stars), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*stars[lo : lo + 10_000]), arrow)], schema=arrow)
+
+    return edges.mapInArrow(run, _EDGE)
+
+
 def components(edges: DataFrame, label: str, most_rounds: int = 60) -> DataFrame:
     """``node, root``: the smallest node of each connected component.  ``edges``: ``a, b``; nodes without edges are absent.
 
-    Each round gives a node's neighbours and itself its smallest neighbour, on
-    the larger side and then on the smaller side, until nothing changes; edges
-    are written to the shared folder each round, so lineage stays short.  Rounds
-    are told apart by their number of edges and a sum of hashes.
+    Each task connects what its part of the edges connects.  Then a round gives a
+    node's neighbours and itself its smallest neighbour, on the larger side and
+    on the smaller side, until all edges lead from a node to the root of its
+    component; edges are written to the shared folder each round, so lineage
+    stays short.
     """
-    mark = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
     both = lambda e: e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = staged(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
-    before = mark(edges)
+
+    def open_(e: DataFrame) -> bool:
+        """Whether a node has two edges, or is both below and above another."""
+        ends = e.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("b", F.lit(0), F.lit(1)))
+        return not ends.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR (up > 0 AND down > 0)").isEmpty()
+
+    edges = edges.filter("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"))
+    edges = staged(_contracted(edges).distinct(), label)
     for _ in range(most_rounds):
-        around = both(edges)
+        if not open_(edges):
+            break
+        around = both(_contracted(edges))
         low = around.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
         large = around.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         large = large.filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).union(low.select("a", F.col("low").alias("b")))
-        after = staged(small.filter("a <> b").distinct(), label)
-        now = mark(after)
-        if now == before:
-            break
-        edges, before = after, now
+        edges = staged(small.filter("a <> b").distinct(), label)
     else:
         raise RuntimeError(f"{label}: components still change after {most_rounds} rounds")
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
@@ -341,7 +375,7 @@ def _compared(docs: DataFrame, members: DataFrame, verify) -> DataFrame:
 
 
 def _verified(
-    docs: DataFrame, threshold: float, trees: int, depth: int, recall: float, block: int, block_shingles: int
+    docs: DataFrame, threshold: float, trees: int, depth: int, start: float, recall: float, block: int, block_shingles: int
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sketches of all rows, classes of equal shingles, and verified links of classes to the smallest one of their cell."""
     sketch = staged(sketches(docs, trees, depth), "join-sketch")
@@ -352,7 +386,7 @@ def _verified(
         .select("low", "high", F.xxhash64("low", "high").alias("cls"), F.col("first.doc_id").alias("rep"), F.col("first.print").alias("rep_print"), "copies", "labels", "n_shingles"),
         "join-classes",
     )
-    at = matched_depth(threshold, trees, depth, START)
+    at = matched_depth(threshold, trees, depth, start)
     joins = staged(forest_joins(classes, matched_depth(threshold, trees, at, 1 - (1 - recall) / 10)), "join-pairs")
     groups = verified = None
     while True:
@@ -377,7 +411,7 @@ def _verified(
 
 def ngram_join(
     docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK,
-    block_shingles: int = BLOCK_SHINGLES,
+    block_shingles: int = BLOCK_SHINGLES, start: float = START,
 ) -> DataFrame:
     """``doc_id, print, class_id, n_links, n_copies`` for every row; ``print`` is the text's hash.
 
@@ -385,7 +419,7 @@ def ngram_join(
     how many other documents are linked directly, ``n_copies`` how many others
     have the same shingles.
     """
-    sketch, classes, verified = _verified(docs, threshold, trees, depth, recall, block, block_shingles)
+    sketch, classes, verified = _verified(docs, threshold, trees, depth, start, recall, block, block_shingles)
     linked = verified.groupBy("cls").agg(F.sum("links").alias("links"))
     roots = components(verified.select(F.col("rep").alias("a"), F.col("root").alias("b")), "join-links")
 
@@ -414,7 +448,7 @@ def one_of_each_class(docs: DataFrame) -> DataFrame:
     :func:`ngram_join`.  Rows alike in id and text all stay, and so do rows
     without an id or without words.
     """
-    _, classes, verified = _verified(docs, THRESHOLD, TREES, DEPTH, RECALL, BLOCK, BLOCK_SHINGLES)
+    _, classes, verified = _verified(docs, THRESHOLD, TREES, DEPTH, START, RECALL, BLOCK, BLOCK_SHINGLES)
     roots = components(verified.select(F.col("cls").alias("a"), F.col("root_cls").alias("b")), "join-kept")
     parts = classes.join(roots, F.col("cls") == F.col("node"), "left").withColumn("part", F.coalesce("root", "cls"))
     first = parts.groupBy("part").agg(F.min(F.struct("rep", "rep_print")).alias("first"))

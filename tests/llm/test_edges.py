@@ -23,10 +23,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 @pytest.fixture(scope="module")
 def rows():
-    return corpus(160, seed=11)
+    return corpus(110, seed=11)
 
 
-@pytest.mark.parametrize("group", [1, 6])
+@pytest.mark.parametrize("group", [2])
 def test_substring_dedup_of_lengthened_prefixes(spark, rows, group):
     for parts in (1, 7):
         got = collections.Counter(tuple(r) for r in substring_dedup.substring_dedup(made(spark, rows, parts), group_suffixes=group).collect())
@@ -79,7 +79,7 @@ def test_entropy_of_a_long_candidate_takes_time_in_proportion(spark):
     r = random.Random(3)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
     times = []
-    for n in (1000, 100_000, 400_000):
+    for n in (1000, 50_000, 200_000):
         text = "".join(r.choice(letters) for _ in range(n))
         start = time.time()
         found = secrets.secret_spans(made(spark, [(1, text), (2, text), (None, text)], 1)).select(secrets.spelled(F.col("spans")).alias("s")).collect()
@@ -94,7 +94,7 @@ def test_allow_list_of_long_candidates(spark):
     assert all(s.kind == 2 for r in found for s in r.spans)
 
 
-@pytest.mark.parametrize("threshold", [0.5, 0.7, 0.8, 0.9])
+@pytest.mark.parametrize("threshold", [0.5, 0.7, 0.9])
 def test_recall_of_the_forest(spark, rows, threshold):
     got = {(r.doc_id, r.print): r.n_links for r in ngram_join.ngram_join(made(spark, rows), threshold=threshold).collect()}
     want = brute_join(rows, threshold)
@@ -106,18 +106,18 @@ def test_prefixes_are_shortened_until_the_recall_is_met(spark):
     """Few trees start with a prefix of which many links are lost; what is found says so."""
     r = random.Random(8)
     rows, doc = [], 0
-    for _ in range(60):
+    for _ in range(80):
         words = [f"w{r.randrange(10**6)}" for _ in range(120)]
-        for _ in range(3):
+        for _ in range(2):
             mine = list(words)
-            for i in r.sample(range(len(mine)), 2):
+            for i in r.sample(range(len(mine)), 1):
                 mine[i] = f"x{r.randrange(10**6)}"
             rows.append((doc, " ".join(mine)))
             doc += 1
     docs = made(spark, rows)
     there = sum(n for (_, _, n), c in brute_join(rows).items())
-    links = lambda recall: sum(x.n_links for x in ngram_join.ngram_join(docs, trees=3, recall=recall).collect())
-    assert links(0.9999) >= 0.99 * there
+    links = lambda recall: sum(x.n_links for x in ngram_join.ngram_join(docs, trees=2, start=0.3, recall=recall).collect())
+    assert there and links(0.1) < 0.9 * there and links(0.9999) >= 0.99 * there
 
 
 def test_forest_joins_connect_nodes(spark):
