@@ -126,7 +126,10 @@ def test_extractors(spark):
     assert {(r.type, r.name) for r in extract.injected(p).collect()} == {("OrderRepository", "repo")}
     assert {(r.dao_method, r.operation) for r in extract.data_accesses(p).collect()} == {("findById", "READ"), ("save", "WRITE")}
     assert {(r.http_method, r.path_text) for r in extract.outbound_calls(p).collect()} == {("GET", "/stock/{id}")}
-    assert {r.peripheral_type for r in extract.peripherals(f).collect()} == {"kafka"}
+    # annotations and types tell of peripherals; an import alone doesn't
+    assert extract.peripherals(f).count() == 0
+    used = f.withColumn("text", F.concat("text", F.lit("class L { @KafkaListener(topics = x) void on() {} StringRedisTemplate r; }")))
+    assert {r.peripheral_type for r in extract.peripherals(used).collect()} == {"kafka", "redis"}
     assert {r.reason_code for r in extract.unsupported(f).collect()} == {"PARSE_ERROR"}
     assert {r.gate_key for r in extract.flow_gates(p).collect()} == {"enabled"}
     assert {(r.constant, r.value) for r in extract.constants(p).collect()} == {("OrderController#PATH", "/orders")}
@@ -199,3 +202,15 @@ def test_run_states(spark):
 def test_interface_names_keep_their_digits(spark):
     parsed = extract.light_parse(spark.createDataFrame([("s", "A.java", "package a; public class A implements Api10, b.Other1<X0> { }")], "service_id string, path string, text string"))
     assert {r.interface for r in extract.implemented(parsed).collect()} == {"Api10", "b.Other1"}
+
+
+def test_rules_are_one_expression_of_bounded_size(spark):
+    steps = spark.createDataFrame([("s", "a.OrderHandler"), ("s", "a.Other")], "service_id string, handler_class_fqn string")
+    none = spark.createDataFrame([], "service_id string, handler_class_fqn string, scenario_id string")
+    rules = spark.createDataFrame([("Order", "pay"), ("Handler", "ship")], "class_contains string, flow_step string")
+    got = {r.handler_class_fqn: r.flow_steps for r in consistency.enrich_hints(steps, rules, none, none.drop("handler_class_fqn")).collect()}
+    assert got == {"a.OrderHandler": ["pay", "ship"], "a.Other": []}
+    assert consistency.enrich_hints(steps, rules.limit(0), none, none.drop("handler_class_fqn")).count() == 2
+    many = spark.range(consistency.MOST_RULES + 1).select(F.col("id").cast("string").alias("class_contains"), F.lit("x").alias("flow_step"))
+    with pytest.raises(ValueError):
+        consistency.enrich_hints(steps, many, none, none.drop("handler_class_fqn"))

@@ -100,3 +100,16 @@ def test_project_models(spark):
     nodes, edges = graph_projection.project_models(models, ends, spark.createDataFrame([("lib::T", "lib.T")], "id string, symbol_fqn string"))
     assert nodes.count() == 1
     assert {(r.to_node, r.edge_type) for r in edges.collect()} == {("s1::class::a.D", "DEPENDS_ON"), ("lib::T", "USES_TYPE"), ("s1::class::a.D", "INVOKES"), ("s2::endpoint::b.E#get", "OUTBOUND_TO")}
+
+
+@pytest.mark.parametrize("levels", [1, 3, 8])
+def test_a_chain_is_walked_to_its_end_or_raises(spark, monkeypatch, levels):
+    monkeypatch.setattr(traverse, "LEVELS", levels)
+    steps = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(20)] + [("n5", "n0"), ("n0", "n7")], "src string, dst string")
+    seeds = traverse.seeds_of(spark, ["n0"])
+    got = {r.node: r.depth for r in traverse.fixpoint(steps, seeds).collect()}
+    near = {f"n{i}": i for i in range(1, 7)} | {f"n{i}": i - 6 for i in range(7, 21)}
+    assert got == near | {"n0": 6}
+    assert {r.node: r.depth for r in traverse.fixpoint(steps, seeds, 4).collect()} == {k: v for k, v in near.items() if v <= 4}
+    with pytest.raises(RuntimeError):
+        traverse.fixpoint(steps, seeds, most_depth=5)
