@@ -157,32 +157,32 @@ def components(edges: DataFrame, label: str, most_rounds: int = 60) -> DataFrame
     Each task connects what its part of the edges connects.  Then a round gives a
     node's neighbours and itself its smallest neighbour, on the larger side and
     on the smaller side, until all edges lead from a node to the root of its
-    component; edges are written to the shared folder each round, so lineage
-    stays short.
+    component; what a round gives is connected where it was joined and written
+    to the shared folder, so lineage stays short and edges never grow in number.
     """
     both = lambda e: e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
     def open_(e: DataFrame) -> bool:
-        """Whether a node has two edges, or is both below and above another."""
-        ends = e.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("b", F.lit(0), F.lit(1)))
-        return not ends.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR (up > 0 AND down > 0)").isEmpty()
+        """Whether a node has edges to two others, or is both below and above another."""
+        ends = e.select("a", F.col("b").alias("up")).union(e.select("b", F.lit(None).cast("long")))
+        seen = ends.groupBy("a").agg(F.min("up").alias("low"), F.max("up").alias("high"), F.bool_or(F.col("up").isNull()).alias("down"))
+        return not seen.filter("low < high OR (low IS NOT NULL AND down)").isEmpty()
 
     edges = edges.filter("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"))
-    edges = staged(_contracted(edges).distinct(), label)
+    edges = staged(_contracted(edges), label)
     for _ in range(most_rounds):
         if not open_(edges):
             break
-        around = both(_contracted(edges))
+        around = both(edges)
         low = around.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
-        large = around.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        large = large.filter("a <> b").distinct()
+        large = around.join(low, "a").filter("b > a AND b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).union(low.select("a", F.col("low").alias("b")))
-        edges = staged(small.filter("a <> b").distinct(), label)
+        edges = staged(_contracted(small.filter("a <> b")), label)
     else:
         raise RuntimeError(f"{label}: components still change after {most_rounds} rounds")
-    roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
+    roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root"))
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots).distinct()
 
 
 def compare_cell(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray, threshold: float) -> np.ndarray:
@@ -286,10 +286,11 @@ def prefix(label: Column, depth: int) -> Column:
     return F.shiftright(label, 8 * (8 - depth))
 
 
-def forest_joins(classes: DataFrame, floor: int) -> DataFrame:
-    """``a, b, shared``: representatives that share a node, each joined to the head of the deepest run it goes on.
+def forest_joins(classes: DataFrame, floor: int, top: int = DEPTH) -> DataFrame:
+    """``a, b, shared``: representatives ``a`` that share a node, each joined to the head ``b`` of the deepest run it goes on.
 
-    Labels are dealt by ranges of (tree, label, representative), so a node of any
+    Only depths from ``floor`` to ``top`` count, and a representative has at most
+    two joins a tree.  Labels are dealt by ranges of (tree, label, representative), so a node of any
     size is many parts; a part's first row is compared with the last one of the
     part before it, two rows a part.
     """
@@ -310,7 +311,8 @@ def forest_joins(classes: DataFrame, floor: int) -> DataFrame:
             if first:
                 shared[0] = 0
             head = rep.copy()
-            for d in range(floor, 9):
+            shared = np.minimum(shared, np.int32(top))
+            for d in range(floor, top + 1):
                 at = np.maximum.accumulate(np.where(shared < d, np.arange(len(rep)), -1))
                 run_head = np.where(at >= 0, rep[at], heads.get(d, rep[0]))
                 head = np.where(shared >= d, run_head, head)
@@ -332,9 +334,17 @@ def forest_joins(classes: DataFrame, floor: int) -> DataFrame:
         F.col("a"), "shared", F.lag("a").over(beside).alias("b"), (F.lag("tree").over(beside) == F.col("tree")).alias("same"),
         F.col("label").bitwiseXOR(F.lag("label").over(beside)).alias("other"),
     ).filter((F.col("shared") == _FIRST) & F.col("same"))
-    depth = functools.reduce(lambda n, d: n + F.when(F.shiftrightunsigned("other", 64 - 8 * d) == 0, 1).otherwise(0), range(1, 9), F.lit(0))
-    joins = found.filter("shared > 0").select("a", "b", "shared").union(seams.select("a", "b", depth.alias("shared")).filter(f"shared >= {floor} AND a <> b"))
-    return joins.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "shared").groupBy("a", "b").agg(F.max("shared").alias("shared"))
+    depth = functools.reduce(lambda n, d: n + F.when(F.shiftrightunsigned("other", 64 - 8 * d) == 0, 1).otherwise(0), range(1, top + 1), F.lit(0))
+    return found.filter("shared > 0").select("a", "b", "shared").union(seams.select("a", "b", depth.alias("shared")).filter(f"shared >= {floor} AND a <> b"))
+
+
+def _edges(joins: DataFrame, depth: int) -> DataFrame:
+    """``a, b`` that connect what ``joins`` of ``depth`` and more connect: each representative with the smallest
+    of its heads, and that one with its others, at most two a tree; near copies share their heads."""
+    heads = joins.filter(F.col("shared") >= depth).groupBy("a").agg(F.min("b").alias("b"), F.collect_set("b").alias("heads"))
+    heads = staged(heads, "join-heads")
+    others = heads.select(F.explode("heads").alias("a"), "b").filter("a <> b").distinct()
+    return heads.select("a", "b").union(others)
 
 
 def _blocks(members: DataFrame, depth: int, block: int, block_shingles: int) -> DataFrame:
@@ -387,10 +397,10 @@ def _verified(
         "join-classes",
     )
     at = matched_depth(threshold, trees, depth, start)
-    joins = staged(forest_joins(classes, matched_depth(threshold, trees, at, 1 - (1 - recall) / 10)), "join-pairs")
+    joins = staged(forest_joins(classes, matched_depth(threshold, trees, at, 1 - (1 - recall) / 10), at), "join-pairs")
     groups = verified = None
     while True:
-        before, groups = groups, staged(components(joins.filter(F.col("shared") >= at).select("a", "b"), "join-candidates").withColumnRenamed("root", "part"), "join-groups")
+        before, groups = groups, staged(components(_edges(joins, at), "join-candidates").withColumnRenamed("root", "part"), "join-groups")
         if before is not None:
             # groups that are just what they were keep their links
             parts = groups.join(before.withColumnRenamed("part", "was"), "node", "left").groupBy("part").agg(F.count_distinct(F.coalesce("was", "node")).alias("n"))
