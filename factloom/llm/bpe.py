@@ -17,6 +17,7 @@ import base64
 import functools
 import itertools
 import re
+from array import array
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -28,6 +29,8 @@ from .common import id_and_text, map_batches
 
 _NOT_PLAIN = re.compile(r" (?:\s|\Z)")
 _CHUNK_START = re.compile(r" (?=\S)")
+#: A space and all letters after it, where these and what follows lie below U+0250: one match of the public pattern.
+_WORD = re.compile("( [A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]++)(?=[\\x00-\u024f]|\\Z)")
 
 
 class ChunkEncoder:
@@ -86,7 +89,7 @@ def library_encoder(path: str) -> ChunkEncoder:
     def ids(texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, dtype="<u4") for x in model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode_chunks(chunks: list[str], joined: int = 256) -> list[bytes]:
+    def encode_joined(chunks: list[str], joined: int = 64) -> list[bytes]:
         """Chunks that open with their only space are encoded many at a time and cut apart again."""
         out: list[bytes] = [b""] * len(chunks)
         plain = [i for i, x in enumerate(chunks) if x[:1] == " " and " " not in x[1:]]
@@ -104,6 +107,21 @@ def library_encoder(path: str) -> ChunkEncoder:
             out[i] = got.tobytes()
         return out
 
+    letters = dict(enumerate(byte_letters()))
+    tokenize = model.model.tokenize
+
+    def encode_chunks(chunks: list[str]) -> list[bytes]:
+        """Words go to the model as they are; what follows one is encoded after a word of one id, which is cut off."""
+        found = [_WORD.match(x) for x in chunks]
+        words = {m[0]: b"" for m in found if m}
+        for word in words:
+            got = tokenize(word.encode().decode("latin-1").translate(letters))
+            words[word] = array("I", [x.id for x in got]).tobytes()
+        rests = list({f" a{x[m.end():]}" if m else x for x, m in zip(chunks, found)} - {" a"})
+        coded = {" a": one, **dict(zip(rests, encode_joined(rests)))}
+        return [words[m[0]] + coded[f" a{x[m.end():]}"][len(one) :] if m else coded[x] for x, m in zip(chunks, found)]
+
+    one = encode_joined([" a"])[0]
     return ChunkEncoder(encode_chunks)
 
 

@@ -289,3 +289,17 @@ def test_pipeline_stages_of_awkward_rows(spark):
 def test_digest_of_kept_words(spark, rows):
     got = {(r.doc_id, r.kept_sha256) for r in substring_dedup.kept_digests(substring_dedup.substring_dedup(made(spark, rows))).collect()}
     assert got == {(d, hashlib.sha256(kept.encode()).hexdigest()) for d, _, _, kept in brute_substring(rows)}
+
+
+def test_words_and_what_follows_them_are_encoded_as_the_library_would():
+    from tokenizers import Tokenizer
+
+    from factloom.llm.bpe import library_encoder
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["a b", " a", "can't don'ts", "xɐy zжa", "é́a b́", "a  b \n c", "", " a  ", "ÀĀ's ’s", "a a a", " a.", " Ab12 c3", "aʰ bʰc ƻx̀", " Wort.\nNeu wort.\nneu, wort"]
+    library = Tokenizer.from_file(path)
+    want = [np.array(x.ids, "<u4").tobytes() for x in library.encode_batch(texts, add_special_tokens=False)]
+    encoder = library_encoder(path)
+    assert encoder.encode(texts) == want
+    assert encoder.encode(texts[::-1]) == want[::-1]  # all chunks are known now
