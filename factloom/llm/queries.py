@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, line_dedup, ngram_join, packing, quality, secrets, substring_dedup, token_files
+from . import alignment, bpe, exact_dedup, filter_audit, html_extract, language_id, line_dedup, ngram_join, packing, quality, secrets, substring_dedup, token_files
 from .common import documents, shared_folder
 
 RANKS = "byte_bpe_50k.tiktoken"
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,12 +65,26 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(packing.pack(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), end_id=0))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_digests(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES))
+
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masks = filter_audit.failed_filters(documents(spark, sf_dir))
+    return filter_audit.audit(filter_audit.mask_counts(masks, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_exact_dedup, op2_byte_bpe, op3_substring_dedup, op4_line_dedup, op5_secret_scan,
             op6_ngram_join, op7_language_id, op8_token_files, op9_quality_rules, op10_harmonic_packing,
+            op11_token_alignment, op12_html_extraction, op13_filter_audit,
         )
     }
 
@@ -122,5 +137,32 @@ FROM d
 """
 
 
+#: Every order is followed step by step over the sets of failed filters.
+_OP13 = rf"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+lows AS (SELECT t, min(doc_id) AS low FROM t GROUP BY t),
+w AS (SELECT doc_id, part, t, low, regexp_extract_all(t, '{_WORDS}') AS w FROM t JOIN lows USING (t)),
+lab AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+             CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+             || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 'C' ELSE '' END
+             || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN w.doc_id > low THEN 'E' ELSE '' END AS m
+      FROM w LEFT JOIN lab ON lab.doc_id = w.doc_id),
+m AS (SELECT part, m, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM d GROUP BY part, m),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (SELECT f AS filter_order FROM f UNION ALL SELECT o.filter_order || f.f FROM o JOIN f ON NOT contains(o.filter_order, f.f)),
+s AS (SELECT filter_order, step, filter_order[step] AS f, filter_order[1:step - 1] AS earlier FROM o, unnest(range(1, 6)) AS u(step) WHERE length(filter_order) = 5),
+r AS (SELECT part, filter_order, step, f,
+             sum(n) FILTER (NOT hit AND NOT contains(m, f)) AS kept, sum(n) FILTER (NOT hit AND contains(m, f)) AS removed,
+             sum(n) FILTER (hit AND contains(m, f)) AS redundant, sum(n) FILTER (m = f) AS unique_fails,
+             sum(good) FILTER (NOT hit AND contains(m, f)) AS good_lost, sum(toxic) FILTER (NOT hit AND contains(m, f)) AS toxic_lost
+      FROM (SELECT *, len(list_intersect(string_split(m, ''), string_split(earlier, ''))) > 0 AND m <> '' AND earlier <> '' AS hit FROM m, s) GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+       coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       (sum(coalesce(removed, 0)) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": _OP1, "op3_substring_dedup": _OP3, "op4_line_dedup": _OP4, "op6_ngram_join": _OP6}
+    return {"op1_exact_dedup": _OP1, "op3_substring_dedup": _OP3, "op4_line_dedup": _OP4, "op6_ngram_join": _OP6, "op13_filter_audit": _OP13}
