@@ -63,7 +63,7 @@ def refined(keys: DataFrame) -> DataFrame:
     left = keys.filter("doc_id IS NOT NULL")
     for i in range(1, len(names) + 1):
         shared = left.groupBy(*names[:i]).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select(*names[:i])
-        left = left.join(shared, names[:i], "left_semi")
+        left = left.join(shared, names[:i], "left_semi").select(*keys.columns)
     return left
 
 
