@@ -9,16 +9,18 @@ BPE with byte fallback.  Both encode a space and the text.
    another one: only characters for which there is none are cut at
    (:func:`cut_characters`).  So neither can merge across a cut, and the tokens
    of a text are those of its segments, one after the other.
-2. Segments.  Documents are gathered into chunks of CHUNK_CHARS characters.  A
+2. Chunks.  Documents are gathered into chunks of CHUNK_CHARS characters.  A
    chunk keeps each distinct segment once with its number, and each document as
    the numbers of its segments.
-3. Alignment.  Each distinct segment of the corpus is encoded once by both and
-   its groups and links are found by the byte offsets at which both end.
-4. Counts.  Links of segments, times the segments' occurrences, give the counts
-   of id pairs and from these each segment's digests.
-5. Composition.  A chunk's segments get their alignments by a join, and its
-   documents are composed from them.  No list grows with the corpus: a chunk
-   is bounded by its characters, or is one document.
+3. Alignment.  The segments of all chunks are dealt and sorted by themselves, so
+   each distinct one is encoded once by both; its groups and links come from the
+   byte offsets at which both end.  What a chunk needs goes back to it, packed.
+4. Counts.  Each chunk's pairs of ids, with how often its documents hold them
+   linked, add up to the counts of the corpus, and a chunk gets those of its own
+   pairs by a join.
+5. Composition.  A chunk's documents are put together from its segments.  No
+   list grows with the corpus: a chunk is bounded by its characters, or is one
+   document.
 
 Texts that are null or empty have no tokens.  Nor have those with U+2581, which B
 reads as a space, so that its bytes differ from the text; for all others both
@@ -40,6 +42,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,9 +50,12 @@ from pyspark.sql import functions as F
 from .bpe import byte_letters, library_encoder
 from .common import _arrow_schema, id_and_text, staged
 
-CHUNK_CHARS = 4_000_000
-#: Segments that are encoded and aligned at a time.
+CHUNK_CHARS = 24_000_000
+#: Segments that are encoded and aligned at a time, and about how many characters of them.
 BATCH_SEGMENTS = 20_000
+BATCH_CHARS = 4_000_000
+#: Pairs of ids that a task counts before it hands them on (about 100 MB).
+HELD_PAIRS = 500_000
 #: What B writes for a space.
 SPACE_MARK = "\u2581"
 #: All that any of the libraries may take for white space, so that a cut never depends on which does.
@@ -115,14 +121,25 @@ def _batch(arrow: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) if f.name in columns else pa.nulls(n, f.type) for f in arrow], schema=arrow)
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    halves = (numbers & 0xFFFF).astype("<u2").tobytes() + (numbers >> 16).astype("<u2").tobytes()
+    return zstandard.ZstdCompressor(level=3, write_checksum=False).compress(halves)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    halves = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype="<u2").astype(np.int64).reshape(2, -1)
+    return halves[0] + (halves[1] << 16)
+
+
 _CHUNKS = "chunk long, doc_id long, numbers binary, number int, segment string, times long"
 
 
 def chunks(docs: DataFrame, path_a: str, path_b: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """Rows of two kinds: a document with the numbers of its segments, and a segment of a chunk with its number.
 
-    ``numbers`` are unsigned 32-bit integers, or 16-bit ones where the chunk's
-    documents allow it; null for a document without tokens.
+    The most frequent segment of a chunk is its number 0, and so on.  ``numbers``
+    has the lower 16 bits of all of a document's numbers, then the upper ones,
+    which are mostly zero, compressed; null for a document without tokens.
     """
     arrow = _arrow_schema(_CHUNKS)
 
@@ -136,12 +153,14 @@ def chunks(docs: DataFrame, path_a: str, path_b: str, chunk_chars: int = CHUNK_C
 
         def closed() -> Iterator[pa.RecordBatch]:
             chunk = next(serial)
-            width = np.dtype("<u2") if len(number) <= 1 << 16 else np.dtype("<u4")
             some = [x for x in coded if x is not None]
             times = np.bincount(np.concatenate(some), minlength=len(number)) if some else np.empty(0, dtype=np.int64)
-            packed = [None if x is None else x.astype(width).tobytes() for x in coded]
-            yield _batch(arrow, chunk=np.full(len(ids), chunk), doc_id=ids, numbers=packed)
-            segments = list(number)
+            order = np.argsort(-times, kind="stable")
+            place = np.empty(len(order), dtype=np.uint32)
+            place[order] = np.arange(len(order), dtype=np.uint32)
+            yield _batch(arrow, chunk=np.full(len(ids), chunk), doc_id=ids, numbers=[None if x is None else packed(place[x]) for x in coded])
+            listed, times = list(number), times[order]
+            segments = [listed[i] for i in order.tolist()]
             for i in range(0, len(segments), BATCH_SEGMENTS):
                 part = segments[i : i + BATCH_SEGMENTS]
                 yield _batch(arrow, chunk=np.full(len(part), chunk), number=np.arange(i, i + len(part), dtype=np.int32), segment=part, times=times[i : i + len(part)])
@@ -165,107 +184,176 @@ def chunks(docs: DataFrame, path_a: str, path_b: str, chunk_chars: int = CHUNK_C
     return id_and_text(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _CHUNKS)
 
 
-_ALIGNED = "segment string, id long, times long, n_a int, n_b int, link_a array<int>, link_b array<int>, groups string"
-
-
-def align_segments(segments: list[str], m: Models) -> dict[str, list]:
-    """Tokens, links and groups of segments.
-
-    All segments are laid one after the other; as both tokenizers end at the end
-    of each, the offsets at which both end are found for all of them at once.
-    """
-    raw = [s.encode() for s in segments]
-    ids_a = [np.frombuffer(x, dtype="<u4") for x in m.encode_a(segments)]
-    ids_b = [np.array(x[m.guard_ids :], dtype=np.int64) for x in m.b.encode([m.guard + s for s in segments], num_threads=1)]
-    for s, a, b in zip(raw, ids_a, ids_b):
-        if b"".join(map(m.bytes_a.__getitem__, a.tolist())) != s or b"".join(map(m.bytes_b.__getitem__, b.tolist())) != s:
-            raise ValueError(f"tokens do not spell the segment {s[:80]!r}")
-    all_a, all_b = np.concatenate(ids_a).astype(np.int64), np.concatenate(ids_b)
-    ends_a, ends_b = np.cumsum(m.length_a[all_a]), np.cumsum(m.length_b[all_b])
-    both = np.intersect1d(ends_a, ends_b, assume_unique=True)
-    last_a, last_b = np.searchsorted(ends_a, both), np.searchsorted(ends_b, both)
-    # groups of a segment lie between the ends of segments
-    upto = np.searchsorted(both, np.cumsum([len(s) for s in raw]), side="right").tolist()
-    text_a, text_b = list(map(str, all_a.tolist())), list(map(str, all_b.tolist()))
-    links_a, links_b = all_a[last_a].tolist(), all_b[last_b].tolist()
-    groups, a, b = [], 0, 0
-    for x, y in zip((last_a + 1).tolist(), (last_b + 1).tolist()):
-        groups.append(f"{','.join(text_a[a:x])}|{','.join(text_b[b:y])}")
-        a, b = x, y
-    starts = [0, *upto[:-1]]
-    return {
-        "n_a": list(map(len, ids_a)), "n_b": list(map(len, ids_b)),
-        "link_a": [links_a[i:j] for i, j in zip(starts, upto)], "link_b": [links_b[i:j] for i, j in zip(starts, upto)],
-        "groups": [";".join(groups[i:j]) for i, j in zip(starts, upto)],
-    }
+def ragged(flat: np.ndarray, sizes: np.ndarray, take: np.ndarray) -> np.ndarray:
+    """Of lists of these sizes, laid one after the other, those that ``take`` names."""
+    starts = np.cumsum(sizes) - sizes
+    wanted = sizes[take]
+    shift = np.repeat(starts[take] - (np.cumsum(wanted) - wanted), wanted)
+    return flat[np.arange(int(wanted.sum())) + shift]
+
+
+class Aligned:
+    """Segments with their tokens and groups: how many of each, and all of them one after the other."""
+
+    #: Tokens of A and B and groups of each segment; ids; and tokens of A and B of each group.
+    COUNTS, FLAT = ("n_a", "n_b", "n_groups"), (("a", "n_a"), ("b", "n_b"), ("group_a", "n_groups"), ("group_b", "n_groups"))
+
+    def __init__(self, **arrays: np.ndarray):
+        self.__dict__.update(arrays)
+
+    @classmethod
+    def of(cls, segments: list[str], m: Models) -> Aligned:
+        """As both tokenizers end at the end of each segment, the offsets at which both end are found for all of them at once."""
+        raw = [s.encode() for s in segments]
+        a = [np.frombuffer(x, dtype="<u4") for x in m.encode_a(segments)]
+        b = [np.array(x[m.guard_ids :], dtype=np.int64) for x in m.b.encode([m.guard + s for s in segments], num_threads=1)]
+        for s, x, y in zip(raw, a, b):
+            if b"".join(map(m.bytes_a.__getitem__, x.tolist())) != s or b"".join(map(m.bytes_b.__getitem__, y.tolist())) != s:
+                raise ValueError(f"tokens do not spell the segment {s[:80]!r}")
+        all_a, all_b = np.concatenate(a).astype(np.int64), np.concatenate(b)
+        ends_a, ends_b = np.cumsum(m.length_a[all_a]), np.cumsum(m.length_b[all_b])
+        both = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        upto_a, upto_b = np.searchsorted(ends_a, both) + 1, np.searchsorted(ends_b, both) + 1
+        upto = np.searchsorted(both, np.cumsum([len(s) for s in raw]), side="right")
+        return cls(
+            n_a=np.array(list(map(len, a))), n_b=np.array(list(map(len, b))), n_groups=np.diff(upto, prepend=0),
+            a=all_a, b=all_b, group_a=np.diff(upto_a, prepend=0), group_b=np.diff(upto_b, prepend=0),
+        )
+
+    def take(self, which: np.ndarray) -> Aligned:
+        return Aligned(**{n: getattr(self, n)[which] for n in self.COUNTS}, **{n: ragged(getattr(self, n), getattr(self, size), which) for n, size in self.FLAT})
+
+    @classmethod
+    def joined(cls, parts: list[Aligned]) -> Aligned:
+        return parts[0] if len(parts) == 1 else cls(**{n: np.concatenate([getattr(p, n) for p in parts]) for n in (*cls.COUNTS, *(f for f, _ in cls.FLAT))})
+
+    def links(self) -> np.ndarray:
+        """The pair of each group's last tokens, as one number."""
+        return self.a[np.cumsum(self.group_a) - 1] << 32 | self.b[np.cumsum(self.group_b) - 1]
+
+    def groups(self) -> list[str]:
+        """Each segment's groups, spelled."""
+        a, b = list(map(str, self.a.tolist())), list(map(str, self.b.tolist()))
+        out, i, j = [], 0, 0
+        for x, y in zip(self.group_a.tolist(), self.group_b.tolist()):
+            out.append(f"{a[i]}|{b[j]}" if x == y == 1 else f"{','.join(a[i : i + x])}|{','.join(b[j : j + y])}")
+            i, j = i + x, j + y
+        ends = np.cumsum(self.n_groups).tolist()
+        return [";".join(out[x:y]) for x, y in zip([0, *ends], ends)]
+
+    def packed(self, numbers: np.ndarray) -> bytes:
+        arrays = [numbers, *(getattr(self, n) for n in self.COUNTS), *(getattr(self, n) for n, _ in self.FLAT)]
+        sizes = np.array([len(x) for x in arrays], dtype="<u4")
+        return zstandard.ZstdCompressor(level=3, write_checksum=False).compress(sizes.tobytes() + b"".join(x.astype("<u4").tobytes() for x in arrays))
+
+    @classmethod
+    def unpacked(cls, raw: bytes) -> tuple[np.ndarray, Aligned]:
+        names = ["numbers", *cls.COUNTS, *(n for n, _ in cls.FLAT)]
+        data = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype="<u4").astype(np.int64)
+        ends = np.cumsum(data[: len(names)]) + len(names)
+        arrays = {n: data[e - k : e] for n, e, k in zip(names, ends.tolist(), data[: len(names)].tolist())}
+        return arrays.pop("numbers"), cls(**arrays)
+
+
+_KNOWN = "chunk long, entries binary, a int, b int, times long"
 
 
 def aligned(uses: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """Each distinct segment once, with how often it occurs, an id of its own, its links and its groups."""
-    arrow = _arrow_schema(_ALIGNED)
+    """Rows of two kinds for each chunk: packed alignments of some of its segments, and a pair of ids with how often its documents hold it linked."""
+    arrow = _arrow_schema(_KNOWN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = models(path_a, path_b)
-        serial = TaskContext.get().partitionId() << 36
+        last: tuple[str, Aligned] | None = None
+        held: dict[tuple[int, int], int] = {}
+
+        def pairs() -> pa.RecordBatch:
+            chunk, key = np.array([c for c, _ in held]), np.array([k for _, k in held])
+            out = _batch(arrow, chunk=chunk, a=(key >> 32).astype(np.int32), b=(key & 0xFFFFFFFF).astype(np.int32), times=list(held.values()))
+            held.clear()
+            return out
+
         for batch in batches:
-            segments, times = batch.column("segment").to_pylist(), batch.column("times").to_pylist()
-            at = 0
-            while at < len(segments):
-                # at most BATCH_SEGMENTS, and about a chunk's characters
+            segments = batch.column("segment").to_pylist()
+            chunk, number, times = (batch.column(n).to_numpy() for n in ("chunk", "number", "times"))
+            # equal segments stand together; the first may be the last of the batch before
+            new = np.array([i == 0 or segments[i] != segments[i - 1] for i in range(len(segments))])
+            entry = np.cumsum(new) - 1
+            distinct = [segments[i] for i in np.flatnonzero(new).tolist()]
+            parts = [last[1]] if last and last[0] == distinct[0] else []
+            at = len(parts)
+            while at < len(distinct):
                 to, chars = at, 0
-                while to < len(segments) and to - at < BATCH_SEGMENTS and (to == at or chars + len(segments[to]) <= CHUNK_CHARS):
-                    chars += len(segments[to])
+                while to < len(distinct) and (to == at or to - at < BATCH_SEGMENTS and chars + len(distinct[to]) <= BATCH_CHARS):
+                    chars += len(distinct[to])
                     to += 1
-                part = segments[at:to]
-                yield _batch(arrow, segment=part, id=np.arange(serial, serial + len(part)), times=times[at:to], **align_segments(part, m))
-                serial += len(part)
+                parts.append(Aligned.of(distinct[at:to], m))
                 at = to
-
-    distinct = uses.groupBy("segment").agg(F.sum("times").alias("times"))
-    return distinct.select("segment", "times").mapInArrow(run, _ALIGNED)
-
-
-def pair_counts(segments: DataFrame) -> DataFrame:
+            known = Aligned.joined(parts)
+            last = distinct[-1], known.take(np.array([len(distinct) - 1]))
+            for c in np.unique(chunk).tolist():
+                rows = np.flatnonzero(chunk == c) if len(chunk) else []
+                own = known.take(entry[rows])
+                yield _batch(arrow, chunk=[c], entries=[own.packed(number[rows])])
+                keys, inverse = np.unique(own.links(), return_inverse=True)
+                sums = np.bincount(inverse, weights=np.repeat(times[rows], own.n_groups)).astype(np.int64)
+                for k, n in zip(keys.tolist(), sums.tolist()):
+                    held[c, k] = held.get((c, k), 0) + n
+            if len(held) > HELD_PAIRS:
+                yield pairs()
+        if held:
+            yield pairs()
+
+    dealt = uses.select("chunk", "number", "segment", "times").repartition("segment").sortWithinPartitions("segment", "chunk")
+    return dealt.mapInArrow(run, _KNOWN)
+
+
+def pair_counts(pairs: DataFrame) -> DataFrame:
     """``a, b, pair_count, best``: how many links of the corpus hold the pair, and whether no pair of that ``b`` has more."""
-    links = segments.select("times", F.explode(F.arrays_zip(F.col("link_a").alias("a"), F.col("link_b").alias("b"))).alias("l"))
-    counts = staged(links.groupBy(F.col("l.a").alias("a"), F.col("l.b").alias("b")).agg(F.sum("times").alias("pair_count")), "align-pairs")
+    counts = staged(pairs.groupBy("a", "b").agg(F.sum("times").alias("pair_count")), "align-pairs")
     most = counts.groupBy("b").agg(F.max("pair_count").alias("most"))
     return counts.join(most, "b").select("a", "b", "pair_count", (F.col("pair_count") == F.col("most")).alias("best"))
 
 
 _DIGESTS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-_NUMBERS = ["n_a", "n_b", "n_links", "n_best", "count_sum"]
 
 
 def alignment_digests(docs: DataFrame, path_a: str, path_b: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """Per document: tokens of both, groups, links, links that are their B id's most frequent, the sum of links' counts, digest of the groups."""
     laid = staged(chunks(docs, path_a, path_b, chunk_chars), "align-chunks")
-    uses = laid.filter("segment IS NOT NULL").select("chunk", "number", "segment", "times")
-    segments = staged(aligned(uses, path_a, path_b), "align-segments")
-
-    links = segments.select("id", F.explode(F.arrays_zip(F.col("link_a").alias("a"), F.col("link_b").alias("b"))).alias("l")).select("id", "l.a", "l.b")
-    scored = links.join(pair_counts(segments), ["a", "b"]).groupBy("id").agg(
-        F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("pair_count").alias("count_sum")
-    )
-    each = segments.withColumn("n_links", F.size("link_a")).join(scored, "id").select("segment", *_NUMBERS, "groups")
-    dictionary = uses.join(each, "segment").select(F.col("chunk").alias("of_chunk"), "number", *_NUMBERS, "groups")
+    found = staged(aligned(laid.filter("segment IS NOT NULL"), path_a, path_b), "align-known")
+    pairs = found.filter("entries IS NULL")
+    counted = pairs.select("chunk", "a", "b").distinct().join(pair_counts(pairs), ["a", "b"])
+    entries = found.filter("entries IS NOT NULL").select("chunk", "entries")
+    known = entries.unionByName(counted, allowMissingColumns=True).withColumnRenamed("chunk", "of_chunk")
     texts = laid.filter("segment IS NULL").select("chunk", "doc_id", "numbers")
 
     def compose(documents: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        order = np.argsort(known["number"].to_numpy())
-        table = {n: known[n].to_numpy(dtype=np.int64)[order] for n in _NUMBERS}
-        groups = known["groups"].to_numpy()[order]
-        width = "<u2" if len(groups) <= 1 << 16 else "<u4"
+        unpacked_ = [Aligned.unpacked(x) for x in known["entries"].dropna()]
+        table = groups = None
+        if unpacked_:
+            numbers = np.concatenate([n for n, _ in unpacked_])
+            own = Aligned.joined([x for _, x in unpacked_])
+            pair = known[known["entries"].isna()]
+            keys = pair["a"].to_numpy(dtype=np.int64) << 32 | pair["b"].to_numpy(dtype=np.int64)
+            order = np.argsort(keys)
+            at = order[np.searchsorted(keys[order], own.links())]
+            of = np.repeat(np.arange(len(numbers)), own.n_groups)
+            sums = np.zeros((2, len(numbers)), dtype=np.int64)
+            np.add.at(sums[0], of, pair["best"].to_numpy(dtype=np.int64)[at])
+            np.add.at(sums[1], of, pair["pair_count"].to_numpy(dtype=np.int64)[at])
+            place = np.argsort(numbers)
+            table = np.stack([own.n_a, own.n_b, own.n_groups, *sums])[:, place]
+            groups = np.array(own.groups(), dtype=object)[place]
         rows = []
         for doc_id, numbers in zip(documents["doc_id"].array, documents["numbers"]):
             doc_id = None if pd.isna(doc_id) else int(doc_id)
             if numbers is None:
                 rows.append((doc_id, 0, 0, 0, 0, 0, 0, ""))
                 continue
-            at = np.frombuffer(numbers, dtype=width)
-            a, b, n, best, total = (int(table[k][at].sum()) for k in _NUMBERS)
+            at = unpacked(numbers)
+            a, b, n, best, total = table[:, at].sum(axis=1).tolist()
             rows.append((doc_id, a, b, n, n, best, total, hashlib.sha256(";".join(groups[at].tolist()).encode()).hexdigest()))
-        out = pd.DataFrame(rows, columns=[c.split()[0] for c in _DIGESTS.split(", ")])
-        return out.astype({"doc_id": "Int64"})
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in _DIGESTS.split(", ")]).astype({"doc_id": "Int64"})
 
-    return texts.groupBy("chunk").cogroup(dictionary.groupBy("of_chunk")).applyInPandas(compose, _DIGESTS)
+    return texts.groupBy("chunk").cogroup(known.groupBy("of_chunk")).applyInPandas(compose, _DIGESTS)
