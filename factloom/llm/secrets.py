@@ -30,37 +30,105 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 #: Name, characters, window, least entropy in bits.
 CLASSES = (("base64", "A-Za-z0-9+/_=-", 24, 3.9), ("hexadecimal", "0-9A-Fa-f", 32, 3.4))
-#: Candidates that are no secrets: identifiers with words, plain numbers, placeholders, repeated characters.
+#: Candidates that are no secrets: identifiers with words, plain numbers, placeholders, repeated characters.  What
+#: surrounds a placeholder or a repeated character must be shorter than a window, else the candidate holds more than it.
 #: Repeated groups are possessive, so that a match needs no stack, however long the candidate.
 ALLOW = (
     r"^[0-9+/_=-]+$",
     r"^[A-Za-z]++(?:[-_/=+][A-Za-z]++)*+[-_/]?[0-9]{1,4}$",
-    r"(?i)example|sample|placeholder|xxxx|changeme|dummy",
-    r"(.)\1{7}",
+    r"(?i)^.{0,23}(?:example|sample|placeholder|xxxx|changeme|dummy).{0,23}$",
+    r"^.{0,23}?(.)\1{7,}+.{0,23}$",
     r"(?i)^(?:abcdefghijklmnopqrstuvwxyz|0123456789|abcdef)++[=]*$",
     r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
 )
-_SPAN = "array<struct<start:int,kind:int,stop:int>>"
+_SPANNED = "struct<start:int,kind:int,stop:int>"
 
 
 def _class_pattern(chars: str, window: int) -> str:
     return rf"(?<![{chars}])(?=[{chars}]*[0-9])[{chars}]{{{window},}}+"
 
 
-def _located(kind: int, gaps: str, hits: str, size: Column | None = None) -> Column:
+#: Items that :func:`_scan` folds into one list, and characters of a piece of text that is cut out of as a whole.
+_RUN = 128
+_PIECE = 1024
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it: the variable of a lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _scan(items: Column, start: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """``out``: what ``step`` gives out for each item, and ``state``: the last one; ``step`` takes (state, item) and returns the next state and what to give out.
+
+    What a fold keeps is copied with each item, lists with all they hold.  So
+    items are folded in runs of _RUN: first for the state before each run alone,
+    then each run by itself for what it gives out, and time grows with the
+    items, not with their square.
+    """
+    places = lambda xs: F.sequence(F.lit(0), F.greatest(F.ceil(F.size(xs) / _RUN).cast("int") - 1, F.lit(0)))
+    # a list that is a column's value would be copied whole for each slice; what transform gives out is not
+    runs = _once(F.transform(items, lambda x: x), lambda xs: F.transform(places(xs), lambda i: F.slice(xs, i * _RUN + 1, _RUN)))
+
+    def over(s: Column, xs: Column) -> Column:
+        after = F.aggregate(xs, s["state"], lambda t, x: step(t, x)[0])
+        return F.struct(after.alias("state"), F.concat(s["before"], F.array(s["state"])).alias("before"))
+
+    def one(s: Column, x: Column) -> Column:
+        state, out = step(s["state"], x)
+        return F.struct(state.alias("state"), F.concat(s["out"], F.array(out)).alias("out"))
+
+    def given_out(r: Column) -> Column:
+        return F.aggregate(r["run"], F.struct(r["before"].alias("state"), F.array().cast(f"array<{kind}>").alias("out")), one)["out"]
+
+    def both(rs: Column) -> Column:
+        states = F.aggregate(rs, F.struct(start.alias("state"), F.slice(F.array(start), 1, 0).alias("before")), over)
+        return _once(states, lambda f: F.struct(F.flatten(F.transform(F.arrays_zip(rs.alias("run"), f["before"].alias("before")), given_out)).alias("out"), f["state"].alias("state")))
+
+    return _once(runs, both)
+
+
+def _located(kind: int, gaps: str, hits: str) -> Column:
     """Spans from what lies between matches and the matches themselves."""
-    ends = F.aggregate(
-        F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), F.transform(hits, F.length).alias("hit")),
-        F.struct(F.lit(0).alias("at"), F.lit(None).cast(_SPAN).alias("spans")),
-        lambda s, x: F.struct(
-            (s["at"] + x["gap"] + x["hit"]).alias("at"),
-            F.concat(
-                F.coalesce(s["spans"], F.array().cast(_SPAN)),
-                F.array(F.struct((s["at"] + x["gap"]).alias("start"), F.lit(kind).alias("kind"), (s["at"] + x["gap"] + x["hit"]).alias("stop"))),
-            ).alias("spans"),
-        ),
-    )
-    return F.coalesce(ends["spans"], F.array().cast(_SPAN))
+    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), F.transform(hits, F.length).alias("hit"))
+
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        stop = at + x["gap"] + x["hit"]
+        return stop, F.struct((at + x["gap"]).alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"))
+
+    return _scan(pairs, F.lit(0), step, _SPANNED)["out"]
+
+
+def _stretches(spans: Column, touching: bool) -> Column:
+    """What sorted spans cover, as sorted stretches (kind -1) apart from each other; ``touching`` ones are joined or not."""
+    none = F.lit(None).cast(_SPANNED)
+    make = lambda a, b: F.struct(a.alias("start"), F.lit(-1).alias("kind"), b.alias("stop"))
+    apart = (lambda x, at: x > at) if touching else (lambda x, at: x >= at)
+
+    def step(s: Column, x: Column) -> tuple[Column, Column]:
+        new = s["stop"].isNull() | apart(x["start"], s["stop"])
+        state = F.struct(F.when(new, x["start"]).otherwise(s["start"]).alias("start"), F.when(new, x["stop"]).otherwise(F.greatest(s["stop"], x["stop"])).alias("stop"))
+        return state, F.when(new & s["stop"].isNotNull(), make(s["start"], s["stop"])).otherwise(none)
+
+    def closed(done: Column) -> Column:
+        last = done["state"]
+        final = F.when(last["stop"].isNotNull(), make(last["start"], last["stop"])).otherwise(none)
+        return F.filter(F.concat(done["out"], F.array(final)), lambda x: x.isNotNull())
+
+    return _once(_scan(spans, F.lit(None).cast("struct<start:int,stop:int>"), step, _SPANNED), closed)
+
+
+def _not_covered(spans: Column, stretches: Column) -> Column:
+    """Those sorted ``spans`` that no stretch covers whole, each once."""
+
+    def step(s: Column, x: Column) -> tuple[Column, Column]:
+        stretch = x["kind"] < 0
+        again = s["last"].eqNullSafe(x)
+        out = F.when(stretch | again | (x["stop"] <= s["at"]), F.lit(None)).otherwise(x)
+        return F.struct(F.when(stretch, x["stop"]).otherwise(s["at"]).alias("at"), x.alias("last")), out
+
+    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast(_SPANNED).alias("last"))
+    return F.filter(_scan(F.array_sort(F.concat(stretches, spans)), start, step, _SPANNED)["out"], lambda x: x.isNotNull())
 
 
 #: Codes of a class's characters run from U+002B (plus) to U+007A (z); a character's place in the counts is its code less this.
@@ -134,10 +202,8 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     for name, _, window, least in CLASSES:
         spans = F.arrays_zip(_located(3, f"{name}_gaps", f"{name}_hits").alias("span"), F.col(f"{name}_hits").alias("hit"))
         found.append(F.transform(F.filter(spans, _is_secret(window, least)), lambda x: x["span"]))
-    parts = cut.select("row", F.array_sort(F.concat(base["assign"], base["access"], base["hex"])).alias("base"), F.array_distinct(F.concat(*found)).alias("more"))
-    # how far the base spans, in order, cover a span from its start on
-    reach = lambda m: F.aggregate("base", m["start"], lambda at, b: F.when(b["start"] <= at, F.greatest(at, b["stop"])).otherwise(at))
-    added = F.filter("more", lambda m: reach(m) < m["stop"])
+    parts = cut.select("row", F.array_sort(F.concat(base["assign"], base["access"], base["hex"])).alias("base"), F.concat(*found).alias("more"))
+    added = F.when(F.size("more") == 0, F.col("more")).otherwise(_not_covered(F.col("more"), _stretches(F.col("base"), touching=True)))
     return parts.select("row", F.array_sort(F.concat("base", added)).alias("spans"))
 
 
@@ -148,21 +214,29 @@ def spelled(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """``text`` with each stretch that spans cover replaced by ``mark``."""
-
-    def step(s: Column, x: Column) -> Column:
-        apart = x["start"] >= s["at"]
-        piece = F.concat(F.substring(s["text"], s["at"] + 1, x["start"] - s["at"]), F.lit(mark))
-        return F.struct(
-            s["text"].alias("text"),
-            F.greatest(s["at"], x["stop"]).alias("at"),
-            F.when(apart, F.concat(s["out"], F.array(piece))).otherwise(s["out"]).alias("out"),
-        )
-
-    start = F.struct(text.alias("text"), F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    done = F.aggregate(spans, start, step)
-    whole = F.concat(F.array_join(done["out"], ""), F.substring(text, done["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(whole)
+    """``text`` with each stretch that spans cover replaced by ``mark``.
+
+    What lies between stretches is cut out of pieces of _PIECE characters, so
+    that no cut starts counting at the text's start.
+    """
+
+    def within(pieces: Column, i: Column, a: Column, b: Column) -> Column:
+        return F.substring(F.coalesce(F.get(pieces, i), F.lit("")), a - i * _PIECE + 1, b - a)
+
+    def between(pieces: Column, a: Column, b: Column) -> Column:
+        first, last = F.floor(a / _PIECE).cast("int"), F.floor(b / _PIECE).cast("int")
+        middle = F.array_join(F.slice(pieces, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+        long = F.concat(within(pieces, first, a, (first + 1) * _PIECE), middle, within(pieces, last, last * _PIECE, b))
+        return F.when(b <= a, "").when(first == last, within(pieces, first, a, b)).otherwise(long)
+
+    def whole(v: Column) -> Column:
+        starts, stops = F.transform(v["cut"], lambda x: x["start"]), F.transform(v["cut"], lambda x: x["stop"])
+        gaps = F.arrays_zip(F.concat(F.array(F.lit(0)), stops).alias("a"), F.concat(starts, F.array(v["size"])).alias("b"))
+        return F.array_join(F.transform(gaps, lambda g: between(v["pieces"], g["a"], g["b"])), mark)
+
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{_PIECE}}}"), F.lit(0))
+    known = F.struct(pieces.alias("pieces"), _stretches(spans, touching=False).alias("cut"), F.length(text).alias("size"))
+    return F.when(F.size(spans) == 0, text).otherwise(_once(known, whole))
 
 
 def secret_digests(found: DataFrame) -> DataFrame:
