@@ -6,15 +6,16 @@ so that any store Spark reaches will do and lost executors leave no torn files:
 ``dictionary``  one row: ``hash`` (SHA-256, hex) and ``dictionary`` (bytes).
 ``shards``      one row for each block of consecutive documents: ``shard`` and
                 ``block`` (their order is that of doc_id), ``first_doc``,
-                ``last_doc``, ``n_docs``, ``n_tokens``, ``dictionary_hash``,
+                ``last_doc``, ``n_docs``, ``n_null`` (documents without an id,
+                which come first), ``n_tokens``, ``dictionary_hash``,
                 ``doc_ids`` (signed 64-bit), ``tokens`` (unsigned 64-bit, ids
                 of each document), ``offsets`` (unsigned 64-bit, one more than
                 documents: where each frame starts in the payload, and its
                 end) and ``payload`` (one zstandard frame for each document,
                 its ids as unsigned 32-bit integers).  All are little-endian.
 
-Documents are in ascending doc_id, null ids first (written as the smallest
-64-bit integer); rows that repeat an id stand side by side.  A null or empty
+Documents are in ascending doc_id, null ids first (each block says how many of
+its documents have none; their places in ``doc_ids`` are 0); rows that repeat an id stand side by side.  A null or empty
 text has the end id alone.  An empty table gives files without blocks.
 """
 
@@ -40,9 +41,8 @@ PIECE_BYTES = 1024
 DICTIONARY_BYTES = 65_536
 DOCS_PER_SHARD = 8192
 BLOCK_BYTES = 16_000_000
-NO_ID = -(2**63)
 _SHARDS = (
-    "shard int, block int, first_doc long, last_doc long, n_docs long, n_tokens long, dictionary_hash string, "
+    "shard int, block int, first_doc long, last_doc long, n_docs long, n_null long, n_tokens long, dictionary_hash string, "
     "doc_ids binary, tokens binary, offsets binary, payload binary"
 )
 
@@ -103,9 +103,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
         ids, counts, frames, size = [], [], [], 0
 
         def done() -> pa.RecordBatch:
+            known = [i for i in ids if i is not None]
             row = {
-                "shard": shard, "block": block, "first_doc": ids[0], "last_doc": ids[-1], "n_docs": len(ids), "n_tokens": sum(counts), "dictionary_hash": digest,
-                "doc_ids": np.array(ids, "<i8").tobytes(), "tokens": np.array(counts, "<u8").tobytes(),
+                "shard": shard, "block": block, "first_doc": known[0] if known else None, "last_doc": known[-1] if known else None,
+                "n_docs": len(ids), "n_null": len(ids) - len(known), "n_tokens": sum(counts), "dictionary_hash": digest,
+                "doc_ids": np.array([i or 0 for i in ids], "<i8").tobytes(), "tokens": np.array(counts, "<u8").tobytes(),
                 "offsets": np.cumsum([0, *map(len, frames)]).astype("<u8").tobytes(), "payload": b"".join(frames),
             }
             return pa.RecordBatch.from_pylist([row], schema=arrow)
@@ -115,7 +117,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
                 part = batch.slice(lo, 256)
                 coded = _with_end(encoder.encode(part.column(1).to_pylist()), end_id)
                 for doc, raw in zip(part.column(0).to_pylist(), coded):
-                    ids.append(NO_ID if doc is None else doc)
+                    ids.append(doc)
                     counts.append(len(raw) // 4)
                     frames.append(pack.compress(raw))
                     size += len(frames[-1])
@@ -149,12 +151,9 @@ def read_token_files(spark: SparkSession, path: str, doc_ids: Iterable[int] | No
         starts = F.broadcast(starts)
     wanted = None if doc_ids is None else sorted(set(doc_ids))
     if wanted is not None:
-        hit = F.lit(False)
-        for i in wanted:
-            hit = hit | ((F.col("first_doc") <= i) & (F.col("last_doc") >= i))
-        shards = shards.filter(hit)
+        shards = shards.filter(F.exists(F.lit(wanted).cast("array<long>"), lambda i: (F.col("first_doc") <= i) & (F.col("last_doc") >= i)))
     found = shards.join(starts, (F.col("shard") == F.col("at_shard")) & (F.col("block") == F.col("at_block"))).select(
-        "base", "dictionary_hash", "doc_ids", "tokens", "offsets", "payload"
+        "base", "dictionary_hash", "n_null", "doc_ids", "tokens", "offsets", "payload"
     )
     schema = "doc_id long, start long, ids binary"
     arrow = _arrow_schema(schema)
@@ -164,16 +163,16 @@ def read_token_files(spark: SparkSession, path: str, doc_ids: Iterable[int] | No
         unpack = _decompressor(dictionary)
         for batch in batches:
             for x in range(batch.num_rows):
-                base, hashed, docs, tokens, offsets, payload = (batch.column(i)[x].as_py() for i in range(6))
+                base, hashed, n_null, docs, tokens, offsets, payload = (batch.column(i)[x].as_py() for i in range(7))
                 if hashed != digest:
                     raise ValueError("a block was written with another dictionary")
                 docs, tokens, offsets = np.frombuffer(docs, "<i8"), np.frombuffer(tokens, "<u8").astype(np.int64), np.frombuffer(offsets, "<u8").tolist()
                 start = base + np.cumsum(tokens) - tokens
-                take = np.arange(len(docs)) if only is None else np.flatnonzero(np.isin(docs, only))
+                take = np.arange(len(docs)) if only is None else np.flatnonzero(np.isin(docs, only) & (np.arange(len(docs)) >= n_null))
                 for lo in range(0, len(take), 512):
                     some = take[lo : lo + 512].tolist()
                     ids = [unpack.decompress(payload[offsets[i] : offsets[i + 1]], max_output_size=int(tokens[i]) * 4) for i in some]
-                    names = [None if docs[i] == NO_ID else int(docs[i]) for i in some]
+                    names = [None if i < n_null else int(docs[i]) for i in some]
                     yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(start[some], pa.int64()), pa.array(ids, pa.binary())], schema=arrow)
 
     return found.mapInArrow(run, schema)
