@@ -29,6 +29,9 @@ from .common import map_batches
 #: Most documents that a language is learned from, each of them whole.
 SAMPLE_DOCS = 60
 DICTIONARY_BYTES = 65_536
+#: Words of more characters are learned in pieces.
+LONGEST_WORD = 40
+PIECE_CHARS = 4
 CHUNK_BYTES = 2048
 LEVEL = 5
 MARGIN = 0.01
@@ -55,6 +58,9 @@ def learn_dictionaries(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, limit: i
     if not ids:
         return {}
     words = rows.filter(F.col("doc_id").isin(ids)).select("lang", F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("word")).filter("word <> ''")
+    # scripts without spaces have no such words; what is too long for one is counted in pieces
+    long = F.length("word") > LONGEST_WORD
+    words = words.select("lang", F.explode(F.when(long, F.regexp_extract_all("word", F.lit(f".{{1,{PIECE_CHARS}}}"), F.lit(0))).otherwise(F.array("word"))).alias("word"))
     counts = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
     # a word takes two bytes at least, with its space
     ranked = counts.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("nth") <= limit // 2)
@@ -65,10 +71,13 @@ def learn_dictionaries(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, limit: i
 
 
 def word_dictionary(counts: collections.Counter, limit: int = DICTIONARY_BYTES) -> bytes:
-    """The most frequent words that fit, ascending in frequency, one space around each."""
-    ranked = sorted(counts, key=lambda w: (-counts[w], w))
-    ends = itertools.accumulate(len(w) + 1 for w in ranked)
-    return b" " + b"".join(w + b" " for w in reversed([w for w, end in zip(ranked, ends) if end < limit]))
+    """The most frequent words that fit, ascending in frequency, one space around each; a word that does not fit is passed over."""
+    taken, used = [], 0
+    for word in sorted(counts, key=lambda w: (-counts[w], w)):
+        if used + len(word) + 1 < limit:
+            taken.append(word)
+            used += len(word) + 1
+    return b" " + b"".join(w + b" " for w in reversed(taken))
 
 
 @functools.lru_cache(maxsize=2)
