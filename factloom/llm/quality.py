@@ -20,6 +20,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,9 +34,9 @@ from .common import SHINGLE_WORDS, SPACES, WordHashes, map_batches, rolling, spl
 
 SYMBOLS = "#*$%&|<>"
 CONTENT_SHARE = 0.5
-#: The CRF is fitted on at most so many labelled documents of each quality, whole ones of at most so many lines.
+#: The CRF is fitted on at most so many labelled documents of each quality, whole ones of at most so many lines in all.
 SAMPLE_DOCS = 600
-SAMPLE_LINES = 64
+SAMPLE_LINES = 40_000
 #: Texts of so few lines have a feature of their own.
 FEW_LINES = 3
 #: From so many documents on, each with other lines around it, a line is boilerplate.
@@ -222,13 +223,24 @@ def weak_labels(lines: list[tuple[int, np.ndarray]]) -> list[np.ndarray]:
 def train_line_model(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES) -> LineModel | None:
     """A CRF from at most ``sample_docs`` labelled documents of each quality, those whose ids hash lowest.
 
-    Documents of more than ``sample_lines`` lines are left out of the sample;
-    of the others all lines are read.
+    They are taken whole, in that order, while they have ``sample_lines`` lines
+    together; one that has too many is passed over for the next.  Where all of a
+    quality have too many, a warning says so.
     """
     known = labels.select("doc_id", "quality").dropna().groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    lines = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1
+    sizes = docs.select("doc_id", lines.alias("lines")).filter("lines IS NOT NULL").groupBy("doc_id").agg(F.sum("lines").alias("lines"))
     quality: dict[int, int] = {}
     for q in (0, 1):
-        quality |= {r[0]: q for r in known.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).collect()}
+        # those that could never be taken don't count against the number of documents
+        fit = known.filter(F.col("quality") == q).join(sizes.filter(F.col("lines") <= sample_lines), "doc_id")
+        left = sample_lines
+        for doc_id, n in fit.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id", "lines").limit(sample_docs).collect():
+            if n <= left:
+                quality[doc_id] = q
+                left -= n
+        if left == sample_lines and not known.filter(F.col("quality") == q).join(sizes, "doc_id").isEmpty():
+            warnings.warn(f"every labelled document of quality {q} has more than {sample_lines} lines: none of them is learned from", stacklevel=2)
     if not quality:
         return None
 
@@ -237,7 +249,7 @@ def train_line_model(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMP
         rows = [(d, line_features(y).astype(np.uint8).tobytes(), np.array([xxhash.xxh3_64_intdigest(z) >> 1 for z in y], np.int64).tobytes()) for d, y in zip(x["doc_id"], lines) if y]
         return {"doc_id": [r[0] for r in rows], "features": [r[1] for r in rows], "hashes": [r[2] for r in rows]}
 
-    picked = docs.select("doc_id", "text").filter(F.col("doc_id").isin(list(quality)) & (F.size(F.split("text", "\n", -1)) <= sample_lines))
+    picked = docs.select("doc_id", "text").filter(F.col("doc_id").isin(list(quality)))
     got = sorted((r[0], bytes(r[1]), bytes(r[2])) for r in map_batches(picked, features, "doc_id long, features binary, hashes binary").collect())
     gold = weak_labels([(quality[d], np.frombuffer(h, np.int64)) for d, _, h in got])
     model = fit_crf([(np.frombuffer(f, np.uint8).reshape(-1, N_FEATURES).astype(np.float32), y) for (_, f, _), y in zip(got, gold)])
