@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as
 Parquet and read again as the next stage's docs.  All but the last return the
 columns of ``documents``; where a stage changes texts, ``n_chars`` follows.
+
+Rows that repeat a doc_id, or have none, are documents of their own in every
+stage: each is judged, cut, redacted and packed by its own text.  Of copies of a
+text with different ids the smallest id's rows stay; rows alike in id and text all
+stay, as do texts without an id.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import line_dedup, ngram_join, packing, quality, secrets
-from factloom.llm.common import documents, shared_folder
+from factloom.llm.common import SPACES, documents, shared_folder
 
 
 def _with_text(df: DataFrame, text) -> DataFrame:
@@ -34,7 +39,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of repeated three-line windows go; documents left without a word go too."""
     done = _with_text(line_dedup.line_dedup(docs), F.col("kept_text"))
-    return done.filter(F.trim(F.coalesce("text", F.lit(""))) != "")
+    return done.filter(F.btrim(F.coalesce("text", F.lit("")), F.lit(SPACES)) != "")
 
 
 def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -453,19 +453,16 @@ def ngram_join(
 def one_of_each_class(docs: DataFrame) -> DataFrame:
     """One text of each class of linked texts, that of the smallest doc_id: its rows, all columns.
 
-    Texts of that id that no links connect stay side by side; an id one of whose
-    texts is linked to a smaller id goes with all of its texts, as in
-    :func:`ngram_join`.  Rows alike in id and text all stay, and so do rows
-    without an id or without words.
+    Texts are told apart, not ids: of an id with several texts each stays or goes
+    by its own links, so only texts that are linked to one that stays are lost.
+    Rows alike in id and text all stay, and so do rows without an id or without
+    words.
     """
     _, classes, verified = _verified(docs, THRESHOLD, TREES, DEPTH, START, RECALL, BLOCK, BLOCK_SHINGLES)
     roots = components(verified.select(F.col("cls").alias("a"), F.col("root_cls").alias("b")), "join-kept")
     parts = classes.join(roots, F.col("cls") == F.col("node"), "left").withColumn("part", F.coalesce("root", "cls"))
     first = parts.groupBy("part").agg(F.min(F.struct("rep", "rep_print")).alias("first"))
     found = first.select(F.col("first.rep").alias("at_id"), F.col("first.rep_print").alias("at_print"))
-    if not classes.groupBy("rep").count().filter("count > 1").isEmpty():
-        by_id = components(verified.select(F.col("rep").alias("a"), F.col("root").alias("b")), "join-kept-ids")
-        found = found.join(by_id, F.col("at_id") == F.col("node"), "left").filter(F.coalesce("root", "at_id") == F.col("at_id")).select("at_id", "at_print")
     rows = docs.select(F.struct(*docs.columns).alias("row"))
     has_links = F.col("row.doc_id").isNotNull() & F.coalesce("row.text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     print_ = F.xxhash64(F.coalesce("row.text", F.lit("")))
