@@ -49,7 +49,10 @@ def g27_imported_scan(spark, sf):
 
 @query("""SELECT 'n' || CAST(n_nationkey AS STRING) AS path, unnest(CASE n_regionkey WHEN 0 THEN ['kafka'] WHEN 1 THEN ['redis', 'mongodb'] WHEN 2 THEN ['postgres'] WHEN 3 THEN ['spring-cloud-config', 'oracle'] ELSE [] END) AS peripheral_type FROM nation""")
 def i04_named_peripherals(spark, sf):
-    texts = ("@KafkaListener(topics = x) void on() {}", "private StringRedisTemplate r; MongoTemplate m;", "@Entity class E { String d = \"org.postgresql.Driver\"; }", "@EnableConfigServer class C { oracle.jdbc.Driver d; }", "import org.springframework.kafka.X; @RefreshScope class D { }")
+    texts = (
+        "class A { /* SQLServer before */ @KafkaListener(topics = x) void on() {} }", "class B { private StringRedisTemplate r; MongoTemplate m; }", "@Entity class E { org.postgresql.Driver d; }",
+        "@EnableConfigServer class C { oracle.jdbc.Driver d; }", "import org.springframework.kafka.X; @RefreshScope class D { String s = \"oracle\"; // replaces Oracle\n// @KafkaListener\n }",
+    )
     text = F.array(*map(F.lit, texts))[F.col("n_regionkey").cast("int")]
     files = base(spark, sf, "nation").select(F.lit("s").alias("service_id"), F.concat(F.lit("n"), _s("n_nationkey")).alias("path"), text.alias("text"))
     return extract.peripherals(files).select("path", "peripheral_type")

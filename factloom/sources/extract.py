@@ -1,20 +1,20 @@
-"""Facts from source texts by regular expressions (I-02 to I-26).
+"""Facts from source texts (I-01 to I-26).
 
 Each extractor takes ``files(path, text)``, with ``service_id`` where facts need
-it, and is a projection and an ``explode`` of matches; Spark splits the files.
-These are approximations of a parser: comments and string literals are not told
-from code.
+it, or files that :func:`light_parse` has read.  Facts about Java declarations
+are DataFrame operations on what :mod:`.code` reads, so comments and string
+literals declare nothing.  Facts by regular expression (Kotlin, gates, DDL,
+POMs and others) see the text without its comments.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import camel_to_snake, normalize_path, operation_of, store_type
 from ..operators.relational import distinct_on as first_wins
-
-
+from .code import MOST_CALLS, read_sources
 
 def _each(df: DataFrame, pattern: str, *groups: str, keep: tuple[str, ...] = ("service_id", "path", "class_fqn")) -> DataFrame:
     """A row for each match in ``text``; groups by name, blank ones null."""
@@ -24,66 +24,257 @@ def _each(df: DataFrame, pattern: str, *groups: str, keep: tuple[str, ...] = ("s
 
 
 def light_parse(files: DataFrame) -> DataFrame:
-    """I-01, I-02: package, first type and its kind; ``class_fqn`` of both."""
-    package = F.regexp_extract("text", r"(?m)^\s*package\s+([\w.]+)", 1)
-    kind = F.regexp_extract("text", r"\b(class|interface|enum|record|object)\s+[A-Z]\w*", 1)
-    name = F.regexp_extract("text", r"\b(?:class|interface|enum|record|object)\s+([A-Z]\w*)", 1)
-    fqn = F.concat_ws(".", F.nullif(package, F.lit("")), name)
-    return files.withColumns({"package": package, "type_kind": kind, "type_name": name, "class_fqn": fqn}).filter(name != "")
+    """I-01, I-02: files that declare a type, with package, primary type and kind, ``class_fqn`` of both, and all declarations.
+
+    The primary type is the first class or interface at the top, else the first
+    enum.  ``text`` comes back without comments.  A Java file whose brackets
+    don't match is left out, see :func:`unsupported`.
+    """
+    read = read_sources(files)
+    java = ~F.endswith("path", F.lit(".kt"))
+    main = F.get(F.filter("types", lambda t: t["is_primary"]), 0)
+    typed = r"\b(class|interface|enum|record|object)\s+([A-Z]\w*)"
+    package = F.when(java, F.col("package")).otherwise(F.regexp_extract("code", r"(?m)^\s*package\s+([\w.]+)", 1))
+    kind = F.when(java, main["kind"]).otherwise(F.regexp_extract("code", typed, 1))
+    name = F.when(java, main["name"]).otherwise(F.regexp_extract("code", typed, 2))
+    fqn = F.concat_ws(".", F.nullif("package", F.lit("")), "type_name")
+    out = read.withColumns({"package": package, "type_kind": kind, "type_name": name, "text": F.col("code")}).withColumn("class_fqn", fqn)
+    broken = java & F.col("problem").isNotNull()
+    return out.filter((F.col("type_name") != "") & ~broken).drop("code", "problem")
+
+
+def _members(parsed: DataFrame, kind: str, primary: bool = True) -> DataFrame:
+    """``m`` for each member of a kind, of the primary type or of all, beside what names its file."""
+    own = [c for c in ("service_id", "path", "class_fqn", "package", "types") if c in parsed.columns]
+    kept = F.filter("members", lambda m: (m["kind"] == kind) & (m["is_primary"] if primary else F.lit(True)))
+    return parsed.select(*own, F.explode(kept).alias("m"))
+
+
+def _main(parsed: DataFrame) -> Column:
+    return F.get(F.filter("types", lambda t: t["is_primary"]), 0)
+
+
+def _has(annotations: Column, *names: str) -> Column:
+    return F.exists(annotations, lambda a: a["name"].isin(*names))
+
+
+def _args(annotations: Column, name: str) -> Column:
+    """Arguments of the first annotation of that name; null where there is none."""
+    return F.get(F.filter(annotations, lambda a: a["name"] == name), 0)["args"]
+
+
+_EXPRESSION = r'((?:"(?:[^"\\]|\\.)*"|\{[^}]*\}|[^,"{])+)'
+
+
+def annotation_value(args: Column, *names: str) -> Column:
+    """Source of the first of the named members, or of the only one where it is not named; an empty string without any."""
+    named = F.regexp_extract(args, rf"(?:^|,)(?:{'|'.join(names)})={_EXPRESSION}", 1)
+    return F.when(args.rlike(r"(?:^|[,}])\w+=(?!=)"), named).otherwise(args)
+
+
+def _plain_type(c: Column) -> Column:
+    """A type's name without its parameters."""
+    return F.regexp_replace(c, r"<.*|\[\]|\.\.\.", "")
 
 
 def implemented(parsed: DataFrame) -> DataFrame:
-    """I-01: a row for each interface a class names."""
-    listed = F.regexp_extract("text", r"\bclass\s+\w+(?:<[^>]*>)?(?:\s+extends\s+[\w.<>, ]+?)?\s+implements\s+([\w.<>, ]+?)\s*\{", 1)
-    names = F.transform(F.split(F.regexp_replace(listed, "<[^>]*>", ""), ","), lambda n: F.trim(n))  # trim itself would get the index as a second argument
-    return parsed.select("service_id", "class_fqn", "package", F.explode(F.filter(names, lambda n: n != "")).alias("interface"))
+    """I-01: a row for each interface the primary type names."""
+    names = F.transform(_main(parsed)["implemented"], lambda t: _plain_type(t))
+    return parsed.select("service_id", "class_fqn", "package", F.explode(names).alias("interface"))
+
+
+#: Annotations that inject, and parts of types that send to Kafka.
+INJECTING = ("Autowired", "Resource", "Inject", "Qualifier")
+_PRODUCER = "SyncProducer|AsyncProducer|KafkaTemplate"
+
+
+def injections(parsed: DataFrame) -> DataFrame:
+    """I-25: ``type, name, bean_name, injection`` of what is handed to the primary type.
+
+    Annotated fields and Kafka producers, then constructor parameters, then what
+    a constructor by Lombok takes (all fields that are not static, or the final
+    ones), then other private final fields without a value, which only a
+    constructor can set.  Of a name and type the first in this order stays.
+    """
+    own = ["service_id", "class_fqn", "package"]
+    unquoted = lambda c: F.nullif(F.regexp_replace(c, r'^\w+=|"', ""), F.lit(""))
+    field = _members(parsed, "FIELD").withColumn("main", _main(parsed))
+    m, main = F.col("m"), F.col("main")
+    static = F.array_contains(m["modifiers"], "static")
+    final = F.array_contains(m["modifiers"], "final")
+    marked = F.get(F.filter(m["annotations"], lambda a: a["name"].isin(*INJECTING)), 0)["name"]
+    producer = m["type"].rlike(_PRODUCER)
+    all_args, required = _has(main["annotations"], "AllArgsConstructor"), _has(main["annotations"], "RequiredArgsConstructor")
+    how = (
+        F.when(marked.isNotNull() | producer, F.struct(F.lit(1).alias("rank"), F.coalesce(marked, F.lit("FIELD")).alias("kind")))
+        .when(~static & (all_args | required & final), F.struct(F.lit(3).alias("rank"), F.lit("LOMBOK_CONSTRUCTOR").alias("kind")))
+        .when(~static & final & F.array_contains(m["modifiers"], "private") & m["initial"].isNull(), F.struct(F.lit(4).alias("rank"), F.lit("FINAL_FIELD").alias("kind")))
+    )
+    bean = F.when(how["rank"] == 1, F.coalesce(unquoted(_args(m["annotations"], "Resource")), unquoted(_args(m["annotations"], "Qualifier"))))
+    fields = field.select(*own, m["type"].alias("type"), m["name"].alias("name"), bean.alias("bean_name"), how.alias("how")).filter("how IS NOT NULL")
+    made = _members(parsed, "CONSTRUCTOR").select(*own, F.explode("m.params").alias("p")).select(
+        *own, F.col("p.type").alias("type"), F.col("p.name").alias("name"), unquoted(_args(F.col("p.annotations"), "Qualifier")).alias("bean_name"),
+        F.struct(F.lit(2).alias("rank"), F.lit("CONSTRUCTOR").alias("kind")).alias("how"),
+    )
+    first = first_wins(fields.unionByName(made), ["service_id", "class_fqn", "type", "name"], [F.asc("how.rank"), F.asc_nulls_last("bean_name")])
+    return first.select(*own, "type", "name", "bean_name", F.col("how.kind").alias("injection"))
 
 
 def injected(parsed: DataFrame) -> DataFrame:
-    """I-25: final or annotated fields: ``type, name``."""
-    return _each(parsed, r"(?m)^\s*(?:@(?:Autowired|Inject|Resource)\b[^\n]*\s+)?private\s+(?:final\s+)?([A-Z][\w.]*)(?:<[^>\n]*>)?\s+(\w+)\s*;", "type", "name")
+    """I-25: ``type, name`` of :func:`injections`, types without their parameters."""
+    return injections(parsed).withColumn("type", _plain_type(F.col("type"))).distinct()
+
+
+def _public(m: Column) -> Column:
+    accessor = m["name"].rlike("^(get|set|is)") & (F.size(m["params"]) <= 1)
+    return F.array_contains(m["modifiers"], "public") & ~accessor
 
 
 def methods(parsed: DataFrame) -> DataFrame:
-    """I-01: public methods that are no accessors."""
-    found = _each(parsed, r"\bpublic\s+(?:static\s+|final\s+)*([\w.<>\[\], ]+?)\s+([a-z]\w*)\s*\(([^)]*)\)", "returns", "method", "params")
-    accessor = F.col("method").rlike("^(get|set|is)[A-Z]") & ~F.contains(F.coalesce("params", F.lit("")), F.lit(","))
-    return found.filter(~accessor)
+    """I-01: public methods of the primary type that are no accessors (get, set, is with one parameter at most)."""
+    m = F.col("m")
+    return _members(parsed, "METHOD").filter(_public(m)).select(
+        "service_id", "path", "class_fqn", m["type"].alias("returns"), m["name"].alias("method"), F.transform(m["params"], lambda p: p["type"]).alias("params"),
+        m["thrown"].alias("thrown"), m["doc"].alias("doc"),
+    )
+
+
+def calls(parsed: DataFrame, public: bool = False) -> DataFrame:
+    """``method, scope, chained, called, args`` of each call in the primary type's methods, the first of a method at ``position`` 0."""
+    found = _members(parsed, "METHOD")
+    found = found.filter(_public(F.col("m"))) if public else found
+    each = found.select("service_id", "path", "class_fqn", F.col("m.name").alias("method"), F.posexplode("m.calls").alias("position", "c"))
+    return each.select("service_id", "path", "class_fqn", "method", "position", "c.scope", "c.chained", F.col("c.name").alias("called"), "c.args")
+
+
+#: What calls are passed over by the start of their scope.
+SKIPPED_SCOPES = ("log", "LOG", "logger", "LOGGER", "Optional", "String", "Objects", "CollectionUtils", "StringUtils", "ObjectUtils", "Collections", "Arrays")
+
+
+def call_graph(parsed: DataFrame) -> DataFrame:
+    """I-25: ``class_fqn, method, callee_type, callee, variable`` of public methods' calls.
+
+    On an injected variable the callee is of its type; on ``this.x`` or on
+    nothing, of the class itself; chained calls are passed over.  The first
+    MOST_CALLS of a method stay.
+    """
+    of = injections(parsed).select("service_id", "class_fqn", F.col("name").alias("variable"), "type")
+    found = calls(parsed, public=True).filter(F.col("chained").isNull())
+    skipped = F.greatest(*(F.startswith("scope", F.lit(x)) for x in SKIPPED_SCOPES))
+    found = found.filter(F.col("scope").isNull() | ~skipped)
+    parts = F.split("scope", r"\.")
+    found = found.withColumns({
+        "variable": F.when(F.size(parts) == 1, F.col("scope")).when((F.size(parts) == 2) & (parts[0] != "this"), parts[0]),
+        "own": F.col("scope").isNull() | (F.size(parts) == 2) & (parts[0] == "this"),
+        "shown": F.element_at(parts, -1),
+    })
+    one = first_wins(of, ["service_id", "class_fqn", "variable"], [F.asc("type")])
+    typed = found.join(one, ["service_id", "class_fqn", "variable"], "left")
+    kept = typed.withColumn("callee_type", F.when(F.col("own"), F.col("class_fqn")).otherwise(F.col("type"))).filter("callee_type IS NOT NULL")
+    nth = F.row_number().over(Window.partitionBy("service_id", "class_fqn", "method").orderBy("position"))
+    kept = kept.withColumn("nth", nth).filter(F.col("nth") <= MOST_CALLS)
+    return kept.select("service_id", "class_fqn", "method", "callee_type", F.col("called").alias("callee"), F.col("shown").alias("variable")).distinct()
 
 
 def method_calls(parsed: DataFrame) -> DataFrame:
-    """I-25: calls on injected fields: ``field, called``; loggers are passed over."""
+    """I-25: calls on injected fields, in any method: ``type, called``; loggers are passed over."""
     fields = injected(parsed).select("service_id", "class_fqn", F.col("name").alias("field"), "type")
-    calls = _each(parsed, r"\b(?:this\.)?([a-z]\w*)\.([a-z]\w*)\s*\(", "field", "called").filter("field NOT IN ('log', 'logger')")
-    return calls.join(fields, ["service_id", "class_fqn", "field"]).select("service_id", "class_fqn", "type", "called").distinct()
+    found = calls(parsed).withColumn("field", F.regexp_extract("scope", r"^(?:this\.)?(\w+)$", 1)).filter("field NOT IN ('', 'log', 'logger')")
+    return found.join(fields, ["service_id", "class_fqn", "field"]).select("service_id", "class_fqn", "type", "called").distinct()
 
 
 #: Verbs of mapping annotations; RequestMapping without a verb stands for all seven.
 VERBS = ("GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS")
+_MAPPING = r"^(Get|Post|Put|Delete|Patch|Request)Mapping$"
 
 
-def endpoints(parsed: DataFrame) -> DataFrame:
-    """I-01, I-19: ``class_fqn, http_method, path``: class and method mappings joined."""
-    base = F.regexp_extract("text", r'@RequestMapping\s*\(\s*(?:value\s*=\s*|path\s*=\s*)?"([^"]*)"[^)]*\)\s*(?:@[^\n]*\s+)*public\s+(?:class|interface)', 1)
-    rest = parsed.filter(F.col("text").rlike("@(Rest)?Controller|@FeignClient")).withColumn("base", base)
-    keep = ("service_id", "path", "class_fqn", "base")
-    short = _each(rest, r'@(Get|Post|Put|Delete|Patch)Mapping(?:\s*\(\s*(?:value\s*=\s*|path\s*=\s*)?"([^"]*)"[^)]*\))?', "verb", "sub", keep=keep)
-    one = short.withColumn("http_method", F.array(F.upper("verb")))
-    long = _each(rest, r'@RequestMapping\s*\(([^)]*)\)\s*(?:@[^\n]*\s+)*public\s+(?!class|interface)([\w<>., ]+)', "inside", "returns", keep=keep)
-    named = F.regexp_extract_all("inside", F.lit(r"RequestMethod\.(\w+)"), F.lit(1))
-    two = long.withColumn("http_method", F.when(F.size(named) > 0, named).otherwise(F.array(*(F.lit(v) for v in VERBS)))).withColumn(
-        "sub", F.nullif(F.regexp_extract("inside", '"([^"]*)"', 1), F.lit(""))
-    )
-    cols = ["service_id", F.col("path").alias("file_path"), "class_fqn", F.explode("http_method").alias("http_method"), normalize_path(F.concat(F.lit("/"), "base", F.lit("/"), F.coalesce("sub", F.lit("")))).alias("path")]
-    return one.select(*cols).union(two.select(*cols)).distinct()
+def _paths(expression: Column) -> Column:
+    """Each element of an array's source, or the source itself."""
+    inside = F.regexp_extract(expression, r"^\{(.*)\}$", 1)
+    many = F.regexp_extract_all(inside, F.lit(_EXPRESSION), F.lit(1))
+    return F.when(expression.rlike(r"^\{.+\}$"), many).otherwise(F.array(expression))
+
+
+def mappings(parsed: DataFrame) -> DataFrame:
+    """I-01: ``method, http_method, base, sub`` of mapping annotations of the primary type and its methods, paths as they stand in the source."""
+    base = F.coalesce(annotation_value(_args(_main(parsed)["annotations"], "RequestMapping"), "value", "path"), F.lit(""))
+    each = _members(parsed, "METHOD").withColumn("base", base).select("service_id", "path", "class_fqn", "base", F.col("m.name").alias("method"), F.explode("m.annotations").alias("a"))
+    each = each.filter(F.col("a.name").rlike(_MAPPING)).withColumn("args", F.col("a.args"))
+    verb = F.upper(F.regexp_extract("a.name", _MAPPING, 1))
+    wanted = annotation_value(F.concat(F.lit("x=,"), "args"), "method")
+    named = F.filter(F.array(*map(F.lit, VERBS)), lambda v: F.contains(F.upper(wanted), F.concat(F.lit("."), v)) | F.rlike(F.upper(wanted), F.concat(F.lit(r"\b"), v, F.lit(r"\b"))))
+    verbs = F.when(verb != "REQUEST", F.array(verb)).when(F.size(named) > 0, named).otherwise(F.array(*map(F.lit, VERBS)))
+    rows = each.withColumn("http_method", F.explode(verbs)).withColumn("base", F.explode(_paths(F.col("base")))).withColumn("sub", F.explode(_paths(annotation_value(F.col("args"), "value", "path"))))
+    return rows.select("service_id", "path", "class_fqn", "method", "http_method", "base", "sub")
+
+
+def resolved(rows: DataFrame, column: str, known: DataFrame) -> DataFrame:
+    """I-19: ``rows`` with the source expression in ``column`` put together: literals, and constants of ``known(service_id, constant, value)``.
+
+    ``A.B`` is constant ``A#B``, a name alone one of the class that names it.
+    What is no literal and not known stays as it is written.
+    """
+    parts = F.regexp_extract_all(F.col(column), F.lit(r'"(?:[^"\\]|\\.)*"|[\w.]+|[^"\w.+]+'), F.lit(0))
+    others = [c for c in rows.columns if c != column]
+    each = rows.distinct().select(F.struct(*rows.columns).alias("at"), F.posexplode_outer(parts).alias("nth", "part"))
+    simple = F.substring_index("at.class_fqn", ".", -1)
+    key = F.when(F.contains("part", F.lit(".")), F.regexp_replace("part", r"^(?:.*\.)?(\w+)\.(\w+)$", "$1#$2")).otherwise(F.concat_ws("#", simple, "part"))
+    values = known.groupBy(F.col("service_id").alias("of"), F.col("constant").alias("named")).agg(F.min("value").alias("value"))
+    joined = each.join(values, (F.col("at.service_id") == F.col("of")) & (key == F.col("named")), "left")
+    text = F.when(F.startswith("part", F.lit('"')), F.regexp_replace("part", '^"|"$', "")).otherwise(F.coalesce("value", "part"))
+    again = joined.groupBy("at").agg(F.array_sort(F.collect_list(F.struct("nth", F.coalesce(text, F.lit("")).alias("text")))).alias("texts"))
+    return again.select(*(F.col(f"at.{c}").alias(c) for c in others), F.array_join("texts.text", "").alias(column))
+
+
+def endpoints(parsed: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """I-01, I-19: ``class_fqn, http_method, path``: class and method mappings joined; ``known`` constants are put into paths."""
+    rows = mappings(parsed).withColumnRenamed("path", "file_path")
+    if known is not None:
+        rows = resolved(resolved(rows, "base", known), "sub", known)
+    bare = lambda c: F.replace(F.col(c), F.lit('"'), F.lit(""))
+    path = normalize_path(F.concat(F.lit("/"), bare("base"), F.lit("/"), bare("sub")))
+    return rows.select("service_id", "file_path", "class_fqn", "http_method", path.alias("path")).distinct()
+
+
+#: Verbs of fluent clients and of templates, and types that are clients.
+_TEMPLATES = {"getForEntity": "GET", "getForObject": "GET", "postForEntity": "POST", "postForObject": "POST", "delete": "DELETE", "patchForEntity": "PATCH"}
+_CLIENTS = "RestClient|WebClient|RestTemplate|FeignClient"
+
+
+def client_calls(parsed: DataFrame) -> DataFrame:
+    """I-01: ``client, http_method, path_text, source_symbol``: calls to other services by the client they go through.
+
+    Fluent clients (a verb, then ``uri``), templates, ``exchange`` (whose path is
+    always null), Feign interfaces (their endpoints), subclasses of RestService
+    (their settings' prefix), and each field of a client's type (without a verb).
+    """
+    found = calls(parsed)
+    plain = lambda c: F.replace(c, F.lit('"'), F.lit(""))
+    simple = F.substring_index("class_fqn", ".", -1)
+    at = F.concat_ws("#", simple, "method").alias("source_symbol")
+    own = ["service_id", "class_fqn"]
+    null = F.lit(None).cast("string")
+    fluent = found.filter("called = 'uri' AND size(args) > 0 AND chained IN ('get', 'post', 'put', 'delete', 'patch')").select(*own, F.lit("RestClient").alias("client"), F.upper("chained").alias("http_method"), plain(F.col("args")[0]).alias("path_text"), at)
+    verbs = F.create_map(*(F.lit(x) for kv in _TEMPLATES.items() for x in kv))
+    template = found.filter(F.col("called").isin(*_TEMPLATES) & (F.size("args") > 0)).select(*own, F.lit("RestTemplate"), verbs[F.col("called")], plain(F.col("args")[0]), at)
+    verb = F.regexp_extract(F.col("args")[1], r"\.(POST|PUT|GET|DELETE|PATCH)", 1)
+    web = F.when(F.contains("scope", F.lit("WebClient")), "WebClient").otherwise("RestTemplate")
+    exchange = found.filter("called = 'exchange' AND size(args) >= 2").select(*own, web, F.nullif(verb, F.lit("")), null, at)
+    main = _main(parsed)
+    feign = mappings(parsed.filter(_has(main["annotations"], "FeignClient"))).select(*own, F.lit("FeignClient"), "http_method", plain(F.concat("base", "sub")), F.concat_ws("#", "class_fqn", "method"))
+    prefix = F.nullif(plain(annotation_value(_args(main["annotations"], "ConfigurationProperties"), "value", "prefix")), F.lit(""))
+    retried = F.exists("members", lambda m: m["is_primary"] & F.exists(m["calls"], lambda c: c["name"] == "callWithRetry"))
+    service = parsed.filter(F.exists(main["extended"], lambda t: F.contains(t, F.lit("RestService"))) & (retried | prefix.isNotNull())).select(*own, F.lit("RestService"), F.lit("POST"), prefix, simple)
+    fields = _members(parsed, "FIELD").filter(_plain_type(F.col("m.type")).rlike(_CLIENTS)).select(*own, F.col("m.type"), null, null, simple)
+    out = fluent
+    for part in (template, exchange, feign, service, fields):
+        out = out.union(part)
+    return out.distinct()
 
 
 def outbound_calls(parsed: DataFrame) -> DataFrame:
-    """I-01, I-03: ``http_method, path`` of fluent clients and templates; paths of ``exchange`` are always null."""
-    fluent = _each(parsed, r'\.(get|post|put|delete|patch)\(\)\s*\.uri\(\s*"([^"]*)"', "verb", "path_text").select("service_id", "class_fqn", F.upper("verb").alias("http_method"), "path_text", F.lit(0.9).alias("confidence"))
-    template = _each(parsed, r'\.(get|post|put|delete|patch)(?:ForEntity|ForObject)?\(\s*"(/[^"]*|https?://[^"]*)"', "verb", "path_text").select("service_id", "class_fqn", F.upper("verb").alias("http_method"), "path_text", F.lit(0.9))
-    exchange = _each(parsed, r"\.exchange\([^,]+,\s*HttpMethod\.(\w+)", "verb").select("service_id", "class_fqn", "verb", F.lit(None).cast("string"), F.lit(0.9))
-    return fluent.union(template).union(exchange).distinct()
+    """I-01, I-03: ``http_method, path_text`` of calls to other services, at a confidence of 0.9."""
+    return client_calls(parsed).select("service_id", "class_fqn", "http_method", "path_text", F.lit(0.9).alias("confidence")).distinct()
 
 
 def symbol_facts(parsed: DataFrame) -> DataFrame:
@@ -95,32 +286,45 @@ def symbol_facts(parsed: DataFrame) -> DataFrame:
 
 
 def unsupported(files: DataFrame) -> DataFrame:
-    """I-03: files of which no type could be read."""
+    """I-03: files of which no type could be read, or whose brackets don't match."""
     return files.join(light_parse(files).select("path"), "path", "left_anti").select("service_id", "path", F.lit("PARSE_ERROR").alias("reason_code"))
 
 
-#: Peripherals by the annotations and types a text names; tier 1 is sure, tier 3 needs to be set up by hand.
+#: Peripherals by names of annotations and types, whole or a part; tier 1 is sure, tier 3 needs to be set up by hand.
 PERIPHERALS = (
-    ("kafka", 1, r"@KafkaListener\b"),
-    ("rabbitmq", 1, r"@RabbitListener\b"),
-    ("redis", 1, r"\b\w*RedisTemplate\b"),
-    ("mongodb", 1, r"\b\w*MongoTemplate\b"),
-    ("s3", 1, r"\bAmazonS3\b"),
-    ("gcp-pubsub", 1, r"\bBasicPublishSubscribeConsumer\b"),
-    ("postgres", 1, r"(?s)^(?=.*@Entity\b).*postgresql"),
-    ("oracle", 2, r"(?i)oracle"),
-    ("sqlserver", 2, r"(?i)sqlserver"),
-    ("spring-cloud-config", 3, r"ConfigServer"),
+    ("kafka", 1, "^KafkaListener$"),
+    ("rabbitmq", 1, "^RabbitListener$"),
+    ("redis", 1, "RedisTemplate"),
+    ("mongodb", 1, "MongoTemplate"),
+    ("s3", 1, "^AmazonS3$"),
+    ("gcp-pubsub", 1, "^BasicPublishSubscribeConsumer$"),
+    ("postgres", 1, "postgresql"),
+    ("oracle", 2, "(?i)oracle"),
+    ("sqlserver", 2, "(?i)sqlserver"),
+    ("spring-cloud-config", 3, "ConfigServer"),
 )
 
 
 def peripherals(files: DataFrame) -> DataFrame:
-    """I-04."""
+    """I-04: told by annotations, and by types of fields and of constructor parameters; postgres also needs an entity."""
+    read = read_sources(files)
+    names = F.array_distinct(F.concat(
+        F.flatten(F.transform("types", lambda t: F.transform(t["annotations"], lambda a: a["name"]))),
+        F.flatten(F.transform("members", lambda m: F.transform(m["annotations"], lambda a: a["name"]))),
+        F.transform(F.filter("members", lambda m: m["kind"] == "FIELD"), lambda m: m["type"]),
+        F.flatten(F.transform(F.filter("members", lambda m: m["kind"] == "CONSTRUCTOR"), lambda m: F.transform(m["params"], lambda p: p["type"]))),
+    ))
+    signals = read.select("service_id", "path", names.alias("names"))
+
+    def hit(name: str, pattern: str) -> Column:
+        found = F.exists("names", lambda n: n.rlike(pattern))
+        return found & F.array_contains("names", "Entity") if name == "postgres" else found
+
     hits = F.filter(
-        F.array(*(F.when(F.col("text").rlike(p), F.struct(F.lit(n).alias("peripheral_type"), F.lit(t).cast("short").alias("detection_tier"))) for n, t, p in PERIPHERALS)),
+        F.array(*(F.when(hit(n, p), F.struct(F.lit(n).alias("peripheral_type"), F.lit(t).cast("short").alias("detection_tier"))) for n, t, p in PERIPHERALS)),
         lambda x: x.isNotNull(),
     )
-    return files.select("service_id", "path", F.explode(hits).alias("x")).select("service_id", "path", "x.*")
+    return signals.select("service_id", "path", F.explode(hits).alias("x")).select("service_id", "path", "x.*")
 
 
 def attribute_callers(calls: DataFrame, invokes: DataFrame, most: int = 6) -> DataFrame:
@@ -302,6 +506,29 @@ def factory_routes(parsed: DataFrame) -> DataFrame:
     return put.union(other).distinct()
 
 
+def list_routes(parsed: DataFrame) -> DataFrame:
+    """I-25: ``factory_class_fqn, selector, routing_key, implementor_fqn`` of factories that collect an injected list into a map by adapter name.
+
+    The list is a constructor parameter; its implementors are the classes of the
+    service that name its element type and are not abstract.  A key is the
+    implementor's ADAPTER_NAME where it returns that, else its simple name.
+    """
+    simple = lambda c: F.substring_index(c, ".", -1)
+    lists = F.filter(F.flatten(F.transform(F.filter("members", lambda m: m["is_primary"] & (m["kind"] == "CONSTRUCTOR")), lambda m: F.transform(m["params"], lambda p: p["type"]))), lambda t: t.rlike(r"^(?:java\.util\.)?List<"))
+    element = F.regexp_extract(F.get(lists, 0), r"^[\w.]*List<(?:\?extends)?([\w.]+)", 1)
+    named = F.filter("members", lambda m: m["is_primary"] & (m["kind"] == "METHOD") & _public(m))
+    selector = F.when(F.contains("text", F.lit(".get(")), F.get(named, 0)["name"])
+    collects = F.contains("text", F.lit("Collectors.toMap(")) & F.contains("text", F.lit("::getAdapterName"))
+    factories = parsed.filter(collects & (element != "")).select("service_id", F.col("class_fqn").alias("factory_class_fqn"), F.coalesce(selector, F.lit("getProcessor")).alias("selector"), simple(element).alias("element"))
+    main = _main(parsed)
+    supers = F.concat(F.transform(main["implemented"], lambda t: simple(_plain_type(t))), F.when(F.exists(main["extended"], lambda t: simple(_plain_type(t)) == "OfferBaseAdapter"), F.array(F.lit("BaseAdapter"))).otherwise(F.array().cast("array<string>")))
+    constant = F.get(F.filter("members", lambda m: (m["kind"] == "FIELD") & (m["name"] == "ADAPTER_NAME") & m["initial"].rlike('^"')), 0)["initial"]
+    key = F.when(F.col("text").rlike(r"return\s+\w+\.ADAPTER_NAME"), F.regexp_replace(constant, '"', ""))
+    concrete = parsed.filter((main["kind"] == "class") & ~F.array_contains(main["modifiers"], "abstract"))
+    implementors = concrete.select("service_id", F.col("class_fqn").alias("implementor_fqn"), F.coalesce(key, simple("class_fqn")).alias("routing_key"), F.explode(F.array_distinct(supers)).alias("element"))
+    return factories.join(implementors, ["service_id", "element"]).select("service_id", "factory_class_fqn", "selector", "routing_key", "implementor_fqn").distinct()
+
+
 def pom_modules(files: DataFrame) -> DataFrame:
     """I-26: one row a POM: coordinates with those of the parent where absent, packaging, and module path."""
     body = F.regexp_replace("text", r"(?s)<(dependencies|dependencyManagement|build|profiles)>.*?</\1>", "")
