@@ -54,8 +54,8 @@ CHUNK_CHARS = 24_000_000
 #: Segments that are encoded and aligned at a time, and about how many characters of them.
 BATCH_SEGMENTS = 20_000
 BATCH_CHARS = 4_000_000
-#: Pairs of ids that a task counts before it hands them on (about 100 MB).
-HELD_PAIRS = 500_000
+#: Tokens and numbers that a task holds before it hands them on (about 100 MB).
+HELD_TOKENS = 4_000_000
 #: What B writes for a space.
 SPACE_MARK = "\u2581"
 #: All that any of the libraries may take for white space, so that a cut never depends on which does.
@@ -255,23 +255,37 @@ class Aligned:
         return arrays.pop("numbers"), cls(**arrays)
 
 
-_KNOWN = "chunk long, entries binary, a int, b int, times long"
+def pack_pairs(keys: np.ndarray, times: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=3, write_checksum=False).compress(np.stack([keys, times]).astype("<i8").tobytes())
+
+
+def unpack_pairs(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    keys, times = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype="<i8").reshape(2, -1)
+    return keys, times
+
+
+_KNOWN = "chunk long, entries binary, pairs binary"
 
 
 def aligned(uses: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """Rows of two kinds for each chunk: packed alignments of some of its segments, and a pair of ids with how often its documents hold it linked."""
+    """For each chunk, packed alignments of some of its segments, and the pairs of ids they link with how often the chunk's documents hold them."""
     arrow = _arrow_schema(_KNOWN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = models(path_a, path_b)
         last: tuple[str, Aligned] | None = None
-        held: dict[tuple[int, int], int] = {}
+        held: defaultdict[int, list[tuple[np.ndarray, np.ndarray, Aligned]]] = defaultdict(list)
+        n_held = 0
 
-        def pairs() -> pa.RecordBatch:
-            chunk, key = np.array([c for c, _ in held]), np.array([k for _, k in held])
-            out = _batch(arrow, chunk=chunk, a=(key >> 32).astype(np.int32), b=(key & 0xFFFFFFFF).astype(np.int32), times=list(held.values()))
+        def handed_on() -> Iterator[pa.RecordBatch]:
+            for c, parts in held.items():
+                own = Aligned.joined([x for _, _, x in parts])
+                numbers, times = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+                keys, inverse = np.unique(own.links(), return_inverse=True)
+                sums = np.zeros(len(keys), dtype=np.int64)
+                np.add.at(sums, inverse, np.repeat(times, own.n_groups))
+                yield _batch(arrow, chunk=[c], entries=[own.packed(numbers)], pairs=[pack_pairs(keys, sums)])
             held.clear()
-            return out
 
         for batch in batches:
             segments = batch.column("segment").to_pylist()
@@ -280,7 +294,7 @@ def aligned(uses: DataFrame, path_a: str, path_b: str) -> DataFrame:
             new = np.array([i == 0 or segments[i] != segments[i - 1] for i in range(len(segments))])
             entry = np.cumsum(new) - 1
             distinct = [segments[i] for i in np.flatnonzero(new).tolist()]
-            parts = [last[1]] if last and last[0] == distinct[0] else []
+            parts = [last[1]] if last and distinct and last[0] == distinct[0] else []
             at = len(parts)
             while at < len(distinct):
                 to, chars = at, 0
@@ -289,32 +303,54 @@ def aligned(uses: DataFrame, path_a: str, path_b: str) -> DataFrame:
                     to += 1
                 parts.append(Aligned.of(distinct[at:to], m))
                 at = to
+            if not parts:
+                continue
             known = Aligned.joined(parts)
             last = distinct[-1], known.take(np.array([len(distinct) - 1]))
             for c in np.unique(chunk).tolist():
-                rows = np.flatnonzero(chunk == c) if len(chunk) else []
-                own = known.take(entry[rows])
-                yield _batch(arrow, chunk=[c], entries=[own.packed(number[rows])])
-                keys, inverse = np.unique(own.links(), return_inverse=True)
-                sums = np.bincount(inverse, weights=np.repeat(times[rows], own.n_groups)).astype(np.int64)
-                for k, n in zip(keys.tolist(), sums.tolist()):
-                    held[c, k] = held.get((c, k), 0) + n
-            if len(held) > HELD_PAIRS:
-                yield pairs()
-        if held:
-            yield pairs()
+                rows = np.flatnonzero(chunk == c)
+                held[c].append((number[rows], times[rows], known.take(entry[rows])))
+            n_held += len(known.a) + len(known.b) + len(segments)
+            if n_held > HELD_TOKENS:
+                yield from handed_on()
+                n_held = 0
+        yield from handed_on()
 
     dealt = uses.select("chunk", "number", "segment", "times").repartition("segment").sortWithinPartitions("segment", "chunk")
     return dealt.mapInArrow(run, _KNOWN)
 
 
-def pair_counts(pairs: DataFrame) -> DataFrame:
+def pair_counts(known: DataFrame) -> DataFrame:
     """``a, b, pair_count, best``: how many links of the corpus hold the pair, and whether no pair of that ``b`` has more."""
-    counts = staged(pairs.groupBy("a", "b").agg(F.sum("times").alias("pair_count")), "align-pairs")
+    arrow = _arrow_schema("a int, b int, times long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, times = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        for batch in batches:
+            parts = [(keys, times), *map(unpack_pairs, batch.column("pairs").to_pylist())]
+            keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            added = np.concatenate([t for _, t in parts])
+            times = np.zeros(len(keys), dtype=np.int64)
+            np.add.at(times, inverse, added)
+        if len(keys):
+            yield _batch(arrow, a=(keys >> 32).astype(np.int32), b=(keys & 0xFFFFFFFF).astype(np.int32), times=times)
+
+    summed = known.select("pairs").mapInArrow(run, "a int, b int, times long")
+    counts = staged(summed.groupBy("a", "b").agg(F.sum("times").alias("pair_count")), "align-pairs")
     most = counts.groupBy("b").agg(F.max("pair_count").alias("most"))
     return counts.join(most, "b").select("a", "b", "pair_count", (F.col("pair_count") == F.col("most")).alias("best"))
 
 
+def chunk_pairs(known: DataFrame) -> DataFrame:
+    """``chunk, a, b``: each pair that a chunk's segments link, once."""
+
+    def distinct(rows: pd.DataFrame) -> pd.DataFrame:
+        keys = np.unique(np.concatenate([unpack_pairs(x)[0] for x in rows["pairs"]]))
+        return pd.DataFrame({"chunk": rows["chunk"].iloc[0], "a": (keys >> 32).astype(np.int32), "b": (keys & 0xFFFFFFFF).astype(np.int32)})
+
+    return known.select("chunk", "pairs").groupBy("chunk").applyInPandas(distinct, "chunk long, a int, b int")
+
+
 _DIGESTS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
@@ -322,29 +358,30 @@ def alignment_digests(docs: DataFrame, path_a: str, path_b: str, chunk_chars: in
     """Per document: tokens of both, groups, links, links that are their B id's most frequent, the sum of links' counts, digest of the groups."""
     laid = staged(chunks(docs, path_a, path_b, chunk_chars), "align-chunks")
     found = staged(aligned(laid.filter("segment IS NOT NULL"), path_a, path_b), "align-known")
-    pairs = found.filter("entries IS NULL")
-    counted = pairs.select("chunk", "a", "b").distinct().join(pair_counts(pairs), ["a", "b"])
-    entries = found.filter("entries IS NOT NULL").select("chunk", "entries")
+    counted = chunk_pairs(found).join(pair_counts(found), ["a", "b"])
+    entries = found.select("chunk", "entries")
     known = entries.unionByName(counted, allowMissingColumns=True).withColumnRenamed("chunk", "of_chunk")
     texts = laid.filter("segment IS NULL").select("chunk", "doc_id", "numbers")
 
     def compose(documents: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        unpacked_ = [Aligned.unpacked(x) for x in known["entries"].dropna()]
-        table = groups = None
-        if unpacked_:
-            numbers = np.concatenate([n for n, _ in unpacked_])
-            own = Aligned.joined([x for _, x in unpacked_])
-            pair = known[known["entries"].isna()]
-            keys = pair["a"].to_numpy(dtype=np.int64) << 32 | pair["b"].to_numpy(dtype=np.int64)
-            order = np.argsort(keys)
-            at = order[np.searchsorted(keys[order], own.links())]
+        is_pair = known["entries"].isna()
+        pair = known[is_pair]
+        keys = pair["a"].to_numpy(dtype=np.int64) << 32 | pair["b"].to_numpy(dtype=np.int64)
+        order = np.argsort(keys)
+        keys, best, count = keys[order], pair["best"].to_numpy(dtype=np.int64)[order], pair["pair_count"].to_numpy(dtype=np.int64)[order]
+        done = []
+        for raw in known["entries"][~is_pair]:
+            numbers, own = Aligned.unpacked(raw)
+            at = np.searchsorted(keys, own.links())
             of = np.repeat(np.arange(len(numbers)), own.n_groups)
             sums = np.zeros((2, len(numbers)), dtype=np.int64)
-            np.add.at(sums[0], of, pair["best"].to_numpy(dtype=np.int64)[at])
-            np.add.at(sums[1], of, pair["pair_count"].to_numpy(dtype=np.int64)[at])
-            place = np.argsort(numbers)
-            table = np.stack([own.n_a, own.n_b, own.n_groups, *sums])[:, place]
-            groups = np.array(own.groups(), dtype=object)[place]
+            np.add.at(sums[0], of, best[at])
+            np.add.at(sums[1], of, count[at])
+            done.append((numbers, np.stack([own.n_a, own.n_b, own.n_groups, *sums]), own.groups()))
+        n = sum(len(x) for x, _, _ in done)
+        table, groups = np.zeros((5, n), dtype=np.int64), np.empty(n, dtype=object)
+        for numbers, values, spelled in done:
+            table[:, numbers], groups[numbers] = values, spelled
         rows = []
         for doc_id, numbers in zip(documents["doc_id"].array, documents["numbers"]):
             doc_id = None if pd.isna(doc_id) else int(doc_id)
