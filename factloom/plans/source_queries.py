@@ -287,3 +287,26 @@ def i16_repositories_and_mirrors(spark, sf):
     links = access_links.repository_links(parsed)
     rich = access_links.with_mirrors(access_links.with_repositories(entities, links), access_links.mirrors(parsed), links)
     return rich.select("entity_fqn", "evidence_source", F.col("mirrors")[0]["table_name"].alias("mirror"))
+
+
+# I-21, I-22: references between schemas
+
+
+@query("""WITH RECURSIVE r AS (SELECT CAST(n_nationkey AS BIGINT) AS root, CAST(n_nationkey AS BIGINT) AS cur, '' AS prefix, 0 AS d FROM nation UNION ALL SELECT root, (cur + 5) % 25, prefix || 'next.', d + 1 FROM r WHERE d < 5)
+SELECT 's/n' || CAST(root AS STRING) || '.json' AS path, prefix || 'id' || CAST(cur AS STRING) AS field FROM r UNION ALL SELECT 's/n' || CAST(root AS STRING) || '.json', rtrim(prefix, '.') FROM r WHERE d > 0
+UNION ALL SELECT 's/n' || CAST(root AS STRING) || '.json', prefix || 'tags' || x FROM r, (VALUES (''), ('[]'), ('[].r')) t(x) UNION ALL SELECT 'c/r.json', 'r'""")
+def i22_referenced_fields(spark, sf):
+    """Each nation's schema leads to that of the nation five further on, in a ring, and its tags to a common one."""
+    n = base(spark, sf, "nation").select("n_nationkey", ((F.col("n_nationkey") + 5) % 25).alias("next"))
+    text = """{"properties": {"id<k>": {"type": "string"}, "next": {"$ref": "./n<m>.json"}, "tags": {"type": "array", "items": {"$ref": "../c/r.json"}}}}"""
+    common = spark.range(1).select(F.lit("svc").alias("service_id"), F.lit("c/r.json").alias("path"), F.lit('{"properties": {"r": {"type": "number"}}}').alias("text"))
+    return extract.schema_fields(_files(n, "s/n<k>.json", text, k=F.col("n_nationkey"), m=F.col("next")).union(common))
+
+
+@query("""SELECT 'n' || CAST(n_nationkey AS STRING) || '|POST|/o/{*}' AS operation_id, 'a/in' || CAST(n_regionkey AS STRING) || '.json' AS request_schema, CASE WHEN n_regionkey < 3 THEN 'a/out' || CAST(n_nationkey AS STRING) || '.json' ELSE 'err.json' END AS response_schema FROM nation""")
+def i21_operation_schemas(spark, sf):
+    r = F.col("n_regionkey")
+    code = F.when(r < 3, "201").otherwise("3xx")
+    text = """{"paths": {"/o/{id}": {"post": {"requestBody": {"content": {"application/json": {"schema": {"$ref": "./in<r>.json"}}}}, "responses": {"404": {"content": {"application/json": {"schema": {"$ref": "err.json"}}}}, "<c>": {"content": {"x/y": {"schema": {"items": {"$ref": "./out<k>.json"}}}}}}}}}}"""
+    text = text.replace('"404"', '"<d>"')
+    return extract.operation_schemas(_files(base(spark, sf, "nation"), "a/n<k>-spec.json", text, k=F.col("n_nationkey"), r=r, c=code, d=F.when(r < 3, "404").otherwise("200")))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import camel_to_snake, normalize_path, operation_of, store_type
 from ..operators.relational import distinct_on as first_wins
+from ..session import staged
 from .code import MOST_CALLS, read_sources
 
 def _each(df: DataFrame, pattern: str, *groups: str, keep: tuple[str, ...] = ("service_id", "path", "class_fqn")) -> DataFrame:
@@ -448,26 +449,94 @@ def openapi_operations(files: DataFrame) -> DataFrame:
     return each.select(F.concat_ws("|", domain, F.upper("verb"), normalize_path("path")).alias("operation_id"), F.upper("verb").alias("http_method"), F.col("path").alias("path_template"), F.get_json_object("body", "$.operationId").alias("name"))
 
 
-def schema_fields(files: DataFrame, most_depth: int = 12) -> DataFrame:
-    """I-22: ``path, field``: dotted names of a JSON schema's properties, arrays as ``[]``; references are not followed.
+def _resolved_id(ref: Column, file: Column) -> Column:
+    """The file a reference names: itself before ``#``, seen from the folder of ``file`` where it starts with a dot; ``file`` for ``#`` alone."""
+    target = F.replace(F.substring_index(ref, "#", 1), F.lit("\\"), F.lit("/"))
+    folder = F.regexp_replace(file, "[^/]*$", "")
+    joined = F.regexp_replace(F.concat(folder, target), r"(?<=^|/)\./", "")
+    # each ".." takes the folder before it along
+    up = F.regexp_extract_all(joined, F.lit(r"[^/]+"), F.lit(0))
+    walked = F.aggregate(up, F.array().cast("array<string>"), lambda at, x: F.when((x == "..") & (F.size(at) > 0), F.slice(at, 1, F.greatest(F.size(at) - 1, F.lit(0)))).otherwise(F.array_append(at, x)))
+    return F.when(target == "", file).when(F.startswith(target, F.lit(".")), F.array_join(walked, "/")).otherwise(target)
+
+
+def _pointer(ref: Column) -> Column:
+    """The JSON path of what stands after ``#``."""
+    inside = F.filter(F.split(F.regexp_extract(ref, "#/?(.*)$", 1), "/"), lambda x: x != "")
+    return F.concat(F.lit("$"), F.array_join(F.transform(inside, lambda x: F.concat(F.lit("['"), F.replace(F.replace(x, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~")), F.lit("']"))), ""))
+
 
-    One level a round: each round opens the properties of the objects found in
-    the one before, so the number of rounds is that of levels.
+def schema_fields(files: DataFrame, most_depth: int = 12) -> DataFrame:
+    """I-22: ``path, field``: dotted names of a JSON schema's fields, arrays as ``[]``; a schema without fields gives its type.
+
+    References are followed, within a file (``#/definitions/A``), to the file of
+    the path they name, or to one beside it.  All schemas go on together: a round
+    opens the properties, items and references of what the round before found,
+    and each row carries the references it came by, so one that comes back to a
+    schema it is in ends there, without a name.  A property or an array's items
+    are one level further down; levels beyond ``most_depth`` are left out.
     """
-    props = lambda c: F.from_json(F.get_json_object(c, "$.properties"), "map<string,string>")
-    level = files.filter(F.endswith("path", F.lit(".json"))).select("path", F.lit("").alias("prefix"), F.col("text").alias("body"))
-    out = None
-    for _ in range(most_depth):
-        field = level.select("path", "prefix", F.explode(props("body")).alias("name", "inner")).select("path", F.concat("prefix", "name").alias("field"), "inner")
-        items = field.filter(F.get_json_object("inner", "$.items").isNotNull()).select("path", F.concat("field", F.lit("[]")).alias("field"), F.get_json_object("inner", "$.items").alias("inner"))
-        both = field.unionByName(items)
-        out = both.select("path", "field") if out is None else out.union(both.select("path", "field"))
-        level = both.filter(props("inner").isNotNull()).select("path", F.concat("field", F.lit(".")).alias("prefix"), F.col("inner").alias("body"))
+    docs = files.filter(F.endswith("path", F.lit(".json"))).groupBy("path").agg(F.min("text").alias("body"))
+    index = docs.select(F.col("path").alias("of"), F.col("body").alias("whole"))
+    part = lambda p: F.get_json_object("body", p)
+    level = docs.select("path", F.col("path").alias("file"), F.lit("").alias("prefix"), "body", F.lit(0).alias("depth"), F.array().cast("array<string>").alias("followed"))
+    found = []
+    while True:
+        level = staged(
+            level.withColumns({
+                "ref": part("$['$ref']"), "kind": part("$.type"), "items": part("$.items"), "props": F.from_json(part("$.properties"), "map<string,string>"),
+            }), "schema-level",
+        )
+        plain = level.filter("ref IS NULL")
+        array = (F.col("kind") == "array") | F.col("kind").isNull() & F.col("items").isNotNull() & F.col("props").isNull()
+        is_array, has_props = F.coalesce(array, F.lit(False)), F.coalesce(F.size("props") > 0, F.lit(False))
+        named = plain.filter(F.col("prefix") != "").select("path", F.col("prefix").alias("field"))
+        bare = plain.filter((F.col("prefix") == "") & ~is_array & ~has_props & F.col("kind").isNotNull()).select("path", F.lower("kind"))
+        found.append(named.union(bare))
+        deeper = plain.filter(F.col("depth") < most_depth)
+        inside = deeper.filter(is_array & F.col("items").isNotNull()).select("path", "file", F.concat("prefix", F.lit("[]")).alias("prefix"), F.col("items").alias("body"), (F.col("depth") + 1).alias("depth"), "followed")
+        dot = F.when(F.col("prefix") == "", "").otherwise(F.concat("prefix", F.lit(".")))
+        fields = deeper.filter(~is_array & has_props).select("path", "file", dot.alias("dot"), F.explode("props").alias("name", "body"), "depth", "followed")
+        fields = fields.filter(F.startswith("body", F.lit("{"))).select("path", "file", F.concat("dot", "name").alias("prefix"), "body", (F.col("depth") + 1).alias("depth"), "followed")
+        refs = level.filter("ref IS NOT NULL").withColumn("target", _resolved_id(F.col("ref"), F.col("file"))).withColumn("named", F.concat_ws("#", "target", F.regexp_extract("ref", "#/?(.*)$", 1)))
+        refs = refs.filter(~F.array_contains("followed", F.col("named"))).join(index, F.col("target") == F.col("of"))
+        opened = F.when(_pointer(F.col("ref")) == "$", F.col("whole")).otherwise(F.call_function("get_json_object", F.col("whole"), _pointer(F.col("ref"))))
+        refs = refs.select("path", F.col("target").alias("file"), "prefix", opened.alias("body"), "depth", F.array_append("followed", F.col("named")).alias("followed")).filter("body IS NOT NULL")
         if level.isEmpty():
             break
+        level = inside.union(fields).union(refs)
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
     return out.distinct()
 
 
+def operation_schemas(files: DataFrame) -> DataFrame:
+    """I-21: ``operation_id, request_schema, response_schema``: files of the schemas that an operation's bodies refer to.
+
+    JSON bodies come first; of responses 200, 201, 202, 204, default, then others.
+    """
+    spec = files.filter(F.endswith("path", F.lit(".json")) & ~F.contains("path", F.lit(".bundled.")))
+    paths = F.from_json(F.get_json_object("text", "$.paths"), "map<string,map<string,string>>")
+    each = spec.select(F.col("path").alias("file"), F.explode(paths).alias("path", "verbs")).select("file", "path", F.explode("verbs").alias("verb", "body")).filter(F.upper("verb").isin(*VERBS))
+    texts = "map<string,string>"
+
+    def schema_of(content: Column) -> Column:
+        """The first reference among media types, in the order of their names but JSON before others."""
+        types = F.array_sort(F.transform(F.map_entries(F.from_json(content, texts)), lambda e: F.struct((e["key"] != "application/json").alias("later"), e["key"].alias("name"), F.coalesce(F.get_json_object(e["value"], "$.schema['$ref']"), F.get_json_object(e["value"], "$.schema.items['$ref']")).alias("ref"))))
+        return F.get(F.filter(types, lambda t: t["ref"].isNotNull()), 0)["ref"]
+
+    order = F.create_map(*(F.lit(x) for i, c in enumerate(("200", "201", "202", "204", "default")) for x in (c, i)))
+    replies = F.array_sort(F.transform(F.map_entries(F.from_json(F.get_json_object("body", "$.responses"), texts)), lambda e: F.struct(F.coalesce(F.element_at(order, e["key"]), F.lit(9)).alias("rank"), e["key"].alias("code"), schema_of(F.get_json_object(e["value"], "$.content")).alias("ref"))))
+    request = schema_of(F.get_json_object("body", "$.requestBody.content"))
+    response = F.get(F.filter(replies, lambda r: r["ref"].isNotNull()), 0)["ref"]
+    domain = F.regexp_extract("file", r"([^/]+?)(?:-spec)?\.json$", 1)
+    return each.select(
+        F.concat_ws("|", domain, F.upper("verb"), normalize_path("path")).alias("operation_id"),
+        _resolved_id(request, F.col("file")).alias("request_schema"), _resolved_id(response, F.col("file")).alias("response_schema"),
+    )
+
+
 def rest_assured_calls(parsed: DataFrame) -> DataFrame:
     """I-23: calls of tests: ``http_method, path_normalized``."""
     found = _each(parsed, r'\.(get|post|put|delete|patch)\(\s*"([^"]+)"', "verb", "raw")
