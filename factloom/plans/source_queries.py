@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import access_links, class_links, graph_projection, messaging
-from ..sources import extract
+from ..sources import config, extract
 from .adapters import base
 from .queries import query
 
@@ -310,3 +310,55 @@ def i21_operation_schemas(spark, sf):
     text = """{"paths": {"/o/{id}": {"post": {"requestBody": {"content": {"application/json": {"schema": {"$ref": "./in<r>.json"}}}}, "responses": {"404": {"content": {"application/json": {"schema": {"$ref": "err.json"}}}}, "<c>": {"content": {"x/y": {"schema": {"items": {"$ref": "./out<k>.json"}}}}}}}}}}"""
     text = text.replace('"404"', '"<d>"')
     return extract.operation_schemas(_files(base(spark, sf, "nation"), "a/n<k>-spec.json", text, k=F.col("n_nationkey"), r=r, c=code, d=F.when(r < 3, "404").otherwise("200")))
+
+
+# C-15, C-17: configuration
+
+
+@query("""WITH RECURSIVE v AS (SELECT CAST(n_nationkey AS BIGINT) AS k, CASE WHEN n_nationkey >= 20 THEN 'end' || CAST(n_nationkey AS STRING) END AS value FROM nation WHERE n_nationkey >= 20
+UNION ALL SELECT k - 5, 'v' || CAST(k - 5 AS STRING) || '/' || value FROM v WHERE k >= 5)
+SELECT 'k' || CAST(k AS STRING) AS key, value FROM v UNION ALL SELECT 'ring' || CAST(n_nationkey AS STRING), '${ring' || CAST((n_nationkey + 5) % 25 AS STRING) || '}' FROM nation
+UNION ALL SELECT 'other' || CAST(n_nationkey AS STRING), CASE WHEN n_nationkey % 2 = 0 THEN 'set' || CAST(n_nationkey AS STRING) ELSE 'none' END FROM nation""")
+def c17_placeholders(spark, sf):
+    """In each region's settings a nation's value leads to that of the nation five further on; rings stay; defaults hold placeholders."""
+    n = base(spark, sf, "nation").select("n_nationkey", (F.col("n_nationkey") + 5).alias("next"), ((F.col("n_nationkey") + 5) % 25).alias("ring"))
+    k, m, r = F.col("n_nationkey"), F.col("next"), F.col("ring")
+    scope = (k % 5).alias("scope")
+    chain = n.select(scope, _filled("k<k>", k=k).alias("key"), F.when(k >= 20, _filled("end<k>", k=k)).otherwise(_filled("v<k>/${k<m>}", k=k, m=m)).alias("value"))
+    rings = n.select(scope, _filled("ring<k>", k=k), _filled("${ring<r>}", r=r))
+    other = n.select(scope, _filled("other<k>", k=k), F.when(k % 2 == 0, _filled("${lost:${own<k>}}", k=k)).otherwise("${lost:none}"))
+    own = n.filter(k % 2 == 0).select(scope, _filled("own<k>", k=k), _filled("set<k>", k=k))
+    return config.filled(chain.union(rings).union(other).union(own), ["scope"]).filter("key NOT LIKE 'own%'").select("key", "value")
+
+
+_MAP = """kind: ConfigMap
+metadata:
+  name: svc-<k>
+data:
+  application-<l>.yaml: |
+    topics:
+      - T<k> # first
+      - "U<k>"
+    url: http://h:80
+  note: plain
+"""
+
+
+@query("""SELECT 'm' || CAST(n_nationkey AS STRING) || '.yaml#application-' || CASE WHEN n_regionkey < 2 THEN 'qa' ELSE 'pdn' END || '.yaml' AS source, unnest(['topics', 'topics[0]', 'topics[1]', 'url']) AS key,
+unnest(['[T' || CAST(n_nationkey AS STRING) || ', U' || CAST(n_nationkey AS STRING) || ']', 'T' || CAST(n_nationkey AS STRING), 'U' || CAST(n_nationkey AS STRING), 'http://h:80']) AS value FROM nation""")
+def c17_config_maps(spark, sf):
+    lane = F.when(F.col("n_regionkey") < 2, "qa").otherwise("pdn")
+    files = _files(base(spark, sf, "nation"), "m<k>.yaml", _MAP, k=F.col("n_nationkey"), l=lane)
+    return config.config_entries(files).filter("source LIKE '%#%'").select("source", "key", "value")
+
+
+@query("""SELECT source, env_lane FROM (SELECT 'm' || CAST(n_nationkey AS STRING) || '.yaml' AS p, CASE WHEN n_regionkey < 2 THEN 'qa' ELSE 'pdn' END AS l FROM nation) m, (VALUES (true), (false)) b(inside),
+LATERAL (SELECT CASE WHEN inside THEN p || '#application-' || l || '.yaml' ELSE p END AS source, CASE WHEN inside THEN l ELSE 'unknown' END AS env_lane) x
+UNION ALL SELECT CASE WHEN r_regionkey = 0 THEN 'prod/' ELSE 'x/' END || CAST(r_regionkey AS STRING) || '.yaml', CASE r_regionkey WHEN 0 THEN 'prod' WHEN 1 THEN 'qa' ELSE 'dev' END FROM region""")
+def c15_profiles(spark, sf):
+    lane = F.when(F.col("n_regionkey") < 2, "qa").otherwise("pdn")
+    maps = _files(base(spark, sf, "nation"), "m<k>.yaml", _MAP, k=F.col("n_nationkey"), l=lane)
+    r = F.col("r_regionkey")
+    plain = _files(base(spark, sf, "region"), "<d>/<k>.yaml", "spring:\n  profiles:\n    active: <a>\n", k=r, d=F.when(r == 0, "prod").otherwise("x"), a=F.when(r == 1, "qa").otherwise("dev"))
+    files = maps.union(plain)
+    return config.lanes(files, config.config_entries(files)).select("source", "env_lane")
