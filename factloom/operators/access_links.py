@@ -282,7 +282,14 @@ def plain_accesses(parsed: DataFrame) -> DataFrame:
 
 
 def all_accesses(parsed: DataFrame, methods: DataFrame, entities: DataFrame, pinned: DataFrame) -> DataFrame:
-    """I-09, I-10: accesses by handlers, to Mongo and to BigQuery; services without any get the last resort's."""
-    sure = reduce(DataFrame.unionByName, (handler_accesses(parsed, methods, entities, pinned), mongo_accesses(parsed, methods, entities), bigquery_accesses(parsed)))
+    """I-09, I-10: accesses by handlers, to Mongo and to BigQuery; services without any get the last resort's.
+
+    Of a handler's method, accessor and accessor's method the surest stays, of
+    those as sure the first in this order.
+    """
+    found = (handler_accesses(parsed, methods, entities, pinned), mongo_accesses(parsed, methods, entities), bigquery_accesses(parsed))
+    every = reduce(DataFrame.unionByName, (df.withColumn("rank", F.lit(i)) for i, df in enumerate(found)))
+    keys = ["service_id", "handler_class_fqn", "handler_method", "accessor_fqn", "dao_method"]
+    sure = distinct_on(every, keys, [F.desc("confidence"), F.asc("rank"), F.asc("table_or_entity")]).select(*ACCESS)
     rest = plain_accesses(parsed).join(sure.select("service_id").distinct(), "service_id", "left_anti").select(*ACCESS)
     return sure.unionByName(rest)

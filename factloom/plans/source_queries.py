@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import access_links, class_links, graph_projection, messaging
-from ..sources import config, extract
-from .adapters import base
+from ..session import shared_folder
+from ..sources import config, extract, fact_batches
+from .adapters import base, fact
 from .queries import query
 
 
@@ -362,3 +363,31 @@ def c15_profiles(spark, sf):
     plain = _files(base(spark, sf, "region"), "<d>/<k>.yaml", "spring:\n  profiles:\n    active: <a>\n", k=r, d=F.when(r == 0, "prod").otherwise("x"), a=F.when(r == 1, "qa").otherwise("dev"))
     files = maps.union(plain)
     return config.lanes(files, config.config_entries(files)).select("source", "env_lane")
+
+
+# B-10, I-15: batches of facts
+
+
+@query("""SELECT CASE WHEN n_nationkey = 3 THEN 'even' ELSE 'odd' END AS scope_half, c_custkey AS id, 'new' AS state FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_nationkey = 3
+UNION ALL SELECT 'odd', c_custkey, 'old' FROM customer WHERE c_nationkey % 2 = 1""")
+def b10_committed_batches(spark, sf):
+    """Two batches, one that takes the place of the first, and one written again, which changes nothing."""
+    import uuid
+
+    root = f"{shared_folder(spark)}/batches-{uuid.uuid4().hex}"
+    c = base(spark, sf, "customer")
+    rows = lambda df, state: {"customers": df.select(F.col("c_custkey").alias("id"), F.lit(state).alias("state")), "nations": df.select("c_nationkey").distinct()}
+    for name, half, tables in (
+        ("b1", "even", rows(c.filter("c_nationkey % 2 = 0"), "old")), ("b2", "odd", rows(c.filter("c_nationkey % 2 = 1"), "old")), ("b3", "even", rows(c.filter("c_nationkey = 3"), "new")), ("b1", "even", rows(c, "again")),
+    ):
+        fact_batches.write_batch(spark, root, name, {"half": half}, tables)
+    return fact_batches.read_table(spark, root, "customers").select("scope_half", "id", "state")
+
+
+@query("""SELECT 'com.acme.n' || CAST(c_nationkey AS STRING) || '.Customer' || CAST(c_custkey AS STRING) || 'Controller' AS handler_class_fqn, unnest(['findById', 'save']) AS dao_method, 'nation' || CAST(c_nationkey AS STRING) AS table_or_entity, 'HANDLER_LINKER' AS evidence_source, 0.80::DOUBLE AS confidence FROM customer""")
+def i15_indexed_accesses(spark, sf):
+    """Accesses out of all facts of the services' sources."""
+    text = F.replace(F.replace("text", F.lit(" repo;"), F.lit(" nationRepo;")), F.lit("repo."), F.lit("nationRepo."))
+    files = fact(spark, sf, "sources").select("service_id", "path", text.alias("text"))
+    got = fact_batches.index_facts(files)["data_access_facts"]
+    return got.select("handler_class_fqn", "dao_method", "table_or_entity", "evidence_source", "confidence")
