@@ -47,26 +47,36 @@ def _names(table: Column) -> Column:
 
 
 def match_scenarios(scenarios: DataFrame, accesses: DataFrame) -> DataFrame:
-    """F-15: ``service_id, scenario_id, handler_class_fqn, matched_by``.
+    """F-15: ``service_id, scenario_id, handler_class_fqn, matched_by``; a scenario's id is unique in its service.
 
     A co-table scenario needs all of its PRIMARY, required and secondary
     participants written by the handler; others match by handler scope, else by
     a participant that the handler touches.
+
+    Scenarios and handlers meet in the tables that both name, so nothing is
+    compared that shares none; a co-table scenario matches where as many of its
+    participants are met as it needs.
     """
-    touched = accesses.groupBy("service_id", "handler_class_fqn").agg(
-        F.array_distinct(F.flatten(F.collect_set(_names(F.col("table_or_entity"))))).alias("touched"),
-        F.array_distinct(F.flatten(F.collect_set(F.when(F.col("operation") == "WRITE", _names(F.col("table_or_entity")))))).alias("written"),
-    )
-    pairs = scenarios.join(touched, "service_id")
+    key = ["service_id", "scenario_id"]
+    names = accesses.select("service_id", "handler_class_fqn", F.explode(_names(F.col("table_or_entity"))).alias("name"), (F.col("operation") == "WRITE").alias("written"))
+    index = names.groupBy("service_id", "name", "handler_class_fqn").agg(F.max("written").alias("written"))
     name = lambda p: normalize_table(p["physicalName"])
+
+    both = F.col("pattern").isin(*CO_TABLE)
     needed = F.filter("participants", lambda p: p["role"].isin(*WRITTEN_ROLES))
-    all_written = F.forall(needed, lambda p: F.array_contains("written", name(p)) | F.array_contains("written", F.concat(name(p), F.lit("entity"))))
-    any_touched = F.exists("participants", lambda p: F.array_contains("touched", name(p)))
-    scope = (F.col("scope_kind") == "HANDLER") & (F.split_part("scope_ref", F.lit("#"), F.lit(1)) == F.col("handler_class_fqn"))
-    matched = (
-        F.when(F.col("pattern").isin(*CO_TABLE), F.when((F.size(needed) > 0) & all_written, "CO_TABLE")).when(scope, "HANDLER").when(any_touched, "TABLE")
-    )
-    return pairs.select("service_id", "scenario_id", "handler_class_fqn", matched.alias("matched_by")).filter("matched_by IS NOT NULL")
+    co = scenarios.filter(both).select(*key, F.size(needed).alias("needs"), F.posexplode(needed).alias("nth", "p"))
+    co = co.select(*key, "needs", "nth", F.explode(F.array(name(F.col("p")), F.concat(name(F.col("p")), F.lit("entity")))).alias("name"))
+    met = co.join(index.filter("written"), ["service_id", "name"]).groupBy(*key, "needs", "handler_class_fqn").agg(F.count_distinct("nth").alias("met"))
+    found = met.filter("met = needs").select(*key, "handler_class_fqn", F.lit("CO_TABLE").alias("matched_by"))
+
+    rest = scenarios.filter(~F.coalesce(both, F.lit(False)))
+    handlers = accesses.select("service_id", "handler_class_fqn").distinct()
+    scoped = rest.filter("scope_kind = 'HANDLER'").select(*key, F.split_part("scope_ref", F.lit("#"), F.lit(1)).alias("handler_class_fqn")).distinct()
+    by_scope = scoped.join(handlers, ["service_id", "handler_class_fqn"]).select(*key, "handler_class_fqn", F.lit("HANDLER").alias("matched_by"))
+    listed = rest.select(*key, F.explode("participants").alias("p")).select(*key, name(F.col("p")).alias("name")).distinct()
+    by_table = listed.join(index, ["service_id", "name"]).select(*key, "handler_class_fqn").distinct()
+    by_table = by_table.join(by_scope, [*key, "handler_class_fqn"], "left_anti").select(*key, "handler_class_fqn", F.lit("TABLE").alias("matched_by"))
+    return found.union(by_scope).union(by_table)
 
 
 def consistency_gaps(accesses: DataFrame, scenarios: DataFrame, mirrors: DataFrame | None = None) -> DataFrame:

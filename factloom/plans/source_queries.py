@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import access_links, class_links, graph_projection, messaging
+from ..operators import access_links, class_links, consistency, graph_projection, messaging
 from ..session import shared_folder
 from ..sources import config, extract, fact_batches
 from .adapters import base, fact
@@ -391,3 +391,23 @@ def i15_indexed_accesses(spark, sf):
     files = fact(spark, sf, "sources").select("service_id", "path", text.alias("text"))
     got = fact_batches.index_facts(files)["data_access_facts"]
     return got.select("handler_class_fqn", "dao_method", "table_or_entity", "evidence_source", "confidence")
+
+
+# F-15: scenarios of two and three participants
+
+
+@query("""WITH w AS (SELECT service_id, handler_class_fqn, CAST(substring(service_id, 4) AS BIGINT) AS k, min(table_or_entity) AS a FROM f_accesses WHERE operation = 'WRITE' GROUP BY 1, 2)
+SELECT service_id, 'two' AS scenario_id, handler_class_fqn, 'CO_TABLE' AS matched_by FROM w UNION ALL SELECT service_id, 'three', handler_class_fqn, 'CO_TABLE' FROM w WHERE k % 2 = 1
+UNION ALL SELECT DISTINCT service_id, 'any', handler_class_fqn, 'TABLE' FROM f_accesses WHERE service_id IN (SELECT service_id FROM w)""")
+def f15_several_participants(spark, sf):
+    a = fact(spark, sf, "accesses")
+    w = a.filter("operation = 'WRITE'").groupBy("service_id").agg(F.min("table_or_entity").alias("a"), F.max("table_or_entity").alias("b"))
+    part = lambda c, role: F.struct(c.alias("physicalName"), F.lit(role).alias("role"))
+    third = F.when(F.substring("service_id", 4, 9).cast("long") % 2 == 1, F.upper(F.col("a"))).otherwise(F.lit("nowhere"))
+    kinds = {
+        "two": ("CO_TABLE_INVARIANT", F.array(part(F.col("a"), "PRIMARY"), part(F.col("b"), "REQUIRED"), part(F.lit("unread"), "OPTIONAL"))),
+        "three": ("MULTI_TABLE_DOMAIN", F.array(part(F.col("a"), "PRIMARY"), part(F.col("b"), "SECONDARY"), part(third, "REQUIRED_CHILD"))),
+        "any": ("CROSS_STORE_WRITE", F.array(part(F.lit("nowhere"), "PRIMARY"), part(F.col("b"), "OPTIONAL"))),
+    }
+    rows = [w.select("service_id", F.lit(i).alias("scenario_id"), F.lit(p).alias("pattern"), F.lit("SERVICE").alias("scope_kind"), F.lit("").alias("scope_ref"), x.alias("participants")) for i, (p, x) in kinds.items()]
+    return consistency.match_scenarios(rows[0].union(rows[1]).union(rows[2]), a).select("service_id", "scenario_id", "handler_class_fqn", "matched_by")
