@@ -411,3 +411,17 @@ def f15_several_participants(spark, sf):
     }
     rows = [w.select("service_id", F.lit(i).alias("scenario_id"), F.lit(p).alias("pattern"), F.lit("SERVICE").alias("scope_kind"), F.lit("").alias("scope_ref"), x.alias("participants")) for i, (p, x) in kinds.items()]
     return consistency.match_scenarios(rows[0].union(rows[1]).union(rows[2]), a).select("service_id", "scenario_id", "handler_class_fqn", "matched_by")
+
+
+# I-26: dependency trees
+
+
+@query("""SELECT 'svc' || CAST(c_custkey AS STRING) AS service_id, 'g:l' || CAST(rn AS STRING) AS artifact, rn % 4 AS depth, CASE WHEN rn % 4 = 0 THEN NULL WHEN rn % 4 = 1 THEN 'g:l' || CAST(rn - 1 AS STRING) ELSE 'g:l' || CAST(rn - 1 AS STRING) END AS parent
+FROM customer, (SELECT unnest(range(0, 12)) AS rn)""")
+def i26_dependency_trees(spark, sf):
+    """Three trees of a chain of three in each text."""
+    lead = ("", "+- ", "|  \\- ", "|     \\- ")
+    lines = "\n".join(f"[INFO] {lead[n % 4]}g:l{n}:jar:<k>" + (":compile" if n % 4 else "") for n in range(12))
+    files = _files(base(spark, sf, "customer"), "<k>/tree.txt", "[INFO] Scanning\n" + lines + "\n[INFO] BUILD SUCCESS", F.concat(F.lit("svc"), "c_custkey"), k=F.col("c_custkey"))
+    t = extract.dependency_tree(files)
+    return t.select("service_id", F.concat_ws(":", "group_id", "artifact_id").alias("artifact"), F.col("depth").cast("long").alias("depth"), F.regexp_replace("parent", ":[^:]*$", "").alias("parent"))

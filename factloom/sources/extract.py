@@ -621,8 +621,34 @@ def pom_dependencies(files: DataFrame) -> DataFrame:
     return out.withColumn("unresolved_reason", why).withColumn("resolved", F.col("unresolved_reason").isNull())
 
 
+_TREE_LINE = r"^(?:\[INFO\] )?((?:[|+\\ -]{3})*)([\w.-]+):([\w.-]+):[\w-]+:([\w.-]+)(?::(\w+))?\s*$"
+
+
+def dependency_tree(files: DataFrame) -> DataFrame:
+    """I-26: a row for each line of a dependency tree's text, with ``depth`` and the ``parent`` it hangs from.
+
+    ``service_id, path, line, group_id, artifact_id, version, scope, depth,
+    parent_line, parent``; the root has depth 0 and no parent, and a tree after
+    it in the same text starts anew.  A line's parent is the last line above it
+    that is one level nearer to the root: each line stands once at its own level
+    and once, as a child, at its parent's, and the last own line before it there
+    is found by one ordered pass over each level.
+    """
+    lines = files.select("service_id", "path", F.posexplode(F.split("text", "\r?\n")).alias("line", "raw")).filter(F.col("raw").rlike(_TREE_LINE))
+    got = lambda i: F.regexp_extract("raw", _TREE_LINE, i)
+    rows = lines.select(
+        "service_id", "path", "line", got(2).alias("group_id"), got(3).alias("artifact_id"), got(4).alias("version"), F.coalesce(F.nullif(got(5), F.lit("")), F.lit("compile")).alias("scope"),
+        (F.length(got(1)) / 3).cast("int").alias("depth"),
+    )
+    own = F.struct("line", F.concat_ws(":", "group_id", "artifact_id", "version").alias("name"))
+    as_parent = rows.select("service_id", "path", "line", F.col("depth").alias("level"), own.alias("own"), F.lit(None).cast(rows.select(F.struct(*rows.columns).alias("x")).schema["x"].dataType).alias("child"))
+    as_child = rows.select("service_id", "path", "line", (F.col("depth") - 1).alias("level"), F.lit(None).cast("struct<line:int,name:string>").alias("own"), F.struct(*rows.columns).alias("child"))
+    before = Window.partitionBy("service_id", "path", "level").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    met = as_parent.union(as_child).withColumn("above", F.last("own", ignorenulls=True).over(before)).filter("child IS NOT NULL")
+    return met.select(*(F.col(f"child.{c}").alias(c) for c in rows.columns), F.col("above.line").alias("parent_line"), F.col("above.name").alias("parent"))
+
+
 def tree_dependencies(files: DataFrame) -> DataFrame:
-    """I-26: ``g:a:type:version:scope`` lines of a dependency tree's text; every line below the root counts as transitive."""
-    found = _each(files, r"(?m)^(?:\[INFO\] )?([|+\\ -]+)([\w.-]+):([\w.-]+):[\w-]+:([\w.-]+)(?::(\w+))?\s*$", "lead", "to_group", "to_artifact", "to_version", "scope", keep=("service_id", "path"))
-    out = found.withColumn("scope", F.coalesce("scope", F.lit("compile"))).withColumn("transitive", F.lit(True))
-    return out.drop("lead").dropDuplicates(["service_id", "to_group", "to_artifact", "scope", "to_version"])
+    """I-26: distinct dependencies below a tree's root, all of which count as transitive; of a line that comes again the first file's stays."""
+    rows = dependency_tree(files).filter("depth > 0").select("service_id", "path", F.col("group_id").alias("to_group"), F.col("artifact_id").alias("to_artifact"), F.col("version").alias("to_version"), "scope", F.lit(True).alias("transitive"))
+    return first_wins(rows, ["service_id", "to_group", "to_artifact", "scope", "to_version"], [F.asc("path")])
