@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import glob_match, gate_state, hop_transport, subscription_topic, topic_stem, transport
@@ -70,8 +70,8 @@ def flow_gaps(steps: DataFrame, resources: DataFrame) -> DataFrame:
 
 
 def canonical_topics(topics: DataFrame, aliases: DataFrame, column: str = "topic") -> DataFrame:
-    """C-10: an alias, whatever its case, becomes its topic; others stay."""
-    known = aliases.select(F.upper(F.trim("alias")).alias("__a"), F.col("topic").alias("__t")).dropDuplicates(["__a"])
+    """C-10: an alias, whatever its case, becomes its topic, the smallest where it has several; others stay."""
+    known = aliases.groupBy(F.upper(F.trim("alias")).alias("__a")).agg(F.min("topic").alias("__t"))
     out = topics.withColumn("__a", F.upper(F.trim(column))).join(known, "__a", "left")
     return out.withColumn(column, F.coalesce("__t", column)).drop("__a", "__t")
 
@@ -108,6 +108,37 @@ def trace_topics(resources: DataFrame, start: str, max_hops: int = 10, follow: D
     return found
 
 
+def canonical_resources(resources: DataFrame, aliases: DataFrame) -> DataFrame:
+    """F-07: resources under their topics' canonical names; a subscription takes that of its topic."""
+    topic = F.when(F.col("role") == "SUBSCRIBE", subscription_topic("short_id")).otherwise(F.col("short_id"))
+    return canonical_topics(resources.withColumn("short_id", topic), aliases, "short_id")
+
+
+def trace_all(resources: DataFrame, starts: DataFrame, aliases: DataFrame | None = None, max_hops: int = 10) -> DataFrame:
+    """F-07 for every topic of ``starts(start)`` at once: ``start, topic, hop``, at most ``max_hops`` topics a start, in the order of :func:`trace_topics`.
+
+    With ``aliases(alias, topic)``, starts and resources go by canonical names,
+    so a walk passes from a name to another of the same topic.  A round takes
+    one level of all starts; each keeps what its own budget leaves.
+    """
+    known = resources if aliases is None else canonical_resources(resources, aliases)
+    steps = staged(topic_steps(known), "topic-steps")
+    first = starts.select("start").distinct()
+    level = first.withColumn("topic", F.col("start"))
+    level = staged((level if aliases is None else canonical_topics(level, aliases)).withColumn("hop", F.lit(0)), "hops")
+    found = level
+    while True:
+        met = level.join(steps, "topic").groupBy("start", F.col("next_topic").alias("topic")).agg(F.min("hop").alias("led"))
+        new = met.join(found.select("start", "topic"), ["start", "topic"], "left_anti")
+        taken = found.groupBy("start").agg(F.count("*").alias("taken"))
+        nth = F.row_number().over(Window.partitionBy("start").orderBy("led", "topic"))
+        rows = new.withColumn("nth", nth).join(taken, "start").withColumn("hop", (F.col("taken") + F.col("nth") - 1).cast("int"))
+        level = staged(rows.filter(F.col("hop") < max_hops).select("start", "topic", "hop"), "hops")
+        if level.isEmpty():
+            return found
+        found = found.union(level)
+
+
 def hop_participants(hops: DataFrame, resources: DataFrame) -> DataFrame:
     """F-07, F-12: publishers and subscribers of each hop's topic, by equality, subscription name or stem; best confidence of a service and role."""
     key = hops.select("topic", "hop", topic_stem("topic").alias("stem"))

@@ -470,7 +470,13 @@ def f07_topics_reached(spark, sf):
     return messaging.trace_topics(fact(spark, sf, "resources"), "PDN_T.N3", 1000).agg(F.count("*").alias("topics"))
 
 
-@query()
+#: The list of topics met is the queue as well: a step appends what its i-th topic leads to.
+_TRACE = _TOPICS + """, n AS (SELECT topic, list(next_topic ORDER BY next_topic) AS nexts FROM s GROUP BY topic), q AS (SELECT ['PDN_T.N3'] AS q, 1 AS i
+UNION ALL SELECT list_concat(q, list_filter(coalesce(n.nexts, []), lambda x: NOT list_contains(q, x))), i + 1 FROM q LEFT JOIN n ON n.topic = q[i] WHERE i <= 12 AND i <= len(q)),
+hops AS (SELECT unnest(q[1:12]) AS topic, CAST(unnest(range(0, least(len(q), 12))) AS INT) AS hop FROM (SELECT q FROM q ORDER BY i DESC LIMIT 1))"""
+
+
+@query(f"WITH RECURSIVE {_TRACE} SELECT topic, hop FROM hops")
 def f07_trace(spark, sf):
     return messaging.trace_topics(fact(spark, sf, "resources"), "PDN_T.N3", 12)
 

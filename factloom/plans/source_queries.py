@@ -425,3 +425,52 @@ def i26_dependency_trees(spark, sf):
     files = _files(base(spark, sf, "customer"), "<k>/tree.txt", "[INFO] Scanning\n" + lines + "\n[INFO] BUILD SUCCESS", F.concat(F.lit("svc"), "c_custkey"), k=F.col("c_custkey"))
     t = extract.dependency_tree(files)
     return t.select("service_id", F.concat_ws(":", "group_id", "artifact_id").alias("artifact"), F.col("depth").cast("long").alias("depth"), F.regexp_replace("parent", ":[^:]*$", "").alias("parent"))
+
+
+# F-07, F-09, F-12: walks from every topic at once, over names of the same topic
+
+_RING = """WITH RECURSIVE st AS (SELECT CAST(n_nationkey AS BIGINT) AS k, (n_nationkey * 3 + 1) % 25 AS a, (n_nationkey + 7) % 25 AS b FROM nation),
+e AS (SELECT k, list(DISTINCT x ORDER BY 'T' || lpad(CAST(x AS STRING), 2, '0')) AS nexts FROM (SELECT k, unnest([a, b]) AS x FROM st) WHERE x <> k GROUP BY k),
+q AS (SELECT k AS start, [k] AS q, 1 AS i FROM st UNION ALL SELECT start, list_concat(q, list_filter(e.nexts, lambda x: NOT list_contains(q, x))), i + 1 FROM q JOIN e ON e.k = q[i] WHERE i <= 6 AND i <= len(q)),
+w AS (SELECT start, arg_max(q, i) AS q FROM q GROUP BY start)
+"""
+
+
+def _ring(spark, sf):
+    """Each nation's service hears the topic of its number and sends to two others, at odd ones by another name of the topic."""
+    n = base(spark, sf, "nation").select(F.col("n_nationkey").alias("k"))
+    name = lambda k, p: F.concat(F.lit(f"PDN_{p}.T"), F.lpad(k.cast("string"), 2, "0"))
+    subs = n.select(F.concat(F.lit("svc"), "k").alias("service_id"), F.lit("SUBSCRIBE").alias("role"), name(F.col("k"), "S").alias("short_id"))
+    to = n.select(F.concat(F.lit("svc"), "k").alias("service_id"), F.explode(F.array((F.col("k") * 3 + 1) % 25, (F.col("k") + 7) % 25)).alias("x"))
+    pubs = to.select("service_id", F.lit("PUBLISH").alias("role"), F.when(F.col("x") % 2 == 1, F.concat(F.lit("topic-"), "x")).otherwise(name(F.col("x"), "T")).alias("short_id"))
+    aliases = n.select(F.concat(F.lit(" TOPIC-"), "k").alias("alias"), name(F.col("k"), "T").alias("topic"))
+    rows = subs.union(pubs).withColumns({"confidence": F.lit(0.9), "attributes": F.lit("{}")})
+    return rows, aliases, n.select(F.concat(F.lit("Topic-"), "k").alias("start"))
+
+
+@query(_RING + "SELECT 'Topic-' || CAST(start AS STRING) AS start, 'PDN_T.T' || lpad(CAST(unnest(q[1:6]) AS STRING), 2, '0') AS topic, CAST(unnest(range(0, least(len(q), 6))) AS INT) AS hop FROM w")
+def f07_all_traces(spark, sf):
+    rows, aliases, starts = _ring(spark, sf)
+    return messaging.trace_all(rows, starts, aliases, 6)
+
+
+@query("""SELECT 'PDN_T.N' || CAST(n_nationkey AS STRING) AS topic, CAST(n_nationkey AS INT) AS hop,
+CASE WHEN n_nationkey % 5 = 0 THEN NULL WHEN n_nationkey % 5 = 4 THEN 'TERMINAL_EXTERNAL' WHEN n_nationkey % 5 IN (1, 3) THEN 'NO_RUNTIME_PUBLISHER' ELSE 'NO_SUBSCRIBER' END AS gap_type FROM nation WHERE n_nationkey % 5 NOT IN (0, 3)""")
+def f09_gaps_of_all_kinds(spark, sf):
+    """Of five nations one has both sides, one neither, one a publisher alone, one a subscriber alone, one a topic that ends outside."""
+    n = base(spark, sf, "nation")
+    k = F.col("n_nationkey")
+    topic = F.concat(F.lit("PDN_T.N"), k.cast("string"))
+    hops = n.select(topic.alias("topic"), k.cast("int").alias("hop"))
+    people = n.filter(k % 5 != 1).select(topic.alias("topic"), F.explode(F.when(k % 5 == 0, F.array(F.lit("PUBLISH"), F.lit("SUBSCRIBE"))).when(k % 5 == 3, F.array(F.lit("SUBSCRIBE"))).otherwise(F.array(F.lit("PUBLISH")))).alias("role"))
+    return messaging.hop_gaps(hops, people, [f"PDN_T.N{x}" for x in (4, 9, 14, 19, 24)])
+
+
+@query(_RING + """, h AS (SELECT unnest(q[1:6]) AS k, CAST(unnest(range(0, least(len(q), 6))) AS INT) AS hop FROM w WHERE start = 3),
+p AS (SELECT t, string_agg('svc' || CAST(k AS STRING), ', ' ORDER BY 'svc' || CAST(k AS STRING)) AS names FROM (SELECT DISTINCT k, unnest([a, b]) AS t FROM st) GROUP BY t)
+SELECT hop, 'PDN_T.T' || lpad(CAST(h.k AS STRING), 2, '0') || ' from ' || coalesce(names, 'nobody') || ' to svc' || CAST(h.k AS STRING) || CASE WHEN names IS NULL THEN '' ELSE '' END AS narrative FROM h LEFT JOIN p ON p.t = h.k""")
+def f12_narratives(spark, sf):
+    rows, aliases, starts = _ring(spark, sf)
+    hops = messaging.trace_all(rows, starts.filter("start = 'Topic-3'"), aliases, 6).drop("start")
+    people = messaging.hop_participants(hops, messaging.canonical_resources(rows, aliases))
+    return messaging.flow_summary(hops, people, messaging.hop_gaps(hops, people)).select("hop", "narrative")
