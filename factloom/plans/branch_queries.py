@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import analysis, consistency, entry_flow, graph_projection, messaging, relational
+from ..operators import analysis, catalog, consistency, contracts, entry_flow, graph_projection, messaging, relational
 from ..sources import extract
 from .adapters import base, fact
 from .queries import query
 
 
 def _s(column):
-    return F.col(column).cast("string")
+    return (F.col(column) if isinstance(column, str) else column).cast("string")
 
 
 @query("SELECT p_partkey FROM part WHERE p_size % 3 <> 0")
@@ -159,3 +159,70 @@ def f17_enriched_steps(spark, sf):
     scenarios = a.select("service_id", F.lit("every").alias("scenario_id")).distinct()
     out = consistency.enrich_hints(steps, rules, matches, scenarios)
     return out.select("service_id", "handler_class_fqn", F.array_join("flow_steps", ",").alias("flow"), F.array_join("scenarios", ",").alias("scenarios"))
+
+
+@query("""SELECT 'op' || CAST(n_nationkey AS STRING) AS operation_id, CASE n_regionkey WHEN 0 THEN 'NO_MAPPED_SERVICE' WHEN 1 THEN 'SERVICE_NOT_REGISTERED' WHEN 2 THEN 'IMPLEMENTATION_NOT_INDEXED' WHEN 3 THEN 'MATCHED' ELSE 'NO_HANDLER' END AS status,
+CASE WHEN n_regionkey = 3 THEN 't' || CAST(n_nationkey AS STRING) || 'a' END AS trigger_id FROM nation""")
+def f31_all_statuses(spark, sf):
+    n, k, r = base(spark, sf, "nation"), _s("n_nationkey"), F.col("n_regionkey")
+    c = n.select(F.concat(F.lit("op"), k).alias("operation_id"), F.lit("POST").alias("http_method"), F.concat(F.lit("/n/{id}/"), k, F.lit("/")).alias("path_template"), F.when(r == 0, " ").otherwise(F.concat(F.lit("S"), k)).alias("mapped_service_name"))
+    registry = n.filter(r > 1).select(F.concat(F.lit("S"), k).alias("service_name"), F.concat(F.lit("svc"), k).alias("service_id"))
+    runs = n.filter(r != 4).select(F.concat(F.lit("svc"), k).alias("service_id"), F.when(r == 3, "COMPLETE").otherwise("FAILED").alias("status"))
+    runs = runs.union(n.filter(r == 4).select(F.concat(F.lit("svc"), k), F.lit("COMPLETE")))
+    kinds = F.explode(F.array(F.struct(F.lit("b").alias("x"), F.lit("REST_INBOUND").alias("kind")), F.struct(F.lit("a").alias("x"), F.lit("WEBHOOK_INBOUND").alias("kind")), F.struct(F.lit("0").alias("x"), F.lit("CRON_K8S").alias("kind"))))
+    t = n.filter(r == 3).select(k.alias("k"), kinds.alias("x")).select(
+        F.concat(F.lit("t"), "k", "x.x").alias("trigger_id"), F.concat(F.lit("svc"), "k").alias("service_id"), F.col("x.kind").alias("trigger_kind"), F.lit("POST").alias("http_method"), F.concat(F.lit("n/{key}//"), "k").alias("path_pattern")
+    )
+    return contracts.link_entries(c, registry, runs, t)
+
+
+@query("""SELECT 'svc' || CAST(n_nationkey AS STRING) AS service_id, CASE WHEN n_nationkey % 2 = 0 THEN CASE WHEN n_regionkey = 4 THEN 'lib3' ELSE 'lib2' END ELSE CASE WHEN n_regionkey = 4 THEN 'lib3' ELSE 'lib1' END END AS library_id,
+CASE WHEN n_regionkey = 4 THEN 'other.P4' ELSE 'e.P' || CAST(n_regionkey AS STRING) END AS found_fqn FROM nation""")
+def f33_pinned(spark, sf):
+    """Even services pin two libraries, the second first; one entity is only in a library that nobody pins, under another package."""
+    n, k, r = base(spark, sf, "nation"), F.col("n_nationkey"), F.col("r_regionkey")
+    names = n.select(F.concat(F.lit("svc"), k).alias("service_id"), F.concat(F.lit("e.P"), F.col("n_regionkey")).alias("entity_fqn"))
+    libs = base(spark, sf, "region").select(r.alias("r"), F.explode(F.when(r == 4, F.array(F.lit("lib3"))).otherwise(F.array(F.lit("lib2"), F.lit("lib1")))).alias("service_id"))
+    objects = libs.select("service_id", F.concat(F.when(F.col("r") == 4, "other.P").otherwise("e.P"), "r").alias("entity_fqn"), F.lit("t").alias("physical_name"), F.lit("M").alias("store_type"))
+    pins = n.filter(k % 2 == 0).select(F.concat(F.lit("svc"), k).alias("service_id"), F.explode(F.array(F.struct(F.lit("lib2").alias("l"), F.lit(0).alias("p")), F.struct(F.lit("lib1").alias("l"), F.lit(1).alias("p")))).alias("x"))
+    pins = pins.select("service_id", F.col("x.l").alias("library_id"), F.col("x.p").alias("position"))
+    return catalog.resolve_entities(names, objects, pins).select("service_id", "library_id", "found_fqn")
+
+
+@query("""SELECT p_partkey AS use_id, CASE k WHEN 0 THEN 'q.T' WHEN 1 THEN 'i.T1' WHEN 2 THEN 'c.T2' WHEN 3 THEN 'l.T3' WHEN 4 THEN 's.T4' WHEN 5 THEN 'own.T5' END AS fqn FROM (SELECT p_partkey, p_partkey % 7 AS k FROM part)""")
+def i18_all_outcomes(spark, sf):
+    """Types written in full, imported, on the class path, in the catalog, among symbols, of the same package, and unknown."""
+    p = base(spark, sf, "part").select("p_partkey", (F.col("p_partkey") % 7).alias("k"))
+    k = F.col("k").cast("string")
+    uses = p.select(F.col("p_partkey").alias("use_id"), F.lit("f").alias("file_path"), F.when(F.col("k") == 5, "own").alias("package"), F.when(F.col("k") == 0, "q.T").otherwise(F.concat(F.lit("T"), k)).alias("type_name"))
+    one = lambda n, prefix: p.filter(F.col("k") <= n).select(F.concat(F.lit("T"), k).alias("type_name"), F.concat(F.lit(prefix), F.lit("T"), k).alias("fqn")).distinct()
+    imports = one(1, "i.").withColumn("file_path", F.lit("f"))
+    return catalog.resolve_types(uses, imports, one(2, "c."), one(3, "l."), one(4, "s.")).select("use_id", "fqn")
+
+
+@query("""SELECT 's::class::a.Face' || CAST(r_regionkey AS STRING) AS from_node, 's::class::a.C' || CAST(r_regionkey + 20 AS STRING) AS to_node, 'IMPLEMENTS' AS edge_type FROM region
+UNION ALL SELECT 's::class::a.Face' || CAST(r_regionkey AS STRING), 'm' || CAST(r_regionkey + 20 AS STRING), 'INVOKES' FROM region""")
+def g21_copied_invokes(spark, sf):
+    """Of five controllers of a face the last one stays; what it invokes the face invokes too."""
+    n, k = base(spark, sf, "nation"), _s("n_nationkey")
+    own = F.concat(F.lit("a.C"), k)
+    c = n.select(F.col("n_nationkey").alias("seq"), F.lit("s").alias("service_id"), own.alias("class_fqn"), F.array(F.concat(F.lit("a.Face"), (F.col("n_nationkey") % 5).cast("string"))).alias("interfaces"))
+    calls = n.select(F.concat(F.lit("s::class::"), own).alias("from_node"), F.concat(F.lit("m"), k).alias("to_node"), F.explode(F.array(F.lit("INVOKES"), F.lit("CALLS"))).alias("edge_type"), F.lit(0.9).alias("confidence"), F.lit("X").alias("evidence_source"))
+    return graph_projection.bridge_interfaces(c, calls).select("from_node", "to_node", "edge_type")
+
+
+@query("""SELECT 'a.N' || CAST(n_nationkey % 5 AS STRING) AS seed, CASE WHEN n_nationkey % 2 = 0 THEN 'id' || CAST(n_nationkey AS STRING) ELSE 'S' || CAST(n_nationkey AS STRING) END AS consumer_service, 'a.N' || CAST(n_nationkey AS STRING) AS consumer, 'GRAPH' AS via FROM nation WHERE n_nationkey >= 5
+UNION ALL SELECT 'a.E' || CAST(n_nationkey % 5 AS STRING), 'caller' || CAST(n_nationkey AS STRING), 'b.X#call' || CAST(n_nationkey AS STRING), 'OUTBOUND_CALL' FROM nation WHERE n_nationkey % 2 = 0""")
+def e07_graph_and_calls(spark, sf):
+    """Chains of classes five numbers apart, half of their services registered, and calls of changed endpoints, some by their own service."""
+    n, k = base(spark, sf, "nation"), _s("n_nationkey")
+    low = _s(F.col("n_nationkey") % 5)
+    nodes = n.select(F.concat(F.lit("id::"), k).alias("id"), F.concat(F.lit("S"), k).alias("service"), F.lit("CLASS").alias("node_type"), F.concat(F.lit("a.N"), k).alias("symbol_fqn"))
+    edges = n.filter("n_nationkey >= 5").select(F.concat(F.lit("id::"), k).alias("from_node"), F.concat(F.lit("id::"), _s(F.col("n_nationkey") - 5)).alias("to_node"), F.lit("DEPENDS_ON").alias("edge_type"))
+    registry = n.filter("n_nationkey % 2 = 0").select(F.concat(F.lit("S"), k).alias("service_name"), F.concat(F.lit("id"), k).alias("service_id"))
+    first = n.filter("n_nationkey < 5")
+    changed = first.select(F.concat(F.lit("a.N"), k).alias("symbol_fqn"), F.lit("CLASS").alias("symbol_kind"), F.lit("o").alias("service_id"), F.lit("{}").alias("attributes"))
+    changed = changed.union(first.select(F.concat(F.lit("a.E"), k), F.lit("ENDPOINT"), F.concat(F.lit("own"), k), F.concat(F.lit('{"httpMethod": "GET", "path": "/p'), k, F.lit('"}'))))
+    service = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("caller"), k)).otherwise(F.concat(F.lit("own"), low))
+    outbound = n.select(service.alias("service_id"), F.concat(F.lit("b.X#call"), k).alias("source_symbol"), F.lit("GET").alias("http_method"), F.concat(F.lit("/p"), low).alias("path"))
+    return analysis.affected_consumers(changed, nodes, edges, registry, outbound).select("seed", "consumer_service", "consumer", "via")
