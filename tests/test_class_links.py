@@ -47,11 +47,11 @@ def test_publishers(spark):
 
 def test_kafka_producers(spark):
     sources = [
-        source("m/src/main/java/A", "class AEventProducer { SyncProducer p; }"), source("m/src/main/java/B", "class BProducer { KafkaTemplate<A, B> p; String t = \"QUOT.REBATE.EVENTS\"; }"),
+        source("m/src/main/java/A", "class AEventProducer { SyncProducer p; }"), source("m/src/main/java/B", "class BProducer { KafkaTemplate<A, B> p; String t = \"SHOP.REBATE.EVENTS\"; }"),
         source("m/src/main/java/C", "class CProducer { AsyncProducer p; void rebateTopicName() { } }"), source("m/src/main/java/D", "class DProducer { }"),
     ]
     key = "kafka.topics.rebate."
-    got = linked(spark, [topic(1, key + "rebateTopic"), topic(2, key + "none", short="QUOT.REBATE.EVENTS"), topic(3, key + "none"), topic(4, "x.none", attributes=KAFKA, module="far"), topic(5, "x.none")], sources)
+    got = linked(spark, [topic(1, key + "rebateTopic"), topic(2, key + "none", short="SHOP.REBATE.EVENTS"), topic(3, key + "none"), topic(4, "x.none", attributes=KAFKA, module="far"), topic(5, "x.none")], sources)
     assert got == {
         1: ("p.CProducer", "publishEvent", "JAVA_INFERRED", 0.95), 2: ("p.BProducer", "publishEvent", "JAVA_INFERRED", 0.90), 3: ("p.AEventProducer", "publishEvent", "JAVA_INFERRED", 0.85),
         4: ("p.AEventProducer", "publishEvent", "JAVA_INFERRED", 0.80), 5: (None, None, "YAML", 1.0),
