@@ -24,7 +24,9 @@ if the Jaccard similarity of their sets is ``threshold`` (0.8) or more.
    which met with a known probability p(s), stands for 1 / p(s) links, and that
    gives the recall.  Where it is under ``recall``, prefixes are shortened to the
    longest that these links say is enough, and the groups that grow by it are
-   verified anew; this ends at the target, or at depth 1.
+   verified anew; this ends at the target, or at the depth at which a lone pair at
+   the threshold is modelled to meet often enough for it (4 at the defaults).  A
+   higher ``recall`` allows shorter prefixes, 1.0 those of one value.
 5. Classes of the result are the connected components of verified links.
 
 A group's exact link counts need all of its pairs that may be linked, so the work
