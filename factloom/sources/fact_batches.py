@@ -32,7 +32,7 @@ def index_facts(files: DataFrame, pubsub_rules: DataFrame | None = None, kafka_r
     anything refers to them; accesses by handlers, to Mongo and to BigQuery are
     merged by their confidence.
     """
-    parsed = staged(extract.light_parse(files.filter(F.col("path").rlike(r"\.(java|kt)$"))), "facts-parsed")
+    parsed = extract.light_parse(files.filter(F.col("path").rlike(r"\.(java|kt)$")))
     production = parsed.filter(~F.col("path").rlike("(^|/)src/test/"))
     services = files.select("service_id", "path").distinct()
     topics = extract.yaml_topics(config.config_entries(files)).join(services, "path")

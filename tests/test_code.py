@@ -175,3 +175,28 @@ def test_broken_sources_end_soon(text):
     began = time.time()
     assert code.Reader(text).problem
     assert time.time() - began < 10
+
+
+def test_files_made_from_one_row_group_are_read_by_many_tasks_and_once(spark):
+    from factloom.plans.adapters import fact
+    from factloom.plans.source_queries import _catalog, _commented
+
+    sf = "/root/testdata/sf0.001"
+    assert fact(spark, sf, "sources").rdd.getNumPartitions() >= 16
+    for parsed in (_commented(spark, sf), _catalog(spark, sf)[0], extract.light_parse(fact(spark, sf, "sources"))):
+        assert "MapInArrow" not in parsed._jdf.queryExecution().toString()
+        assert len(parsed.inputFiles()) >= 8
+
+
+def test_few_files_are_held_at_once(spark):
+    import pyarrow as pa
+
+    from factloom.sources import code
+
+    assert [n for _, n in code._slices(pa.array(["class A { }"] * 600))] == [256, 256, 88]
+    assert list(code._slices(pa.array(["x", None, "y" * code.SLICE_CHARS, "z"]))) == [(0, 3), (3, 1)]
+    assert list(code._slices(pa.array([], pa.string()))) == []
+    text = "/** d */ class A { // x\n int a; /* y\n */ }"
+    assert code.Reader(text).code == code.uncommented(text)
+    files = spark.range(700, numPartitions=1).selectExpr("concat('A', id, '.java') AS path", "concat('class A', id, ' { }') AS text")
+    assert code.read_sources(files).selectExpr("types[0].name").distinct().count() == 700
