@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bounded_id, is_class_fqn, simple_name
+from ..session import dealt
 from .relational import distinct_on, replace_by_key
 
 NODE = "id string, org_id string, repo string, service string, module_type string, node_type string, symbol_fqn string"
@@ -102,10 +103,29 @@ def project_models(models: DataFrame, endpoints: DataFrame, libraries: DataFrame
     return nodes.distinct(), depends.union(invokes).union(outbound).distinct()
 
 
+#: Into so many shares the implementations of one type are split.
+SHARES = 16
+
+
 def project_list_routes(factories: DataFrame, implementations: DataFrame) -> DataFrame:
-    """G-20: a factory with an injected list of a type routes to each concrete implementation of it."""
-    hit = factories.join(implementations.filter(~F.col("abstract")), F.col("list_type") == F.col("interface_fqn"))
-    return hit.select(*edge(class_id("factory_service", "factory_fqn"), class_id("impl_service", "impl_fqn"), "ROUTES_TO", 0.95, "LIST_INJECTION")).distinct()
+    """G-20: a factory with an injected list of a type routes to each concrete implementation of it.
+
+    The result has a row for each pair, so nothing is shuffled, sorted or
+    compared after the pairs are made.  Factories of the same types are one
+    class, and so are implementations; which classes meet is made distinct
+    between them, and then each pair comes once.  The implementations of one
+    type are split into :data:`SHARES`, and a factory stands in all of them.
+    """
+    own, of = class_id("factory_service", "factory_fqn"), class_id("impl_service", "impl_fqn")
+    makers = factories.groupBy(own.alias("maker")).agg(F.array_sort(F.collect_set("list_type")).alias("wanted"))
+    made = implementations.filter(~F.col("abstract")).groupBy(of.alias("impl")).agg(F.array_sort(F.collect_set("interface_fqn")).alias("given"))
+    wants = makers.select("wanted").distinct().withColumn("type", F.explode("wanted"))
+    gives = made.select("given").distinct().withColumn("type", F.explode("given"))
+    meeting = makers.join(wants.join(gives, "type").select("wanted", "given").distinct(), "wanted").select("maker", "given")
+    # either side may be the smaller one, so both are dealt
+    everywhere = dealt(meeting.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))), "maker", "share")
+    split = dealt(made.withColumn("share", F.pmod(F.xxhash64("impl"), F.lit(SHARES)).cast("int")), "impl")
+    return split.join(everywhere, ["given", "share"]).select(*edge(F.col("maker"), F.col("impl"), "ROUTES_TO", 0.95, "LIST_INJECTION"))
 
 
 def bridge_interfaces(controllers: DataFrame, invokes: DataFrame) -> DataFrame:

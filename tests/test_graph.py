@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.operators import graph_projection, traverse
 
@@ -113,3 +114,17 @@ def test_a_chain_is_walked_to_its_end_or_raises(spark, monkeypatch, levels):
     assert {r.node: r.depth for r in traverse.fixpoint(steps, seeds, 4).collect()} == {k: v for k, v in near.items() if v <= 4}
     with pytest.raises(RuntimeError):
         traverse.fixpoint(steps, seeds, most_depth=5)
+
+
+def test_list_routes_come_once_and_from_many_tasks(spark):
+    from factloom.operators import graph_projection
+
+    f = spark.createDataFrame([("s", "a.F", "T1"), ("s", "a.F", "T2"), ("s", "a.F", "T2"), ("s", "a.G", "T2"), ("s", "a.H", None)], "factory_service string, factory_fqn string, list_type string")
+    rows = [("s", "b.Both", t, False) for t in ("T1", "T2", "T2")] + [("s", "b.One", "T1", False), ("s", "b.No", "T1", True), ("s", "b.Null", None, False)]
+    i = spark.createDataFrame(rows, "impl_service string, impl_fqn string, interface_fqn string, abstract boolean")
+    got = graph_projection.project_list_routes(f, i)
+    pairs = sorted((r.from_node.split(".")[-1], r.to_node.split(".")[-1]) for r in got.collect())
+    assert pairs == [("F", "Both"), ("F", "One"), ("G", "Both")]
+    big = spark.range(2000, numPartitions=1).selectExpr("'s' AS impl_service", "concat('b.I', id) AS impl_fqn", "'T1' AS interface_fqn", "false AS abstract")
+    parts = graph_projection.project_list_routes(f, big).groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) > 2 and sum(r["count"] for r in parts) == 2000
