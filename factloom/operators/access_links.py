@@ -25,6 +25,8 @@ from ..functions.text import operation_of, simple_name, store_type
 from ..sources.extract import _main, _members, _plain_type, annotation_value, calls
 from .relational import distinct_on
 
+#: Into so many shares the calls of one service are split.
+SHARES = 64
 _REPOSITORIES = r"(?:JpaRepository|MongoRepository|CassandraRepository|BaseNoSqlRepository)<\s*(\w+)"
 _NO_SQL = r"(?:CassandraRepository|BaseNoSqlRepository)<\s*(\w+)"
 ACCESSOR_METHOD = ("service_id", "accessor_kind", "accessor_fqn", "method_name", "operation", "entity_fqn", "domain_fqn", "store_type", "physical_name", "evidence_source", "confidence")
@@ -219,7 +221,9 @@ def handler_accesses(parsed: DataFrame, methods: DataFrame, entities: DataFrame,
     known = known.withColumn("hit", F.lit(True))
     tables = _first(entities.select("entity_fqn", F.col("store_type").alias("s2"), F.col("physical_name").alias("p2"), F.col("catalog").alias("catalog"), F.col("domain_fqn").alias("d2")), "entity_fqn").withColumn("in_catalog", F.lit(True))
     out = found.withColumnRenamed("type_fqn", "accessor_fqn").join(known, ["accessor_fqn", "called"], "left").join(tables, "entity_fqn", "left")
-    out = out.join(pinned.select("service_id").distinct().withColumn("pins", F.lit(True)), "service_id", "left")
+    # a service has any number of calls, so they meet its pins in shares
+    pins = pinned.select("service_id").distinct().withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))).withColumn("pins", F.lit(True))
+    out = out.withColumn("share", F.pmod(F.xxhash64("class_fqn"), F.lit(SHARES)).cast("int")).join(pins, ["service_id", "share"], "left")
     hit, entity, accessor = F.coalesce("hit", F.lit(False)), F.col("entity_fqn").isNotNull(), F.col("accessor_fqn")
     failed = (~hit | ~entity) & F.coalesce("pins", F.lit(False))
     listed = F.coalesce("in_catalog", F.lit(False))

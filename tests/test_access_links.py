@@ -104,3 +104,22 @@ def test_last_resort_only_where_nothing_else_is_found(spark, parsed, entities):
     assert {r.evidence_source for r in rows if r.service_id == "s"} == {"HANDLER_LINKER+CATALOG", "HANDLER_LINKER", "BIGQUERY_DIRECT"}
     old = {(r.handler_method, r.field, r.dao_method, r.operation, r.table_or_entity, r.evidence_source, r.confidence) for r in rows if r.service_id == "old"}
     assert old == {("handle", "itemReadOnlyRepo", "findAll", "READ", "named", "JAVA_AST", 0.85), ("handle", "orderRepository", "saveAll", "WRITE", "named", "JAVA_AST", 0.85)}
+
+
+def test_calls_of_one_service_meet_its_pins_in_shares(spark):
+    import re
+
+    text = "package h; import a.PartDao; public class H { PartDao partDao; public void on(int a, int b) { partDao.save(a); } }"
+    parsed = extract.light_parse(spark.createDataFrame([("svc", "H.java", text), ("other", "H.java", text)], "service_id string, path string, text string"))
+    methods = spark.createDataFrame([], "service_id string, accessor_fqn string, method_name string, operation string, entity_fqn string, domain_fqn string, store_type string, physical_name string")
+    entities = spark.createDataFrame([], "service_id string, entity_fqn string, domain_fqn string, store_type string, physical_name string, catalog string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = links.handler_accesses(parsed, methods, entities, spark.createDataFrame([("svc",), ("svc",)], "service_id string"))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        found = sorted((r.service_id, r.evidence_source) for r in got.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found == [("other", "HANDLER_LINKER"), ("svc", "HANDLER_WITHOUT_CATALOG")]
+    assert re.search(r"hashpartitioning\(service_id#\d+, share#\d+", plan) and "SortMergeJoin [service_id#" in plan
