@@ -26,6 +26,8 @@ HYDRATED_EDGES = (
 DEFAULT_DEPTH = 6
 #: From so few rows on, so many levels are walked at once.
 FEW_ROWS, LEVELS = 50_000, 5
+#: More steps than these are not broadcast: their files are much smaller than the rows that every level would send.
+FEW_STEPS = 100_000
 
 
 def seeds_of(spark: SparkSession, ids: Iterable[str]) -> DataFrame:
@@ -49,6 +51,7 @@ def fixpoint(steps: DataFrame, seeds: DataFrame, max_depth: int | None = None, i
     that has not ended at ``most_depth`` is an error.
     """
     steps = staged(steps, "steps")
+    steps = steps if steps.count() <= FEW_STEPS else steps.hint("merge")
     frontier = staged(seeds.select("seed", "node", F.lit(0).alias("depth")).distinct(), "frontier")
     rounds, depth, last = ([frontier] if include_seeds else []), 0, most_depth if max_depth is None else max_depth
     rows = frontier.count()

@@ -128,3 +128,18 @@ def test_list_routes_come_once_and_from_many_tasks(spark):
     big = spark.range(2000, numPartitions=1).selectExpr("'s' AS impl_service", "concat('b.I', id) AS impl_fqn", "'T1' AS interface_fqn", "false AS abstract")
     parts = graph_projection.project_list_routes(f, big).groupBy(F.spark_partition_id()).count().collect()
     assert len(parts) > 2 and sum(r["count"] for r in parts) == 2000
+
+
+def test_many_steps_are_not_broadcast(spark, monkeypatch):
+    plans, staged = [], traverse.staged
+
+    def seen(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return staged(df, label)
+
+    monkeypatch.setattr(traverse, "staged", seen)
+    monkeypatch.setattr(traverse, "FEW_STEPS", 2)
+    steps = spark.createDataFrame([(str(i), str((i + 1) % 7)) for i in range(7)], "src string, dst string")
+    got = traverse.fixpoint(steps, traverse.seeds_of(spark, ["0"])).collect()
+    assert sorted((r.node, r.depth) for r in got) == sorted((str(i % 7), i) for i in range(1, 8))
+    assert any("SortMergeJoin" in p for p in plans) and not any("Inner, Build" in p for p in plans)
