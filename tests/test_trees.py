@@ -26,3 +26,13 @@ def test_parents_and_depths(spark):
     assert extract.dependency_tree(files).count() == 18
     flat = [(r.path, r.to_artifact, r.scope, r.transitive) for r in extract.tree_dependencies(files).collect()]
     assert sorted(flat) == sorted(("m/tree.txt", a, s, True) for a, s in [("a", "compile"), ("b", "runtime"), ("c", "compile"), ("d", "test"), ("e", "compile"), ("z", "compile")])
+
+
+def test_trees_made_from_one_row_group_are_read_by_many_tasks(spark, monkeypatch):
+    from factloom.plans import source_queries
+    from factloom.sources import extract
+
+    seen, tree = [], extract.dependency_tree
+    monkeypatch.setattr(extract, "dependency_tree", lambda files: seen.append(files) or tree(files))
+    source_queries.i26_dependency_trees(spark, "/root/testdata/sf0.001")
+    assert seen[0].rdd.getNumPartitions() >= 16
