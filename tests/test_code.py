@@ -200,3 +200,21 @@ def test_few_files_are_held_at_once(spark):
     assert code.Reader(text).code == code.uncommented(text)
     files = spark.range(700, numPartitions=1).selectExpr("concat('A', id, '.java') AS path", "concat('class A', id, ' { }') AS text")
     assert code.read_sources(files).selectExpr("types[0].name").distinct().count() == 700
+
+
+def test_reading_takes_few_calls():
+    """Tokens come from one pass of the expression, so a token of an ordinary file costs fewer than ten calls of functions."""
+    import sys
+
+    seen = []
+    sys.setprofile(lambda frame, event, arg: seen.append(event) if event in ("call", "c_call") else None)
+    try:
+        read = code.Reader(SHOP)
+    finally:
+        sys.setprofile(None)
+    assert read.code == code.uncommented(SHOP) and len(seen) < 10 * len(read.tokens), (len(seen), len(read.tokens))
+
+
+def test_tokens_at_the_ends():
+    for text, tokens in (("", []), (" \n ", []), ("a  ", ["a"]), ('x "open', ["x", '"open']), ("a /* open", ["a"]), ("\u00b2x \u0663.5 $y", ["\u00b2x", "\u0663.5", "$y"])):
+        assert code.Reader(text).tokens == tokens
