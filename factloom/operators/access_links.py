@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import operation_of, simple_name, store_type
+from ..session import staged
 from ..sources.extract import _main, _members, _plain_type, annotation_value, calls
 from .relational import distinct_on
 
@@ -295,5 +296,6 @@ def all_accesses(parsed: DataFrame, methods: DataFrame, entities: DataFrame, pin
     every = reduce(DataFrame.unionByName, (df.withColumn("rank", F.lit(i)) for i, df in enumerate(found)))
     keys = ["service_id", "handler_class_fqn", "handler_method", "accessor_fqn", "dao_method"]
     sure = distinct_on(every, keys, [F.desc("confidence"), F.asc("rank"), F.asc("table_or_entity")]).select(*ACCESS)
+    sure = staged(sure, "accesses")
     rest = plain_accesses(parsed).join(sure.select("service_id").distinct(), "service_id", "left_anti").select(*ACCESS)
     return sure.unionByName(rest)

@@ -32,7 +32,8 @@ def index_facts(files: DataFrame, pubsub_rules: DataFrame | None = None, kafka_r
     anything refers to them; accesses by handlers, to Mongo and to BigQuery are
     merged by their confidence.
     """
-    parsed = extract.light_parse(files.filter(F.col("path").rlike(r"\.(java|kt)$")))
+    sources = files.filter(F.col("path").rlike(r"\.(java|kt)$"))
+    parsed = extract.light_parse(sources)
     production = parsed.filter(~F.col("path").rlike("(^|/)src/test/"))
     services = files.select("service_id", "path").distinct()
     topics = extract.yaml_topics(config.config_entries(files)).join(services, "path")
@@ -50,7 +51,7 @@ def index_facts(files: DataFrame, pubsub_rules: DataFrame | None = None, kafka_r
         "symbol_facts": extract.symbol_facts(parsed),
         "outbound_call_facts": extract.client_calls(parsed),
         "peripheral_facts": extract.peripherals(files.filter(F.endswith("path", F.lit(".java")))),
-        "unsupported_construct_facts": extract.unsupported(files.filter(F.col("path").rlike(r"\.(java|kt)$"))),
+        "unsupported_construct_facts": extract.unsupported(sources, parsed),
         "pubsub_resource_facts": class_links.link_resources(resources, class_links.message_classes(parsed), pubsub_rules, kafka_rules),
         "data_object_facts": objects,
         "accessor_method_facts": methods,

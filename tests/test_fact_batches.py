@@ -80,3 +80,15 @@ def test_merge_order(spark):
     one = spark.createDataFrame([("s", "A#m", "GET", "/x", "RestTemplate", 0.9), ("s", "A#m", None, None, "WebClient", 0.9)], schema)
     two = spark.createDataFrame([("s", "A#m", "GET", "/x", "Kafka", 0.99), ("s", "A#m", "POST", "/x", "Kafka", 0.9)], schema)
     assert {(r.http_method, r.client) for r in batches.merged_outbound(one, two).collect()} == {("GET", "RestTemplate"), (None, "WebClient"), ("POST", "Kafka")}
+
+
+def test_sources_are_read_once(spark, monkeypatch):
+    """Facts that say what could not be read take what is read already."""
+    from factloom.sources import extract
+
+    labels, staged = [], extract.staged
+    monkeypatch.setattr(extract, "staged", lambda df, label: labels.append(label) or staged(df, label))
+    files = spark.createDataFrame([("s", "A.java", "package a; class A { }"), ("s", "B.java", "class B {"), ("s", "n.java", None)], "service_id string, path string, text string")
+    facts = batches.index_facts(files)
+    assert labels.count("sources") == 1
+    assert sorted(r.path for r in facts["unsupported_construct_facts"].collect()) == ["B.java", "n.java"]
