@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import retry_delay_ms
 from ..operators.relational import distinct_on
+from ..session import dealt
 
 JOB = "job_id string, org_id string, service_id string, commit_sha string, job_type string, attempt int, enqueued_at timestamp, next_retry_at timestamp"
 RUN_EVENT = "job_id string, service_id string, event string, attempt int, at timestamp"
@@ -45,9 +46,10 @@ def decompose(events: DataFrame, services: DataFrame) -> DataFrame:
     """H-01: ``event_id, service_id, files``: each changed file to the first service, by position, with a root above it.
 
     Roots are matched by equality with the folders above a file, not by
-    comparing every root with every file.
+    comparing every root with every file.  An event becomes many rows, which
+    stay in its task until they are its services' files, so events are dealt.
     """
-    files = events.select("event_id", "repo", F.explode("changed_files").alias("file"))
+    files = dealt(events, "event_id").select("event_id", "repo", F.explode("changed_files").alias("file"))
     parts = F.split("file", "/")
     above = files.withColumn("root", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))))
     roots = services.select("repo", "service_id", "position", F.explode("source_roots").alias("root")).withColumn("root", F.regexp_replace("root", "/$", ""))

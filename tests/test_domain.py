@@ -214,3 +214,12 @@ def test_rules_are_one_expression_of_bounded_size(spark):
     many = spark.range(consistency.MOST_RULES + 1).select(F.col("id").cast("string").alias("class_contains"), F.lit("x").alias("flow_step"))
     with pytest.raises(ValueError):
         consistency.enrich_hints(steps, many, none, none.drop("handler_class_fqn"))
+
+
+def test_events_are_decomposed_by_all_tasks(spark):
+    """Events are dealt to four tasks a core before each becomes many rows."""
+    events = spark.range(500).select(F.col("id").alias("event_id"), F.lit("r").alias("repo"), F.array(F.lit("a/x.java"), F.lit("b/y.java"), F.lit("no.java")).alias("changed_files"))
+    services = spark.createDataFrame([("r", "a", 0, ["a/"]), ("r", "all", 1, ["a", "b"])], "repo string, service_id string, position int, source_roots array<string>")
+    got = jobs.decompose(events, services)
+    assert sorted((r.event_id, r.service_id, tuple(r.files)) for r in got.collect()) == sorted(x for i in range(500) for x in ((i, "a", ("a/x.java",)), (i, "all", ("b/y.java",))))
+    assert "RepartitionByExpression [event_id" in got._jdf.queryExecution().analyzed().toString()
