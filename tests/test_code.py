@@ -218,3 +218,27 @@ def test_reading_takes_few_calls():
 def test_tokens_at_the_ends():
     for text, tokens in (("", []), (" \n ", []), ("a  ", ["a"]), ('x "open', ["x", '"open']), ("a /* open", ["a"]), ("\u00b2x \u0663.5 $y", ["\u00b2x", "\u0663.5", "$y"])):
         assert code.Reader(text).tokens == tokens
+
+
+def test_types_are_read_without_members(spark, files, parsed):
+    alone = extract.light_parse(files, members=False)
+    assert "members" not in alone.columns
+    facts = lambda p: sorted(p.select("path", "class_fqn", "type_kind", "types", "text").collect(), key=str)
+    assert facts(alone) == facts(parsed)
+    assert extract.implemented(alone).exceptAll(extract.implemented(parsed)).isEmpty()
+
+
+def test_sources_with_comments_are_read_in_few_steps():
+    """Comments go before tokens are taken where none documents anything; places beside a token are looked up without calls."""
+    import sys
+
+    from factloom.plans.source_queries import _CALLER, _COMMENTED
+
+    for text in (_CALLER, _COMMENTED):
+        seen = []
+        sys.setprofile(lambda frame, event, arg: seen.append(event) if event in ("call", "c_call") else None)
+        try:
+            read = code.Reader(text)
+        finally:
+            sys.setprofile(None)
+        assert read.code == code.uncommented(text) and len(seen) < 3 * len(read.tokens), (len(seen), len(read.tokens))
