@@ -242,3 +242,8 @@ def test_sources_with_comments_are_read_in_few_steps():
         finally:
             sys.setprofile(None)
         assert read.code == code.uncommented(text) and len(seen) < 3 * len(read.tokens), (len(seen), len(read.tokens))
+
+
+def test_calls_to_clients_are_gone_through_once(parsed):
+    plan = extract.client_calls(parsed)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("posexplode(") == 1
