@@ -27,13 +27,11 @@ import itertools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import maybe_in, staged
 
 FILTERS = "ABCDE"
 #: Code points at which blocks of the refinement start; the last one reaches to the end of the text.
 BLOCKS = (0, 64, 1024)
-#: Words of 64 bits of the table by which texts that no group can hold are passed over: 4 MB, whatever the input.
-TABLE_WORDS = 1 << 18
 #: What :func:`fails` looks for.
 LEAST_WORDS, DISTINCT_PERCENT, CAPITAL_PERCENT, SYMBOLS = 50, 65, 5, r"[#$%&*|]"
 
@@ -69,18 +67,6 @@ def refined(keys: DataFrame) -> DataFrame:
     return left
 
 
-def _maybe_in(rows: DataFrame, groups: DataFrame, names: list[str]) -> DataFrame:
-    """``rows`` without most of those whose keys are not in ``groups``; none of the others is lost.
-
-    The keys of ``groups`` set bits of a table of fixed size, so it is broadcast
-    however many they are; with more keys than bits fewer rows are passed over.
-    """
-    key = F.xxhash64(*names, F.lit(len(names)))
-    word, bit = F.shiftrightunsigned(key, 6).bitwiseAND(TABLE_WORDS - 1), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(key, F.lit(64)).cast("int"))
-    table = groups.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    return rows.join(F.broadcast(table), word == F.col("word")).filter(F.col("bits").bitwiseAND(bit) != 0).select(*rows.columns)
-
-
 def copies(docs: DataFrame, facts: DataFrame) -> DataFrame:
     """``doc_id, key...`` of rows of ``docs`` whose text a smaller id has.
 
@@ -90,7 +76,7 @@ def copies(docs: DataFrame, facts: DataFrame) -> DataFrame:
     left = staged(refined(facts.select("doc_id", *names)), "audit-left")
     text = F.coalesce(docs["text"], F.lit(""))
     # texts of other groups than those of ``left`` may be compared as well; no row looks them up
-    texts = _maybe_in(docs.select("doc_id", text.alias("text"), *_blocks(text)).filter("doc_id IS NOT NULL"), left, names)
+    texts = maybe_in(docs.select("doc_id", text.alias("text"), *_blocks(text)).filter("doc_id IS NOT NULL"), left, names)
     compared = staged(
         texts.groupBy(*names).agg(F.min("doc_id").alias("low"), (F.min("text") == F.max("text")).alias("alike")), "audit-compared"
     )

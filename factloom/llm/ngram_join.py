@@ -50,7 +50,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, WordHashes, _arrow_schema, id_and_text, map_batches, mix, rolling, split_words, staged
+from .common import SHINGLE_WORDS, WordHashes, _arrow_schema, id_and_text, map_batches, maybe_in, mix, rolling, split_words, staged
 
 THRESHOLD = 0.8
 TREES = 24
@@ -124,11 +124,19 @@ def sketches(docs: DataFrame, trees: int, depth: int) -> DataFrame:
 
 
 _EDGE = "a long, b long"
+#: A task connects about so many edges, but few edges are still dealt to LEAST_PARTS tasks.
+PART_EDGES, LEAST_PARTS = 100_000, 4
 
 
-def _contracted(edges: DataFrame) -> DataFrame:
-    """Edges of each part of ``edges``, replaced by one from each node to the smallest node that the part connects it to."""
+def _contracted(edges: DataFrame, count: int) -> DataFrame:
+    """Edges of each part of ``edges``, replaced by one from each node to the smallest node that the part connects it to.
+
+    Edges are dealt to parts by the ``count`` of them there are about, as a part
+    connects the more the larger it is, and as tasks for a few edges each take
+    longer to start than to run.
+    """
     arrow = _arrow_schema(_EDGE)
+    parts = max(LEAST_PARTS, -(-count // PART_EDGES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         root: dict[int, int] = {}
@@ -150,7 +158,7 @@ def _contracted(edges: DataFrame) -> DataFrame:
         for lo in range(0, len(stars), 10_000):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*stars[lo : lo + 10_000]), arrow)], schema=arrow)
 
-    return edges.mapInArrow(run, _EDGE)
+    return edges.repartition(parts).mapInArrow(run, _EDGE)
 
 
 def components(edges: DataFrame, label: str, most_rounds: int = 60) -> DataFrame:
@@ -171,7 +179,8 @@ def components(edges: DataFrame, label: str, most_rounds: int = 60) -> DataFrame
         return not seen.filter("low < high OR (low IS NOT NULL AND down)").isEmpty()
 
     edges = edges.filter("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"))
-    edges = staged(_contracted(edges), label)
+    # what is read is staged, so counting it takes no other work
+    edges = staged(_contracted(edges, edges.count()), label)
     for _ in range(most_rounds):
         if not open_(edges):
             break
@@ -180,7 +189,7 @@ def components(edges: DataFrame, label: str, most_rounds: int = 60) -> DataFrame
         large = around.join(low, "a").filter("b > a AND b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).union(low.select("a", F.col("low").alias("b")))
-        edges = staged(_contracted(small.filter("a <> b")), label)
+        edges = staged(_contracted(small.filter("a <> b"), edges.count()), label)
     else:
         raise RuntimeError(f"{label}: components still change after {most_rounds} rounds")
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root"))
@@ -349,15 +358,15 @@ def _edges(joins: DataFrame, depth: int) -> DataFrame:
     return heads.select("a", "b").union(others)
 
 
-def _blocks(members: DataFrame, depth: int, block: int, block_shingles: int) -> DataFrame:
-    """``members`` of groups with their ``block`` and the ``cells`` (pairs of blocks) it is in."""
+def _blocks(members: DataFrame, depth: int, block: int, block_shingles: int) -> tuple[DataFrame, DataFrame]:
+    """``members`` of groups, staged; and with their ``block`` and the ``cells`` (pairs of blocks) it is in."""
     need = lambda part: F.ceil(part * F.greatest(F.count("*") / block, F.sum("n_shingles") / block_shingles))
     members = staged(members.join(members.groupBy("part").agg(need(1).alias("blocks")), "part"), "join-members")
     zero = F.lit(0).cast("long")
     one = members.filter("blocks = 1").withColumns({"block": zero, "cells": F.array(F.struct(zero.alias("one"), zero.alias("two")))})
     large = members.filter("blocks > 1")
     if large.isEmpty():
-        return one
+        return members, one
     # nodes of the first tree stay together, in blocks of their own where they are large
     large = large.withColumn("home", prefix(F.col("labels")[0], depth))
     homes = large.groupBy("part", "home").agg(need(4).alias("pieces"))
@@ -370,12 +379,14 @@ def _blocks(members: DataFrame, depth: int, block: int, block_shingles: int) ->
     met = held.select("part", "held", F.explode("held").alias("one")).select("part", "one", F.explode(F.filter("held", lambda x: x >= F.col("one"))).alias("two")).distinct()
     cells = met.union(met.filter("one < two").select("part", F.col("two").alias("one"), F.col("one").alias("two")))
     cells = cells.groupBy("part", F.col("one").alias("block")).agg(F.collect_list(F.struct(F.least("one", "two").alias("one"), F.greatest("one", "two").alias("two"))).alias("cells"))
-    return one.unionByName(placed.join(cells, ["part", "block"]))
+    return members, one.unionByName(placed.join(cells, ["part", "block"]))
 
 
-def _compared(docs: DataFrame, members: DataFrame, verify) -> DataFrame:
+def _compared(docs: DataFrame, members: DataFrame, blocked: DataFrame, verify) -> DataFrame:
     keys = ("cls", "rep", "copies", "part", "block", "cells")
-    with_text = id_and_text(docs).join(members.select(*keys, "rep_print"), (F.col("doc_id") == F.col("rep")) & (F.xxhash64("text") == F.col("rep_print")))
+    # most texts are in no group; they are passed over before the join, which may shuffle texts
+    texts = maybe_in(id_and_text(docs).withColumn("print", F.xxhash64("text")), members.select(F.col("rep_print").alias("print")), ["print"])
+    with_text = texts.join(blocked.select(*keys, "rep_print"), (F.col("doc_id") == F.col("rep")) & (F.col("print") == F.col("rep_print")))
 
     def sets(x: dict[str, list], hashes: WordHashes) -> dict[str, object]:
         return {k: x[k] for k in keys} | {"shingles": [shingles(split_words(t), hashes).tobytes() for t in x["text"]]}
@@ -412,7 +423,7 @@ def _verified(
         else:
             again = groups
         members = again.join(classes.select("cls", "rep", "rep_print", "copies", "n_shingles", "labels"), F.col("node") == F.col("rep"))
-        found = _compared(docs, _blocks(members, at, block, block_shingles), _verify(threshold, trees, depth, at))
+        found = _compared(docs, *_blocks(members, at, block, block_shingles), _verify(threshold, trees, depth, at))
         verified = staged(verified.unionByName(found), "join-verified") if before is not None else found
         odds = verified.select(*(F.sum(F.col("odds")[d]).alias(f"d{d}") for d in range(depth + 1))).first()
         enough = [d for d in range(1, at + 1) if not odds[0] or odds[d] >= recall * odds[0]]

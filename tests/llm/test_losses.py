@@ -118,3 +118,28 @@ def test_scans_carry_their_state_over_runs(spark):
     done = secrets._scan(F.col("items"), F.lit(0), lambda s, x: (s + x, s + x), "int")
     (row,) = df.select(done["out"].alias("out"), done["state"].alias("last"), secrets._scan(F.array().cast("array<int>"), F.lit(5), lambda s, x: (s + x, x), "int")["state"].alias("none")).collect()
     assert row.out == np.cumsum(np.arange(1, n + 1)).tolist() and row.last == row.out[-1] and row.none == 5
+
+
+def test_few_edges_are_connected_by_few_tasks(spark):
+    edges = spark.range(2000).selectExpr("id + 1 AS a", "id AS b").repartition(40)
+    met = ngram_join._contracted(edges, 2000)
+    assert met.rdd.getNumPartitions() == ngram_join.LEAST_PARTS
+    assert ngram_join._contracted(edges, 10 * ngram_join.PART_EDGES + 1).rdd.getNumPartitions() == 11
+    roots = ngram_join.components(edges, "test-few")
+    assert roots.count() == 2001 and {r.root for r in roots.select("root").distinct().collect()} == {0}
+
+
+def test_texts_of_no_group_are_passed_over_before_they_are_joined(spark, monkeypatch):
+    words = [[f"w{k}x{i}" for i in range(60)] for k in range(400)]
+    rows = [(k, " ".join(w)) for k, w in enumerate(words)] + [(1000 + k, f"{' '.join(words[k])} more") for k in range(5)]
+    left = []
+    passed_over = ngram_join.maybe_in
+
+    def counted(*args):
+        left.append(passed_over(*args))
+        return left[-1]
+
+    monkeypatch.setattr(ngram_join, "maybe_in", counted)
+    got = {r.doc_id: r.class_id for r in ngram_join.ngram_join(made(spark, rows)).filter("n_links > 0").collect()}
+    assert got == {x: k for k in range(5) for x in (k, 1000 + k)}
+    assert left and all(10 <= x.count() < 40 for x in left)
