@@ -131,7 +131,7 @@ PART_EDGES, LEAST_PARTS = 100_000, 4
 def _contracted(edges: DataFrame, count: int) -> DataFrame:
     """Edges of each part of ``edges``, replaced by one from each node to the smallest node that the part connects it to.
 
-    Edges are dealt to parts by the ``count`` of them there are about, as a part
+    Parts are put together by the ``count`` of edges there are about, as a part
     connects the more the larger it is, and as tasks for a few edges each take
     longer to start than to run.
     """
@@ -158,7 +158,7 @@ def _contracted(edges: DataFrame, count: int) -> DataFrame:
         for lo in range(0, len(stars), 10_000):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*stars[lo : lo + 10_000]), arrow)], schema=arrow)
 
-    return edges.repartition(parts).mapInArrow(run, _EDGE)
+    return edges.coalesce(parts).mapInArrow(run, _EDGE)
 
 
 def components(edges: DataFrame, label: str, most_rounds: int = 60) -> DataFrame:
