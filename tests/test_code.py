@@ -247,3 +247,26 @@ def test_sources_with_comments_are_read_in_few_steps():
 def test_calls_to_clients_are_gone_through_once(parsed):
     plan = extract.client_calls(parsed)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("posexplode(") == 1
+
+
+def _once(df):
+    """Whether sources are read once in a plan that joins nothing."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return plan.count("MapInArrow") == 1 and "Join" not in plan and "Union" not in plan
+
+
+_TWO = [  # the fields of a class that two files declare, and its calls, meet
+    ("s", "one/A.java", "package a; class A { @Autowired ARepository<X> repo, log; @Autowired BDao dao; void f() { dao.one(); this.dao.one(); lost.no(); repo.find(1, x -> y.z()); log.no(); } }"),
+    ("s", "two/A.java", "package a; class A { A(CRepo more, ZRepository repo) { } void g() { repo.save(more.get()); dao.two(); a.dao.no(); } }"),
+    ("t", "A.java", "package a; class A { void f() { dao.other(); } class In { @Autowired BDao dao; } }"),
+    (None, "A.java", "package a; class A { @Autowired BDao dao; void f() { dao.nowhere(); } }"),
+]
+
+
+def test_accesses_are_found_in_one_pass(spark):
+    files = spark.createDataFrame(_TWO, "service_id string, path string, text string")
+    got = extract.data_accesses(extract.light_parse(files, args=False, stage=False))
+    assert _once(got)
+    want = [("BDao", "one"), ("BDao", "two"), ("ARepository", "find"), ("ARepository", "save"), ("ZRepository", "find"), ("ZRepository", "save"), ("CRepo", "get")]
+    assert sorted((r.service_id, r.handler_class_fqn, r.accessor, r.dao_method) for r in got.collect()) == sorted(("s", "a.A", *x) for x in want)
+    assert got.exceptAll(extract.data_accesses(extract.light_parse(files))).isEmpty()
