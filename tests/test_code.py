@@ -270,3 +270,17 @@ def test_accesses_are_found_in_one_pass(spark):
     want = [("BDao", "one"), ("BDao", "two"), ("ARepository", "find"), ("ARepository", "save"), ("ZRepository", "find"), ("ZRepository", "save"), ("CRepo", "get")]
     assert sorted((r.service_id, r.handler_class_fqn, r.accessor, r.dao_method) for r in got.collect()) == sorted(("s", "a.A", *x) for x in want)
     assert got.exceptAll(extract.data_accesses(extract.light_parse(files))).isEmpty()
+
+
+def test_calls_of_a_class_meet_its_fields_in_one_pass(spark):
+    many = "".join(f"dao.c{i}(); lost.no(); " for i in range(code.MOST_CALLS + 50))
+    texts = [(s, p, t.replace("void f", "public void f").replace("void g", "public void g")) for s, p, t in _TWO] + [("m", "M.java", f"class M {{ @Autowired Dao dao; public void f() {{ {many} }} }}")]
+    files = spark.createDataFrame(texts, "service_id string, path string, text string")
+    got = extract.call_graph(extract.light_parse(files, args=False, stage=False))
+    assert _once(got)
+    rows = [tuple(r) for r in got.collect()]
+    # of two types of a variable the smaller stays; a null service has no fields, as it equals none
+    assert sorted(r[2:] for r in rows if r[:2] == ("s", "a.A")) == sorted([
+        ("f", "BDao", "one", "dao"), ("f", "ARepository<X>", "find", "repo"), ("g", "ARepository<X>", "save", "repo"), ("g", "CRepo", "get", "more"), ("g", "BDao", "two", "dao"), ("f", "a.A", "one", "dao"),
+    ])
+    assert {r[4] for r in rows if r[0] == "m"} == {f"c{i}" for i in range(code.MOST_CALLS)} and {r[0] for r in rows} == {"s", "m"}
