@@ -284,3 +284,25 @@ def test_calls_of_a_class_meet_its_fields_in_one_pass(spark):
         ("f", "BDao", "one", "dao"), ("f", "ARepository<X>", "find", "repo"), ("g", "ARepository<X>", "save", "repo"), ("g", "CRepo", "get", "more"), ("g", "BDao", "two", "dao"), ("f", "a.A", "one", "dao"),
     ])
     assert {r[4] for r in rows if r[0] == "m"} == {f"c{i}" for i in range(code.MOST_CALLS)} and {r[0] for r in rows} == {"s", "m"}
+
+
+def test_symbols_are_found_in_one_pass(spark, files):
+    texts = [
+        ("s", "E.java", "package e; enum E { A }"), ("s", "R.java", 'package r; @RequestMapping({"/a", "/b"}) class R { @RequestMapping({"/c", "/d"}) void quiet() { } public int getIt() { return 1; } public void go() { } public void go(int a) { } }'),
+        ("s", "N.java", "class N { @GetMapping @Other public void n() { } class In { @GetMapping public void no() { } } }"),
+    ]
+    got = extract.symbol_facts(extract.light_parse(spark.createDataFrame(texts, "service_id string, path string, text string"), calls=False, stage=False))
+    assert _once(got)
+    verbs = ("GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS")
+    want = {("E.java", "e.E", "ENUM", 1.0), ("R.java", "r.R", "CLASS", 1.0), ("N.java", "N", "CLASS", 1.0), ("R.java", "r.R#go", "METHOD", 0.9), ("N.java", "N#n", "METHOD", 0.9), ("N.java", "N#GET ", "ENDPOINT", 1.0)}
+    want |= {("R.java", f"r.R#{v} /{b}/{p}", "ENDPOINT", 1.0) for v in verbs for b in "ab" for p in "cd"}
+    rows = [(r.path, r.symbol_fqn, r.symbol_kind, r.confidence) for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+
+
+def test_parts_of_members_are_left_out_alone(files, parsed):
+    strip = lambda p, drop: sorted((r.path, r.types, [{k: v for k, v in m.asDict(True).items() if k not in drop} for m in r.members]) for r in p.collect())
+    without = extract.light_parse(files, calls=False, stage=False)
+    assert strip(without, ["calls"]) == strip(parsed, ["calls"]) and not any(m.calls for r in without.collect() for m in r.members)
+    calls = lambda p: sorted((r.path, m.name, [(c.scope, c.chained, c.name) for c in m.calls]) for r in p.collect() for m in r.members)
+    assert calls(extract.light_parse(files, args=False, stage=False)) == calls(parsed)
